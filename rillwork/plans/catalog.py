@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from . import model_queries, series_queries, space_queries, stream_queries, table_queries  # noqa: F401
+from .registry import ORACLE, QUERIES  # noqa: F401
 
 FLAGSHIP = "station_daily"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
