@@ -101,6 +101,12 @@ def season_of_month(d: Column) -> tuple[Column, Column]:
     return F.sin(angle), F.cos(angle)
 
 
+def correlation(x: str | Column, y: str | Column) -> Column:
+    """Pearson's r as an aggregate; null where either side doesn't vary (``corr`` would divide by zero)."""
+    x, y = (F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col(a)) if isinstance(a, str) else a for a, b in ((x, y), (y, x)))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def decay_score(correlation: Column, distance_m: Column, k: float = 0.05) -> Column:
     """Correlation fading with distance in km; 0 where either is missing or 0."""
     value = correlation * F.exp(-k * distance_m / 1000)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import decay_score, haversine, planar
-from .gaps import imputable_holes, neighbours, runs
+from ..functions.scalars import correlation, decay_score, haversine, planar
+from .gaps import gap_runs, imputable_holes, neighbours, runs
 from .metrics import errors
 
 
@@ -29,8 +29,8 @@ def pair_correlations(df: DataFrame, least: int = 365, key: str = "station", tim
     """``a, b, n, r`` of each pair with common times: Pearson's r, null below ``least`` of them, negative ones 0."""
     known = df.where(F.col(value).isNotNull())
     a, b = (known.select(F.col(key).alias(s), F.col(time).alias("t"), F.col(value).alias(f"v{s}")) for s in "ab")
-    pairs = a.join(b, "t").where(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.corr("va", "vb").alias("r"))
-    return pairs.withColumn("r", F.when((F.col("n") >= least) & ~F.isnan("r"), F.greatest("r", F.lit(0.0))))
+    pairs = a.join(b, "t").where(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), correlation("va", "vb").alias("r"))
+    return pairs.withColumn("r", F.when(F.col("n") >= least, F.when(F.col("r").isNotNull(), F.greatest("r", F.lit(0.0)))))
 
 
 def donor_scores(distances: DataFrame, correlations: DataFrame, k: float = 0.05, threshold: float = 0.3) -> DataFrame:
@@ -62,7 +62,7 @@ def donor_estimates(df: DataFrame, scores: DataFrame, longest: int = 200, key: s
     asked = holes.join(weights, "station").join(known, ["donor", "day"], "left")
     has = F.col("dv").isNotNull()
     weighed = asked.groupBy("station", "day").agg(
-        (F.sum(F.when(has, F.col("score") * (F.col("dv") + F.col("shift")))) / F.sum(F.when(has, F.col("score")))).alias("by_donors"),
+        F.try_divide(F.sum(F.when(has, F.col("score") * (F.col("dv") + F.col("shift")))), F.sum(F.when(has, F.col("score")))).alias("by_donors"),
     )
     # a station none of whose donors has a value at any hole is passed over
     some = weighed.groupBy("station").agg(F.count("by_donors").alias("n")).where("n > 0").select("station")
@@ -114,14 +114,30 @@ def impute(df: DataFrame, scores: DataFrame, longest: int = 200, two_pass: bool
 def impute_in_order(df: DataFrame, scores: DataFrame, order: list[str], save, **options) -> DataFrame:
     """Fills stations one after another, each from all values there are by then, imputed ones too.
 
-    ``save`` cuts lineage after each station (a written table or ``DataFrame.checkpoint``); meant for a queue of tens of stations.
+    Shifts and seasonal curves are of the values at that time. ``save`` cuts lineage after each station (a written table or
+    ``DataFrame.checkpoint``); meant for a queue of tens of stations.
     """
-    key = options.get("key", "station")
+    if "data_type" not in df.columns:
+        df = df.withColumn("data_type", F.lit("raw"))
     for station in order:
-        filled = impute(df, scores.where(F.col("station") == station), **options)
-        df = save(filled if "data_type" in df.columns else filled.withColumn("data_type", F.coalesce("data_type", F.lit("raw"))))
-        df = df.select(*[c for c in df.columns])
-    return df.orderBy(key)
+        df = save(impute(df, scores.where(F.col("station") == station), **options))
+    return df
+
+
+def seasonal_fix(df: DataFrame, station: str, start: str, end: str, years: int = 6, cap: tuple[str, float] | None = None, key: str = "station", time: str = "day", value: str = "value") -> DataFrame:
+    """One station's values from ``start`` to ``end`` become its means by day of the year over the ``years`` before.
+
+    ``cap`` bounds the value of one date. Days without such a mean keep their value.
+    """
+    first = F.lit(start).cast("date")
+    before = df.where((F.col(key) == station) & (F.col(time) < first) & (F.col(time) >= F.add_months(first, -12 * years)))
+    curve = before.groupBy(F.dayofyear(time).alias("_doy")).agg(F.avg(value).alias("_mean"))
+    joined = df.withColumn("_doy", F.dayofyear(time)).join(curve, "_doy", "left")
+    hit = (F.col(key) == station) & F.col(time).between(first, F.lit(end).cast("date"))
+    new = F.coalesce(F.when(hit, F.col("_mean")), F.col(value))
+    if cap:
+        new = F.when((F.col(key) == station) & (F.col(time) == F.lit(cap[0]).cast("date")), F.least(new, F.lit(cap[1]))).otherwise(new)
+    return joined.withColumn(value, new).select(df.columns)
 
 
 def revert_and_mask(filled: DataFrame, truth: DataFrame, key: str = "station", time: str = "day", value: str = "value") -> DataFrame:
@@ -135,8 +151,6 @@ def revert_and_mask(filled: DataFrame, truth: DataFrame, key: str = "station", t
 
 def gap_lengths(df: DataFrame, predefined: tuple[int, ...] = (30, 60, 90, 120, 150), longest: int = 200, slack: int = 30, key: str = "station", time: str = "day", value: str = "value") -> DataFrame:
     """``station, length``: synthetic gaps to try: up to ``longest`` for stations with a longer real gap, else up to the longest plus slack."""
-    from .gaps import gap_runs
-
     actual = gap_runs(df, key, time, value).groupBy(key).agg(F.max("n").alias("actual"))
     all_ = df.select(key).distinct().join(actual, key, "left").withColumn("actual", F.coalesce("actual", F.lit(0)))
     tried = all_.withColumn("length", F.explode(F.array(*map(F.lit, predefined))))

@@ -54,7 +54,7 @@ def fill_linear(df: DataFrame, key: str = "station", time: str = "day", value: s
     before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     held = F.when(F.col(value).isNotNull(), F.struct(F.col("_i").alias("i"), F.col(value).alias("v")))
     placed = numbered.withColumns({"_p": F.last(held, ignorenulls=True).over(before), "_n": F.first(held, ignorenulls=True).over(after)})
-    share = (F.col("_i") - F.col("_p.i")) / (F.col("_n.i") - F.col("_p.i"))
+    share = F.try_divide((F.col("_i") - F.col("_p.i")).cast("double"), (F.col("_n.i") - F.col("_p.i")).cast("double"))
     between = F.col("_p.v") + share * (F.col("_n.v") - F.col("_p.v"))
     out = F.coalesce(F.col(value), between, F.col("_p.v"), *([F.col("_n.v")] if both else []))
     return placed.withColumn(name, out).drop("_i", "_p", "_n")
@@ -95,7 +95,7 @@ def fill_monotone(df: DataFrame, key: str = "station", time: str = "day", value:
         {"_p": F.last("_knot", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0)), "_n": F.first("_knot", ignorenulls=True).over(along.rowsBetween(0, Window.unboundedFollowing))}
     )
     h = F.col("_n.x") - F.col("_p.x")
-    s = (F.datediff(F.col(time), F.lit("1970-01-01")) - F.col("_p.x")) / h
+    s = F.try_divide(F.datediff(F.col(time), F.lit("1970-01-01")) - F.col("_p.x"), h)
     cubic = (2 * s**3 - 3 * s**2 + 1) * F.col("_p.y") + (s**3 - 2 * s**2 + s) * h * F.col("_p.d") + (3 * s**2 - 2 * s**3) * F.col("_n.y") + (s**3 - s**2) * h * F.col("_n.d")
     return placed.withColumn(name, F.coalesce(F.col(value).cast("double"), cubic)).drop("_knot", "_p", "_n")
 

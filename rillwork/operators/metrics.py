@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import correlation
 
 def errors(df: DataFrame, truth: str, estimate: str, by: Sequence[str] = ()) -> DataFrame:
     """``n, mae, mse, rmse, bias, nse, r, alpha, beta, kge`` over rows with both, for each group.
@@ -23,7 +24,7 @@ def errors(df: DataFrame, truth: str, estimate: str, by: Sequence[str] = ()) ->
         F.avg(e * e).alias("mse"),
         F.avg(e).alias("bias"),
         F.var_pop(y).alias("_var"),
-        F.corr(y, p).alias("r"),
+        correlation(y, p).alias("r"),
         F.stddev_pop(y).alias("_sy"),
         F.stddev_pop(p).alias("_sp"),
         F.avg(y).alias("_my"),
@@ -75,8 +76,8 @@ def best_lag(df: DataFrame, a: str, b: str, by: Sequence[str], time: str, most:
     rows = df.withColumn("_i", F.row_number().over(w))
     left = rows.select(*by, "_i", F.col(a).alias("_a")).withColumn("lag", F.explode(F.sequence(F.lit(-most), F.lit(most)))).withColumn("_j", F.col("_i") + F.col("lag"))
     right = rows.select(*by, F.col("_i").alias("_j"), F.col(b).alias("_b"))
-    scored = left.join(right, [*by, "_j"]).where(F.col("_a").isNotNull() & F.col("_b").isNotNull()).groupBy(*by, "lag").agg(F.corr("_a", "_b").alias("r"), F.count(F.lit(1)).alias("n"))
-    scored = scored.where((F.col("n") >= least) & ~F.isnan("r") & F.col("r").isNotNull())
+    scored = left.join(right, [*by, "_j"]).where(F.col("_a").isNotNull() & F.col("_b").isNotNull()).groupBy(*by, "lag").agg(correlation("_a", "_b").alias("r"), F.count(F.lit(1)).alias("n"))
+    scored = scored.where((F.col("n") >= least) & F.col("r").isNotNull())
     best = F.max_by(F.struct("lag", "r", "n"), F.struct(F.bround("r", 12), -F.col("lag")))
     return scored.groupBy(*by).agg(best.alias("_x")).select(*by, "_x.lag", "_x.r", "_x.n")
 
@@ -92,7 +93,7 @@ def after_burn_in(df: DataFrame, rows: int, by: Sequence[str], time: str) -> Dat
 
 def contribution(df: DataFrame, part: str, base: str, by: Sequence[str] = ()) -> DataFrame:
     """``share``: total size of ``part`` over that of ``base``."""
-    return df.groupBy(*by).agg((F.sum(F.abs(part)) / F.sum(F.abs(base))).alias("share"))
+    return df.groupBy(*by).agg(F.try_divide(F.sum(F.abs(part)), F.sum(F.abs(base))).alias("share"))
 
 
 def confidence_summary(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:

@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import correlation
 
 def covariance(df: DataFrame, vector: str = "features") -> tuple[np.ndarray, np.ndarray, int]:
     """Mean, sample covariance and count of a column of equally long vectors, in one aggregation over element pairs."""
@@ -72,7 +73,7 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
         return F.rank().over(w) + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2
 
     ranked = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(rank(x).alias("rx"), rank(y).alias("ry"))
-    return ranked.agg(F.corr("rx", "ry").alias("rho"), F.count(F.lit(1)).alias("n"))
+    return ranked.agg(correlation("rx", "ry").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
 def mantel(pairs: DataFrame, x: str, y: str, permutations: int = 999, seed: int = 55) -> tuple[float, float]:

@@ -71,7 +71,7 @@ def segment_distance(px: Column, py: Column, x1: Column, y1: Column, x2: Column,
     """Distance from a point to a line segment."""
     dx, dy = x2 - x1, y2 - y1
     length = dx * dx + dy * dy
-    t = F.when(length == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - x1) * dx + (py - y1) * dy) / length)))
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide((px - x1) * dx + (py - y1) * dy, length), F.lit(0.0))))
     return F.sqrt((px - (x1 + t * dx)) ** 2 + (py - (y1 + t * dy)) ** 2)
 
 
@@ -165,7 +165,7 @@ def area_weighted(cube: DataFrame, area: Column, time: str = "time", value: str
     first = cube.agg(F.min(time).alias("_t0"))  # one row
     mask = cube.crossJoin(F.broadcast(first)).where((F.col(time) == F.col("_t0")) & F.col(value).isNotNull()).select(*cells)
     kept = cube.join(mask, list(cells), "left_semi").withColumn("_area", area)
-    return kept.groupBy(time).agg(F.sum(F.col(value) * F.col("_area")).alias("total"), (F.sum(F.col(value) * F.col("_area")) / F.sum(F.when(F.col(value).isNotNull(), F.col("_area")))).alias("mean"))
+    return kept.groupBy(time).agg(F.sum(F.col(value) * F.col("_area")).alias("total"), F.try_divide(F.sum(F.col(value) * F.col("_area")), F.sum(F.when(F.col(value).isNotNull(), F.col("_area")))).alias("mean"))
 
 
 def clip_segments(segments: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:

@@ -238,17 +238,17 @@ def w03_rolling_days(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {RAIN}, roll AS (SELECT day, rainfall, avg(rainfall) OVER (ORDER BY day RANGE BETWEEN INTERVAL 29 DAYS PRECEDING AND CURRENT ROW) AS r30, avg(rainfall) OVER (ORDER BY day RANGE BETWEEN INTERVAL 59 DAYS PRECEDING AND CURRENT ROW) AS r60 FROM rain),
   bc AS (SELECT day, (pow(rainfall + 1, 0.17015) - 1) / 0.17015 AS rainfall, r30, r60 FROM roll)
-SELECT day, round(rainfall, 5) AS rainfall, round(r30, 5) AS rolling_30, round(r60, 5) AS rolling_60, {", ".join(f"round(lag(rainfall, {i}) OVER (ORDER BY day), 5) AS rainfall_lag{i}" for i in range(1, 8))} FROM bc QUALIFY day BETWEEN '1996-01-01' AND '1997-12-31'""")
+SELECT day, round(rainfall, 5) AS rainfall, round(r30 * 0.7310585786::DOUBLE, 4) AS rolling_30, round(r60 * 0.7310585786::DOUBLE, 4) AS rolling_60, {", ".join(f"round(lag(rainfall, {i}) OVER (ORDER BY day), 5) AS rainfall_lag{i}" for i in range(1, 8))} FROM bc QUALIFY day BETWEEN '1996-01-01' AND '1997-12-31'""")
 def t15_rainfall_block(spark: SparkSession, d: str) -> DataFrame:
     out = features.rainfall_block(rain(spark, d), 0.17015, start="1996-01-01", end="1997-12-31")
-    return out.select("day", r("rainfall", 5), r("rolling_30", 5), r("rolling_60", 5), *(r(f"rainfall_lag{i}", 5) for i in range(1, 8)))
+    return out.select("day", r("rainfall", 5), r(F.col("rolling_30") * 0.7310585786, 4).alias("rolling_30"), r(F.col("rolling_60") * 0.7310585786, 4).alias("rolling_60"), *(r(f"rainfall_lag{i}", 5) for i in range(1, 8)))
 
 
 @query(f"""WITH {RAIN}, roll AS (SELECT day, rainfall, avg(rainfall) OVER (ORDER BY day RANGE BETWEEN INTERVAL 29 DAYS PRECEDING AND CURRENT ROW) AS r30 FROM rain)
-SELECT CAST(date_trunc('month', day) AS DATE) AS bin, round(sum(rainfall), 1) AS rainfall, round(arg_min(r30, day), 5) AS rolling_30 FROM roll GROUP BY ALL""")
+SELECT CAST(date_trunc('month', day) AS DATE) AS bin, round(sum(rainfall), 1) AS rainfall, round(arg_min(r30, day) * 0.7310585786::DOUBLE, 4) AS rolling_30 FROM roll GROUP BY ALL""")
 def a11_monthly_rainfall(spark: SparkSession, d: str) -> DataFrame:
     rolled = features.rolling_days(rain(spark, d), "rainfall")
-    return rolled.groupBy(calendars.bin_of(F.col("day"), "monthly").alias("bin")).agg(F.round(F.sum("rainfall"), 1).alias("rainfall"), F.round(F.min_by("rolling_30", "day"), 5).alias("rolling_30"))
+    return rolled.groupBy(calendars.bin_of(F.col("day"), "monthly").alias("bin")).agg(F.round(F.sum("rainfall"), 1).alias("rainfall"), F.round(F.min_by("rolling_30", "day") * 0.7310585786, 4).alias("rolling_30"))
 
 
 @query(f"""WITH {RAIN}, cal AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM rain)
@@ -484,3 +484,16 @@ def t16_streamflow(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem").where(F.col("l_shipdate").between("1996-01-01", "1996-12-31"))
     flow = li.groupBy(F.col("l_shipdate").alias("day")).agg(F.sum("l_quantity").alias("flow"))
     return features.streamflow_block(flow, 366, "1996-01-01").where(F.col("flow").isNotNull()).select("day", r("flow", 2))
+
+
+@query(f"""WITH {SERIES}, c AS (SELECT dayofyear(day) AS doy, avg(value) AS m FROM series WHERE station = 'AF' AND day >= '1993-03-01' AND day < '1999-03-01' GROUP BY ALL)
+SELECT station, day, round(CASE WHEN station = 'AF' AND day BETWEEN '1999-03-01' AND '1999-06-30' THEN CASE WHEN day = '1999-03-05' THEN least(coalesce(m, value), 20) ELSE coalesce(m, value) END ELSE value END, 6) AS value FROM series LEFT JOIN c ON dayofyear(day) = doy""")
+def t20_q07_seasonal_fix(spark: SparkSession, d: str) -> DataFrame:
+    return donors.seasonal_fix(series(spark, d), "AF", "1999-03-01", "1999-06-30", cap=("1999-03-05", 20.0)).select("station", "day", r("value"))
+
+
+@query(name="t12b_impute_in_order")
+def t12b_impute_in_order(spark: SparkSession, d: str) -> DataFrame:
+    rows, scores = _some(spark, d)
+    order = [x["station"] for x in scores.select("station").distinct().orderBy("station").limit(3).collect()]  # a queue of stations
+    return donors.impute_in_order(_regular(rows), scores, order, lambda x: x.checkpoint()).select("station", "day", r("value"), "data_type")

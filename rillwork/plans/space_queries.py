@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import projection
 from ..functions import scalars as S
 from ..operators import baselines, graphs, selection, spatial
 from .registry import SERIES, STATIONS, query, r, series, stations, table
@@ -293,3 +294,10 @@ def g21_k_centres(spark: SparkSession, d: str) -> DataFrame:
     chosen = selection.k_centres(near, far, 5, "v00")
     out = selection.coverage(near, chosen)
     return out.select(F.lit(",".join(chosen)).alias("centres"), r("r_max"), r("r_95"))
+
+
+@query(name="g01_g02_projection")
+def g01_g02_projection(spark: SparkSession, d: str) -> DataFrame:
+    """Stations on the grid, to degrees and back."""
+    places = stations(spark, d).select("station", (F.col("easting") + 300000).alias("easting"), (F.col("northing") + 500000).alias("northing"))
+    return projection.with_grid(projection.with_lat_lon(places).select("station", "lat", "lon")).select("station", r("lat", 7), r("lon", 7), r("easting", 0), r("northing", 0))

@@ -167,9 +167,9 @@ def j01_j02_j08_static_chain(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {RAIN}, cal AS (SELECT CAST(unnest(generate_series(DATE '1996-01-01', DATE '1996-03-31', INTERVAL 1 DAY)) AS DATE) AS day),
-  ship AS (SELECT CAST(l_shipdate AS DATE) AS day, count(*) AS shipped FROM lineitem GROUP BY ALL) SELECT day, rainfall, shipped FROM cal LEFT JOIN rain USING (day) LEFT JOIN ship USING (day)""")
+  ship AS (SELECT CAST(l_shipdate AS DATE) AS day, CAST(count(*) AS DOUBLE) AS shipped FROM lineitem GROUP BY ALL) SELECT day, rainfall, shipped FROM cal LEFT JOIN rain USING (day) LEFT JOIN ship USING (day)""")
 def j03_series_chain(spark: SparkSession, d: str) -> DataFrame:
-    ship = table(spark, d, "lineitem").groupBy(F.to_date("l_shipdate").alias("day")).agg(F.count(F.lit(1)).alias("shipped"))
+    ship = table(spark, d, "lineitem").groupBy(F.to_date("l_shipdate").alias("day")).agg(F.count(F.lit(1)).cast("double").alias("shipped"))
     return assembly.merge_series(calendars.calendar(spark, "1996-01-01", "1996-03-31"), [rain(spark, d), ship])
 
 

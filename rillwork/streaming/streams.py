@@ -15,7 +15,9 @@ READING = "event_id bigint, ts timestamp, user_id bigint, event_type string, val
 
 def read_stream(spark: SparkSession, path: str, files: int = 1000) -> DataFrame:
     """Readings from Parquet files as they land, ``files`` a batch."""
-    rows = spark.readStream.schema(READING).option("maxFilesPerTrigger", files).parquet(path)
+    folder, _, name = path.rstrip("/").rpartition("/")
+    # as a pattern, since the source takes a plain path for a folder
+    rows = spark.readStream.schema(READING).option("maxFilesPerTrigger", files).parquet(f"{folder}/[{name[0]}]{name[1:]}")
     return rows.select(F.concat(F.lit("u"), "user_id").alias("station"), "ts", "value", F.col("event_type").alias("quality"), "event_id")
 
 
