@@ -137,4 +137,34 @@ taken AS (SELECT id, CAST(sum(size) AS BIGINT) AS taken FROM served WHERE words
 SELECT doc_id, size, source_size, round(target, 6) AS target, coalesce(taken, 0) AS taken FROM queue LEFT JOIN taken USING (id)
 """
 
-ORACLE: dict[str, str] = {"op3_url_filter": _URL_SQL, "op8_sharding": _SHARD_SQL, "op9_source_mix": _MIX_SQL}
+#: Kinds as ``secret_scan.RULES`` has them: the whole, the lead before the counted part, and its least length.
+_SECRETS = (
+    ("assign", r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?""", "[A-Za-z0-9+/_.=-]+", 6),
+    ("access", "", "AKIA[A-Z0-9]+", 20),
+    ("hex", "", "[0-9a-f]+", 24),
+    ("github", "", "gh[pousr]_[A-Za-z0-9]+", 40),
+    ("slack", "", "xox[abeoprs]-[A-Za-z0-9-]+", 15),
+    ("jwt", "", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 1),
+    ("pem", "", "-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 1),
+)
+
+
+def _spans_sql(order: int, kind: str, lead: str, body: str, least: int) -> str:
+    """Matches stand between the pieces that they split a text into, which gives their places."""
+    counted = f"length(regexp_replace(m, '^{lead}', ''))" if lead else "length(m)"
+    return f"""SELECT id, {order} AS k, '{kind}' AS kind, pos AS a, pos + length(m) AS b FROM (
+    SELECT id, m, list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS pos FROM (
+      SELECT id, p, ms, unnest(ms) AS m, generate_subscripts(ms, 1) AS i FROM (
+        SELECT id, regexp_split_to_array(text, '{lead}{body}') AS p, regexp_extract_all(text, '{lead}{body}') AS ms FROM texts))) WHERE {counted} >= {least}"""
+
+
+_SECRET_SQL = f"""
+WITH texts AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({' UNION ALL '.join(_spans_sql(i, *rule) for i, rule in enumerate(_SECRETS))}),
+listed AS (SELECT id, string_agg(kind || ':' || CAST(a AS BIGINT) || ':' || CAST(b AS BIGINT), ',' ORDER BY a, k) AS spans, string_agg(CASE WHEN k < 3 THEN kind || ':' || CAST(a AS BIGINT) || ':' || CAST(b AS BIGINT) END, ',' ORDER BY a, k) AS base,
+    count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, count(*) AS n_secrets FROM found GROUP BY id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_secrets, 0) AS n_secrets
+FROM texts LEFT JOIN listed USING (id)
+"""
+
+ORACLE: dict[str, str] = {"op2_secret_scan": _SECRET_SQL, "op3_url_filter": _URL_SQL, "op8_sharding": _SHARD_SQL, "op9_source_mix": _MIX_SQL}
