@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,3 +46,26 @@ def loss_terms(df: DataFrame, y: str, estimate: str, residual: str, gate: str, b
         F.avg(gate).alias("gate_mean"),
         F.avg(-(g * F.log(g) + (1 - g) * F.log(1 - g))).alias("gate_entropy"),
     )
+
+
+def lstm_step(x: np.ndarray, h: np.ndarray, c: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Next ``(h, c)``; rows of ``w, u, b`` are the input, forget, cell and output gates, one below the other."""
+    i, f, g, o = np.split(w @ x + u @ h + b, 4)
+    unit = lambda z: 1 / (1 + np.exp(-z))
+    c = unit(f) * c + unit(i) * np.tanh(g)
+    return unit(o) * np.tanh(c), c
+
+
+def recurrent(df: DataFrame, vector: str, w: np.ndarray, u: np.ndarray, b: np.ndarray, key: str = "station", time: str = "day") -> DataFrame:
+    """``key, time, hidden``: the recurrent state after each row, from 0 at a key's first; one key is one task's."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(time)
+        h = c = np.zeros(len(b) // 4)
+        out = []
+        for x in part[vector]:
+            h, c = lstm_step(np.asarray(x, float), h, c, w, u, b)
+            out.append(h.tolist())
+        return pd.DataFrame({key: part[key], time: part[time], "hidden": out})
+
+    return df.groupBy(key).applyInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}, `{time}` {df.schema[time].dataType.simpleString()}, hidden array<double>")

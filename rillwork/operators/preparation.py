@@ -22,6 +22,11 @@ def column_groups(columns: Sequence[str], groups: Mapping[str, Sequence[str]]) -
     return found
 
 
+def prefixed(columns: Sequence[str], prefixes: Sequence[str]) -> list[str]:
+    """Columns that start with any of the prefixes, each once, in order."""
+    return [c for c in columns if c.startswith(tuple(prefixes))]
+
+
 def categories(df: DataFrame, columns: Sequence[str], missing: bool = False) -> DataFrame:
     """``feature, category, idx`` of all values, in order; nulls count as a category only if ``missing``."""
     pairs = F.array(*(F.struct(F.lit(c).alias("feature"), (F.coalesce(F.col(c).cast("string"), F.lit(MISSING)) if missing else F.col(c).cast("string")).alias("category")) for c in columns))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -166,3 +167,11 @@ def n05_loss_terms(spark: SparkSession, d: str) -> DataFrame:
 def n03_gate_and_modulation(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("value")
     return table(spark, d, "events").select("event_id", r(model_terms.gated(v, F.lit(10.0), (v - 50) / 20)).alias("gated"), r(model_terms.modulated(v, F.lit(1.5), F.lit(2.0))).alias("modulated"))
+
+
+@query(name="n02_recurrent")
+def n02_recurrent(spark: SparkSession, d: str) -> DataFrame:
+    rng = np.random.default_rng(55)
+    rows = _pred(spark, d).where(F.col("p").isNotNull()).select("station", "day", F.array(F.col("y") / 50, F.col("p") / 50).alias("x"))
+    out = model_terms.recurrent(rows, "x", rng.normal(size=(12, 2)), rng.normal(size=(12, 3)), rng.normal(size=12))
+    return out.select("station", "day", *(r(F.col("hidden")[i]).alias(f"h{i}") for i in range(3)))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rillwork.functions import projection
 from rillwork.functions import scalars as S
-from rillwork.operators import assembly, calendars, cleaning, donors, gaps, metrics, preparation, selection, spatial
+from rillwork.operators import assembly, calendars, cleaning, donors, gaps, metrics, model_terms, preparation, selection, spatial
 from rillwork.plans.registry import daily, series
 from rillwork.sources import config, sinks, tables
 
@@ -262,3 +262,14 @@ def test_plans_push_filters_and_prune_columns(spark, sf_dir):
     assert "PushedFilters: [IsNotNull(o_totalprice)" in plan or "GreaterThanOrEqual(o_totalprice" in plan
     whole = series(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "l_extendedprice" not in whole
+
+
+def test_recurrent_state_is_carried_in_order(spark):
+    rows = spark.createDataFrame([("a", k, [float(k)]) for k in (3, 1, 2)] + [("b", 1, [1.0])], "station string, day int, x array<double>")
+    w, u, b = np.ones((4, 1)), np.full((4, 1), 0.5), np.zeros(4)
+    got = {(r["station"], r["day"]): r["hidden"][0] for r in model_terms.recurrent(rows, "x", w, u, b).collect()}
+    h = c = np.zeros(1)
+    for k in (1, 2, 3):
+        h, c = model_terms.lstm_step(np.array([float(k)]), h, c, w, u, b)
+        assert got["a", k] == pytest.approx(h[0])
+    assert got["b", 1] == got["a", 1]
