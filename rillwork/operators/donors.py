@@ -41,12 +41,11 @@ def donor_scores(distances: DataFrame, correlations: DataFrame, k: float = 0.05,
 
 
 def donor_offsets(df: DataFrame, scores: DataFrame, key: str = "station", time: str = "day", value: str = "value") -> DataFrame:
-    """``station, donor, shift``: mean difference over common times; 0 without any."""
-    known = df.where(F.col(value).isNotNull()).select(F.col(key).alias("s"), F.col(time).alias("t"), F.col(value).alias("v"))
-    own = scores.select("station", "donor").join(known.withColumnRenamed("s", "station"), "station")
-    both = own.join(known.select(F.col("s").alias("donor"), "t", F.col("v").alias("dv")), ["donor", "t"])
-    mean = both.groupBy("station", "donor").agg(F.avg(F.col("v") - F.col("dv")).alias("shift"))
-    return scores.select("station", "donor").join(mean, ["station", "donor"], "left").withColumn("shift", F.coalesce("shift", F.lit(0.0)))
+    """``scores`` with ``shift``: mean difference of station and donor over common times; 0 without any."""
+    known = df.where(F.col(value).isNotNull())
+    own, other = (known.select(F.col(key).alias(k), F.col(time).alias("t"), F.col(value).alias(v)) for k, v in (("station", "v"), ("donor", "dv")))
+    both = scores.join(own, "station", "left").join(other, ["donor", "t"], "left")
+    return both.groupBy("station", "donor", "score").agg(F.coalesce(F.avg(F.col("v") - F.col("dv")), F.lit(0.0)).alias("shift"))
 
 
 def seasonal_means(df: DataFrame, key: str = "station", time: str = "day", value: str = "value") -> DataFrame:
@@ -57,7 +56,7 @@ def donor_estimates(df: DataFrame, scores: DataFrame, longest: int = 200, key: s
     """``station, day, estimate`` for each hole to impute of stations with a donor: the donors' weighted mean, shifted to the
     station's level; the station's mean for that day of the year where no donor has a value."""
     holes = imputable_holes(df, longest, key, time, value).select(F.col(key).alias("station"), F.col(time).alias("day"))
-    weights = scores.join(donor_offsets(df, scores, key, time, value), ["station", "donor"])
+    weights = donor_offsets(df, scores, key, time, value)
     known = df.where(F.col(value).isNotNull()).select(F.col(key).alias("donor"), F.col(time).alias("day"), F.col(value).alias("dv"))
     asked = holes.join(weights, "station").join(known, ["donor", "day"], "left")
     has = F.col("dv").isNotNull()
@@ -65,9 +64,9 @@ def donor_estimates(df: DataFrame, scores: DataFrame, longest: int = 200, key: s
         F.try_divide(F.sum(F.when(has, F.col("score") * (F.col("dv") + F.col("shift")))), F.sum(F.when(has, F.col("score")))).alias("by_donors"),
     )
     # a station none of whose donors has a value at any hole is passed over
-    some = weighed.groupBy("station").agg(F.count("by_donors").alias("n")).where("n > 0").select("station")
+    some = weighed.withColumn("_some", F.count("by_donors").over(Window.partitionBy("station"))).where("_some > 0")
     curve = seasonal_means(df, key, time, value).select(F.col(key).alias("station"), "doy", "seasonal")
-    out = weighed.join(some, "station", "left_semi").withColumn("doy", F.dayofyear("day")).join(curve, ["station", "doy"], "left")
+    out = some.withColumn("doy", F.dayofyear("day")).join(curve, ["station", "doy"], "left")
     return out.select("station", "day", F.coalesce("by_donors", "seasonal").alias("estimate"))
 
 
@@ -158,21 +157,21 @@ def gap_lengths(df: DataFrame, predefined: tuple[int, ...] = (30, 60, 90, 120, 1
     return tried.where(F.col("length") <= bound).select(F.col(key), "length")
 
 
-def synthetic_gaps(df: DataFrame, lengths: DataFrame, seed: int = 55, around: int = 10, key: str = "station", time: str = "day", value: str = "value") -> DataFrame:
-    """``station, start, end``: for each length, the stretch without missing values that a seeded hash picks.
+def synthetic_gaps(df: DataFrame, lengths: DataFrame, choices: tuple[int, ...] = (30, 60, 90, 120, 150), seed: int = 55, around: int = 10, key: str = "station", time: str = "day", value: str = "value") -> DataFrame:
+    """``station, length, start, end``: for each of ``lengths`` among ``choices``, the stretch that a seeded hash picks.
 
-    Places are every row that starts such a stretch with ``around`` present rows on either side; a window counts them, and
-    the least hash of (seed, station, length, day) wins, so a rerun picks the same.
+    Places are all rows that start a stretch of that length, in a daily series, with no value missing in it nor in ``around`` rows on
+    either side: one window a choice counts them, over one sort. The least hash of (seed, station, length, day) wins, so a
+    rerun picks the same; a station without a place has no gap.
     """
-    w = Window.partitionBy(key, "length").orderBy(time)
-    tried = df.join(lengths, key).withColumn("_seen", F.sum(F.col(value).isNotNull().cast("int")).over(w)).withColumn("_i", F.row_number().over(w))
-    starts = tried.select(key, "length", F.col(time).alias("start"), F.col("_i").alias("i"), (F.col("_seen") - F.col(value).isNotNull().cast("int")).alias("before"))
-    ends = tried.select(key, "length", (F.col("_i") - F.col("length") - around + 1).alias("i"), F.col("_seen").alias("upto"), F.date_sub(time, around).alias("end"))
-    # the part before the start is checked against the row ``around`` places earlier
-    earlier = tried.select(key, "length", (F.col("_i") + around).alias("i"), (F.col("_seen") - F.col(value).isNotNull().cast("int")).alias("base"))
-    fits = starts.join(ends, [key, "length", "i"]).join(earlier, [key, "length", "i"]).where(F.col("upto") - F.col("base") == F.col("length") + 2 * around)
+    w = Window.partitionBy(key).orderBy(time)
+    present = F.col(value).isNotNull().cast("int")
+    counts = {n: F.sum(present).over(w.rowsBetween(-around, n - 1 + around)) == n + 2 * around for n in choices}
+    fitting = F.array_compact(F.array(*(F.when(fits, F.lit(n)) for n, fits in counts.items())))
+    starts = df.select(key, F.col(time).alias("start"), fitting.alias("_fits")).withColumn("length", F.explode("_fits")).join(lengths.select(key, "length"), [key, "length"])
     draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key), F.col("length").cast("string"), F.col("start").cast("string")).cast("binary"))
-    return fits.groupBy(key, "length").agg(F.min_by(F.struct("start", "end"), draw).alias("g")).select(key, "length", "g.start", "g.end")
+    chosen = starts.groupBy(key, "length").agg(F.min_by("start", draw).alias("start"))
+    return chosen.withColumn("end", F.date_add("start", F.col("length") - 1))
 
 
 def hide(df: DataFrame, gaps: DataFrame, key: str = "station", time: str = "day", value: str = "value") -> DataFrame:

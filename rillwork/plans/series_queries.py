@@ -447,7 +447,7 @@ SELECT station, 9 AS length, arg_min(start, h) AS start, arg_min("end", h) AS "e
 def t17_synthetic_gaps(spark: SparkSession, d: str) -> DataFrame:
     base = _regular(series(spark, d))
     lengths = base.select("station").distinct().withColumn("length", F.lit(9))
-    return donors.synthetic_gaps(base, lengths, around=3)
+    return donors.synthetic_gaps(base, lengths, (9,), around=3)
 
 
 @query(f"""WITH {SERIES_REGULAR}, tried AS (SELECT r.station, r.day, sum((value IS NOT NULL)::INT) OVER (PARTITION BY station ORDER BY day ROWS BETWEEN 3 PRECEDING AND 11 FOLLOWING) AS n FROM regular r),
@@ -460,7 +460,7 @@ def t17_synthetic_gaps(spark: SparkSession, d: str) -> DataFrame:
 SELECT station, count(*) AS n, round(avg(abs(est - truth)), 6) AS mae, round(sqrt(avg(pow(est - truth, 2))), 6) AS rmse FROM e GROUP BY station""")
 def t19_validate_linear(spark: SparkSession, d: str) -> DataFrame:
     base = _regular(series(spark, d))
-    chosen = donors.synthetic_gaps(base, base.select("station").distinct().withColumn("length", F.lit(9)), around=3)
+    chosen = donors.synthetic_gaps(base, base.select("station").distinct().withColumn("length", F.lit(9)), (9,), around=3)
     fill = lambda x: gaps.fill_linear(x, name="_f").withColumn("value", F.col("_f")).drop("_f")
     return donors.validate(base, chosen, fill).select("station", "n", r("mae"), r("rmse"))
 
@@ -471,7 +471,7 @@ def t22_t23_ablation(spark: SparkSession, d: str) -> DataFrame:
     base = _regular(series(spark, d))
     parts = None
     for length in (7, 14):
-        chosen = donors.synthetic_gaps(base, base.select("station").distinct().withColumn("length", F.lit(length)), around=3)
+        chosen = donors.synthetic_gaps(base, base.select("station").distinct().withColumn("length", F.lit(length)), (length,), around=3)
         for method in ("linear", "pchip", "spline"):
             fill = lambda x, m=method: gaps.interpolate(x.select("station", "day", "value"), m, name="_f").withColumn("value", F.col("_f")).drop("_f")
             part = donors.validate(base, chosen, fill).select(F.lit(length).alias("gap_days"), F.lit(method).alias("method"), "mae")

@@ -126,7 +126,7 @@ def test_imputation_in_order_uses_imputed_donors(spark):
 
 def test_validation_is_perfect_on_a_line(spark):
     line = days(spark, range(60))
-    chosen = donors.synthetic_gaps(line, spark.createDataFrame([("a", 7)], "station string, length int"), around=2)
+    chosen = donors.synthetic_gaps(line, spark.createDataFrame([("a", 7)], "station string, length int"), (7, 9), around=2)
     assert chosen.count() == 1
     fill = lambda x: gaps.fill_linear(x, name="_f").withColumn("value", F.col("_f")).drop("_f")
     row = donors.validate(line, chosen, fill).first()
