@@ -18,7 +18,8 @@ BITS = 4
 #: Probes tried before all others are: nearly always enough.
 SOON = 6
 #: Documents of neighbouring ids that a task orders together.
-NEIGHBOURS = 512
+NEIGHBOURS = 128
+SEGMENTS = 64
 
 
 @lru_cache(maxsize=4)
@@ -101,11 +102,7 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
     is joined to the first of the block after. Null texts are empty. One document is its own next.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    span = rows.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).first()
-    low, high = span["low"] or 0, span["high"] or 0
-    width = max(1, (high - low + 1) * NEIGHBOURS // max(1, span["n"]))
-    block = F.coalesce(F.floor((F.col("doc_id").cast("decimal(20,0)") - low) / width).cast("long"), F.lit(-1))
-    rows = rows.withColumn("_block", block).withColumn("fingerprint", fingerprint(F.col("text")))
+    rows = rows.withColumn("_block", _blocks(rows)).withColumn("fingerprint", fingerprint(F.col("text")))
     place = Window.partitionBy("_block").orderBy(F.col("doc_id").asc_nulls_first(), "text")
     nearby = rows.withColumns({"_next": F.lead("text").over(place), "_next_print": F.lead("fingerprint").over(place), "_first": F.first("text").over(place), "_first_print": F.first("fingerprint").over(place)})
     last = F.col("_next").isNull()
@@ -122,6 +119,21 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
     return ready.where(~F.col("_last")).select(*columns).union(_compare(tails).select(*columns))
 
 
+def _blocks(rows: DataFrame) -> Column:
+    """A number that rises with ``doc_id`` and is shared by about ``NEIGHBOURS`` documents; nulls: -1.
+
+    Ids are cut at ``SEGMENTS`` approximate quantiles, and evenly between those, so that gaps and dense stretches do no harm.
+    """
+    shares = [k / SEGMENTS for k in range(SEGMENTS + 1)]
+    span = rows.agg(F.percentile_approx("doc_id", shares).alias("bounds"), F.count(F.lit(1)).alias("n")).first()
+    bounds = span["bounds"] or [0] * (SEGMENTS + 1)
+    widths = [max(1, (b - a + 1) * NEIGHBOURS * SEGMENTS // max(1, span["n"])) for a, b in zip(bounds, bounds[1:])]
+    held = lambda values, kind: F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+    segment = F.size(F.filter(held(bounds[1:-1], "bigint"), lambda b: b <= F.col("doc_id")))
+    inside = F.floor((F.col("doc_id").cast("decimal(20,0)") - F.get(held(bounds, "bigint"), segment)) / F.get(held(widths, "decimal(20,0)"), segment))
+    return F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(segment.cast("long") * (1 << 40) + inside.cast("long"))
+
+
 _RESULTS = ("edited_sha256", "edited_fingerprint", "near_edited", "near_next")
 
 
