@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import tidy
 from .scratch import write_table
 from .url_filter import url_host
 
@@ -24,7 +25,7 @@ PSEUDO_ROWS = 5.0
 #: Least posterior of the language that is named.
 CONFIDENCE = 0.5
 #: Bytes of text scored at a time.
-SLICE = 2 << 20
+SLICE = 1 << 20
 UNKNOWN = "und"
 
 _FOLD = np.full(256, 32, np.uint32)
@@ -102,7 +103,7 @@ def fit_text_model(labelled: DataFrame, sample: int = SAMPLE, text: str = "text"
         yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.array([v.tobytes() for v in totals.values()], pa.binary())], ["lang", "counts"])
 
     tables: dict[str, np.ndarray] = {}
-    for row in drawn.select(text, lang).coalesce(16).mapInArrow(count, "lang string, counts binary").collect():
+    for row in drawn.select(text, lang).coalesce(16).mapInArrow(tidy(count), "lang string, counts binary").collect():
         tables[row["lang"]] = tables.get(row["lang"], 0) + np.frombuffer(row["counts"], np.int64)
     languages = tuple(sorted(tables))
     if not languages:
@@ -159,7 +160,7 @@ def fuse(rows: DataFrame, model: TextModel, confidence: float = CONFIDENCE, text
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *arrays], [*batch.schema.names[1:], "_sums", "_grams"])
 
     kept_schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    scored = rows.select(text, *keep).mapInArrow(score, f"{kept_schema}, _sums array<double>, _grams bigint")
+    scored = rows.select(text, *keep).mapInArrow(tidy(score), f"{kept_schema}, _sums array<double>, _grams bigint")
     if not size:
         return rows.select(*keep, F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("posterior"), F.lit(None).cast("string").alias("text_lang"), F.lit(False).alias("kept"))
     best = F.when(F.col("_grams") > 0, F.array_position("_sums", F.array_max("_sums")).cast("int") - 1)

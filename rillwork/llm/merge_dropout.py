@@ -14,13 +14,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import tidy
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 7
 #: Ways in which one word may be cut under one seed; an occurrence draws one by document and place.
 VARIANTS = 8
 #: Bytes of text encoded at a time.
-SLICE = 6 << 20
+SLICE = 1 << 20
 #: Longer words go through an agenda each, shorter ones through arrays together.
 WIDE = 48
 
@@ -345,7 +347,7 @@ def encode_column(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT,
                 count = pa.array(np.diff(offsets), mask=~valid)
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, count, pa.array(same, pa.bool_())], [key, "ids", "n_tokens", "round_trip"])
 
-    return docs.select(key, F.col(text)).mapInArrow(run, f"`{key}` {key_type}, ids array<int>, n_tokens bigint, round_trip boolean")
+    return docs.select(key, F.col(text)).mapInArrow(tidy(run), f"`{key}` {key_type}, ids array<int>, n_tokens bigint, round_trip boolean")
 
 
 def decode_column(encoded: DataFrame, model: str = MODEL, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -359,4 +361,4 @@ def decode_column(encoded: DataFrame, model: str = MODEL, key: str = "doc_id", i
             texts = [None if i is None else encoder.decode(i).decode() for i in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [key, "text"])
 
-    return encoded.select(key, F.col(ids)).mapInArrow(run, f"`{key}` {key_type}, text string")
+    return encoded.select(key, F.col(ids)).mapInArrow(tidy(run), f"`{key}` {key_type}, text string")

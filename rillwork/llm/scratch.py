@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: Rows of a block of ``running``: a window never holds more than this many rows of a group.
 BLOCK_BITS = 13
+_kept: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,12 +26,31 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def _own_folder(spark: SparkSession) -> tuple[str, object, object]:
+    """This application's part of the shared folder, with Hadoop's path and file system."""
+    folder = f"{shared_folder(spark)}/rillwork/{spark.sparkContext.applicationId}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return folder, path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def write_table(df: DataFrame, label: str) -> DataFrame:
-    """``df``, written to the shared folder and read back."""
+    """``df``, written to the shared folder and read back. The table goes when the application ends."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/rillwork/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder, path, files = _own_folder(spark)
+    if spark.sparkContext.applicationId not in _kept:
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _kept.add(spark.sparkContext.applicationId)
+    place = f"{folder}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return spark.read.schema(df.schema).parquet(place)
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Deletes what ``write_table`` has written so far; for long sessions, once results are stored."""
+    _, path, files = _own_folder(spark)
+    files.delete(path, True)
+    _kept.discard(spark.sparkContext.applicationId)
 
 
 def running(df: DataFrame, order: list[Column], sums: dict[str, str] | None = None, rank: str = "rank") -> DataFrame:

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import tidy
 from .automata import Automaton, compile_patterns
 
 #: Bytes of a lane, before it is stretched to the next byte that no match can cover.
@@ -149,7 +150,7 @@ def scan_column(docs: DataFrame, rules: Sequence[Rule] = RULES, key: str = "doc_
             spans = [[{"kind": rules[r].kind, "start": a, "end": b} for a, r, b in row] for row in find_secrets(batch.column(1), rules)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], [key, "spans"])
 
-    return docs.select(key, F.col(text)).mapInArrow(scan, f"`{key}` {key_type.simpleString()}, spans array<struct<kind:string,start:bigint,end:bigint>>")
+    return docs.select(key, F.col(text)).mapInArrow(tidy(scan), f"`{key}` {key_type.simpleString()}, spans array<struct<kind:string,start:bigint,end:bigint>>")
 
 
 def secret_report(docs: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrow import tidy
 from .components import components
 from .scratch import write_table
 
@@ -54,7 +55,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
             bits = np.array([fingerprint(t.as_buffer().to_pybytes() if t.is_valid else None, shingle) for t in batch.column(1)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits.view(np.int64))], [key, "bits"])
 
-    return docs.select(key, F.col(text)).mapInArrow(run, f"`{key}` {key_type}, bits bigint")
+    return docs.select(key, F.col(text)).mapInArrow(tidy(run), f"`{key}` {key_type}, bits bigint")
 
 
 def _forest(left: np.ndarray, right: np.ndarray | None, distance: int) -> list[tuple[int, int]]:
@@ -151,7 +152,7 @@ def links(prints: DataFrame, distance: int = DISTANCE, key_bytes: int = KEY_BYTE
             yield emit(done(np.concatenate(kept)))
 
     group = ["which", "key", "p", "q"]
-    return posted.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "a bigint, b bigint")
+    return posted.repartition(*group).sortWithinPartitions(*group).mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
