@@ -20,7 +20,7 @@ WIDEN = 1.3
 #: Share of the projections in which a vector must lie in the window to be verified.
 COLLISIONS = 0.6
 #: Share of a block that a query verifies, besides K, before windows stop widening.
-VERIFIED = 0.3
+VERIFIED = 0.35
 #: Vectors of a block, about, and queries that meet it at a time.
 BLOCK = 16384
 QUERIES = 1024

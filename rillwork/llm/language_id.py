@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import tidy
-from .scratch import write_table
+from .scratch import T, write_table
 from .url_filter import url_host
 
 #: Labelled rows that the text model is fitted on, about, at most.
@@ -222,8 +222,8 @@ def keep_identified(docs: DataFrame, sample: int = SAMPLE, confidence: float = C
     allows, else shuffled.
     """
     mark = F.xxhash64(F.coalesce("text", F.lit("")))
-    rows = evidence_of_documents(docs).withColumn("_mark", mark)
+    rows = evidence_of_documents(docs).withColumn(f"{T}mark", mark)
     fused = fuse(rows, fit_text_model(docs, sample), confidence)
-    gone = write_table(fused.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), "_mark").distinct(), "rejected")
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (mark == F.col("_mark")), "left_anti")
+    gone = write_table(fused.where(~F.col("kept")).select(F.col("doc_id").alias(f"{T}id"), f"{T}mark").distinct(), "rejected")
+    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(f"{T}id")) & (mark == F.col(f"{T}mark")), "left_anti")
     return joined.select(*docs.columns)

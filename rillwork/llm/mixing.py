@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import running, write_table
+from .scratch import T, running, write_table
 from .sharding import shuffle_key
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -55,24 +55,26 @@ def fair_queue(rows: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: int
     ``taken`` words. A source that runs out of copies leaves its share to the others, by weight.
 
     Rows of size 0 (null or blank texts) are never taken. Null sources are one source. Equal ``doc_id`` are told
-    apart by size and ``ties``. No rows: no output rows.
+    apart by size and ``ties``. No rows: no output rows. Columns of the outputs' names, ``weight`` and ``budget`` are replaced or dropped.
     """
-    order = [F.col("source").asc_nulls_last(), F.col("_shuffle"), F.col("doc_id"), F.col("size"), *map(F.col, ties)]
-    queue = running(rows.withColumn("_shuffle", shuffle_key(seed, "doc_id")), order, {"_before": "size"}, rank="_rank")
+    kept = [c for c in rows.columns if c not in ("source_size", "target", "copies", "taken", "weight", "budget")]
+    rows = rows.select(*kept)
+    order = [F.col("source").asc_nulls_last(), F.col(f"{T}shuffle"), F.col("doc_id"), F.col("size"), *map(F.col, ties)]
+    queue = running(rows.withColumn(f"{T}shuffle", shuffle_key(seed, "doc_id")), order, {f"{T}before": "size"}, rank=f"{T}rank", row_id=f"{T}id")
     queue = write_table(queue, "queue")
-    per_source = queue.groupBy("source").agg(F.sum("size").alias("source_size"), F.min("_before").alias("_start"))
+    per_source = queue.groupBy("source").agg(F.sum("size").alias("source_size"), F.min(f"{T}before").alias(f"{T}start"))
     targets = source_targets(per_source.select("source", "source_size"), weights, epochs, share)
-    starts = per_source.select(F.col("source").alias("_s"), "_start")
-    sources = targets.join(starts, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumnRenamed("source", "_source")
+    starts = per_source.select(F.col("source").alias(f"{T}s"), f"{T}start")
+    sources = targets.join(starts, F.col("source").eqNullSafe(F.col(f"{T}s"))).drop(f"{T}s").withColumnRenamed("source", f"{T}source")
     sources = write_table(sources, "sources")
-    queue = queue.join(sources, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    upto = F.col("_before") - F.col("_start") + F.col("size")
-    copies = queue.where(F.col("size") > 0).select(F.col("row_id").alias("_row"), "size", "_rank", "budget", F.explode(F.array([(upto + e * F.col("source_size")) / F.col("weight") for e in range(epochs)])).alias("_finish"))
-    served = running(copies, [F.col("_finish"), F.col("_rank")], {"_served": "size"}, rank="_turn")
-    served = served.where(F.col("_served") + F.col("size") <= F.col("budget"))
-    taken = served.groupBy("_row").agg(F.count(F.lit(1)).alias("_copies"))
-    out = queue.join(taken, F.col("row_id") == F.col("_row"), "left").withColumn("copies", F.coalesce("_copies", F.lit(0)))
-    return out.select(*rows.columns, "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    queue = queue.join(sources, F.col("source").eqNullSafe(F.col(f"{T}source"))).drop(f"{T}source")
+    upto = F.col(f"{T}before") - F.col(f"{T}start") + F.col("size")
+    copies = queue.where(F.col("size") > 0).select(F.col(f"{T}id").alias(f"{T}row"), "size", f"{T}rank", "budget", F.explode(F.array([(upto + e * F.col("source_size")) / F.col("weight") for e in range(epochs)])).alias(f"{T}finish"))
+    served = running(copies, [F.col(f"{T}finish"), F.col(f"{T}rank")], {f"{T}served": "size"}, rank=f"{T}turn", row_id=f"{T}turn_id")
+    served = served.where(F.col(f"{T}served") + F.col("size") <= F.col("budget"))
+    taken = served.groupBy(f"{T}row").agg(F.count(F.lit(1)).alias(f"{T}copies"))
+    out = queue.join(taken, F.col(f"{T}id") == F.col(f"{T}row"), "left").withColumn("copies", F.coalesce(f"{T}copies", F.lit(0)))
+    return out.select(*kept, "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
@@ -87,12 +89,12 @@ def mixed_copies(docs: DataFrame, **options) -> DataFrame:
     Rows that share a ``doc_id`` are matched by their place among them, so a repeated row is weighed once a row.
     """
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    keyed = docs.withColumns({"_size": word_count(F.col("text")), "_crc": crc})
-    place = Window.partitionBy("doc_id").orderBy(F.col("source").asc_nulls_last(), "_size", "_crc")
-    keyed = keyed.withColumn("_nth", F.row_number().over(place))
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), crc.alias("_crc"))
-    mixed = fair_queue(rows, ties=["_crc"], **options).withColumnRenamed("size", "_size")
-    mixed = mixed.withColumn("_nth", F.row_number().over(place)).where(F.col("copies") > 0)
-    mixed = mixed.select(F.col("doc_id").alias("_id"), F.col("_nth").alias("_n"), F.col("copies").cast("int").alias("_copies"))
-    both = keyed.join(mixed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_nth") == F.col("_n")))
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    keyed = docs.withColumns({f"{T}size": word_count(F.col("text")), f"{T}crc": crc})
+    place = Window.partitionBy("doc_id").orderBy(F.col("source").asc_nulls_last(), f"{T}size", f"{T}crc")
+    keyed = keyed.withColumn(f"{T}nth", F.row_number().over(place))
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), crc.alias(f"{T}crc"))
+    mixed = fair_queue(rows, ties=[f"{T}crc"], **options).withColumnRenamed("size", f"{T}size")
+    mixed = mixed.withColumn(f"{T}nth", F.row_number().over(place)).where(F.col("copies") > 0)
+    mixed = mixed.select(F.col("doc_id").alias(f"{T}id"), F.col(f"{T}nth").alias(f"{T}n"), F.col("copies").cast("int").alias(f"{T}copies"))
+    both = keyed.join(mixed, F.col("doc_id").eqNullSafe(F.col(f"{T}id")) & (F.col(f"{T}nth") == F.col(f"{T}n")))
+    return both.withColumn(f"{T}copy", F.explode(F.sequence(F.lit(1), F.col(f"{T}copies")))).select(*docs.columns)

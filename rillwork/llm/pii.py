@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import T
+
 ROUNDS = 8
 #: For tests and examples; pass a secret of your own to keep pseudonyms from being undone.
 DEMO_KEY = "rillwork-demo-key"
@@ -25,6 +27,7 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "ssn": r"(?<![0-9A-Za-z-])[0-8][0-9]{2}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9/-]|\.[0-9])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}|(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}|\+[2-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{2,4}\)?){2,5})(?![0-9])",
@@ -142,7 +145,7 @@ def _date_of(value: Column) -> Column:
 def kind_of(value: Column) -> Column:
     """The kind of a match of ``ANY`` that stands up to its check; null if it doesn't.
 
-    Cards: Luhn. Account numbers: remainder 1 of 97. Dates: on the calendar. Addresses: octets, by pattern. Phones and
+    Cards: Luhn. Account numbers: remainder 1 of 97. Social security numbers: area, group and serial in use. Dates: on the calendar. Addresses: octets, by pattern. Phones and
     mail addresses: by pattern.
     """
     digits, joined = _digits(value), F.regexp_replace(value, " ", "")
@@ -151,6 +154,7 @@ def kind_of(value: Column) -> Column:
     return (
         F.when(value.contains("@"), F.lit("email"))
         .when(whole("iban"), F.when(mod_97(turned) == 1, F.lit("iban")))
+        .when(whole("ssn"), F.when(value.rlike("^(?!000|666)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)"), F.lit("ssn")))
         .when(whole("ip"), F.lit("ip"))
         .when(whole("date"), F.when(_date_of(value).isNotNull(), F.lit("date")))
         .when(whole("phone"), F.lit("phone"))
@@ -187,6 +191,18 @@ def pseudonym(value: Column, key: str = DEMO_KEY) -> Column:
         day = F.date_add(F.lit(FIRST_DAY).cast("date"), feistel_number(F.datediff(_date_of(v), F.lit(FIRST_DAY).cast("date")), DATE_HALVES, key, "date").cast("int"))
         return F.when(v.contains("-"), F.date_format(day, "yyyy-MM-dd")).when(v.contains("/"), F.date_format(day, "dd/MM/yyyy")).otherwise(F.date_format(day, "dd.MM.yyyy"))
 
+    def ssn(d: Column) -> Column:
+        # areas 1 to 899 but 666, groups 1 to 99, serials 1 to 9999, counted from 0
+        area, group, serial = (F.substring(d, a, n).cast("long") for a, n in ((1, 3), (4, 2), (6, 4)))
+        number = ((area - F.when(area > 666, 2).otherwise(1)) * 99 + group - 1) * 9999 + serial - 1
+        pad = lambda n, width: F.lpad(n.cast("string"), width, "0")
+
+        def said(n: Column) -> Column:
+            first = F.floor(n / (99 * 9999)) + 1
+            return F.concat_ws("-", pad(F.when(first >= 666, first + 1).otherwise(first), 3), pad(F.floor(n / 9999) % 99 + 1, 2), pad(n % 9999 + 1, 4))
+
+        return _let(feistel_number(number, (898 * 99, 9999), key, "ssn"), said)
+
     def ip(v: Column) -> Column:
         number = F.aggregate(F.split(v, r"\."), F.lit(0).cast("long"), lambda n, o: n * 256 + o.cast("long"))
         return _let(feistel_number(number, (65536, 65536), key, "ip"), lambda n: F.concat_ws(".", *(F.pmod(F.shiftright(n, s), F.lit(256)).cast("string") for s in (24, 16, 8, 0))))
@@ -197,6 +213,7 @@ def pseudonym(value: Column, key: str = DEMO_KEY) -> Column:
         kind,
         lambda k: F.when(k == "email", F.concat(feistel_text(F.substring(value, F.lit(1), at - 1), key, "email"), F.substring(value, at, F.length(value))))
         .when(k == "iban", _refill(value, iban(F.regexp_replace(value, " ", "")), "A-Z0-9"))
+        .when(k == "ssn", ssn(digits))
         .when(k == "ip", ip(value))
         .when(k == "date", date(value))
         .when(k == "phone", _refill(value, phone(digits), "0-9"))
@@ -214,15 +231,15 @@ def pseudonymise(docs: DataFrame, key: str = DEMO_KEY, text: str = "text", count
     # most texts are settled by a look for one character
     some = F.when(F.col(text).contains("@"), F.col(text).rlike(ANY)).when(F.col(text).rlike("[0-9]"), F.col(text).rlike(NUMERIC))
     found = F.when(some, F.regexp_extract_all(text, F.lit(ANY), 0))
-    out = docs.withColumn("_found", found)
-    clean = F.col("_found").isNull()
+    out = docs.withColumn(f"{T}found", found)
+    clean = F.col(f"{T}found").isNull()
     pieces = F.split(text, ANY, -1)
-    joined = F.array_join(F.zip_with(pieces, "_found", lambda p, v: F.concat(p, F.coalesce(pseudonym(v, key), F.lit("")))), "")
+    joined = F.array_join(F.zip_with(pieces, f"{T}found", lambda p, v: F.concat(p, F.coalesce(pseudonym(v, key), F.lit("")))), "")
     if counts:
-        out = out.withColumn("_kinds", F.when(~clean, F.transform("_found", kind_of)))
-        count = lambda k: F.size(F.filter("_kinds", lambda x: x == k)).cast("long")
+        out = out.withColumn(f"{T}kinds", F.when(~clean, F.transform(f"{T}found", kind_of)))
+        count = lambda k: F.size(F.filter(f"{T}kinds", lambda x: x == k)).cast("long")
         out = out.withColumns({f"n_{k}": F.when(clean, F.lit(0).cast("long")).otherwise(count(k)) for k in PATTERNS})
-    return out.withColumn(text, F.when(clean, F.col(text)).otherwise(joined)).drop("_found", "_kinds")
+    return out.withColumn(text, F.when(clean, F.col(text)).otherwise(joined)).drop(f"{T}found", f"{T}kinds")
 
 
 def pseudonym_report(docs: DataFrame, key: str = DEMO_KEY) -> DataFrame:

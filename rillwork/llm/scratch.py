@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 
 #: Rows of a block of ``running``: a window never holds more than this many rows of a group.
 BLOCK_BITS = 13
+#: Begins the names of columns that operators add for themselves beside a table's own.
+T = "__rw_"
+#: The same for ``running``, which those operators call.
+R = "__rw_run_"
 _kept: set[str] = set()
 
 
@@ -53,32 +57,28 @@ def drop_tables(spark: SparkSession) -> None:
     _kept.discard(spark.sparkContext.applicationId)
 
 
-def running(df: DataFrame, order: list[Column], sums: dict[str, str] | None = None, rank: str = "rank") -> DataFrame:
-    """Adds ``rank`` (from 0 in ``order``), ``row_id`` and exclusive running sums ``{output: column}``.
+def running(df: DataFrame, order: list[Column], sums: dict[str, str] | None = None, rank: str = "rank", row_id: str = "row_id") -> DataFrame:
+    """Adds ``row_id``, ``rank`` (from 0 in ``order``) and exclusive running sums ``{output: column}``.
 
     One range sort gives each row its partition and place in it; blocks of at most ``2**BLOCK_BITS`` rows are
     then summed apart and offset by the totals of the blocks before. No group of rows with an equal key
-    meets in one task, whatever its size; the single-task window sees one row a block.
+    meets in one task, whatever its size; the single-task window sees one row a block. Columns of the outputs' names are replaced.
     """
     sums = sums or {}
-    rows = write_table(df.orderBy(*order).withColumn("row_id", F.monotonically_increasing_id()), "ordered")
-    rows = rows.withColumn("_block", F.shiftright("row_id", BLOCK_BITS))
-    totals = rows.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"), *(F.sum(c).alias(f"_t_{o}") for o, c in sums.items()))
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        "_block",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"),
-        *(F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)).alias(f"_t_{o}") for o in sums),
-    )
-    own = Window.partitionBy("_block").orderBy("row_id")
+    outputs = {row_id, rank, *sums}
+    kept = [c for c in df.columns if c not in outputs]
+    rows = write_table(df.orderBy(*order).withColumns({f"{R}v_{o}": F.col(c) for o, c in sums.items()} | {f"{R}row": F.monotonically_increasing_id()}).drop(*outputs), "ordered")
+    rows = rows.withColumn(f"{R}block", F.shiftright(f"{R}row", BLOCK_BITS))
+    totals = rows.groupBy(f"{R}block").agg(F.count(F.lit(1)).alias(f"{R}n"), *(F.sum(f"{R}v_{o}").alias(f"{R}t_{o}") for o in sums))
+    before = Window.orderBy(f"{R}block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(f"{R}block", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in (f"{R}n", *(f"{R}t_{o}" for o in sums))))
+    own = Window.partitionBy(f"{R}block").orderBy(f"{R}row")
     own_before = own.rowsBetween(Window.unboundedPreceding, -1)
-    local = rows.withColumns(
-        {"_r": F.row_number().over(own) - 1} | {f"_s_{o}": F.coalesce(F.sum(c).over(own_before), F.lit(0)) for o, c in sums.items()}
-    )
-    joined = local.join(offsets, "_block")
+    local = rows.withColumns({f"{R}r": F.row_number().over(own) - 1} | {f"{R}s_{o}": F.coalesce(F.sum(f"{R}v_{o}").over(own_before), F.lit(0)) for o in sums})
+    joined = local.join(offsets, f"{R}block")
     return joined.select(
-        *df.columns,
-        "row_id",
-        (F.col("_n") + F.col("_r")).alias(rank),
-        *((F.col(f"_t_{o}") + F.col(f"_s_{o}")).alias(o) for o in sums),
+        *kept,
+        F.col(f"{R}row").alias(row_id),
+        (F.col(f"{R}n") + F.col(f"{R}r")).alias(rank),
+        *((F.col(f"{R}t_{o}") + F.col(f"{R}s_{o}")).alias(o) for o in sums),
     )

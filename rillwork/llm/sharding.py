@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import running, write_table
+from .scratch import T, running, write_table
 
 SHARDS = 24
 SEED = 17
@@ -27,22 +27,23 @@ def stratified_shards(rows: DataFrame, shards: int = SHARDS, seed: int = SEED, k
     row counts differ by at most one. ``slot`` counts from 0 within a shard.
 
     Null sources are one source, null keys one key. Repeated rows are told apart by ``ties`` (columns), and
-    rows equal in those too are interchangeable. No rows: no output rows. Other columns pass through; keep
-    them few, since rows are sorted twice.
+    rows equal in those too are interchangeable. No rows: no output rows. Other columns pass through (``shard`` and ``slot``
+    are replaced); keep them few, since rows are sorted twice.
     """
     ties = ties or []
-    order = [F.col(source).asc_nulls_last(), F.col("_shuffle"), F.col(key), *map(F.col, ties)]
-    ranked = running(rows.withColumn("_shuffle", shuffle_key(seed, key)), order, rank="_rank").drop("row_id")
+    kept = [c for c in rows.columns if c not in ("shard", "slot")]
+    order = [F.col(source).asc_nulls_last(), F.col(f"{T}shuffle"), F.col(key), *map(F.col, ties)]
+    ranked = running(rows.withColumn(f"{T}shuffle", shuffle_key(seed, key)), order, rank=f"{T}rank", row_id=f"{T}id").drop(f"{T}id")
     ranked = write_table(ranked, "ranked")
-    sources = ranked.groupBy(F.col(source).alias("_source")).agg(F.min("_rank").alias("_first"), F.count(F.lit(1)).alias("_rows"))
-    placed = ranked.join(sources, F.col(source).eqNullSafe(F.col("_source")))
-    placed = placed.withColumn("_fraction", (2 * (F.col("_rank") - F.col("_first")) + 1) / (2 * F.col("_rows")))
-    placed = placed.drop("_source", "_first", "_rows")
-    mixed = running(placed, [F.col("_fraction"), F.col("_rank")], rank="_place")
-    total = ranked.agg(F.count(F.lit(1)).alias("_total"))  # one row
-    out = mixed.crossJoin(F.broadcast(total)).withColumn("shard", F.expr(f"_place * {shards} div _total"))
-    first = F.expr(f"(shard * _total + {shards - 1}) div {shards}")
-    return out.withColumn("slot", F.col("_place") - first).select(*rows.columns, F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"))
+    sources = ranked.groupBy(F.col(source).alias(f"{T}source")).agg(F.min(f"{T}rank").alias(f"{T}first"), F.count(F.lit(1)).alias(f"{T}rows"))
+    placed = ranked.join(sources, F.col(source).eqNullSafe(F.col(f"{T}source")))
+    placed = placed.withColumn(f"{T}fraction", (2 * (F.col(f"{T}rank") - F.col(f"{T}first")) + 1) / (2 * F.col(f"{T}rows")))
+    placed = placed.drop(f"{T}source", f"{T}first", f"{T}rows")
+    mixed = running(placed, [F.col(f"{T}fraction"), F.col(f"{T}rank")], rank=f"{T}place", row_id=f"{T}id")
+    total = ranked.agg(F.count(F.lit(1)).alias(f"{T}total"))  # one row
+    out = mixed.crossJoin(F.broadcast(total)).withColumn(f"{T}shard", F.expr(f"{T}place * {shards} div {T}total"))
+    first = F.expr(f"({T}shard * {T}total + {shards - 1}) div {shards}")
+    return out.withColumn(f"{T}slot", F.col(f"{T}place") - first).select(*kept, F.col(f"{T}shard").cast("int").alias("shard"), F.col(f"{T}slot").cast("long").alias("slot"))
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .arrow import tidy
 from .components import components
-from .scratch import write_table
+from .scratch import T, write_table
 
 SEED = 42
 SHINGLE = 3
@@ -184,7 +184,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int
     Rows without a ``doc_id`` can't be named as copies and stay.
     """
     found = near_duplicates(docs, shingle=shingle, distance=distance)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
+    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(f"{T}id")).distinct()
     one = Window.partitionBy("doc_id").orderBy("text")
-    named = docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi").withColumn("_nth", F.row_number().over(one)).where("_nth = 1")
+    named = docs.join(kept, F.col("doc_id") == F.col(f"{T}id"), "left_semi").withColumn(f"{T}nth", F.row_number().over(one)).where(F.col(f"{T}nth") == 1)
     return named.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))

@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import T
+
 #: (host, path, verdict)
 RULES = (
     ("com", "/", "allow"),
@@ -70,15 +72,15 @@ def match_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     whole = [F.when(F.size(F.split("path", "/")) > k, F.concat(F.substring_index("path", "/", k), F.lit("/"))) for k in range(1, pieces)]
     odds = [F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]
     prefixes = F.array_distinct(F.array_compact(F.array(*whole, *odds))) if whole or odds else F.array().cast("array<string>")
-    asked = keys.withColumn("_h", F.explode(suffixes)).withColumn("_p", F.explode(prefixes)).withColumn("_digest", _expression(F.col("_h"), F.col("_p")))
-    asked = asked.withColumn("_key", F.substring("_digest", 1, 2 * PREFIX_BYTES))
-    known = rules.withColumn("_rule_digest", _expression(F.col("rule_host"), F.col("rule_path"))).withColumn("_rule_key", F.substring("_rule_digest", 1, 2 * PREFIX_BYTES))
-    near = asked.join(known, F.col("_key") == F.col("_rule_key"))
-    fits = near.where((F.col("_digest") == F.col("_rule_digest")) & (F.col("_h") == F.col("rule_host")) & (F.col("_p") == F.col("rule_path")))
-    rank = F.struct((-F.length("_h") - F.length("_p")).alias("length"), F.col("_h").alias("h"), F.when(F.col("rule_verdict") == "block", 0).otherwise(1).alias("kind"), F.concat("_h", "_p").alias("rule"), F.col("rule_verdict").alias("verdict"))
-    best = fits.groupBy(F.col("host").alias("_host"), F.col("path").alias("_path")).agg(F.min(rank).alias("_best"))
-    joined = parsed.join(best, (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")), "left")
-    return joined.select(*keep, "host", "path", F.col("_best.rule").alias("rule"), F.coalesce(F.col("_best.verdict"), F.lit(default)).alias("verdict"))
+    asked = keys.withColumn(f"{T}h", F.explode(suffixes)).withColumn(f"{T}p", F.explode(prefixes)).withColumn(f"{T}digest", _expression(F.col(f"{T}h"), F.col(f"{T}p")))
+    asked = asked.withColumn(f"{T}key", F.substring(f"{T}digest", 1, 2 * PREFIX_BYTES))
+    known = rules.withColumn(f"{T}rule_digest", _expression(F.col("rule_host"), F.col("rule_path"))).withColumn(f"{T}rule_key", F.substring(f"{T}rule_digest", 1, 2 * PREFIX_BYTES))
+    near = asked.join(known, F.col(f"{T}key") == F.col(f"{T}rule_key"))
+    fits = near.where((F.col(f"{T}digest") == F.col(f"{T}rule_digest")) & (F.col(f"{T}h") == F.col("rule_host")) & (F.col(f"{T}p") == F.col("rule_path")))
+    rank = F.struct((-F.length(f"{T}h") - F.length(f"{T}p")).alias("length"), F.col(f"{T}h").alias("h"), F.when(F.col("rule_verdict") == "block", 0).otherwise(1).alias("kind"), F.concat(f"{T}h", f"{T}p").alias("rule"), F.col("rule_verdict").alias("verdict"))
+    best = fits.groupBy(F.col("host").alias(f"{T}host"), F.col("path").alias(f"{T}path")).agg(F.min(rank).alias(f"{T}best"))
+    joined = parsed.join(best, (F.col("host") == F.col(f"{T}host")) & (F.col("path") == F.col(f"{T}path")), "left")
+    return joined.select(*keep, "host", "path", F.col(f"{T}best.rule").alias("rule"), F.coalesce(F.col(f"{T}best.verdict"), F.lit(default)).alias("verdict"))
 
 
 def judge_pages(pages: DataFrame) -> DataFrame:

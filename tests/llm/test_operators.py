@@ -17,13 +17,14 @@ from rillwork.llm.scratch import running
 
 from ..compare import connect, rows
 
+CLASHES = "size spans rank copies row_id taken target shard slot host path rule verdict weight budget source_size component_id bits lang_ ids fingerprint _id _nth _mark _found _kinds _size _rank _row _host _best _block".split()
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 def frame(spark, texts, extra=False):
     data = [(i, t, "en", f"s{i % 3}" if i % 5 else None, len(t or "")) for i, t in enumerate(texts)]
     df = spark.createDataFrame(data, DOCS)
-    return df.withColumns({"size": F.lit(1), "spans": F.lit("x"), "rank": F.lit(2), "copies": F.lit(3)}) if extra else df
+    return df.withColumns({c: F.lit("clash") for c in CLASHES}) if extra else df
 
 
 @pytest.fixture(scope="module")
@@ -505,3 +506,21 @@ def test_fingerprints_of_repeated_rows_and_ids(spark):
     assert fingerprints.fingerprint_report(df.limit(0)).count() == 0
     one = fingerprints.fingerprint_report(df.where("doc_id > 1")).first()
     assert one["near_next"] == 1.0
+
+
+def test_clashing_columns_pass_through(spark):
+    df = frame(spark, ["der die das und ist", "the of and to in", None, "", "4111111111111111 is the of and a"] * 3, extra=True)
+    for kept in (language_id.keep_identified(df), simhash_dedup.drop_near_duplicates(df), pii.pseudonymise(df, counts=False), mixing.mixed_copies(df)):
+        assert kept.columns == df.columns and kept.where("size <> 'clash' or _nth <> 'clash' or rank <> 'clash' or _id <> 'clash' or row_id <> 'clash'").count() == 0 and kept.count() > 0
+    placed = sharding.stratified_shards(df, 4)
+    assert placed.select("shard").distinct().count() == 4 and placed.where("rank <> 'clash' or row_id <> 'clash'").count() == 0
+    pages = df.withColumn("url", F.lit("http://a.com/x")).withColumn("page_id", F.col("doc_id"))
+    assert url_filter.match_urls(pages, url_filter.rule_table(spark)).where("rule = 'com/' and _host = 'clash'").count() == 15
+    queue = mixing.fair_queue(df.withColumn("size", mixing.word_count(F.col("text"))))
+    assert queue.where("rank <> 'clash' or copies is null").count() == 0 and queue.count() == 15
+
+
+def test_social_security_numbers(spark):
+    out = pseudo(spark, ["x 123-45-6789 y", "000-12-3456", "123-00-4567", "665-99-9999", "899-99-9999"])
+    assert re.fullmatch(r"x [0-8]\d\d-\d\d-\d{4} y", out[0]) and "123-45-6789" not in out[0] and out[1:3] == ["000-12-3456", "123-00-4567"]
+    assert all(not re.match(r"000|666|9|...-00|...-..-0000", o) for o in out[3:])
