@@ -74,7 +74,7 @@ def a20_k04_scaler(spark: SparkSession, d: str) -> DataFrame:
     return out.select("feature", r("mean"), r("scale"))
 
 
-@query("WITH s AS (SELECT avg(p_retailprice) AS m, stddev_pop(p_retailprice) AS s FROM part) SELECT p_partkey, round((p_retailprice - m) / s, 3) AS price, CASE WHEN p_type = 'ECONOMY' THEN 1.0 ELSE 0.0 END AS economy, CASE WHEN p_type = 'SMALL' THEN 1.0 ELSE 0.0 END AS small FROM part, s")
+@query("WITH s AS (SELECT avg(p_retailprice) AS m, stddev_pop(p_retailprice) AS s FROM part) SELECT p_partkey, round((p_retailprice - m) / s, 3) AS price, (p_type = 'ECONOMY')::INT::DOUBLE AS economy, (p_type = 'SMALL')::INT::DOUBLE AS small FROM part, s")
 def m01_m02_shared_features(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").select("p_partkey", F.col("p_retailprice").alias("price"), "p_type")
     scaled = graphs.standardised(p, graphs.scaler(p, ["price"]), ["price"])
@@ -94,7 +94,7 @@ def m03_m04_scale_stations(spark: SparkSession, d: str) -> DataFrame:
     return out.select("p_partkey", F.round(F.col("v").cast("double"), 3).alias("v"))
 
 
-@query("WITH x AS (SELECT p_partkey, CASE WHEN p_partkey % 8 > 0 THEN p_type END AS t FROM part) SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 AND t = 'SMALL' THEN 1.0 ELSE 0.0 END AS small, CASE WHEN p_partkey % 2 = 0 AND t IS NULL THEN 1.0 ELSE 0.0 END AS missing FROM x")
+@query("WITH x AS (SELECT p_partkey, CASE WHEN p_partkey % 8 > 0 THEN p_type END AS t FROM part) SELECT p_partkey, coalesce(p_partkey % 2 = 0 AND t = 'SMALL', false)::INT::DOUBLE AS small, (p_partkey % 2 = 0 AND t IS NULL)::INT::DOUBLE AS missing FROM x")
 def m05_station_one_hot(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 8 > 0, F.col("p_type")).alias("t"))
     out = preparation.one_hot(x, {"t": ["SMALL", preparation.MISSING]}, F.col("p_partkey") % 2 == 0, missing=True)

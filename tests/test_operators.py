@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import json
 
 import numpy as np
@@ -205,7 +206,9 @@ def test_grid_references(spark):
 
 
 def test_stable_bucket(spark):
-    assert spark.createDataFrame([("renwick",)], "n string").select(S.stable_bucket(F.col("n"))).first()[0] == 9617
+    names = ["a", "north_field", "Übersee", ""]
+    got = spark.createDataFrame([(n,) for n in names], "n string").select(S.stable_bucket(F.col("n")).alias("b")).collect()
+    assert [r["b"] for r in got] == [int(hashlib.md5(n.encode()).hexdigest(), 16) % 10000 for n in names]
 
 
 def test_sources(spark, tmp_path):
