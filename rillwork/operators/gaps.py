@@ -12,6 +12,16 @@ def _along(key: str, time: str):
     return Window.partitionBy(key).orderBy(time)
 
 
+def _held(held: Column, key: str, time: str, nearest: int = 0) -> tuple[Column, Column]:
+    """The last non-null ``held`` up to a row and the first from it on, or, with ``nearest`` -1, strictly before and after.
+
+    The second looks back along the reversed series: a frame that reaches forward to the end would be walked anew for each row.
+    """
+    before = _along(key, time).rowsBetween(Window.unboundedPreceding, nearest)
+    behind = Window.partitionBy(key).orderBy(F.desc(time)).rowsBetween(Window.unboundedPreceding, nearest)
+    return F.last(held, ignorenulls=True).over(before), F.last(held, ignorenulls=True).over(behind)
+
+
 def runs(df: DataFrame, key: str = "station", time: str = "day", value: str = "value") -> DataFrame:
     """Adds ``run`` (number of the stretch of present or missing values) and ``missing``."""
     w = _along(key, time)
@@ -40,10 +50,8 @@ def day_segments(df: DataFrame, key: str = "station", time: str = "day", longest
 
 def neighbours(df: DataFrame, key: str = "station", time: str = "day", value: str = "value") -> DataFrame:
     """Adds the last value before and the first after each row, and their times."""
-    w = _along(key, time)
-    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
-    held = F.when(F.col(value).isNotNull(), F.struct(F.col(time).alias("t"), F.col(value).alias("v")))
-    out = df.withColumns({"_p": F.last(held, ignorenulls=True).over(before), "_n": F.first(held, ignorenulls=True).over(after)})
+    before, after = _held(F.when(F.col(value).isNotNull(), F.struct(F.col(time).alias("t"), F.col(value).alias("v"))), key, time, -1)
+    out = df.withColumns({"_p": before, "_n": after})
     return out.withColumns({"prev_value": F.col("_p.v"), "prev_time": F.col("_p.t"), "next_value": F.col("_n.v"), "next_time": F.col("_n.t")}).drop("_p", "_n")
 
 
@@ -51,9 +59,8 @@ def fill_linear(df: DataFrame, key: str = "station", time: str = "day", value: s
     """Adds ``name``: by place between neighbours; after the last value that value, before the first null (its value if ``both``)."""
     w = _along(key, time)
     numbered = df.withColumn("_i", F.row_number().over(w))
-    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    held = F.when(F.col(value).isNotNull(), F.struct(F.col("_i").alias("i"), F.col(value).alias("v")))
-    placed = numbered.withColumns({"_p": F.last(held, ignorenulls=True).over(before), "_n": F.first(held, ignorenulls=True).over(after)})
+    before, after = _held(F.when(F.col(value).isNotNull(), F.struct(F.col("_i").alias("i"), F.col(value).alias("v"))), key, time)
+    placed = numbered.withColumns({"_p": before, "_n": after})
     share = F.try_divide((F.col("_i") - F.col("_p.i")).cast("double"), (F.col("_n.i") - F.col("_p.i")).cast("double"))
     between = F.col("_p.v") + share * (F.col("_n.v") - F.col("_p.v"))
     out = F.coalesce(F.col(value), between, F.col("_p.v"), *([F.col("_n.v")] if both else []))
@@ -90,10 +97,8 @@ def fill_monotone(df: DataFrame, key: str = "station", time: str = "day", value:
         .otherwise(inner)
     )
     knots = points.select(key, F.col("_t").alias(time), F.struct(x.alias("x"), y.alias("y"), slope.alias("d")).alias("_knot"))
-    along = _along(key, time)
-    placed = df.join(knots, [key, time], "left").withColumns(
-        {"_p": F.last("_knot", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0)), "_n": F.first("_knot", ignorenulls=True).over(along.rowsBetween(0, Window.unboundedFollowing))}
-    )
+    before, after = _held(F.col("_knot"), key, time)
+    placed = df.join(knots, [key, time], "left").withColumns({"_p": before, "_n": after})
     h = F.col("_n.x") - F.col("_p.x")
     s = F.try_divide(F.datediff(F.col(time), F.lit("1970-01-01")) - F.col("_p.x"), h)
     cubic = (2 * s**3 - 3 * s**2 + 1) * F.col("_p.y") + (s**3 - 2 * s**2 + s) * h * F.col("_p.d") + (3 * s**2 - 2 * s**3) * F.col("_n.y") + (s**3 - s**2) * h * F.col("_n.d")
