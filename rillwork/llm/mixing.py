@@ -37,7 +37,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, epochs:
         "*",
         (F.lit(share) * F.sum("source_size").over(everything)).alias("budget"),
         F.coalesce(F.sum("_cap").over(by_level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_full"),
-        F.sum("weight").over(by_level.rowsBetween(0, Window.unboundedFollowing)).alias("_open"),
+        (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(by_level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).alias("_open"),
     )
     rows = rows.withColumn("_level", (F.col("budget") - F.col("_full")) / F.col("_open"))
     # the first source, by cap, that the level leaves below its cap; where none is, all are full
