@@ -6,6 +6,11 @@ import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
+
+#: Rows of a batch of whole texts, where the session doesn't say otherwise.
+ROWS = 500
+_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -23,3 +28,10 @@ def tidy(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
                 trim(0)
 
     return tidied
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets batches of ``ROWS`` rows for the session unless it has a number of its own: 10,000 rows, Spark's default, are too
+    many whole texts to hold several times over in executor and worker."""
+    if spark.conf.get(_SETTING, None) is None:
+        spark.conf.set(_SETTING, str(ROWS))

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .scratch import write_table
 
+#: Edges of a written file, about.
+FILE = 500_000
+
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, component`` (the least node reachable) of every node with an edge to another.
@@ -30,14 +33,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = both.groupBy(F.col("u").alias("_u")).agg(F.min("v").alias("m"))
         least = least.select("_u", F.least("_u", "m").alias("m"))
         large = both.where(F.col("v") > F.col("u")).join(least, F.col("u") == F.col("_u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = write_table(large.distinct(), "large-star")
+        large = write_table(_packed(large.distinct(), before[0]), "large-star")
         lowest = large.groupBy(F.col("u").alias("_u")).agg(F.min("v").alias("m"))
         hung = large.join(lowest, F.col("u") == F.col("_u"))
         small = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v"))
         small = small.union(hung.select("u", F.col("m").alias("v")))
-        current = write_table(small.distinct(), "small-star")
+        current = write_table(_packed(small.distinct(), before[0]), "small-star")
         after = digest(current)
         if after == before:
             break
         before = after
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).union(current.select(F.col("v"), F.col("v")).distinct())
+
+
+def _packed(edges: DataFrame, about: int) -> DataFrame:
+    """In as many files as ``about`` so many edges are worth: a round shouldn't write hundreds of small ones."""
+    return edges.coalesce(max(1, -(-about // FILE)))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import tidy
+from .arrow import small_batches, tidy
 from .scratch import T, write_table
 from .url_filter import url_host
 
@@ -86,6 +86,7 @@ def fit_text_model(labelled: DataFrame, sample: int = SAMPLE, text: str = "text"
     Tasks count for themselves and send one table a language; the driver adds at most 16 tasks' tables. Rows without
     label or text don't count; without any, the model knows no language.
     """
+    small_batches(labelled.sparkSession)
     known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     rows = labelled.where(F.col(lang).isNotNull()).agg(F.count(F.lit(1))).first()[0]
     share = min(1.0, sample / max(1, rows))
@@ -149,6 +150,7 @@ def fuse(rows: DataFrame, model: TextModel, confidence: float = CONFIDENCE, text
     Null host, domain, declared or suffix: one value like any other. Texts without letters (null, empty): ``und``, not
     kept; so are those whose best posterior is below ``confidence``. Repeated rows give repeated results.
     """
+    small_batches(rows.sparkSession)
     languages, size = model.languages, len(model.languages)
     keep = [c for c in rows.columns if c != text]
     shared = rows.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages

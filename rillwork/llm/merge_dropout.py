@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import tidy
+from .arrow import small_batches, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
@@ -323,6 +323,7 @@ def encode_column(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT,
     Null texts have null ids (and null ``round_trip``), empty ones none. Rows are independent. ``check=False`` skips
     decoding (``round_trip`` is then null).
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(Vocabulary.load(model))  # as large as the model's vocabulary
     key_type = docs.schema[key].dataType.simpleString()

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import tidy
+from .arrow import small_batches, tidy
 from .automata import Automaton, compile_patterns
 
 #: Bytes of a lane, before it is stretched to the next byte that no match can cover.
@@ -141,6 +141,7 @@ def scan_column(docs: DataFrame, rules: Sequence[Rule] = RULES, key: str = "doc_
     Nulls and empty texts have no spans; texts are read whole, in slices of ``SLICE`` bytes or one text, so memory
     is bounded by the longest text. Rows are independent: repeated rows give repeated results.
     """
+    small_batches(docs.sparkSession)
     rules = tuple(rules)
     key_type = docs.schema[key].dataType
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow import tidy
+from .arrow import small_batches, tidy
 from .components import components
 from .scratch import T, write_table
 
@@ -48,6 +48,7 @@ def fingerprint(text: str | bytes | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``key, bits`` (the fingerprint as a signed long), a row for each row of ``docs``."""
+    small_batches(docs.sparkSession)
     key_type = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
