@@ -105,3 +105,11 @@ def k05_k10_array_round_trip(spark: SparkSession, d: str) -> DataFrame:
     sinks.write_parquet(table(spark, d, "embeddings"), place)
     add = F.aggregate(F.transform("embedding", lambda x: x.cast("double")), F.lit(0.0), lambda s, x: s + x)
     return spark.read.parquet(place).select("vec_id", r(add, 5).alias("total"))
+
+
+@query("SELECT event_id, ts AS time FROM (SELECT event_id, ts, CASE event_id % 5 WHEN 0 THEN 'rain_2024_1.nc' WHEN 1 THEN 'rain_2024_02.nc' WHEN 2 THEN 'heat_2024_01.nc' WHEN 3 THEN 'rain_2024_13.nc' ELSE 'rain_notes.txt' END AS file FROM events) WHERE file = 'rain_2024_1.nc' AND month(ts) = 1 OR file = 'rain_2024_02.nc' AND month(ts) = 2")
+def s12_s13_own_month(spark: SparkSession, d: str) -> DataFrame:
+    names = ["rain_2024_1.nc", "rain_2024_02.nc", "heat_2024_01.nc", "rain_2024_13.nc", "rain_notes.txt"]
+    file = F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % 5 + 1).cast("int"))
+    rows = table(spark, d, "events").select("event_id", F.col("ts").alias("time"), F.concat(F.lit("/landed/"), file).alias("file"))
+    return tables.of_own_month(rows, prefix="rain").select("event_id", "time")

@@ -64,6 +64,17 @@ def month_files(spark: SparkSession, start: str, end: str, base: str, extension:
     return months.select(F.concat(F.lit(base), stamp("m"), F.lit("-"), stamp(F.last_day("m")), F.lit(extension)).alias("file"))
 
 
+def of_own_month(df: DataFrame, file: str = "file", time: str = "time", prefix: str = "") -> DataFrame:
+    """Rows of files named ``prefix..._<year>_<month>.<ext>`` whose time lies in that month; other files' rows are left out.
+
+    Landed archives overlap at their ends; after this, months can be stacked.
+    """
+    name = last_segment(F.col(file))
+    stamp = lambda i: F.regexp_extract(name, r"_([0-9]{4})_([0-9]{1,2})\.[^.]*$", i).try_cast("int")
+    month = F.when(stamp(1).isNotNull() & stamp(2).between(1, 12), F.make_date(stamp(1), stamp(2), F.lit(1)))
+    return df.where(name.startswith(prefix) & (F.trunc(F.to_date(time), "month") == month))
+
+
 def station_details(df: DataFrame, raw: str = "metadata", measures: str = "measures") -> DataFrame:
     """``label`` of the first JSON and the first measure's ``@id`` of the second; null where either is missing."""
     return df.withColumns({"station_name": F.get_json_object(raw, "$.label"), "measure_uri": F.get_json_object(measures, "$[0]['@id']")})
