@@ -524,3 +524,27 @@ def test_social_security_numbers(spark):
     out = pseudo(spark, ["x 123-45-6789 y", "000-12-3456", "123-00-4567", "665-99-9999", "899-99-9999"])
     assert re.fullmatch(r"x [0-8]\d\d-\d\d-\d{4} y", out[0]) and "123-45-6789" not in out[0] and out[1:3] == ["000-12-3456", "123-00-4567"]
     assert all(not re.match(r"000|666|9|...-00|...-..-0000", o) for o in out[3:])
+
+
+def test_language_report_covers_both_tables(spark, sf_dir, docs):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    got = language_id.language_report(docs, pages).toPandas()
+    assert len(got) == docs.count() + pages.count() and (got["doc_id"].isna() != got["page_id"].isna()).all()
+    labels = docs.select("doc_id", "lang").toPandas().set_index("doc_id")["lang"]
+    mine = got[got["doc_id"].notna()]
+    assert (mine["doc_id"].map(labels) == mine["lang"]).mean() >= 0.97 and mine["kept"].mean() >= 0.97
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(9)
+    texts = ["word " * 120_000, " ".join(str(rng.random()) for _ in range(70_000)), "é" * 400_000]
+    df = frame(spark, texts)
+    prints = {r["doc_id"]: r for r in fingerprints.fingerprint_report(df).collect()}
+    assert [prints[i]["fingerprint"] for i in range(3)] == [slow_print(t) for t in texts]
+    hashes = {r["doc_id"]: r["fingerprint"] for r in simhash_dedup.duplicate_report(df).collect()}
+    assert hashes[1] == f"{slow_fingerprint(texts[1]):016x}" and hashes[2] == f"{slow_fingerprint(texts[2]):016x}"
+    assert simhash_dedup.fingerprint(texts[0]) == slow_fingerprint("word word word")
+    assert language_id.keep_identified(df).count() == 3
+    assert sharding.shard_documents(df).agg(F.sum("size")).first()[0] == sum(len(t.encode()) + 8 for t in texts)
+    assert mixing.mix_documents(df).agg(F.sum("size")).first()[0] == 190_001
+    assert merge_dropout.encode_column(df).where("round_trip").count() == 3
