@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +34,14 @@ def r(c: str | Column, digits: int = 6) -> Column:
     return out.alias(name) if name else out
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut in the cluster's checkpoint folder; where none is set (local tests), in a temporary one."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="rillwork-"))
+    return df.checkpoint()
+
+
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as station readings."""
     e = table(spark, sf_dir, "events")

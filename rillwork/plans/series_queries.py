@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import calendars, cleaning, donors, features, gaps, metrics
-from .registry import DAILY, RAIN, READINGS, REGULAR, SERIES, SERIES_REGULAR, STATIONS, daily, query, r, rain, readings, series, stations, table
+from .registry import DAILY, RAIN, READINGS, REGULAR, SERIES, SERIES_REGULAR, STATIONS, daily, query, r, rain, readings, saved, series, stations, table
 
 
 def _regular(df: DataFrame) -> DataFrame:
@@ -496,4 +496,4 @@ def t20_q07_seasonal_fix(spark: SparkSession, d: str) -> DataFrame:
 def t12b_impute_in_order(spark: SparkSession, d: str) -> DataFrame:
     rows, scores = _some(spark, d)
     order = [x["station"] for x in scores.select("station").distinct().orderBy("station").limit(3).collect()]  # a queue of stations
-    return donors.impute_in_order(_regular(rows), scores, order, lambda x: x.checkpoint()).select("station", "day", r("value"), "data_type")
+    return donors.impute_in_order(_regular(rows), scores, order, saved).select("station", "day", r("value"), "data_type")
