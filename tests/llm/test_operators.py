@@ -168,35 +168,78 @@ def test_urls_by_hand_and_odd_rules(spark):
 # 4 neighbours
 
 
-def test_recall(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    got = collision_lsh.nearest(e, block=200, queries=10).toPandas()
+def exact_neighbours(ids, m, q, k=20):
+    s = np.array([sum(a * b for a, b in zip(v, m[q])) for v in m.tolist()]) if len(m) < 600 else m @ m[q]
+    s[q] = -np.inf
+    return ids[np.lexsort((ids, -s))[:k]], np.sort(-s)[:k] * -1
+
+
+@pytest.mark.parametrize("sf, options", [("sf0.001", {"block": 200}), ("sf0.01", {}), ("sf0.1", {})])
+def test_recall_over_all_queries(spark, sf, options):
+    e = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    got = collision_lsh.nearest(e, **options).toPandas().sort_values(["query_id", "rank"]).groupby("query_id")
     pdf = e.toPandas()
     ids, m = pdf["vec_id"].to_numpy(), np.stack(pdf["embedding"]).astype(float)
     hits = 0
-    for q in ids[ids % 20 == 0]:
-        s = m @ m[ids == q][0]
-        s[ids == q] = -np.inf
-        best = ids[np.lexsort((ids, -s))[:20]]
-        mine = got[got["query_id"] == q].sort_values("rank")
-        assert len(mine) == 20 and list(mine["rank"]) == list(range(1, 21)) and (np.diff(mine["score"]) <= 0).all()
-        assert mine["score"].iloc[0] == pytest.approx(float(m[ids == mine["vec_id"].iloc[0]][0] @ m[ids == q][0]))
+    for q in np.flatnonzero(ids % 20 == 0):
+        best, scores = exact_neighbours(ids, m, q)
+        mine = got.get_group(ids[q])
+        assert list(mine["rank"]) == list(range(1, 21)) and (np.diff(mine["score"]) <= 0).all()
+        assert np.allclose(mine["score"], [m[ids == v][0] @ m[q] for v in mine["vec_id"]])
         hits += len(set(best) & set(mine["vec_id"]))
-    assert hits / (20 * (ids % 20 == 0).sum()) >= 0.9
+    assert len(got) == (ids % 20 == 0).sum() and hits / (20 * len(got)) >= 0.9
+
+
+def test_tallied_bitmaps():
+    rng = np.random.default_rng(1)
+    for m in (1, 2, 3, 7, 64):
+        bits = rng.integers(0, 2, (5, m, 192), dtype=np.uint8)
+        planes = collision_lsh.tally(np.packbits(bits, axis=2, bitorder="little").view(np.uint64))
+        for least in (0, 1, m // 2, m):
+            got = np.unpackbits(collision_lsh.reaching(planes, np.full(5, least)).view(np.uint8), axis=1, bitorder="little")
+            assert (got == (bits.sum(axis=1) >= least)).all()
+
+
+def test_neighbours_verify_few_of_many():
+    m = np.random.default_rng(3).standard_normal((16384, 64))
+    ids = np.arange(len(m))
+    index = collision_lsh.CollisionIndex(ids, ids, m)
+    some = m[::200]
+    found, _ = index.candidates(some / np.abs(some).max(axis=1, keepdims=True), collision_lsh.K + 1 + collision_lsh.FLOOR)
+    assert np.bitwise_count(found).sum(axis=1).mean() < 0.07 * len(m)
 
 
 def test_neighbours_of_equal_and_odd_vectors(spark):
     same = [(i, [1.0, 0.5]) for i in range(60)]
-    odd = [(100, None), (120, [0.0, 0.0]), (140, [1.0, None]), (160, [float("nan"), 1.0]), (180, [float("inf"), 1.0]), (200, [1.0]), (None, [1.0, 1.0]), (1, [1.0, 0.5])]
+    odd = [(100, None), (120, [0.0, 0.0]), (140, [1.0, None]), (160, [float("nan"), 1.0]), (180, [float("inf"), 1.0]), (None, [1.0, 1.0]), (1, [1.0, 0.5])]
     got = collision_lsh.nearest(spark.createDataFrame(same + odd, "vec_id long, embedding array<double>"), block=16).toPandas()
     assert sorted(got["query_id"].unique()) == [0, 20, 40]
-    assert list(got[got["query_id"] == 0].sort_values("rank")["vec_id"]) == list(range(1, 21))
-    assert list(got[got["query_id"] == 20].sort_values("rank")["vec_id"]) == list(range(20))
+    assert list(got[got["query_id"] == 0].sort_values("rank")["vec_id"]) == [1, *range(1, 20)]
+    assert list(got[got["query_id"] == 20].sort_values("rank")["vec_id"]) == [0, 1, *range(1, 19)]
     few = collision_lsh.nearest(spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0])], "vec_id long, embedding array<double>"))
     assert [(r["query_id"], r["vec_id"], r["score"]) for r in few.collect()] == [(0, 1, 4.0)]
     assert collision_lsh.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_neighbours_of_one_key_and_of_other_lengths(spark):
+    rows_ = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [3.0, 2.0]), (20, [1.0, 2.0, 3.0]), (3, [1.0, 1.0, 1.0]), (40, [5.0])]
+    got = collision_lsh.nearest(spark.createDataFrame(rows_, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["query_id"], r["vec_id"], r["score"]) for r in got) == [(0, 0, 0.0), (0, 0, 0.0), (0, 1, 2.0), (0, 1, 3.0), (20, 3, 6.0)]
+
+
+@pytest.mark.parametrize("odd", [1e160, 1e-200, 1e300])
+def test_neighbours_end_whatever_the_lengths(spark, odd):
+    rng = np.random.default_rng(2)
+    m = rng.standard_normal((700, 8))
+    m[40], m[7] = m[40] * odd, m[7] * odd
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(m.tolist())], "vec_id long, embedding array<double>")
+    got = collision_lsh.nearest(df).toPandas().sort_values(["query_id", "rank"])
+    assert got.groupby("query_id").size().tolist() == [20] * 35
+    mine = got[got["query_id"] == 20]
+    best, _ = exact_neighbours(np.arange(700), m, 20)
+    assert len(set(mine["vec_id"]) & set(best)) >= 18
+
+
 # 5 near-duplicates
 
 
