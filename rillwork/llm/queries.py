@@ -171,9 +171,9 @@ FROM texts LEFT JOIN listed USING (id)
 _NEAREST_SQL = """
 WITH fine AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, row_number() OVER () AS n FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, x -> coalesce(isfinite(x), false))) AND list_bool_or(list_transform(embedding, x -> x <> 0))),
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
 scored AS (
-  SELECT q.vec_id AS query_id, q.n, c.vec_id, list_reduce(list_transform(generate_series(1, len(q.v)), i -> q.v[i] * c.v[i]), (x, y) -> x + y) AS score
+  SELECT q.vec_id AS query_id, q.n, c.vec_id, list_reduce(list_transform(generate_series(1, len(q.v)), lambda i: q.v[i] * c.v[i]), lambda x, y: x + y) AS score
   FROM fine q JOIN fine c ON q.n <> c.n AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, n ORDER BY score DESC, vec_id) AS r FROM scored)
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 20
