@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import datetime
 import hashlib
+import ipaddress
 import random
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -310,20 +313,25 @@ def test_dedup_keeps_one_of_each(spark, docs):
 # 6 personal data
 
 
+def slow_draw(key, *parts):
+    return int(hashlib.sha256("|".join([key, *map(str, parts), key]).encode()).hexdigest()[:12], 16)
+
+
 def slow_feistel(value, key, tweak):
-    classes = pii.CLASSES
+    def moved(c, by):
+        for chars in pii.CLASSES:
+            if c in chars:
+                return chars[(chars.index(c) + by) % len(chars)]
+        if ord(c) < 128 or not unicodedata.category(c)[0] in "LNM":
+            return c
+        for low, high in pii.ALPHABETS:
+            if low <= ord(c) <= high:
+                return chr(low + (ord(c) - low + by) % (high - low + 1))
+        low = ord(c) - ord(c) % pii.RUN
+        return chr(low + (ord(c) - low + by) % pii.RUN)
 
     def shift(half, other, r):
-        out = ""
-        for j, c in enumerate(half, 1):
-            said = "|".join([key, tweak, str(r), str(j), other, key])
-            by = int(hashlib.sha256(said.encode()).hexdigest()[:12], 16)
-            for chars in classes:
-                if c in chars:
-                    c = chars[(chars.index(c) + by) % len(chars)]
-                    break
-            out += c
-        return out
+        return "".join(moved(c, slow_draw(key, tweak, r, j, other)) for j, c in enumerate(half, 1))
 
     a, b = value[: len(value) // 2], value[len(value) // 2 :]
     for r in range(pii.ROUNDS):
@@ -331,6 +339,70 @@ def slow_feistel(value, key, tweak):
     return a + b
 
 
+def slow_number(value, halves, key, tweak):
+    a, b = divmod(value, halves[1])
+    for r in range(pii.ROUNDS):
+        if r % 2 == 0:
+            a = (a + slow_draw(key, tweak, r, b)) % halves[0]
+        else:
+            b = (b + slow_draw(key, tweak, r, a)) % halves[1]
+    return a * halves[1] + b
+
+
+def refilled(form, chars):
+    left = iter(chars)
+    return "".join(next(left) if c.isalnum() else c for c in form)
+
+
+def slow_pseudonym(kind, v, key):
+    """What stands for a valid value of a kind that is known beforehand."""
+    digits = re.sub("[^0-9]", "", v)
+    if kind == "email":
+        lead = re.match("[._%+-]*", v)[0]
+        name, at = v[len(lead) :].split("@", 1)
+        return lead + slow_feistel(name, key, "email") + "@" + at
+    if kind == "card":
+        front = digits[0] + slow_feistel(digits[1:-1], key, "card")
+        return refilled(v, front + next(d for d in "0123456789" if luhn(front + d)))
+    if kind == "iban":
+        plain = re.sub("[ -]", "", v).upper()
+        body = slow_feistel(plain[4:], key, "iban")
+        rest = int("".join(str(int(c, 36)) for c in body + plain[:2] + "00")) % 97
+        new = refilled(v, f"{plain[:2]}{98 - rest:02d}{body}")
+        return new.lower() if any(c.islower() for c in v) else new
+    if kind == "ssn":
+        area, group, serial = int(digits[:3]), int(digits[3:5]), int(digits[5:])
+        n = slow_number(((area - (2 if area > 666 else 1)) * 99 + group - 1) * 9999 + serial - 1, (898 * 99, 9999), key, "ssn")
+        first = n // (99 * 9999) + 1
+        return refilled(v, f"{first + (first >= 666):03d}{n // 9999 % 99 + 1:02d}{n % 9999 + 1:04d}")
+    if kind == "ip":
+        return str(ipaddress.IPv4Address(slow_number(int(ipaddress.IPv4Address(v)), (65536, 65536), key, "ip")))
+    if kind == "ip6":
+        table = str.maketrans("0123456789abcdef", pii.CLASSES[5])
+        back = str.maketrans(pii.CLASSES[5], "0123456789abcdef")
+        new = slow_feistel(ipaddress.IPv6Address(v).exploded.replace(":", "").translate(table), key, "ip6").translate(back)
+        return ":".join(re.findall("....", new))
+    if kind == "phone":
+        if re.match(r"\+[2-9]", v):
+            return refilled(v, digits[:3] + slow_feistel(digits[3:], key, "phone"))
+        table, back = str.maketrans("0123456789", pii.CLASSES[3] + pii.CLASSES[4]), str.maketrans(pii.CLASSES[3] + pii.CLASSES[4], "0123456789")
+        n = digits[-10:]
+        coded = n[0].translate(table) + n[1:3] + n[3].translate(table) + n[4:]
+        return refilled(v, digits[:-10] + slow_feistel(coded, key, "phone").translate(back))
+    sign = next(c for c in v if c in "-/.")
+    parts = v.split(sign)
+    for order in ((0, 1, 2), (2, 1, 0), (2, 0, 1)):
+        try:
+            day = datetime.date(*(int(parts[k]) for k in order)) if len(parts[order[0]]) == 4 else None
+        except ValueError:
+            continue
+        if day:
+            break
+    new = datetime.date(1800, 1, 1) + datetime.timedelta(slow_number((day - datetime.date(1800, 1, 1)).days, pii.DATE_HALVES, key, "date"))
+    said = {order[0]: str(new.year), order[1]: str(new.month), order[2]: str(new.day)}
+    return sign.join(said[k] if min(map(len, parts)) == 1 else said[k].zfill(2) for k in range(3))
+
+
 def luhn(digits):
     d = [int(c) for c in digits[::-1]]
     return (sum(d[0::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
@@ -342,7 +414,7 @@ def pseudo(spark, values, key=pii.DEMO_KEY):
 
 
 def test_feistel_equals_the_slow_one_and_is_one_to_one(spark):
-    values = ["the.72", "Ab-9", "x", "12345678901", "éa.b"]
+    values = ["the.72", "Ab-9", "x", "12345678901", "éa.b", "иван", "李雷", "ßŁ\u0301٣ẞ", "Ωμéga_'x"]
     df = spark.createDataFrame([(v,) for v in values], "v string").select("v", pii.feistel_text(F.col("v"), "k", "t").alias("p"))
     assert {r["v"]: r["p"] for r in df.collect()} == {v: slow_feistel(v, "k", "t") for v in values}
     every = spark.range(1000).select(pii.feistel_text(F.lpad(F.col("id").cast("string"), 3, "0"), "k", "t").alias("p"))
@@ -371,8 +443,63 @@ def test_pseudonyms_keep_form_validity_and_links(spark):
     assert pseudo(spark, ["4111111111111111"], "other key")[0] != card
 
 
+def made_values(rng):
+    """A valid value of each form, by kind."""
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    say = lambda: rng.choice("23456789")
+    day = datetime.date(1800, 1, 1) + datetime.timedelta(rng.randrange(146097))
+    front = "4" + d(14)
+    card = front + next(c for c in "0123456789" if luhn(front + c))
+    body = d(18)
+    iban = f"DE{98 - int(body + '131400') % 97:02d}{body}"
+    gb = "WEST" + d(14)
+    british = f"GB{98 - int(''.join(str(int(c, 36)) for c in gb) + '161100') % 97:02d}{gb}"
+    groups = lambda t, s: s.join(t[k : k + 4] for k in range(0, len(t), 4))
+    ssn = [f"{rng.choice([1, 123, 665, 667, 899]):03d}", f"{rng.randrange(1, 100):02d}", f"{rng.randrange(1, 10000):04d}"]
+    phone = [say() + d(2), say() + d(2), d(4)]
+    six = ipaddress.IPv6Address(rng.choice([rng.getrandbits(128), 0x20010DB8 << 96 | rng.getrandbits(40), 1, 0xFE80 << 112 | rng.getrandbits(20)]))
+    names = ["иван", "李雷", "_bob", "+bob", "o'brien", "a" * 90, "the.72", "x-y_z", "Ünal", "..dot", "a'b'c", "%p"]
+    return [
+        ("email", f"{rng.choice(names)}{d(1)}@{rng.choice(['example.com', 'a.b-c.museum', 'пример.рф', 'x.xn--p1ai', '[10.0.0.1]'])}"),
+        ("card", rng.choice([card, groups(card, " "), groups(card, "-"), groups(card, ".")])),
+        ("iban", rng.choice([iban, iban.lower(), groups(iban, " "), groups(iban, "-"), groups(iban, " ").lower(), british, groups(british, " "), british.lower()])),
+        ("ssn", rng.choice(" -").join(ssn)),
+        ("ip", ".".join(str(rng.randrange(256)) for _ in range(4))),
+        ("ip6", rng.choice([six.compressed, six.exploded, six.exploded.upper()])),
+        ("date", rng.choice([day.isoformat(), day.strftime("%Y/%m/%d"), day.strftime("%Y.%m.%d"), day.strftime("%d/%m/%Y"), day.strftime("%m/%d/%Y"), day.strftime("%d.%m.%Y"), f"{day.day}.{day.month}.{day.year}", f"{day.day}-{day.month}-{day.year}", f"{day.year}-{day.month}-{day.day}"])),
+        ("phone", rng.choice(["+1 ({}) {}-{}", "({}) {}-{}", "({}) {} {}", "({}){}-{}", "{}-{}-{}", "{}.{}.{}", "{} {} {}", "+1{}{}{}", "+1-{}-{}-{}"]).format(*phone)),
+        ("phone", f"+{rng.choice(['49', '44', '380'])} {d(3)} {d(4)} {d(3)}"),
+    ]
+
+
+def test_pseudonyms_equal_the_slow_ones(spark):
+    """Values of every form among words: what stands for each is known, and all else stays."""
+    rng = random.Random(12)
+    words = ["word", "and", "(", ")", ",", "is", "12", "3.5", "v1.2", "12:30:45", "no.", "a@b", "std::move", "-", "10/12", "2020", "§", "имя"]
+    texts, wanted = [], []
+    for _ in range(60):
+        text = want = ""
+        for kind, v in rng.sample(made_values(rng), 5):
+            between = " ; " + " ".join(rng.choice(words) for _ in range(rng.randrange(4))) + " : "
+            text, want = text + between + v, want + between + slow_pseudonym(kind, v, "k")
+        texts.append(text + "; end")
+        wanted.append(want + "; end")
+    assert pseudo(spark, texts, "k") == wanted
+
+
+def test_key_of_the_session(spark):
+    df = spark.createDataFrame([(1, "bob@example.com")], "doc_id long, text string")
+    shown = pii.pseudonym_report(df).first()["text"]
+    spark.conf.set(pii.SECRET, "mine")
+    try:
+        other = pii.pseudonym_report(df).first()["text"]
+        assert other == pseudo(spark, ["bob@example.com"], "mine")[0] != shown == pseudo(spark, ["bob@example.com"])[0]
+    finally:
+        spark.conf.unset(pii.SECRET)
+
+
 def test_pii_odd_texts(spark):
-    long = "a.b@c.de " + "x@" * 20000 + "1" * 30000 + " word" * 20000
+    long = "a.b@c.de " + "x@" * 20000 + "1" * 30000 + " word" * 20000 + "y" * 300000 + " a'" * 20000 + ":" * 30000 + "a:" * 20000 + "@a" * 20000 + ". " + "a." * 30000
     df = frame(spark, [None, "", long, "plain"], extra=True).withColumn("n_email", F.lit("clash"))
     got = {r["doc_id"]: r for r in pii.pseudonymise(df).collect()}
     assert got[0]["text"] is None and got[1]["text"] == "" and got[3]["text"] == "plain" and got[2]["n_email"] == 1 and len(got[2]["text"]) == len(long)
