@@ -19,10 +19,8 @@ from .arrow import small_batches, tidy
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 7
-#: Ways in which one word may be cut under one seed; an occurrence draws one by document and place.
-VARIANTS = 8
 #: Bytes of text encoded at a time.
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: Longer words go through an agenda each, shorter ones through arrays together.
 WIDE = 48
 
@@ -142,10 +140,10 @@ class Vocabulary:
 
 
 class Encoder:
-    """Merge-type encoding in which the keyed hash of (seed, word, variant, place) skips candidates."""
+    """Merge-type encoding in which the keyed hash of (seed, document, place of the word, bounds in it) skips candidates."""
 
-    def __init__(self, vocabulary: Vocabulary, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
-        self.vocabulary, self.dropout, self.variants = vocabulary, dropout, variants if dropout > 0 else 1
+    def __init__(self, vocabulary: Vocabulary, dropout: float = DROPOUT, seed: int = SEED):
+        self.vocabulary, self.dropout = vocabulary, dropout
         self.seed = int(_mix(np.array([seed & (1 << 64) - 1], np.uint64))[0])
         self.limit = np.uint64(min(int(dropout * 2.0**64), (1 << 64) - 1))
 
@@ -222,12 +220,10 @@ class Encoder:
                 offer(before[j], j)
         return [s for s in symbol if s >= 0]
 
-    def words(self, words: np.ndarray, variant: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of each word (without its first space) in its variant: flat, and offsets."""
+    def words(self, words: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each word (without its first space) under its key of 64 bits: flat, and offsets."""
         vocabulary = self.vocabulary
-        hashes = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), self.seed) for w in words], np.uint64)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        keys = _mix(hashes + variant.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         wide = np.where(lengths <= 6, 6, np.where(lengths <= 12, 12, np.where(lengths <= 24, 24, np.where(lengths < WIDE, WIDE, 0))))
         flat, counts, order = [], [], []
         for width in (6, 12, 24, WIDE):
@@ -272,7 +268,7 @@ class Encoder:
         return ids[np.repeat(start - offsets[:-1], length) + np.arange(offsets[-1])], offsets
 
     def encode(self, texts: list[str], documents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, flat, and offsets; ``documents`` (64 bits each) and the place in the text draw variants."""
+        """Ids of all texts, flat, and offsets; ``documents`` (64 bits each) and the word's place in the text make its key."""
         whole = not self.vocabulary.parted_by_space
         units: list[str] = []
         counts = np.empty(len(texts), np.int64)
@@ -290,13 +286,15 @@ class Encoder:
         ends = np.cumsum(counts)
         if not len(units):
             return np.empty(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+        if self.dropout > 0:
+            place = np.arange(len(units)) - np.repeat(ends - counts, counts)
+            keys = _mix(np.repeat(_mix(documents ^ np.uint64(self.seed)), counts) + place.astype(np.uint64))
+            ids, offsets = self.words(np.array(units, dtype=object), keys)
+            return ids, offsets[np.concatenate([[0], ends])]
+        # without dropout a word is cut in one way
         table: dict[str, int] = {}
-        index = np.fromiter((table.setdefault(u, len(table)) for u in units), np.int64, len(units))
-        words = np.array(list(table), dtype=object)
-        place = np.arange(len(units)) - np.repeat(ends - counts, counts)
-        drawn = _mix(np.repeat(_mix(documents ^ np.uint64(self.seed)), counts) + place.astype(np.uint64))
-        code, use = np.unique(index * self.variants + (drawn % np.uint64(self.variants)).astype(np.int64), return_inverse=True)
-        ids, offsets = self.words(words[code // self.variants], code % self.variants)
+        use = np.fromiter((table.setdefault(u, len(table)) for u in units), np.int64, len(units))
+        ids, offsets = self.words(np.array(list(table), dtype=object), np.zeros(len(table), np.uint64))
         length = np.diff(offsets)[use]
         until = np.concatenate([[0], np.cumsum(length)])
         out = ids[np.repeat(offsets[use] - until[:-1], length) + np.arange(until[-1])]
@@ -312,12 +310,12 @@ def document_key(value) -> int:
     return xxhash.xxh64_intdigest(repr(value).encode())
 
 
-def encode_column(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, key: str = "doc_id", text: str = "text", check: bool = True) -> DataFrame:
+def encode_column(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, key: str = "doc_id", text: str = "text", check: bool = True, copies: bool = False) -> DataFrame:
     """``key, ids, n_tokens, round_trip``: each whole text's piece ids, and whether they decode to it.
 
-    Candidates for merging are taken best first; each is skipped with chance ``dropout``, by a hash of the seed, the word,
-    the variant that its place in the document draws, and the candidate's bounds, so a run can be repeated and another seed
-    or place cuts otherwise. With dropout 0 the ids are the library's own, but for a literal U+2581, which is spelt
+    Candidates for merging are taken best first; each is skipped with chance ``dropout``, by a hash of the seed, the document's
+    key, the word's place in it, and the candidate's bounds, so a run can be repeated, and every occurrence of a word is cut in
+    its own way. Rows of one key and text are cut alike, unless ``copies``: then each of the rows of one key that follow each other is cut in its own way. With dropout 0 the ids are the library's own, but for a literal U+2581, which is spelt
     in bytes so that it isn't read back as a space.
 
     Null texts have null ids (and null ``round_trip``), empty ones none. Rows are independent. ``check=False`` skips
@@ -329,7 +327,8 @@ def encode_column(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT,
     key_type = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value, dropout, seed, variants)
+        encoder = Encoder(shared.value, dropout, seed)
+        last, copy = None, 0
         for batch in batches:
             first = 0
             sizes = np.cumsum([len(t.as_buffer()) if t.is_valid else 0 for t in batch.column(1)])
@@ -339,7 +338,14 @@ def encode_column(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT,
                 part = batch.slice(first, min(last, batch.num_rows) - first)
                 first += part.num_rows
                 texts = part.column(1).to_pylist()
-                documents = np.array([document_key(v) for v in part.column(0).to_pylist()], np.uint64)
+                names = part.column(0).to_pylist()
+                documents = np.array([document_key(v) for v in names], np.uint64)
+                if copies:
+                    nth = np.zeros(len(names), np.uint64)
+                    for i, name in enumerate(names):
+                        last, copy = name, copy + 1 if name == last else 0
+                        nth[i] = copy
+                    documents = np.where(nth > 0, _mix(documents + nth), documents)
                 ids, offsets = encoder.encode([t or "" for t in texts], documents)
                 valid = np.array([t is not None for t in texts])
                 # a null offset marks a null list

@@ -539,15 +539,68 @@ def test_pieces_equal_the_library_and_decode(texts):
     assert [vocabulary.pieces[i] for i in none] == ["▁", "a", "b", "c"]
 
 
-def test_arrays_and_agenda_agree(monkeypatch):
+def test_arrays_and_agenda_agree():
     encoder = merge_dropout.Encoder(merge_dropout.Vocabulary.load(), 0.3)
     words = np.array(["internationalisation", "therewithal", "aa", "", "  run", "x" * 40], dtype=object)
-    fast = encoder.words(words, np.arange(6))
-    monkeypatch.setattr(merge_dropout, "WIDE", 0)
-    key = lambda w, v: merge_dropout._mix(np.array([xxhash.xxh64_intdigest(w.encode(), encoder.seed)], np.uint64) + np.array([v], np.uint64) * np.uint64(0x9E3779B97F4A7C15))[0]
+    keys = merge_dropout._mix(np.arange(6, dtype=np.uint64))
+    fast = encoder.words(words, keys)
     for i, w in enumerate(words):
         codes = np.frombuffer((" " + w).encode("utf-32-le"), np.uint32)
-        assert encoder._agenda(encoder.vocabulary.of_char[codes].tolist(), int(key(w, i))) == fast[0][fast[1][i] : fast[1][i + 1]].tolist()
+        assert encoder._agenda(encoder.vocabulary.of_char[codes].tolist(), int(keys[i])) == fast[0][fast[1][i] : fast[1][i + 1]].tolist()
+
+
+def slow_merges(vocabulary, word, skipped):
+    """Best candidate first, found by looking at all of them each time; ``skipped(start, middle, end)`` is asked once for each."""
+    parts = [(c if c != " " else "▁", i, i + 1) for i, c in enumerate(" " + word)]
+    asked = {}
+    while True:
+        best = None
+        for k in range(len(parts) - 1):
+            merged, bounds = parts[k][0] + parts[k + 1][0], (parts[k][1], parts[k + 1][1], parts[k + 1][2])
+            if parts[k][0] in vocabulary.ids and parts[k + 1][0] in vocabulary.ids and merged in vocabulary.ids:
+                if bounds not in asked:
+                    asked[bounds] = skipped(*bounds)
+                if not asked[bounds] and (best is None or vocabulary.ranks[vocabulary.ids[merged]] < best[0]):
+                    best = (vocabulary.ranks[vocabulary.ids[merged]], k)
+        if best is None:
+            return [p for p, _, _ in parts]
+        k = best[1]
+        parts[k : k + 2] = [(parts[k][0] + parts[k + 1][0], parts[k][1], parts[k + 1][2])]
+
+
+def test_dropout_equals_slow_merging():
+    vocabulary = merge_dropout.Vocabulary.load()
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x &= mask
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    text = "internationalisation of the reproducible segmentation therewithal underestimates misunderstandings again and again and again"
+    for dropout in (0.1, 0.4):
+        encoder = merge_dropout.Encoder(vocabulary, dropout, seed=5)
+        ids, offsets = encoder.encode([text, text], np.array([11, 12], np.uint64))
+        for i, document in enumerate((11, 12)):
+            want = []
+            for place, word in enumerate(text.split(" ")):
+                key = mix(mix(document ^ mix(5)) + place)
+                want += slow_merges(vocabulary, word, lambda a, b, c: mix(mix(key ^ (a << 42 ^ b << 21 ^ c)) + key) < int(dropout * 2.0**64))  # noqa: B023
+            assert [vocabulary.pieces[k] for k in ids[offsets[i] : offsets[i + 1]]] == want
+
+
+def test_a_word_has_more_cuts_than_a_few():
+    vocabulary = merge_dropout.Vocabulary.load()
+    ids, offsets = merge_dropout.Encoder(vocabulary, 0.3).encode(["internationalisation"] * 400, np.arange(400, dtype=np.uint64))
+    assert len({tuple(ids[a:b]) for a, b in zip(offsets, offsets[1:])}) > 60
+
+
+def test_copies_are_cut_apart(spark):
+    text = "internationalisation of misunderstandings " * 5
+    df = spark.createDataFrame([(1, text), (1, text), (2, text)], "doc_id long, text string").coalesce(1)
+    alike, apart = ([tuple(r["ids"]) for r in merge_dropout.encode_column(df, copies=c).collect()] for c in (False, True))
+    assert alike[0] == alike[1] != alike[2] and apart[0] != apart[1] and apart[0] == alike[0]
 
 
 def test_encoding_columns(spark):
