@@ -102,7 +102,8 @@ class _Parser:
 
 
 class _Nfa:
-    def __init__(self):
+    def __init__(self, backwards: bool = False):
+        self.backwards = backwards
         self.free: list[list[int]] = []  # moves that read nothing
         self.reads: list[tuple[frozenset[int], int] | None] = []
 
@@ -119,7 +120,7 @@ class _Nfa:
             self.reads[start] = (tree[1], end)
             return end
         if kind == "cat":
-            for part in tree[1]:
+            for part in reversed(tree[1]) if self.backwards else tree[1]:
                 entry = self.state()
                 self.free[start].append(entry)
                 start = self.add(part, entry)
@@ -184,14 +185,33 @@ class Automaton:
                 found = i + 1
         return found
 
+    def seen(self, data: bytes, state: int) -> int:
+        """All patterns that accept somewhere in ``data``, read from ``state``."""
+        step, accepts, found = self._step, self._accepts, 0
+        for byte in data:
+            state = step[state << 8 | byte]
+            if accepts[state]:
+                found |= accepts[state]
+        return found
+
+    def begins(self, data: bytes, start: int, end: int) -> list[int]:
+        """Where matches within ``start`` to ``end`` begin, ascending (automata that read backwards and aren't anchored)."""
+        state, step, good, found = 0, self._step, self._good, []
+        for i in range(end - 1, start - 1, -1):
+            state = step[state * 256 + data[i]]
+            if good[state]:
+                found.append(i)
+        return found[::-1]
+
     def __post_init__(self):
         object.__setattr__(self, "_step", self.step.tolist())
+        object.__setattr__(self, "_accepts", self.accepts.tolist())
         object.__setattr__(self, "_good", (self.accepts > 0).tolist())
 
 
-def compile_patterns(patterns: list[tuple[str, bool]], anchored: bool) -> Automaton:
-    """One minimal automaton for all ``(pattern, ignore_case)``; unanchored: a match may begin at any byte."""
-    nfa = _Nfa()
+def compile_patterns(patterns: list[tuple[str, bool]], anchored: bool, backwards: bool = False) -> Automaton:
+    """One minimal automaton for all ``(pattern, ignore_case)``; unanchored: a match may begin at any byte. ``backwards``: it reads from the end."""
+    nfa = _Nfa(backwards)
     root = nfa.state()
     final: dict[int, int] = {}
     for i, (pattern, ignore_case) in enumerate(patterns):

@@ -16,6 +16,8 @@ from .automata import Automaton, compile_patterns
 
 #: Bytes of a lane, before it is stretched to the next byte that no match can cover.
 LANE = 384
+#: So few lanes don't repay a step together.
+FEW = 16
 #: Bytes of text scanned at a time.
 SLICE = 4 << 20
 
@@ -45,7 +47,7 @@ BASE = 3
 
 
 class Scanner:
-    """The rules as one automaton for the pass over all bytes, and one each for the spans of what it hits."""
+    """The rules as one automaton for the pass over all bytes, and two each, backwards and forwards, for the spans of what it hits."""
 
     def __init__(self, rules: Sequence[Rule]):
         def cased(rule: Rule) -> str:
@@ -57,13 +59,13 @@ class Scanner:
         self.lead = [compile_patterns([(cased(r), False)], anchored=True) if r.lead else None for r in rules]
         self.all: Automaton = compile_patterns([(cased(r) + r.body, False) for r in rules], anchored=False)
         self.resets = self.all.resets()
-        self.starts = [np.array([a.step[b] != a.dead for b in range(256)]) for a in self.whole]
+        self.back = [compile_patterns([(cased(r) + r.body, False)], anchored=False, backwards=True) for r in rules]
 
     def hits(self, data: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int]]:
         """Lanes ``(start, end, rules)`` with a match of those rules' patterns; ``bounds`` part the texts in ``data``.
 
         A lane ends after a byte that resets the automaton, or with its text, so all start in state 0 and no match
-        lies in two. All lanes step together, longest first; a step reads one byte of each.
+        lies in two. All lanes step together, longest first; a step reads one byte of each. The ``FEW`` longest end by themselves.
         """
         resets = np.flatnonzero(self.resets[data]) + 1
         goals = np.concatenate([np.arange(a + LANE, b, LANE) for a, b in zip(bounds[:-1], bounds[1:]) if b - a > LANE] or [np.empty(0, np.int64)])
@@ -79,25 +81,31 @@ class Scanner:
         step, accepts = self.all.step, self.all.accepts
         for t in range(length[0]):
             k = shorter[t]
+            if k <= FEW:
+                for i in range(k):
+                    seen[i] |= self.all.seen(data[begin[i] + t : begin[i] + length[i]].tobytes(), int(state[i]))
+                break
             now = step[(state[:k] << 8) + data[begin[:k] + t]]
             state[:k] = now
             seen[:k] |= accepts[now]
         return sorted((int(begin[i]), int(begin[i] + length[i]), int(seen[i])) for i in np.flatnonzero(seen))
 
     def spans(self, data: bytes, start: int, end: int, which: int) -> Iterator[tuple[int, int, int]]:
-        """``(from, rule, to)`` of each rule in ``which``: leftmost, longest, without overlap within a rule."""
+        """``(from, rule, to)`` of each rule in ``which``: leftmost, longest, without overlap within a rule.
+
+        A pass from the end finds where matches begin, so that no byte is tried as a start in vain: time grows with the lane's length.
+        """
         for r, rule in enumerate(self.rules):
             if not which >> r & 1:
                 continue
-            i, may = start, self.starts[r]
-            while i < end:
-                if may[data[i]] and (to := self.whole[r].longest(data, i, end)) >= 0:
-                    body = self.lead[r].longest(data, i, to) if self.lead[r] else i
-                    if to - body >= rule.least:
-                        yield i, r, to
-                    i = to
-                else:
-                    i += 1
+            done = start
+            for i in self.back[r].begins(data, start, end):
+                if i < done:
+                    continue
+                done = self.whole[r].longest(data, i, end)
+                body = self.lead[r].longest(data, i, done) if self.lead[r] else i
+                if done - body >= rule.least:
+                    yield i, r, done
 
 
 @lru_cache(maxsize=4)

@@ -7,6 +7,7 @@ import hashlib
 import ipaddress
 import random
 import re
+import time
 import unicodedata
 
 import numpy as np
@@ -141,6 +142,20 @@ def test_secret_report(spark, docs, texts):
     assert secret_scan.secret_report(odd.limit(0)).count() == 0
 
 
+def test_scan_takes_time_in_proportion():
+    bad = [".".join(["eyJa", "eyJb", "c/"]) + "eyJ" * 200_000, "token=abcdef" + "secret" * 100_000, "-----BEGIN " * 60_000 + "PRIVATE KEY-----", "0a" * 300_000 + "eyJ"]
+    for text in bad:
+        began = time.time()
+        spans = secret_scan.find_secrets(pa.array([text]))[0]
+        assert time.time() - began < 5 and len(spans) >= 1
+
+
+def test_secrets_of_repeated_rows(spark):
+    df = frame(spark, ["password: hunter22", "none"])
+    got = [(r["doc_id"], r["spans"]) for r in secret_scan.secret_report(df.union(df)).collect()]
+    assert sorted(got) == [(0, "assign:0:18")] * 2 + [(1, "")] * 2
+
+
 def test_automata_equal_re():
     rng = random.Random(5)
     for pattern in ("a(b|c)*d?", "[^ab]{2,3}x", "(ab){2}|a{3,}", r"\x41[0-9-]+", "a|ab|abc"):
@@ -150,6 +165,8 @@ def test_automata_equal_re():
             want = max((k for k in range(len(s) + 1) if re.fullmatch(pattern, s[:k])), default=-1)
             got = a.longest(s.encode(), 0, len(s))
             assert got == (want if want else -1)
+            back = automata.compile_patterns([(pattern, False)], anchored=False, backwards=True)
+            assert back.begins(s.encode(), 0, len(s)) == [i for i in range(len(s)) if any(re.fullmatch(pattern, s[i:k]) for k in range(i + 1, len(s) + 1))]
 
 
 # 3 urls
