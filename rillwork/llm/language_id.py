@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import small_batches, tidy
-from .scratch import T, write_table
+from .scratch import T, join_groups, write_table
 from .url_filter import url_host
 
 #: Labelled rows that the text model is fitted on, about, at most.
@@ -28,6 +28,9 @@ CONFIDENCE = 0.5
 SLICE = 1 << 20
 UNKNOWN = "und"
 
+#: Hosts whose owner's name is the third label from the end.
+_SECOND_LEVEL = r"\.(?:ac|co|com|edu|gov|net|org)\.[a-z]{2}$"
+
 _FOLD = np.full(256, 32, np.uint32)
 _FOLD[65:91] = np.arange(97, 123)
 _FOLD[97:123] = np.arange(97, 123)
@@ -83,7 +86,7 @@ class TextModel:
 def fit_text_model(labelled: DataFrame, sample: int = SAMPLE, text: str = "text", lang: str = "lang", key: str = "doc_id", seed: int = 3) -> TextModel:
     """Trigram counts of about ``sample`` rows (all, if fewer), drawn by a hash of ``key``; add-half smoothing.
 
-    Tasks count for themselves and send one table a language; the driver adds at most 16 tasks' tables. Rows without
+    The sample is written first, so that all tasks share the read; 16 tasks then count it and send one table a language each. Rows without
     label or text don't count; without any, the model knows no language.
     """
     small_batches(labelled.sparkSession)
@@ -104,7 +107,7 @@ def fit_text_model(labelled: DataFrame, sample: int = SAMPLE, text: str = "text"
         yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.array([v.tobytes() for v in totals.values()], pa.binary())], ["lang", "counts"])
 
     tables: dict[str, np.ndarray] = {}
-    for row in drawn.select(text, lang).coalesce(16).mapInArrow(tidy(count), "lang string, counts binary").collect():
+    for row in write_table(drawn.select(text, lang), "sample").coalesce(16).mapInArrow(tidy(count), "lang string, counts binary").collect():
         tables[row["lang"]] = tables.get(row["lang"], 0) + np.frombuffer(row["counts"], np.int64)
     languages = tuple(sorted(tables))
     if not languages:
@@ -114,10 +117,24 @@ def fit_text_model(labelled: DataFrame, sample: int = SAMPLE, text: str = "text"
     return TextModel(languages, np.ascontiguousarray(logs - logs.mean(axis=1, keepdims=True), np.float32))
 
 
+_ATTRIBUTE = r"[^\s=>\"'/]++\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++)"
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute; null if it has none."""
+    own = F.get(F.filter(F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), 0), lambda a: a.rlike(rf"^(?i:{name})\s*=")), F.lit(0))
+    return F.regexp_replace(own, r"^[^=]*=\s*+[\"']?|[\"']$", "")
+
+
 def markup_language(html: Column) -> Column:
-    """The primary subtag that ``<html lang=...>`` declares, in lower case; else null."""
-    found = F.lower(F.regexp_extract(html, r"(?i)<html\b[^>]{0,500}?\blang\s{0,8}=\s{0,8}[\"']?([A-Za-z]{2,3})", 1))
-    return F.when(found != "", found)
+    """The primary subtag, in lower case, that ``<html lang=...>`` (or ``xml:lang``) declares, else ``<meta http-equiv="content-language">``; else null.
+
+    A subtag has two or three letters; names of languages aren't subtags.
+    """
+    tag = F.regexp_extract(html, r"(?i)<html(?=[\s/>])([^>]*+)", 1)
+    meta = F.get(F.filter(F.regexp_extract_all(html, F.lit(r"(?i)<meta\s[^>]*+"), 0), lambda m: F.lower(_attribute(m, "http-equiv")) == "content-language"), F.lit(0))
+    subtag = lambda value: F.nullif(F.lower(F.regexp_extract(value, r"^\s*+([A-Za-z]{2,3})(?![A-Za-z0-9])", 1)), F.lit(""))
+    return F.coalesce(subtag(_attribute(tag, "(?:xml:)?lang")), subtag(_attribute(meta, "content")))
 
 
 def markup_text(html: Column) -> Column:
@@ -129,7 +146,9 @@ def evidence_of_pages(pages: DataFrame) -> DataFrame:
     """``page_id, text, declared, host, domain, suffix`` of ``page_id, url, html``."""
     host = F.when(url_host(F.col("url")) != "", F.regexp_replace(url_host(F.col("url")), r":\d*$", ""))
     rows = pages.select("page_id", markup_text(F.col("html")).alias("text"), markup_language(F.col("html")).alias("declared"), host.alias("host"))
-    return rows.withColumns({"domain": F.substring_index("host", ".", -2), "suffix": F.substring_index("host", ".", -1)})
+    labels = F.when(F.col("host").rlike(_SECOND_LEVEL), 3).otherwise(2)
+    domain = F.when(labels == 3, F.substring_index("host", ".", -3)).otherwise(F.substring_index("host", ".", -2))
+    return rows.withColumns({"domain": domain, "suffix": F.substring_index("host", ".", -1)})
 
 
 def evidence_of_documents(docs: DataFrame) -> DataFrame:
@@ -148,7 +167,7 @@ def fuse(rows: DataFrame, model: TextModel, confidence: float = CONFIDENCE, text
     the text alone points to. A row is left out of the counts that it is judged by.
 
     Null host, domain, declared or suffix: one value like any other. Texts without letters (null, empty): ``und``, not
-    kept; so are those whose best posterior is below ``confidence``. Repeated rows give repeated results.
+    kept; so are those whose best posterior is below ``confidence``. Repeated rows give repeated results. A host (or source, or null) may hold any share of the rows: ``join_groups``.
     """
     small_batches(rows.sparkSession)
     languages, size = model.languages, len(model.languages)
@@ -174,8 +193,8 @@ def fuse(rows: DataFrame, model: TextModel, confidence: float = CONFIDENCE, text
     overall = [(c + 1.0) / (sum(total) + size) for c in total]
     out = scored
     for column in ("host", "domain", "declared", "suffix"):
-        counts = scored.groupBy(F.col(column).alias(f"_{column}")).agg(F.array(*shares()).alias(f"_n_{column}"))
-        out = out.join(counts, F.col(column).eqNullSafe(F.col(f"_{column}"))).drop(f"_{column}")
+        counts = scored.groupBy(F.col(column).alias(f"_{column}")).agg(F.array(*shares()).alias(f"_n_{column}"), F.count(F.lit(1)).alias("_n"))
+        out = join_groups(out, counts, {column: f"_{column}"}, "_n")
 
     def own(k: int) -> Column:
         return F.when(F.col("_best") == k, 1.0).otherwise(0.0)

@@ -6,6 +6,7 @@ than a re-read, and the reader knows each table's true size when it picks a join
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a block of ``running``: a window never holds more than this many rows of a group.
 BLOCK_BITS = 13
+#: A group of one ``HEAVY``-th of all rows or more is handled apart by ``join_groups``.
+HEAVY = 64
 #: Begins the names of columns that operators add for themselves beside a table's own.
 T = "__rw_"
 #: The same for ``running``, which those operators call.
@@ -22,9 +25,11 @@ _kept: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; where none is set (local tests), a temporary one."""
+    """The cluster's checkpoint folder; where none is set and Spark runs in one process (tests), a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="rillwork-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -57,12 +62,44 @@ def drop_tables(spark: SparkSession) -> None:
     _kept.discard(spark.sparkContext.applicationId)
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, keys: dict[str, str], n: str) -> DataFrame:
+    """``rows``, left-joined to ``groups``: one row for each group of ``rows``, with its number of rows in ``n``; nulls are values.
+
+    ``keys`` maps columns of ``rows`` to those of ``groups``, which are dropped, as is ``n``. A group of at least a
+    ``HEAVY``-th of all rows has its row broadcast (there are ``HEAVY`` such groups at most), and its rows are dealt evenly in the
+    shuffle that joins the others: no key's rows meet in one task, whatever their share.
+    """
+    groups = write_table(groups, "groups")
+    total = groups.agg(F.sum(n)).first()[0] or 0
+    whole = lambda columns, salt: F.struct(*(c.alias(f"k{i}") for i, c in enumerate(columns)), salt.cast("long").alias("salt"))
+    values = [c for c in groups.columns if c not in {n, *keys.values()}]
+    packed = groups.select(whole(map(F.col, keys.values()), F.lit(0)).alias(f"{R}key"), F.struct(*values).alias(f"{R}value"), n)
+    heavy = packed.where(F.col(n) * HEAVY >= total).select(F.col(f"{R}key").alias(f"{R}heavy_key"), F.col(f"{R}value").alias(f"{R}heavy"))
+    light = packed.where(F.col(n) * HEAVY < total).select(f"{R}key", f"{R}value")
+    dealt = rows.join(F.broadcast(heavy), whole(map(F.col, keys), F.lit(0)) == F.col(f"{R}heavy_key"), "left")
+    settled = F.col(f"{R}heavy").isNotNull()
+    dealt = dealt.withColumn(f"{R}own", whole((F.when(~settled, F.col(k)) for k in keys), F.when(settled, 1 + F.monotonically_increasing_id()).otherwise(0)))
+    joined = dealt.join(light, F.col(f"{R}own") == F.col(f"{R}key"), "left")
+    return joined.select(*rows.columns, *(F.coalesce(F.col(f"{R}heavy")[c], F.col(f"{R}value")[c]).alias(c) for c in values))
+
+
+def _before(totals: DataFrame, columns: list[str]) -> DataFrame:
+    """For each block, the sums of ``columns`` over the blocks before it: within runs of blocks, and over the runs."""
+    totals = totals.withColumn(f"{R}run", F.shiftright(f"{R}block", BLOCK_BITS))
+    above = totals.groupBy(f"{R}run").agg(*(F.sum(c).alias(f"{c}_a") for c in columns))
+    upto = Window.orderBy(f"{R}run").rowsBetween(Window.unboundedPreceding, -1)  # a row for each 2**(2 * BLOCK_BITS) rows and partition
+    above = above.select(f"{R}run", *(F.coalesce(F.sum(f"{c}_a").over(upto), F.lit(0)).alias(f"{c}_a") for c in columns))
+    within = Window.partitionBy(f"{R}run").orderBy(f"{R}block").rowsBetween(Window.unboundedPreceding, -1)
+    inside = totals.select(f"{R}block", f"{R}run", *(F.coalesce(F.sum(c).over(within), F.lit(0)).alias(c) for c in columns))
+    return inside.join(above, f"{R}run").select(f"{R}block", *((F.col(c) + F.col(f"{c}_a")).alias(c) for c in columns))
+
+
 def running(df: DataFrame, order: list[Column], sums: dict[str, str] | None = None, rank: str = "rank", row_id: str = "row_id") -> DataFrame:
     """Adds ``row_id``, ``rank`` (from 0 in ``order``) and exclusive running sums ``{output: column}``.
 
     One range sort gives each row its partition and place in it; blocks of at most ``2**BLOCK_BITS`` rows are
     then summed apart and offset by the totals of the blocks before. No group of rows with an equal key
-    meets in one task, whatever its size; the single-task window sees one row a block. Columns of the outputs' names are replaced.
+    meets in one task, whatever its size; the single-task window sees one row for each partition and 2**(2 * BLOCK_BITS) rows. Columns of the outputs' names are replaced.
     """
     sums = sums or {}
     outputs = {row_id, rank, *sums}
@@ -70,8 +107,7 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, str] | None = No
     rows = write_table(df.orderBy(*order).withColumns({f"{R}v_{o}": F.col(c) for o, c in sums.items()} | {f"{R}row": F.monotonically_increasing_id()}).drop(*outputs), "ordered")
     rows = rows.withColumn(f"{R}block", F.shiftright(f"{R}row", BLOCK_BITS))
     totals = rows.groupBy(f"{R}block").agg(F.count(F.lit(1)).alias(f"{R}n"), *(F.sum(f"{R}v_{o}").alias(f"{R}t_{o}") for o in sums))
-    before = Window.orderBy(f"{R}block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(f"{R}block", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in (f"{R}n", *(f"{R}t_{o}" for o in sums))))
+    offsets = _before(totals, [f"{R}n", *(f"{R}t_{o}" for o in sums)])
     own = Window.partitionBy(f"{R}block").orderBy(f"{R}row")
     own_before = own.rowsBetween(Window.unboundedPreceding, -1)
     local = rows.withColumns({f"{R}r": F.row_number().over(own) - 1} | {f"{R}s_{o}": F.coalesce(F.sum(f"{R}v_{o}").over(own_before), F.lit(0)) for o in sums})

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from rillwork.llm import automata, collision_lsh, components, fingerprints, language_id, merge_dropout, mixing, pii, queries, secret_scan, sharding, simhash_dedup, url_filter
-from rillwork.llm.scratch import running
+from rillwork.llm.scratch import join_groups, running
 
 from ..compare import connect, rows
 
@@ -102,6 +102,73 @@ def test_markup(spark):
     html = "<!DOCTYPE html><html class='x' LANG=\"fr-CA\"><script>var t='<p>';</script><p>Bon<b>jour</b></p><!-- <p>no</p> -->"
     row = spark.createDataFrame([(html,), (None,), ("plain",)], "h string").select(language_id.markup_language(F.col("h")).alias("l"), language_id.markup_text(F.col("h")).alias("t")).collect()
     assert row[0]["l"] == "fr" and row[0]["t"].split() == ["Bon", "jour"] and row[1]["l"] is None and row[2]["l"] is None
+    cases = {
+        "<html " + "data-x='y' " * 400 + "lang='fr'>": "fr",
+        "<html data-lang='de' lang='fr'>": "fr",
+        "<html title='lang=de' LANG=es-MX>": "es",
+        "<html xml:lang = \"pt\"><p lang=it>": "pt",
+        "<html lang=english>": None,
+        "<html lang=''><meta http-equiv='Content-Language' content='nl, en'>": "nl",
+        "<html data-lang='de'><meta name=x content=fr>": None,
+        "<htmlx lang=fr>": None,
+    }
+    df = spark.createDataFrame([(h,) for h in cases], "h string")
+    assert {r["h"]: r["l"] for r in df.select("h", language_id.markup_language(F.col("h")).alias("l")).collect()} == cases
+    hosts = spark.createDataFrame([(1, "http://a.b.co.uk:80/x", ""), (2, "http://a.b.org/", ""), (3, None, None)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["domain"] for r in language_id.evidence_of_pages(hosts).collect()} == {1: "b.co.uk", 2: "b.org", 3: None}
+
+
+def test_posteriors_equal_plain_ones(spark, docs):
+    """The fused posterior of every row, from the text scores, by counting rows one by one."""
+    model = language_id.fit_text_model(docs)
+    rng = random.Random(7)
+    said = [r["text"] for r in docs.where("text is not null and length(text) < 400").limit(40).collect()] + ["in", "12 #", "", None, "de la"]
+    rows_ = []
+    for i in range(160):
+        host = rng.choice(["a.x.de", "b.x.de", "c.fr", "d.fr", None])
+        rows_.append((i, rng.choice(said), rng.choice(["de", "fr", "en", None]), host, host and host[-4:], host and host[-2:]))
+    got = {r["doc_id"]: r for r in language_id.fuse(spark.createDataFrame(rows_, "doc_id long, text string, declared string, host string, domain string, suffix string"), model).collect()}
+    sums, grams = model.score(pa.array([r[1] for r in rows_], pa.string()))
+    best = [int(np.argmax(s)) if g else None for s, g in zip(sums, grams)]
+    size, whole = len(model.languages), sum(b is not None for b in best)
+    for i, (_, _, declared, host, domain, suffix) in enumerate(rows_):
+        if not grams[i]:
+            assert got[i]["lang"] == "und" and got[i]["posterior"] == 0 and not got[i]["kept"]
+            continue
+
+        def others(column, value, k):
+            return sum(b == k for j, b in enumerate(best) if j != i and rows_[j][column] == value)  # noqa: B023
+
+        logs = []
+        for k in range(size):
+            overall = (sum(b == k for b in best) + 1) / (whole + size)
+            every = lambda c, v: sum(others(c, v, m) for m in range(size))
+            of_domain = (others(4, domain, k) + 5 * overall) / (every(4, domain) + 5)
+            of_host = (others(3, host, k) + 5 * of_domain) / (every(3, host) + 5)
+            in_language = sum(b == k for j, b in enumerate(best) if j != i)
+            chance = lambda c, v: (others(c, v, k) + 5 * every(c, v) / whole + 0.01) / (in_language + 5)  # noqa: B023, E731
+            logs.append(sums[i][k] * 60 / (grams[i] + 60) + np.log(of_host) + np.log(chance(2, declared)) + np.log(chance(5, suffix)))
+        logs = np.array(logs)
+        posterior = 1 / np.exp(logs - logs.max()).sum()
+        assert got[i]["posterior"] == pytest.approx(posterior, rel=1e-6) and got[i]["kept"] == (posterior >= 0.5)
+        assert got[i]["lang"] == (model.languages[int(logs.argmax())] if posterior >= 0.5 else "und")
+
+
+def test_rows_of_a_hot_group_stay_spread(spark):
+    hot = spark.range(20_000).select(F.when(F.col("id") % 10 > 0, F.lit(None)).otherwise(F.col("id") % 300).alias("k"), "id")
+    groups = hot.groupBy(F.col("k").alias("g")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = join_groups(hot, groups, {"k": "g"}, "n")
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        want = {r["g"]: r["least"] for r in groups.collect()}
+        assert len(sizes) == 4 and max(sizes) < 0.4 * sum(sizes) and sum(sizes) == 20_000
+        assert all(r["least"] == want[r["k"]] for r in joined.collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def test_language_filter_keeps_columns_and_repeated_rows(spark, docs):
