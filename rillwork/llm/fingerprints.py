@@ -8,6 +8,7 @@ from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .scratch import running, write_table
 
@@ -17,8 +18,11 @@ BINS = 128
 BITS = 4
 #: Probes tried before all others are: nearly always enough.
 SOON = 6
-#: Documents of neighbouring ids that a task orders together.
+#: Documents of neighbouring ids that are ordered together, about, and how many at most: blocks of more are cut by rank.
 NEIGHBOURS = 128
+CROWD = 1024
+#: Crowded blocks that are looked up by broadcast.
+SOME = 100_000
 SEGMENTS = 64
 
 
@@ -97,21 +101,23 @@ def edited(text: Column, other: Column) -> Column:
 def fingerprint_report(docs: DataFrame) -> DataFrame:
     """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next`` for every document.
 
-    The next document is that of the next ``doc_id`` (nulls first; equal ids by text), after the last the first. Texts
+    The next document is that of the next ``doc_id`` (nulls first; equal ids by a hash of the text), after the last the first. Texts
     move once: blocks of about ``NEIGHBOURS`` neighbouring ids are ordered apart, and only a block's last document
-    is joined to the first of the block after. Null texts are empty. One document is its own next.
+    is joined to the first of the block after. Null texts are empty. One document is its own next. Where null, equal or crowded ids, or
+    ids that aren't whole numbers, would make a block of over ``CROWD`` rows, its rows are ranked and cut by rank: they move twice more.
+    Other columns don't matter.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("_block", _blocks(rows)).withColumn("fingerprint", fingerprint(F.col("text")))
-    place = Window.partitionBy("_block").orderBy(F.col("doc_id").asc_nulls_first(), "text")
+    rows = _parted(rows.withColumn("_block", _blocks(rows))).withColumn("fingerprint", fingerprint(F.col("text")))
+    place = Window.partitionBy("_block", "_part").orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     nearby = rows.withColumns({"_next": F.lead("text").over(place), "_next_print": F.lead("fingerprint").over(place), "_first": F.first("text").over(place), "_first_print": F.first("fingerprint").over(place)})
     last = F.col("_next").isNull()
     ready = _compare(nearby).select(
-        "doc_id", "n_chars", "fingerprint", *_RESULTS, last.alias("_last"), "_block",
+        "doc_id", "n_chars", "fingerprint", *_RESULTS, last.alias("_last"), "_block", "_part",
         *(F.when(last, F.col(c)).alias(c) for c in ("text", "_first", "_first_print")),
     )
     ready = write_table(ready, "neighbours")
-    ends = running(ready.where("_last"), [F.col("_block")], rank="_k").drop("row_id")
+    ends = running(ready.where("_last"), [F.col("_block"), F.col("_part")], rank="_k").drop("row_id")
     count = ends.agg(F.count(F.lit(1)).alias("_count"))  # one row
     heads = ends.crossJoin(F.broadcast(count)).select(F.expr("(_k + _count - 1) % _count").alias("_before"), F.col("_first").alias("_next"), F.col("_first_print").alias("_next_print"))
     tails = ends.select("doc_id", "text", "fingerprint", "_k").join(heads, F.col("_k") == F.col("_before"))
@@ -119,11 +125,28 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
     return ready.where(~F.col("_last")).select(*columns).union(_compare(tails).select(*columns))
 
 
+def _parted(rows: DataFrame) -> DataFrame:
+    """Adds ``_part``: 0, but for blocks of over ``CROWD`` rows a number that rises with their order and that ``NEIGHBOURS`` rows share."""
+    crowded = write_table(rows.groupBy("_block").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CROWD).select("_block"), "crowded")
+    found = crowded.count()
+    if not found:
+        return rows.withColumn("_part", F.lit(0).cast("long"))
+    if found <= SOME:
+        crowded = F.broadcast(crowded)
+    apart = write_table(rows.join(crowded, "_block", "left_semi").withColumn("_row", F.monotonically_increasing_id()), "apart")
+    slim = apart.select("_row", "_block", "doc_id", F.xxhash64("text").alias("_hash"))
+    ranked = running(slim, [F.col("_block"), F.col("doc_id").asc_nulls_first(), F.col("_hash"), F.col("_row")], rank="_rank").select("_row", (F.floor(F.col("_rank") / NEIGHBOURS) + 1).alias("_part"))
+    others = rows.join(crowded, "_block", "left_anti").withColumn("_part", F.lit(0).cast("long"))
+    return others.unionByName(apart.join(ranked, "_row").drop("_row"))
+
+
 def _blocks(rows: DataFrame) -> Column:
-    """A number that rises with ``doc_id`` and is shared by about ``NEIGHBOURS`` documents; nulls: -1.
+    """A number that rises with ``doc_id`` and is shared by about ``NEIGHBOURS`` documents; nulls: -1. One for all, if ids aren't whole numbers.
 
     Ids are cut at ``SEGMENTS`` approximate quantiles, and evenly between those, so that gaps and dense stretches do no harm.
     """
+    if not isinstance(rows.schema["doc_id"].dataType, IntegralType):
+        return F.lit(0).cast("long")
     shares = [k / SEGMENTS for k in range(SEGMENTS + 1)]
     span = rows.agg(F.percentile_approx("doc_id", shares).alias("bounds"), F.count(F.lit(1)).alias("n")).first()
     bounds = span["bounds"] or [0] * (SEGMENTS + 1)

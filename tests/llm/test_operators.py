@@ -795,6 +795,21 @@ def test_fingerprints_equal_brute_force(spark, docs, texts):
         assert r["near_edited"] == pytest.approx(max(0.0, (same - 1 / 16) / (15 / 16)))
 
 
+@pytest.mark.parametrize("kind", ["null", "equal", "crowded", "strings"])
+def test_fingerprints_of_crowded_ids(spark, monkeypatch, kind):
+    monkeypatch.setattr(fingerprints, "CROWD", 40)
+    monkeypatch.setattr(fingerprints, "NEIGHBOURS", 16)
+    rng = random.Random(11)
+    key = {"null": lambda i: None if i % 10 else i, "equal": lambda i: 7 if i % 10 else i, "crowded": lambda i: 10**12 * (i % 3 == 0) + i, "strings": lambda i: f"d{i % 37}"}[kind]
+    data = [(key(i), " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(12))), "clash", "clash") for i in range(400)]
+    df = spark.createDataFrame(data, f"doc_id {'string' if kind == 'strings' else 'long'}, text string, _block string, fingerprint string")
+    order = sorted(((k is not None, k if k is not None else 0, (h := xxhash.xxh64_intdigest(t.encode(), 42)) - (h >> 63 << 64), t) for k, t, _, _ in data))
+    want = sorted((str(k) if some else "None", hashlib.sha256((t[: len(t) - len(t) // 2] + n[: len(t) // 2]).encode()).hexdigest()) for (some, k, _, t), (_, _, _, n) in zip(order, order[1:] + order[:1]))
+    got = fingerprints.fingerprint_report(df).collect()
+    assert sorted((str(r["doc_id"]), r["edited_sha256"]) for r in got) == want
+    assert all(r["fingerprint"] for r in got)
+
+
 def test_likeness_tracks_shared_shingles(spark):
     rng = random.Random(6)
     words = [str(rng.random()) for _ in range(1500)]
