@@ -79,22 +79,19 @@ def fair_queue(rows: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: int
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` for every document; ``size`` counts words."""
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    rows = write_table(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
     return fair_queue(rows, **options).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixed_copies(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with the columns of ``docs``.
+    """The mix itself: each document as often as it is taken, with the columns of ``docs``; copies follow each other.
 
-    Rows that share a ``doc_id`` are matched by their place among them, so a repeated row is weighed once a row.
+    Rows are numbered and written, and only their numbers, sources and sizes are sorted; whole texts move once, by number, so that
+    rows of one ``doc_id`` (or without) are rows like any other. A repeated row is weighed once a row.
     """
+    numbered = write_table(docs.withColumn(f"{T}number", F.monotonically_increasing_id()), "numbered")
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    keyed = docs.withColumns({f"{T}size": word_count(F.col("text")), f"{T}crc": crc})
-    place = Window.partitionBy("doc_id").orderBy(F.col("source").asc_nulls_last(), f"{T}size", f"{T}crc")
-    keyed = keyed.withColumn(f"{T}nth", F.row_number().over(place))
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), crc.alias(f"{T}crc"))
-    mixed = fair_queue(rows, ties=[f"{T}crc"], **options).withColumnRenamed("size", f"{T}size")
-    mixed = mixed.withColumn(f"{T}nth", F.row_number().over(place)).where(F.col("copies") > 0)
-    mixed = mixed.select(F.col("doc_id").alias(f"{T}id"), F.col(f"{T}nth").alias(f"{T}n"), F.col("copies").cast("int").alias(f"{T}copies"))
-    both = keyed.join(mixed, F.col("doc_id").eqNullSafe(F.col(f"{T}id")) & (F.col(f"{T}nth") == F.col(f"{T}n")))
+    rows = write_table(numbered.select("doc_id", "source", word_count(F.col("text")).alias("size"), crc.alias(f"{T}crc"), f"{T}number"), "sizes")
+    mixed = fair_queue(rows, ties=[f"{T}crc", f"{T}number"], **options).where(F.col("copies") > 0)
+    both = numbered.join(mixed.select(f"{T}number", F.col("copies").cast("int").alias(f"{T}copies")), f"{T}number")
     return both.withColumn(f"{T}copy", F.explode(F.sequence(F.lit(1), F.col(f"{T}copies")))).select(*docs.columns)

@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import small_batches, tidy
@@ -180,12 +180,13 @@ def duplicate_report(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """One document of each component, that with the least ``doc_id``; one row of equal ``doc_id``.
+    """One row of each component: that with the least ``doc_id``, of equal ones the first read.
 
-    Rows without a ``doc_id`` can't be named as copies and stay.
+    Rows go by their text's component, never by ``doc_id`` alone. Rows without a ``doc_id`` can't be named as copies and stay.
     """
-    found = near_duplicates(docs, shingle=shingle, distance=distance)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(f"{T}id")).distinct()
-    one = Window.partitionBy("doc_id").orderBy("text")
-    named = docs.join(kept, F.col("doc_id") == F.col(f"{T}id"), "left_semi").withColumn(f"{T}nth", F.row_number().over(one)).where(F.col(f"{T}nth") == 1)
-    return named.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    number = f"{T}number"
+    numbered = write_table(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(numbered.where("doc_id is not null"), number, shingle=shingle, distance=distance)
+    named = found.join(numbered.select(number, "doc_id"), number)
+    kept = named.groupBy("component_id").agg(F.min(F.struct("doc_id", number)).alias("least")).select(F.col(f"least.{number}").alias(number))
+    return numbered.join(kept.union(numbered.where("doc_id is null").select(number)), number, "left_semi").select(*docs.columns)

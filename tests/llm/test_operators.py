@@ -385,6 +385,13 @@ def test_links_survive_parting(spark):
         assert {s: found.get(s, s) for s in signed} == want
 
 
+def test_dedup_drops_by_text_not_by_key(spark):
+    long = " ".join(f"w{i}" for i in range(90))
+    rows_ = [(1, long), (2, long), (2, "nobody's copy of anything"), (3, "nobody's copy of anything"), (None, long), (2, "x")]
+    kept = simhash_dedup.drop_near_duplicates(spark.createDataFrame(rows_, "doc_id long, text string"))
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted([(1, long), (2, "nobody's copy of anything"), (0, long), (2, "x")])
+
+
 def test_dedup_keeps_one_of_each(spark, docs):
     some = docs.limit(30).union(docs.limit(10)).union(spark.createDataFrame([(None, "x y z", "en", None, 5)], DOCS))
     kept = simhash_dedup.drop_near_duplicates(some)
@@ -745,6 +752,17 @@ def test_mix_meets_targets(spark, docs):
     assert words == got["taken"].sum() <= got["size"].sum()
 
 
+def test_mix_of_one_key(spark):
+    """Rows of one key, or without, are mixed like any other."""
+    data = [(None if i % 2 else 4, f"w{i} " * (i % 9 + 1), "en", f"s{i % 3}", 1) for i in range(300)]
+    df = spark.createDataFrame(data, DOCS)
+    copies = mixing.mixed_copies(df)
+    words = copies.groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).collect()
+    targets = {r["source"]: r["target"] for r in mixing.fair_queue(df.withColumn("size", mixing.word_count(F.col("text")))).select("source", "target").distinct().collect()}
+    assert all(abs(r["n"] - targets[r["source"]]) <= 18 for r in words)
+    assert copies.groupBy("text").count().agg(F.max("count")).first()[0] <= 3
+
+
 def test_mix_odd_rows(spark):
     df = frame(spark, [None, "", "a b", "a b", "c"], extra=True)
     both = df.union(df)
