@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rillwork.llm import mixing, simhash_dedup
+from rillwork.llm import mixing
 
-from .test_operators import brute_components, slow_fingerprint
+from .test_jaccard_dedup import slow_kept
 
 
 @pytest.fixture(scope="module")
@@ -30,9 +30,11 @@ def test_language_stage_keeps_clean_documents(steps):
 
 
 def test_dedup_stage_keeps_the_least_of_each_component(steps):
-    prints = {r["doc_id"]: slow_fingerprint(r["text"]) for r in steps[1].collect()}
-    assert sorted(r["doc_id"] for r in steps[2].collect()) == sorted(set(brute_components(prints).values()))
-    assert simhash_dedup.duplicate_report(steps[2]).select("component_id").distinct().count() == steps[2].count()
+    blank = lambda t: not (t or "").strip(" \t\n\x0b\f\r")
+    texts = {r["doc_id"]: r["text"] for r in steps[1].collect()}
+    without = [k for k, t in texts.items() if blank(t)]
+    want = sorted(slow_kept({k: t for k, t in texts.items() if not blank(t)}) + sorted(without)[:1])
+    assert sorted(r["doc_id"] for r in steps[2].collect()) == want
 
 
 def test_pii_stage_keeps_rows(steps):
@@ -51,3 +53,17 @@ def test_encode_stage_is_lossless(steps):
 
 def test_run(spark, sf_dir, steps):
     assert corpus_pipeline.run(spark, sf_dir).count() == steps[5].count()
+
+
+@pytest.mark.parametrize("repeats", [0, 1, 3])
+def test_run_over_odd_rows(spark, sf_dir, tmp_path, repeats):
+    """From end to end: nulls in any column, blank and long texts, repeated rows and keys, clashing columns, and an empty table."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = [(None, None, None, None, None), (1, None, "en", "s", 0), (1, "", None, None, 0), (None, "the of and to in is was " * 20, "en", None, 9), (2, "the of and to in is was " * 30_000, "en", "s", None)]
+    some = docs.limit(20).union(spark.createDataFrame(odd, docs.schema)).withColumns({c: F.lit("clash") for c in ("size", "rank", "ids", "grams", "component")})
+    all_ = some.limit(0)
+    for _ in range(repeats):
+        all_ = all_.union(some)
+    all_.write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert bool(got) == bool(repeats) and all(r["round_trip"] for r in got if r["ids"] is not None)
