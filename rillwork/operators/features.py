@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -78,12 +79,13 @@ def rainfall_block(daily: DataFrame, lam: float, frequency: str = "daily", value
     return trim(out, start, end, time) if start and end else out
 
 
-def running_memory(df: DataFrame, value: str, keep: float = 0.9, by: Sequence[str] = ("station",), time: str = "day", rows: int = 256) -> DataFrame:
+def running_memory(df: DataFrame, value: str, keep: float = 0.9, by: Sequence[str] = ("station",), time: str = "day", lost: float = 1e-12) -> DataFrame:
     """Adds ``memory``: ``keep * memory + (1 - keep) * value`` from 0 on.
 
-    Folded over the last ``rows`` rows; older ones weigh less than ``keep ** rows`` (2e-12 by default), so a window of fixed
+    Folded over as many of the last rows as hold all but ``lost`` of the weight (263 for 0.9, 2,750 for 0.99), so a window of fixed
     size stands for the whole past.
     """
+    rows = max(1, math.ceil(math.log(lost) / math.log(keep))) if 0 < keep < 1 else 1
     w = Window.partitionBy(*by).orderBy(time).rowsBetween(-(rows - 1), 0)
     past = F.collect_list(value).over(w)
     return df.withColumn("memory", F.aggregate(past, F.lit(0.0), lambda m, x: keep * m + (1 - keep) * x))

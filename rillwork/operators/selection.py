@@ -76,27 +76,25 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return ranked.agg(correlation("rx", "ry").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
-def mantel(pairs: DataFrame, x: str, y: str, permutations: int = 999, seed: int = 55) -> tuple[float, float]:
-    """Correlation of two distance tables (``a, b, x, y``) and its one-sided permutation p-value.
+def mantel(near: DataFrame, far: DataFrame, permutations: int = 999, seed: int = 55) -> DataFrame:
+    """One row ``r, p``: correlation of two distance tables (``a, b, distance``) of the same stations, and how often a renaming does as well.
 
-    The square matrices of a station table go to the driver, where stations are renamed at random.
+    A renaming gives each station, in order of name, that of equal place in the order of an MD5 of seed, number and name. All renamings are rows of
+    one table, so one join and one aggregation correlate the pairs under each; number 0 leaves the names as they are.
     """
-    rows = pairs.select("a", "b", x, y).collect()  # one row a pair of stations
-    names = sorted({r["a"] for r in rows} | {r["b"] for r in rows})
-    at = {n: i for i, n in enumerate(names)}
-    left, right = np.zeros((len(names),) * 2), np.zeros((len(names),) * 2)
-    for r in rows:
-        i, j = at[r["a"]], at[r["b"]]
-        left[i, j] = left[j, i] = r[x]
-        right[i, j] = right[j, i] = r[y]
-    upper = np.triu_indices(len(names), 1)
-    observed = float(np.corrcoef(left[upper], right[upper])[0, 1])
-    draw = np.random.default_rng(seed)
-    count = 0
-    for _ in range(permutations):
-        p = draw.permutation(len(names))
-        count += np.corrcoef(left[upper], right[np.ix_(p, p)][upper])[0, 1] >= observed - 1e-12
-    return observed, (count + 1) / (permutations + 1)
+    names = near.select(F.col("a").alias("station")).union(near.select("b")).distinct()
+    numbers = names.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(permutations))))
+    said = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("turn").cast("string"), "station").cast("binary"))
+    place = lambda *order: F.row_number().over(Window.partitionBy("turn").orderBy(*order))
+    old = numbers.select("turn", "station", place("station").alias("k"))
+    new = numbers.select("turn", F.col("station").alias("other"), place(F.when(F.col("turn") == 0, "").otherwise(said), "station").alias("k"))
+    renamed = old.join(new, ["turn", "k"])
+    ends = {c: renamed.select("turn", F.col("station").alias(c), F.col("other").alias(f"new_{c}")) for c in "ab"}
+    both_ways = far.select(F.col("a").alias("new_a"), F.col("b").alias("new_b"), F.col("distance").alias("far")).union(far.select("b", "a", "distance"))
+    pairs = near.join(ends["a"], "a").join(ends["b"], ["turn", "b"]).join(both_ways, ["new_a", "new_b"])
+    each = pairs.groupBy("turn").agg(correlation("distance", "far").alias("c"))
+    seen = each.agg(F.max(F.when(F.col("turn") == 0, F.col("c"))).alias("r"), F.collect_list("c").alias("all"))  # a number a renaming
+    return seen.select("r", (F.size(F.filter("all", lambda c: c >= F.col("r") - 1e-12)) / F.lit(permutations + 1.0)).alias("p"))
 
 
 def two_validations(near: DataFrame, far: DataFrame, buffer: float = 5.0, floor: float = 3.0, relax: float = 0.6) -> DataFrame:

@@ -118,12 +118,12 @@ def m07_u05_split_faults(spark: SparkSession, d: str) -> DataFrame:
     return preparation.split_faults(_splits(spark, d), table(spark, d, "supplier").withColumnRenamed("s_name", "station"))
 
 
-@query(f"""WITH {_SPLIT}, f AS (SELECT l_suppkey AS node_id, CAST(l_shipdate AS DATE) AS day, avg(l_quantity) AS q FROM lineitem WHERE l_shipdate BETWEEN '1996-01-01' AND '1996-03-31' GROUP BY ALL),
+@query(f"""WITH {_SPLIT}, f AS (SELECT l_suppkey AS node_id, CAST(l_shipdate AS DATE) AS day, avg(l_quantity) AS q FROM lineitem GROUP BY ALL),
   g AS (SELECT *, CASE WHEN dayofyear(day) % 4 > 0 THEN q END AS target, CASE WHEN dayofyear(day) % 7 = 0 THEN 1.0 ELSE 0.0 END AS masked FROM f)
 SELECT node_id, day, round(CASE WHEN split IN ('val', 'test') AND target IS NULL THEN -999.0 ELSE q END, 6) AS q, round(coalesce(target, 0), 6) AS y, split = 'train' AS train, split = 'val' AS val, split = 'test' AS test,
   split = 'train' AND target IS NOT NULL AND masked <= 0.5 AS train_effective, split = 'val' AND target IS NOT NULL AND masked <= 0.5 AS val_effective, split = 'test' AND target IS NOT NULL AND masked <= 0.5 AS test_effective FROM g JOIN named USING (node_id)""")
 def m08_m09_d13_snapshot_masks(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").where(F.col("l_shipdate").between("1996-01-01", "1996-03-31"))
+    li = table(spark, d, "lineitem")
     rows = li.groupBy(F.col("l_suppkey").alias("node_id"), F.to_date("l_shipdate").alias("day")).agg(F.avg("l_quantity").alias("q"))
     rows = rows.withColumns({"target": F.when(F.dayofyear("day") % 4 > 0, F.col("q")), "masked": F.when(F.dayofyear("day") % 7 == 0, 1.0).otherwise(0.0)})
     nodes = table(spark, d, "supplier").select(F.col("s_name").alias("station"), F.col("s_suppkey").alias("node_id"))
@@ -137,9 +137,9 @@ def m10_node_means(spark: SparkSession, d: str) -> DataFrame:
     return preparation.node_means(rows, "value", "mean").select("node_id", r("mean"), "idx")
 
 
-@query("WITH f AS (SELECT CAST(l_shipdate AS DATE) AS day, l_suppkey, round(avg(l_quantity), 6) AS q FROM lineitem WHERE l_shipdate BETWEEN '1996-01-01' AND '1996-01-31' GROUP BY ALL) SELECT day, count(*) AS n, min(l_suppkey) AS first, max(l_suppkey) AS last FROM f GROUP BY day")
+@query("WITH f AS (SELECT CAST(l_shipdate AS DATE) AS day, l_suppkey, round(avg(l_quantity), 6) AS q FROM lineitem GROUP BY ALL) SELECT day, count(*) AS n, min(l_suppkey) AS first, max(l_suppkey) AS last FROM f GROUP BY day")
 def m11_d13_snapshots(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").where(F.col("l_shipdate").between("1996-01-01", "1996-01-31"))
+    li = table(spark, d, "lineitem")
     rows = li.groupBy(F.to_date("l_shipdate").alias("day"), F.col("l_suppkey").alias("node_id")).agg(F.avg("l_quantity").alias("q"))
     out = preparation.snapshots(rows, ["q"])
     return out.select("day", F.size("nodes").cast("long").alias("n"), F.element_at("nodes", 1)["node_id"].alias("first"), F.element_at("nodes", -1)["node_id"].alias("last"))

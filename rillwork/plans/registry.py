@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.config import shared_root
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -35,10 +36,10 @@ def r(c: str | Column, digits: int = 6) -> Column:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut in the cluster's checkpoint folder; where none is set (local tests), in a temporary one."""
+    """``df`` with its lineage cut in the cluster's checkpoint folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="rillwork-"))
+        context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint()
 
 

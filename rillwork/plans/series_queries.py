@@ -368,18 +368,21 @@ def a16_wide_area(spark: SparkSession, d: str) -> DataFrame:
     return donors.wide_area(stations(spark, d), 8000.0)
 
 
-# donors: the six long series at made-up places
+# donors: all readings, folded into so many stations at made-up places, each with two days in eleven missing
 _PLACES = "places AS (SELECT station, row_number() OVER (ORDER BY station) * 700.0 AS easting, 100.0 AS northing FROM (SELECT DISTINCT station FROM daily))"
 _SCORES = f"""{_PLACES}, {_CORR.format(n=3, t='daily')},
   pairs AS (SELECT c.a, c.b, CASE WHEN r IS NULL OR r = 0 THEN 0 ELSE r * exp(-0.05 * round_even(abs(p.easting - q.easting), 2) / 1000) END AS score FROM corrs c JOIN places p ON c.a = p.station JOIN places q ON c.b = q.station),
   scores AS (SELECT a AS station, b AS donor, score FROM pairs WHERE score >= 0.3 UNION ALL SELECT b, a, score FROM pairs WHERE score >= 0.3)"""
-_SOME = DAILY.replace("FROM readings GROUP BY ALL)", "FROM readings WHERE CAST(substr(station, 2) AS INTEGER) < 40 GROUP BY ALL)")
+_SOME = """readings AS (SELECT 'u' || user_id % 40 AS station, ts, value FROM events), every_day AS (SELECT station, CAST(ts AS DATE) AS day, avg(value) AS value FROM readings GROUP BY ALL),
+  daily AS (SELECT * FROM every_day WHERE (dayofyear(day) + CAST(substr(station, 2) AS INTEGER)) % 11 >= 2)"""
 _SOME_REGULAR = _SOME + REGULAR[len(DAILY):]
 
 
-def _some(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Forty stations' daily series and their donor scores."""
-    rows = daily(spark, d).where(F.substring("station", 2, 20).cast("int") < 40)
+def _some(spark: SparkSession, d: str, n: int = 40) -> tuple[DataFrame, DataFrame]:
+    """Daily series of all readings, at ``n`` stations with missing days, and their donor scores."""
+    at = F.col("user_id") % n
+    every_day = table(spark, d, "events").groupBy(F.concat(F.lit("u"), at.cast("string")).alias("station"), F.to_date("ts").alias("day")).agg(F.avg("value").alias("value"))
+    rows = every_day.where((F.dayofyear("day") + F.substring("station", 2, 20).cast("int")) % 11 >= 2)
     places = rows.select("station").distinct().withColumn("easting", F.row_number().over(Window.orderBy("station")) * 700.0).withColumns({"northing": F.lit(100.0), "lat": F.lit(0.0), "lon": F.lit(0.0)})
     scores = donors.donor_scores(donors.station_distances(places, 1e9), donors.pair_correlations(rows, 3))
     return rows, scores
@@ -479,11 +482,18 @@ def t22_t23_ablation(spark: SparkSession, d: str) -> DataFrame:
     return metrics.pivoted(parts, "gap_days", "method", ["linear", "pchip", "spline"], "mae")
 
 
-@query("SELECT CAST(l_shipdate AS DATE) AS day, round(sum(l_quantity) * 86400, 2) AS flow FROM lineitem WHERE l_shipdate BETWEEN '1996-01-01' AND '1996-12-31' GROUP BY ALL")
+@query("""WITH f AS (SELECT CAST(l_shipdate AS DATE) AS day, CASE WHEN dayofyear(l_shipdate) % 151 <> 0 THEN sum(l_quantity) * 86400 END AS flow FROM lineitem GROUP BY l_shipdate),
+  cal AS (SELECT DATE '1992-01-01' + CAST(i AS INTEGER) AS day, i FROM range(2600) t(i)), j AS (SELECT c.day, c.i, f.flow FROM cal c LEFT JOIN f USING (day)),
+  k AS (SELECT *, avg(CASE WHEN flow IS NULL THEN 1.0 ELSE 0.0 END) OVER () < 0.2 AS few, last_value(flow IGNORE NULLS) OVER p AS pv, last_value(CASE WHEN flow IS NOT NULL THEN i END IGNORE NULLS) OVER p AS pi,
+      first_value(flow IGNORE NULLS) OVER n AS nv, first_value(CASE WHEN flow IS NOT NULL THEN i END IGNORE NULLS) OVER n AS ni FROM j
+    WINDOW p AS (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), n AS (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT day, round(CASE WHEN flow IS NOT NULL OR NOT few THEN flow WHEN pv IS NULL OR nv IS NULL THEN coalesce(pv, nv) ELSE pv + (i - pi)::DOUBLE / (ni - pi) * (nv - pv) END, 2) AS flow FROM k""")
 def t16_streamflow(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").where(F.col("l_shipdate").between("1996-01-01", "1996-12-31"))
-    flow = li.groupBy(F.col("l_shipdate").alias("day")).agg(F.sum("l_quantity").alias("flow"))
-    return features.streamflow_block(flow, 366, "1996-01-01").where(F.col("flow").isNotNull()).select("day", r("flow", 2))
+    """All years, with a few days missing, which are filled along the line."""
+    li = table(spark, d, "lineitem")
+    flow = li.groupBy(F.to_date("l_shipdate").alias("day")).agg(F.sum("l_quantity").alias("flow"))
+    flow = flow.withColumn("flow", F.when(F.dayofyear("day") % 151 != 0, F.col("flow")))
+    return features.streamflow_block(flow, 2600, "1992-01-01", threshold=0.2).select("day", r("flow", 2))
 
 
 @query(f"""WITH {SERIES}, c AS (SELECT dayofyear(day) AS doy, avg(value) AS m FROM series WHERE station = 'AF' AND day >= '1993-03-01' AND day < '1999-03-01' GROUP BY ALL)
@@ -494,6 +504,6 @@ def t20_q07_seasonal_fix(spark: SparkSession, d: str) -> DataFrame:
 
 @query(name="t12b_impute_in_order")
 def t12b_impute_in_order(spark: SparkSession, d: str) -> DataFrame:
-    rows, scores = _some(spark, d)
-    order = [x["station"] for x in scores.select("station").distinct().orderBy("station").limit(3).collect()]  # a queue of stations
+    rows, scores = _some(spark, d, 6)
+    order = [x["station"] for x in scores.select("station").distinct().orderBy("station").collect()]  # a row a station
     return donors.impute_in_order(_regular(rows), scores, order, saved).select("station", "day", r("value"), "data_type")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,12 +10,11 @@ from pyspark.sql import functions as F
 
 from ..operators import preparation, spatial
 from ..sources import config, sinks, tables
-from .registry import READINGS, STATIONS, query, r, readings, stations, table
+from .registry import READINGS, STATIONS, query, r, readings, shared_root, stations, table
 
 
 def _place(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="rillwork-")
-    return f"{root.rstrip('/')}/sources/{uuid.uuid4().hex}/{name}"
+    return f"{shared_root(spark)}/sources/{uuid.uuid4().hex}/{name}"
 
 
 @query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
@@ -25,14 +24,23 @@ def s01_k01_csv(spark: SparkSession, d: str) -> DataFrame:
     return tables.read_csv(spark, place, "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double", columns=["s_suppkey", "s_name", "s_acctbal"])
 
 
-@query("SELECT 'n' || n_regionkey || '_trimmed.csv' AS file, n_nationkey, n_name FROM nation WHERE n_regionkey < 2")
+@query("SELECT 'n' || n_regionkey || CASE WHEN n_nationkey < 12 THEN 'a' ELSE 'b' END || '_trimmed.csv' AS file, n_nationkey, n_name FROM nation")
 def s02_k02_folder_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Files named by region, one appended after another; the scan takes those with the suffix."""
+    """A folder of a file a region and half, appended one after another; the scan takes all with the suffix, and no others."""
     place, n = _place(spark, "nations"), table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    for k in (0, 1):
-        sinks.write_csv(n.where(F.col("n_regionkey") == k).coalesce(1), f"{place}/n{k}_trimmed.csv")
-    parts = [tables.read_csv(spark, f"{place}/n{k}_trimmed.csv", "n_nationkey int, n_name string, n_regionkey int").withColumn("file", F.lit(f"n{k}_trimmed.csv")) for k in (0, 1)]
-    return parts[0].unionByName(parts[1]).select("file", "n_nationkey", "n_name")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(place).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    named = set()
+    for k in range(5):
+        for half, rows in (("a", n.where("n_nationkey < 12")), ("b", n.where("n_nationkey >= 12"))):
+            sinks.write_csv(rows.where(F.col("n_regionkey") == k).coalesce(1), place, append=True)
+            for found in files.listStatus(path(place)):
+                name = found.getPath().getName()
+                if name.endswith(".csv") and name not in named:
+                    named.add(f"n{k}{half}_trimmed.csv")
+                    files.rename(found.getPath(), path(f"{place}/n{k}{half}_trimmed.csv"))
+    sinks.write_csv(n, f"{place}/other")
+    return tables.read_many(spark, place, "n_nationkey int, n_name string, n_regionkey int").select("file", "n_nationkey", "n_name")
 
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderstatus = 'F'")
@@ -68,10 +76,10 @@ def s16_grid_sampling(spark: SparkSession, d: str) -> DataFrame:
     return asked.join(grid, ["ix", "iy"]).select("station", "value")
 
 
-@query(f"WITH {READINGS} SELECT replace(lower(trim(' ' || upper(station) || ' ')), ' ', '_') AS station, ts, CASE WHEN event_id % 6 > 0 THEN value END AS value, quality FROM readings WHERE event_id < 500")
+@query(f"WITH {READINGS} SELECT replace(lower(trim(' ' || upper(station) || ' ')), ' ', '_') AS station, ts, CASE WHEN event_id % 6 > 0 THEN value END AS value, quality FROM readings")
 def s19_d02_readings(spark: SparkSession, d: str) -> DataFrame:
     """Raw readings as CSV with NaN, read by the library's schema."""
-    e = readings(spark, d).where("event_id < 500")
+    e = readings(spark, d)
     raw = e.select(F.concat(F.lit(" "), F.upper("station"), F.lit(" ")).alias("station_name"), F.to_date("ts").cast("string").alias("date"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("dateTime"), F.when(F.col("event_id") % 6 > 0, F.col("value")).otherwise(float("nan")).alias("value"), "quality", F.lit("m").alias("measure"))
     place = _place(spark, "readings")
     sinks.write_csv(raw, place)
@@ -113,3 +121,42 @@ def s12_s13_own_month(spark: SparkSession, d: str) -> DataFrame:
     file = F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % 5 + 1).cast("int"))
     rows = table(spark, d, "events").select("event_id", F.col("ts").alias("time"), F.concat(F.lit("/landed/"), file).alias("file"))
     return tables.of_own_month(rows, prefix="rain").select("event_id", "time")
+
+
+@query("SELECT 'n' || n_nationkey || '_superficial.geojson' AS file, n_name AS name, (n_nationkey * 10)::DOUBLE AS west FROM nation WHERE n_regionkey IN (0, 1)")
+def s18_vector_folders(spark: SparkSession, d: str) -> DataFrame:
+    """A file a nation in a folder a region; the scan takes folders by name, files by suffix, and outlives a broken file."""
+    place, n = _place(spark, "geology"), table(spark, d, "nation").collect()  # 25 rows
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(place).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def put(name: str, text: str) -> None:
+        out = files.create(path(f"{place}/{name}"))
+        out.write(bytearray(text.encode()))
+        out.close()
+
+    for x in n:
+        w = x["n_nationkey"] * 10.0
+        ring = [[w, 0.0], [w + 10, 0.0], [w + 10, 5.0], [w, 0.0]]
+        shape = {"features": [{"properties": {"name": x["n_name"]}, "geometry": {"type": "Polygon", "coordinates": [ring]}}]}
+        put(f"{('ew', 'sc')[x['n_regionkey'] % 2] if x['n_regionkey'] < 2 else 'zz'}_{x['n_regionkey']}/n{x['n_nationkey']}_superficial.geojson", json.dumps(shape))
+    put("ew_0/broken_superficial.geojson", "{")
+    put("ew_0/n0_bedrock.geojson", "{}")
+    return tables.read_vectors(spark, place, "(ew|sc).*", "_superficial.geojson", ["name"]).select("file", "name", F.col("ring")[0]["x"].alias("west"))
+
+
+@query("SELECT p_brand AS name, CAST(max(p_size) AS VARCHAR) AS value FROM part GROUP BY p_brand")
+def k09_parameters(spark: SparkSession, d: str) -> DataFrame:
+    """Fitted twice: what was written last is read."""
+    place, fitted = _place(spark, "parameters"), table(spark, d, "part").groupBy(F.col("p_brand").alias("name"))
+    sinks.write_parameters(fitted.agg(F.min("p_size").alias("value")), place)
+    sinks.write_parameters(fitted.agg(F.max("p_size").alias("value")), place)
+    return sinks.read_parameters(spark, place)
+
+
+@query("SELECT l_partkey % 50 AS src, count(DISTINCT l_suppkey % 50) AS n FROM lineitem GROUP BY ALL")
+def s21_edge_table(spark: SparkSession, d: str) -> DataFrame:
+    """Edges stored and read as a table, where others store arrays of pairs."""
+    place = _place(spark, "edges")
+    sinks.write_parquet(table(spark, d, "lineitem").select((F.col("l_partkey") % 50).alias("src"), (F.col("l_suppkey") % 50).alias("dst")).distinct(), place)
+    return spark.read.parquet(place).groupBy("src").agg(F.count(F.lit(1)).alias("n"))

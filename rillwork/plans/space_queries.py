@@ -44,6 +44,13 @@ def g13_j10_snap(spark: SparkSession, d: str) -> DataFrame:
     return spatial.snap(stations(spark, d).select("station", "easting", "northing"), _mesh(spark)).select("station", "node_id", "easting", "northing")
 
 
+@query(f"WITH {_MESH}, {STATIONS} SELECT m.node_id, count(s.station) AS n FROM mesh m LEFT JOIN stations s ON s.easting >= m.easting - 500 AND s.easting < m.easting + 500 AND s.northing >= m.northing - 500 AND s.northing < m.northing + 500 GROUP BY ALL")
+def j11_mesh_contains(spark: SparkSession, d: str) -> DataFrame:
+    """Stations in each mesh cell, by the cell that their place names."""
+    at = stations(spark, d).select("station", spatial.cell(F.col("easting"), 1000.0).alias("ix"), spatial.cell(F.col("northing"), 1000.0).alias("iy"))
+    return _mesh(spark).join(at, ["ix", "iy"], "left").groupBy("node_id").agg(F.count("station").alias("n"))
+
+
 @query(f"WITH {_MESH} SELECT a.node_id AS src, b.node_id AS dst FROM mesh a JOIN mesh b ON abs(a.ix - b.ix) <= 1 AND abs(a.iy - b.iy) <= 1 AND a.node_id <> b.node_id")
 def j12_touching(spark: SparkSession, d: str) -> DataFrame:
     return spatial.touching(_mesh(spark))
@@ -132,11 +139,11 @@ def s15_mosaic(spark: SparkSession, d: str) -> DataFrame:
     return spatial.mosaic([p.where("p_partkey % 3 > 0"), p.withColumn("value", F.lit(-1.0))])
 
 
-_CUBE = "cube AS (SELECT CAST(l_shipdate AS DATE) AS time, 54 + l_suppkey % 10 * 0.1::DOUBLE AS lat, CAST(l_suppkey // 10 AS INTEGER) AS lon, avg(l_quantity) AS value FROM lineitem WHERE l_shipdate BETWEEN '1996-01-01' AND '1996-06-30' GROUP BY ALL)"
+_CUBE = "cube AS (SELECT CAST(l_shipdate AS DATE) AS time, 54 + l_suppkey % 10 * 0.1::DOUBLE AS lat, CAST(l_suppkey // 10 AS INTEGER) AS lon, avg(l_quantity) AS value FROM lineitem GROUP BY ALL)"
 
 
 def _cube(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").where(F.col("l_shipdate").between("1996-01-01", "1996-06-30"))
+    li = table(spark, d, "lineitem")
     return li.groupBy(F.to_date("l_shipdate").alias("time"), (54 + F.col("l_suppkey") % 10 * 0.1).alias("lat"), F.floor(F.col("l_suppkey") / 10).cast("int").alias("lon")).agg(F.avg("l_quantity").alias("value"))
 
 
@@ -232,8 +239,11 @@ def w17_persistence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").where("vec_id < 40")
-    return e.select(F.concat(F.lit("v"), F.lpad(F.col("vec_id").cast("string"), 2, "0")).alias("station"), F.transform(F.slice("embedding", 1, 6), lambda x: x.cast("double")).alias("features"))
+    """A station for each label: the mean of all its vectors, in all components."""
+    e = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
+    means = e.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    whole = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("features"))
+    return whole.select(F.concat(F.lit("v"), F.col("label").cast("string")).alias("station"), "features")
 
 
 def _embeddings(spark: SparkSession, d: str) -> DataFrame:
@@ -241,7 +251,10 @@ def _embeddings(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.format_string("v%02d", F.col("vec_id").cast("long")).alias("station"), F.transform("embedding", lambda x: x.cast("double")).alias("features"))
 
 
-_VEC = "v AS (SELECT 'v' || lpad(CAST(vec_id AS VARCHAR), 2, '0') AS station, list_transform(embedding[1:6], lambda x: x::DOUBLE) AS f FROM embeddings WHERE vec_id < 40), dist AS (SELECT a.station AS a, b.station AS b, sqrt(list_sum(list_transform(range(1, 7), lambda i: pow(a.f[i] - b.f[i], 2)))) AS distance FROM v a JOIN v b ON a.station < b.station)"
+_VEC = """means AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) t(i) GROUP BY ALL), v AS (SELECT 'v' || label AS station, list(m ORDER BY i) AS f FROM means GROUP BY label),
+  dist AS (SELECT a.station AS a, b.station AS b, sqrt(list_sum(list_transform(range(1, 65), lambda i: pow(a.f[i] - b.f[i], 2)))) AS distance FROM v a JOIN v b ON a.station < b.station)"""
+_FAR = """s AS (SELECT 'v' || node_id % 10 AS station, avg(easting) AS easting, avg(northing) AS northing FROM stations GROUP BY ALL),
+  far AS (SELECT a.station AS a, b.station AS b, sqrt(pow(a.easting - b.easting, 2) + pow(a.northing - b.northing, 2)) / 1000 AS km FROM s a JOIN s b ON a.station < b.station)"""
 
 
 @query(f"WITH {_VEC} SELECT a, b, round(distance, 6) AS distance FROM dist")
@@ -256,13 +269,13 @@ def g19_spearman(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _far(spark: SparkSession, d: str) -> DataFrame:
-    s = stations(spark, d).where("node_id < 40").select(F.concat(F.lit("v"), F.lpad(F.col("node_id").cast("string"), 2, "0")).alias("station"), "easting", "northing")
+    """Distances between the labels' places: each the centre of a tenth of all suppliers."""
+    s = stations(spark, d).groupBy(F.concat(F.lit("v"), (F.col("node_id") % 10).cast("string")).alias("station")).agg(F.avg("easting").alias("easting"), F.avg("northing").alias("northing"))
     a, b = (s.select(F.col("station").alias(k), F.col("easting").alias(f"x{k}"), F.col("northing").alias(f"y{k}")) for k in "ab")
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", (S.planar(F.col("xa"), F.col("ya"), F.col("xb"), F.col("yb")) / 1000).alias("km"))
 
 
-@query(f"""WITH {_VEC}, {STATIONS}, s AS (SELECT 'v' || lpad(CAST(node_id AS VARCHAR), 2, '0') AS station, easting, northing FROM stations WHERE node_id < 40),
-  far AS (SELECT a.station AS a, b.station AS b, sqrt(pow(a.easting - b.easting, 2) + pow(a.northing - b.northing, 2)) / 1000 AS km FROM s a JOIN s b ON a.station < b.station),
+@query(f"""WITH {_VEC}, {STATIONS}, {_FAR},
   j AS (SELECT a AS test, b AS validation, distance, km FROM dist JOIN far USING (a, b) UNION ALL SELECT b, a, distance, km FROM dist JOIN far USING (a, b)),
   c AS (SELECT *, count(*) FILTER (km >= 7) OVER (PARTITION BY test) AS n FROM j)
 SELECT test, validation, row_number() OVER (PARTITION BY test ORDER BY distance, validation) AS rank FROM c WHERE km >= CASE WHEN n >= 2 THEN 7 ELSE 4.2 END QUALIFY rank <= 2""")
@@ -286,17 +299,20 @@ def g18_principal(spark: SparkSession, d: str) -> DataFrame:
     return selection.principal(_embeddings(spark, d))
 
 
-@query(name="g19_mantel")
+@query(f"""WITH {_VEC}, {STATIONS}, {_FAR}, y AS (SELECT a, b, km FROM far UNION ALL SELECT b, a, km FROM far), names AS (SELECT station, row_number() OVER (ORDER BY station) AS k FROM v),
+  drawn AS (SELECT i, station, row_number() OVER (PARTITION BY i ORDER BY md5('55:' || i || ':' || station), station) AS k FROM names, range(1, 200) t(i)),
+  renamed AS (SELECT d.i, n.station, d.station AS other FROM drawn d JOIN names n USING (k) UNION ALL SELECT 0, station, station FROM names),
+  r AS (SELECT p.i, corr(x.distance, y.km) AS r FROM dist x JOIN renamed p ON p.station = x.a JOIN renamed q ON q.i = p.i AND q.station = x.b JOIN y ON y.a = p.other AND y.b = q.other GROUP BY p.i)
+SELECT round((SELECT r FROM r WHERE i = 0), 8) AS r, round(count(*) FILTER (WHERE r >= (SELECT r FROM r WHERE i = 0) - 1e-12) / 200.0, 6) AS p FROM r""")
 def g19_mantel(spark: SparkSession, d: str) -> DataFrame:
-    pairs = selection.vector_distances(_vectors(spark, d)).join(_far(spark, d), ["a", "b"])
-    rho, p = selection.mantel(pairs, "distance", "km", 199)
-    return spark.createDataFrame([(round(float(rho), 8), round(float(p), 6))], "r double, p double")
+    out = selection.mantel(selection.vector_distances(_vectors(spark, d)), _far(spark, d).withColumnRenamed("km", "distance"), 199)
+    return out.select(r("r", 8), r("p"))
 
 
 @query(name="g21_k_centres")
 def g21_k_centres(spark: SparkSession, d: str) -> DataFrame:
     near, far = selection.vector_distances(_vectors(spark, d)), _far(spark, d)
-    chosen = selection.k_centres(near, far, 5, "v00")
+    chosen = selection.k_centres(near, far, 5, "v0")
     out = selection.coverage(near, chosen)
     return out.select(F.lit(",".join(chosen)).alias("centres"), r("r_max"), r("r_95"))
 
@@ -306,3 +322,11 @@ def g01_g02_projection(spark: SparkSession, d: str) -> DataFrame:
     """Stations on the grid, to degrees and back."""
     places = stations(spark, d).select("station", (F.col("easting") + 300000).alias("easting"), (F.col("northing") + 500000).alias("northing"))
     return projection.with_grid(projection.with_lat_lon(places).select("station", "lat", "lon")).select("station", r("lat", 7), r("lon", 7), r("easting", 0), r("northing", 0))
+
+
+@query(name="g04_bounding_box")
+def g04_bounding_box(spark: SparkSession, d: str) -> DataFrame:
+    """The box around all stations, in degrees."""
+    e = stations(spark, d).agg(F.min("easting"), F.min("northing"), F.max("easting"), F.max("northing")).first()
+    box = projection.bounding_box(((e[0] + 300000, e[1] + 500000), (e[2] + 300000, e[3] + 500000)))
+    return spark.createDataFrame([tuple(round(x, 7) for x in box)], "north double, west double, south double, east double")

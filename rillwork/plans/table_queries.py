@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import assembly, calendars, metrics
+from ..operators import assembly, calendars, metrics, preparation
 from ..sources import tables as sources
-from .registry import DAILY, RAIN, READINGS, STATIONS, daily, query, r, rain, readings, stations, table
+from .registry import DAILY, RAIN, READINGS, STATIONS, daily, query, r, rain, readings, saved, stations, table
 
 
 @query("SELECT n_nationkey, replace(lower(trim(n_name)), ' ', '_') AS name, upper(n_name) AS loud, 'Station ' || upper(n_name[1]) || lower(n_name[2:]) AS title FROM nation")
@@ -105,12 +105,12 @@ def p12_mean_of_available(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", S.mean_of_available(F.when(s % 3 > 0, s), F.when(s % 2 > 0, F.col("p_retailprice"))).alias("mean"))
 
 
-@query("""WITH x AS (SELECT l_suppkey, list(DISTINCT CASE l_returnflag WHEN 'A' THEN 'High' WHEN 'N' THEN 'Low' ELSE 'None' END) AS v FROM lineitem WHERE l_quantity < 3 GROUP BY ALL)
-SELECT l_suppkey, CASE WHEN len(v) >= 3 THEN 'Mixed' WHEN list_contains(v, 'High') THEN 'High' WHEN list_contains(v, 'Low') THEN 'Low' WHEN list_contains(v, 'None') THEN 'None' END AS class FROM x""")
+@query("""WITH x AS (SELECT l_orderkey, list(DISTINCT CASE l_returnflag WHEN 'A' THEN 'High' WHEN 'N' THEN 'Low' ELSE 'None' END) AS v FROM lineitem GROUP BY ALL)
+SELECT l_orderkey, CASE WHEN len(v) >= 3 THEN 'Mixed' WHEN list_contains(v, 'High') THEN 'High' WHEN list_contains(v, 'Low') THEN 'Low' WHEN list_contains(v, 'None') THEN 'None' END AS class FROM x""")
 def p13_priority_class(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").where("l_quantity < 3")
+    li = table(spark, d, "lineitem")
     name = S.mapped(F.col("l_returnflag"), {"A": "High", "N": "Low"}, "None")
-    return li.groupBy("l_suppkey").agg(F.collect_set(name).alias("v")).select("l_suppkey", S.priority_class(F.col("v"), ["High", "Moderate", "Low", "None"]).alias("class"))
+    return li.groupBy("l_orderkey").agg(F.collect_set(name).alias("v")).select("l_orderkey", S.priority_class(F.col("v"), ["High", "Moderate", "Low", "None"]).alias("class"))
 
 
 @query("SELECT event_id, CASE WHEN value IS NOT NULL THEN greatest(least(value, 80), 8) END AS capped FROM events")
@@ -324,20 +324,52 @@ def s11_month_files(spark: SparkSession, d: str) -> DataFrame:
     return sources.month_files(spark, "2014-01-01", "2016-12-31", "https://x.org/rain_")
 
 
-@query("""WITH m AS (SELECT l_suppkey AS station, l_linenumber AS seq, CASE WHEN l_quantity < 5 THEN '/flow-mean-' ELSE '/level-' END || l_orderkey AS uri, l_orderkey FROM lineitem WHERE l_partkey < 300)
+@query("""WITH m AS (SELECT l_suppkey AS station, l_linenumber AS seq, CASE WHEN l_quantity < 5 THEN '/flow-mean-' ELSE '/level-' END || l_orderkey AS uri, l_orderkey FROM lineitem)
 SELECT station, arg_max(uri, (uri LIKE '%flow-mean%', l_orderkey * 10 + seq)) AS uri FROM m GROUP BY station""")
 def s08_flow_measure(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").where("l_partkey < 300")
+    li = table(spark, d, "lineitem")
     uri = F.concat(F.when(F.col("l_quantity") < 5, "/flow-mean-").otherwise("/level-"), F.col("l_orderkey").cast("string"))
     return sources.flow_measure(li.select(F.col("l_suppkey").alias("station"), uri.alias("uri"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq")))
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k') AS station_name, CAST(NULL AS VARCHAR) AS measure_uri FROM events")
+@query("SELECT event_id, json_extract_string(props, '$.k') AS station_name, CASE WHEN event_id % 4 > 0 THEN 'https://x.org/measures/' || event_id || '-level' END AS measure_uri FROM events")
 def s05_station_details(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").select("event_id", F.regexp_replace("props", '"k"', '"label"').alias("metadata"), F.lit("[]").alias("measures"))
+    """The first of two measures, where a station has any."""
+    one = lambda kind: F.format_string('{"@id": "https://x.org/measures/%d-' + kind + '"}', F.col("event_id").cast("long"))
+    measures = F.when(F.col("event_id") % 4 > 0, F.format_string("[%s, %s]", one("level"), one("flow"))).otherwise("[]")
+    e = table(spark, d, "events").select("event_id", F.regexp_replace("props", '"k"', '"label"').alias("metadata"), measures.alias("measures"))
     return sources.station_details(e).select("event_id", "station_name", "measure_uri")
 
 
 @query(f"WITH {STATIONS} SELECT station, easting, northing, level FROM stations")
 def d04_station_table(spark: SparkSession, d: str) -> DataFrame:
     return stations(spark, d).select("station", "easting", "northing", "level")
+
+
+@query("SELECT p_partkey, CASE p_type WHEN 'ECONOMY' THEN 'High' WHEN 'SMALL' THEN 'None' WHEN 'STANDARD' THEN 'Low' ELSE 'unknown' END AS productivity FROM part")
+def p08_productivity(spark: SparkSession, d: str) -> DataFrame:
+    """The class ``None`` is a name, not a missing value."""
+    return table(spark, d, "part").select("p_partkey", S.mapped(F.col("p_type"), {"ECONOMY": "High", "SMALL": "None", "STANDARD": "Low"}, "unknown").alias("productivity"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size <= 2 THEN 'Freely draining' WHEN p_size = 3 THEN 'Slightly impeded' END AS drainage FROM part")
+def p11_drainage(spark: SparkSession, d: str) -> DataFrame:
+    """Without a default, what isn't in the map is null."""
+    return table(spark, d, "part").select("p_partkey", S.mapped(F.col("p_size"), {1: "Freely draining", 2: "Freely draining", 3: "Slightly impeded"}).alias("drainage"))
+
+
+@query(f"WITH {DAILY} SELECT station, day, round(value, 6) AS value, row_number() OVER (ORDER BY station, day) AS place FROM daily")
+def q01_sorted(spark: SparkSession, d: str) -> DataFrame:
+    """All rows by station and time, in range partitions; places from each partition's start."""
+    rows = saved(daily(spark, d).orderBy("station", "day")).withColumn("_at", F.monotonically_increasing_id())
+    parts = rows.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    starts = parts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))  # a row a partition
+    placed = rows.withColumn("_part", F.shiftright("_at", 33)).join(F.broadcast(starts), "_part")
+    return placed.select("station", "day", r("value"), (F.col("_start") + F.col("_at") - F.shiftleft("_part", 33) + 1).alias("place"))
+
+
+@query("SELECT p_partkey, p_size, (p_brand = 'Brand#11')::INT::DOUBLE AS brand_11, (p_brand = 'Brand#22')::INT::DOUBLE AS brand_22, (p_type = 'SMALL')::INT::DOUBLE AS small FROM part")
+def u08_one_hot_beside(spark: SparkSession, d: str) -> DataFrame:
+    """A block of flags beside the columns there are."""
+    out = preparation.one_hot(table(spark, d, "part").select("p_partkey", "p_size", "p_brand", "p_type"), {"p_brand": ["Brand#11", "Brand#22"], "p_type": ["SMALL"]})
+    return out.select("p_partkey", "p_size", *(F.col(f"`{c}`").cast("double").alias(n) for c, n in (("p_brand_Brand#11", "brand_11"), ("p_brand_Brand#22", "brand_22"), ("p_type_SMALL", "small"))))

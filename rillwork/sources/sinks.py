@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -36,3 +36,13 @@ def content_hash(df: DataFrame) -> str:
 def manifest(inputs: dict[str, DataFrame], **facts) -> str:
     """JSON of what went into a run: content hashes, facts (seeds, splits, versions), time."""
     return json.dumps({"inputs": {k: content_hash(v) for k, v in sorted(inputs.items())}, **facts, "at": datetime.now(timezone.utc).isoformat()}, sort_keys=True, default=str)
+
+
+def write_parameters(rows: DataFrame, path: str) -> None:
+    """Appends fitted parameters (``name, value``) with the time of writing; nothing is overwritten."""
+    rows.select("name", F.col("value").cast("string").alias("value"), F.current_timestamp().alias("at")).write.mode("append").parquet(path)
+
+
+def read_parameters(spark: SparkSession, path: str) -> DataFrame:
+    """``name, value``: what was written last for each name."""
+    return spark.read.parquet(path).groupBy("name").agg(F.max_by("value", "at").alias("value"))

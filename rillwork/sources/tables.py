@@ -46,6 +46,20 @@ def read_geojson(spark: SparkSession, path: str, properties: Sequence[str]) -> D
     return rows.select(*(F.col(f"f.properties.{p}").alias(p) for p in properties), F.slice(ring, 1, F.size(ring) - 1).alias("ring"))
 
 
+def read_vectors(spark: SparkSession, folder: str, subfolders: str, suffix: str, properties: Sequence[str]) -> DataFrame:
+    """``file`` and what ``read_geojson`` gives, of all files named ``*suffix`` at any depth whose folder's name fits ``subfolders`` (a pattern).
+
+    A file that isn't GeoJSON has no features and so no rows; the others are read all the same.
+    """
+    fields = ", ".join(f"`{p}`: string" for p in properties)
+    schema = f"features array<struct<properties: struct<{fields}>, geometry: struct<type: string, coordinates: array<array<array<double>>>>>>"
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").load(folder)
+    found = found.where(F.element_at(F.split("path", "/"), -2).rlike(f"^(?:{subfolders})$"))
+    rows = found.select(F.col("path").alias("file"), F.explode(F.from_json(F.decode("content", "UTF-8"), schema)["features"]).alias("f")).where("f.geometry.type = 'Polygon'")
+    ring = F.transform(F.col("f.geometry.coordinates")[0], lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    return rows.select(last_segment(F.col("file")).alias("file"), *(F.col(f"f.properties.{p}").alias(p) for p in properties), F.slice(ring, 1, F.size(ring) - 1).alias("ring"))
+
+
 def read_ascii_grid(spark: SparkSession, path: str) -> DataFrame:
     """``x, y, value`` (cell centres) of grids with a six-line header; missing cells are left out. One file is one row of text."""
     files = spark.read.text(path, wholetext=True)
@@ -95,8 +109,9 @@ def http_page(url: str) -> list[dict]:
 class PagedReadings(DataSource):
     """Readings behind a paged JSON service: ``spark.read.format("paged_readings").option("uris", ...)``.
 
-    A partition is one measure; its pages are asked for with a growing offset until one is short. A page that fails ends its
-    measure with the pages before it. Options: ``uris`` (comma-separated), ``start``, ``end``, ``limit``.
+    A partition is one measure; its pages are asked for with a growing offset until one is short. A page that fails fails its task, which
+    Spark repeats; with ``incomplete=keep`` it ends its measure with the pages before it. Options: ``uris`` (comma-separated), ``start``,
+    ``end``, ``limit``, ``incomplete``. Levels and flows are read alike, by the addresses of their measures.
     """
 
     fetch: Callable[[str], list[dict]] = staticmethod(http_page)
@@ -116,7 +131,7 @@ class _PagedReader(DataSourceReader):
     def __init__(self, options: dict[str, str], fetch: Callable[[str], list[dict]]):
         self.uris = [u.strip() for u in options.get("uris", "").split(",") if u.strip().startswith("http")]
         self.query = {k: options[o] for k, o in (("mineq-date", "start"), ("max-date", "end")) if o in options}
-        self.limit, self.fetch = int(options.get("limit", 50000)), fetch
+        self.limit, self.fetch, self.lenient = int(options.get("limit", 50000)), fetch, options.get("incomplete") == "keep"
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(u) for u in self.uris] or [InputPartition(None)]
@@ -128,10 +143,57 @@ class _PagedReader(DataSourceReader):
             try:
                 items = self.fetch(f"{partition.value}/readings?{query}")
             except (urllib.error.URLError, ValueError, OSError):
-                return
+                if self.lenient:
+                    return
+                raise
             for x in items:
                 value = x.get("value")
                 yield partition.value, x.get("dateTime"), x.get("date"), None if value is None else float(value), x.get("quality")
             if len(items) < self.limit:
                 return
             offset += self.limit
+
+
+class StationList(DataSource):
+    """Stations around places, behind a JSON service: ``spark.read.format("station_list").option("base", ...)``.
+
+    A partition is one place: ``places`` holds ``lat:lon`` parts, comma-separated, ``dist`` the kilometres around each; ``parameter``
+    names what is measured. Rows hold the station's JSON (``metadata``) and that of its measures (``measures``), which
+    ``station_details`` and ``flow_measure`` read; stations near several places come once a place.
+    """
+
+    fetch: Callable[[str], list[dict]] = staticmethod(http_page)
+
+    @classmethod
+    def name(cls) -> str:
+        return "station_list"
+
+    def schema(self) -> str:
+        return "place string, station string, metadata string, measures string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _StationReader(dict(self.options), type(self).fetch)
+
+
+class _StationReader(DataSourceReader):
+    def __init__(self, options: dict[str, str], fetch: Callable[[str], list[dict]]):
+        self.places = [p.strip() for p in options.get("places", "").split(",") if p.strip()]
+        self.base, self.fetch = options["base"].rstrip("/"), fetch
+        self.query = {"dist": options.get("dist", "1"), **({"observedProperty": options["parameter"]} if "parameter" in options else {})}
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(p) for p in self.places] or [InputPartition(None)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        if partition.value:
+            lat, _, lon = partition.value.partition(":")
+            for station in self.fetch(f"{self.base}/stations?{urllib.parse.urlencode({'lat': lat, 'long': lon, **self.query})}"):
+                measures = station.get("measures", [])
+                yield partition.value, station.get("notation"), json.dumps(station), json.dumps(measures if isinstance(measures, list) else [measures])
+
+
+def download(spark: SparkSession, measures: DataFrame, place: str, source: str = "paged_readings", uri: str = "measure_uri", **options: str) -> DataFrame:
+    """All readings of the measures in ``uri``, written to ``place`` with a folder a measure, and read back."""
+    uris = [r[0] for r in measures.select(uri).where(F.col(uri).isNotNull()).distinct().collect()]  # an address a station
+    spark.read.format(source).options(uris=",".join(sorted(uris)), **options).load().write.mode("append").partitionBy("measure").parquet(place)
+    return spark.read.parquet(place)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.config import shared_root
+
 READING = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 
 
@@ -65,8 +66,7 @@ def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
     """All that is there now, through the stream, as a table. Append mode goes to Parquet in the shared folder, the others to
     an in-memory table, for results as small as their state."""
     spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="rillwork-stream-")
-    place = f"{root.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    place = f"{shared_root(spark)}/streams/{uuid.uuid4().hex}"
     if mode == "append":
         stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start(f"{place}/rows").awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{place}/rows")

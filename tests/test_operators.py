@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rillwork.functions import projection
 from rillwork.functions import scalars as S
-from rillwork.operators import assembly, calendars, cleaning, donors, gaps, metrics, model_terms, preparation, selection, spatial
+from rillwork.operators import assembly, calendars, cleaning, donors, features, gaps, metrics, model_terms, preparation, selection, spatial
 from rillwork.plans.registry import daily, series
 from rillwork.sources import config, sinks, tables
 
@@ -240,6 +240,55 @@ def test_paged_source(spark):
     assert sorted(r["value"] for r in rows.collect()) == list(range(7))
 
 
+def test_stations_are_found_and_their_readings_downloaded(spark, tmp_path):
+    class Stations(tables.StationList):
+        @staticmethod
+        def fetch(url):
+            assert "dist=5" in url and "observedProperty=level" in url
+            found = [{"notation": f"s{k}", "label": f"S{k}", "measures": [{"@id": f"http://x/m{k}"}]} for k in (1, 2)]
+            return found if "lat=1.5" in url and "long=-2" in url else []
+
+        @classmethod
+        def name(cls):
+            return "fake_stations"
+
+    class Pages(tables.PagedReadings):
+        @staticmethod
+        def fetch(url):
+            if "/m2/" in url:
+                raise OSError("gone")
+            return [{"dateTime": "2024-01-01T00:00:00", "date": "2024-01-01", "value": 1, "quality": "Good"}]
+
+        @classmethod
+        def name(cls):
+            return "fake_pages"
+
+    spark.dataSource.register(Stations)
+    spark.dataSource.register(Pages)
+    found = tables.station_details(spark.read.format("fake_stations").options(base="http://x", places="1.5:-2, 3:4", dist="5", parameter="level").load())
+    assert {(r["station"], r["station_name"], r["measure_uri"]) for r in found.collect()} == {("s1", "S1", "http://x/m1"), ("s2", "S2", "http://x/m2")}
+    kept = tables.download(spark, found, str(tmp_path / "kept"), "fake_pages", incomplete="keep")
+    assert [(r["measure"], r["value"]) for r in kept.collect()] == [("http://x/m1", 1.0)]
+    with pytest.raises(Exception, match="gone"):
+        tables.download(spark, found, str(tmp_path / "failed"), "fake_pages")
+
+
+def test_memory_holds_the_whole_weight(spark):
+    n, keep = 3000, 0.99
+    df = spark.range(n).select(F.lit("a").alias("station"), F.col("id").alias("day"), (F.col("id") % 7).cast("double").alias("value"))
+    got = features.running_memory(df, "value", keep).where(F.col("day") == n - 1).first()["memory"]
+    memory = 0.0
+    for i in range(n):
+        memory = keep * memory + (1 - keep) * (i % 7)
+    assert got == pytest.approx(memory, abs=1e-9)
+
+
+def test_box_of_corners():
+    north, west, south, east = projection.bounding_box(((400000, 300000), (410000, 320000)))
+    lat, lon = projection.grid_to_wgs84([400000, 410000], [300000, 320000])
+    assert south == pytest.approx(lat[0]) and west == pytest.approx(lon[0]) and north == pytest.approx(lat[1]) and east == pytest.approx(lon[1])
+
+
 def test_sinks_and_settings(spark, tmp_path):
     d = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     sinks.write_csv(d, str(tmp_path / "c"))
