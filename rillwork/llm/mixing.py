@@ -13,6 +13,8 @@ from .sharding import shuffle_key
 WEIGHTS = (5.0, 2.0, 1.0)
 EPOCHS = 3
 SEED = 29
+#: Marks of repeated rows that are looked up by broadcast.
+SOME = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -86,12 +88,23 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 def mixed_copies(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of ``docs``; copies follow each other.
 
-    Rows are numbered and written, and only their numbers, sources and sizes are sorted; whole texts move once, by number, so that
-    rows of one ``doc_id`` (or without) are rows like any other. A repeated row is weighed once a row.
+    Only marks (64 bits of key, source and text), sources and sizes are sorted; whole texts move once, by mark, so that
+    rows of one ``doc_id`` (or without) are rows like any other. Rows that share a mark are numbered and written, and
+    matched by number: a repeated row is weighed once a row, and no group of them meets.
     """
-    numbered = write_table(docs.withColumn(f"{T}number", F.monotonically_increasing_id()), "numbered")
-    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    rows = write_table(numbered.select("doc_id", "source", word_count(F.col("text")).alias("size"), crc.alias(f"{T}crc"), f"{T}number"), "sizes")
-    mixed = fair_queue(rows, ties=[f"{T}crc", f"{T}number"], **options).where(F.col("copies") > 0)
-    both = numbered.join(mixed.select(f"{T}number", F.col("copies").cast("int").alias(f"{T}copies")), f"{T}number")
+    mark, number = f"{T}mark", f"{T}number"
+    marked = docs.withColumn(mark, F.xxhash64("doc_id", "source", "text"))
+    slim = write_table(marked.select("doc_id", "source", word_count(F.col("text")).alias("size"), mark, F.lit(None).cast("long").alias(number)), "sizes")
+    repeated = write_table(slim.groupBy(mark).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(mark), "repeated")
+    found = repeated.count()
+    numbered = None
+    if found:
+        repeated = F.broadcast(repeated) if found <= SOME else repeated
+        numbered = write_table(marked.join(repeated, mark, "left_semi").withColumn(number, F.monotonically_increasing_id()), "numbered")
+        again = numbered.select("doc_id", "source", word_count(F.col("text")).alias("size"), mark, number)
+        slim = slim.join(repeated, mark, "left_anti").select(again.columns).union(again)
+    mixed = fair_queue(slim, ties=[mark, number], **options).where(F.col("copies") > 0).select(mark, number, F.col("copies").cast("int").alias(f"{T}copies"))
+    both = marked.join(mixed.where(F.col(number).isNull()).drop(number), mark)
+    if numbered is not None:
+        both = both.unionByName(numbered.join(mixed.drop(mark), number).drop(number))
     return both.withColumn(f"{T}copy", F.explode(F.sequence(F.lit(1), F.col(f"{T}copies")))).select(*docs.columns)

@@ -9,6 +9,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,6 +24,9 @@ T = "__rw_"
 #: The same for ``running``, which those operators call.
 R = "__rw_run_"
 _kept: set[str] = set()
+#: The step that tables are written for, by its place in a chain of steps, and the folders of each.
+_step: list[int] = [0]
+_places: dict[int, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -51,10 +56,28 @@ def write_table(df: DataFrame, label: str) -> DataFrame:
         files.deleteOnExit(path)
         _kept.add(spark.sparkContext.applicationId)
     place = f"{folder}/{label}-{uuid.uuid4().hex}"
+    _places.setdefault(_step[0], []).append(place)
     df.write.parquet(place)
     return spark.read.schema(df.schema).parquet(place)
 
 
+@contextmanager
+def step(spark: SparkSession, place: int) -> Iterator[None]:
+    """Tables written inside belong to the step at ``place`` (from 1) of a chain, each of which stores its result before the next begins.
+
+    So the tables of steps before it go first; those of the same step stay, as two results of it may be in use.
+    """
+    for earlier in [k for k in _places if 0 < k < place]:
+        for path in _places.pop(earlier):
+            found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
+    outer, _step[0] = _step[0], place
+    try:
+        yield
+    finally:
+        _step[0] = outer
+
+
 def drop_tables(spark: SparkSession) -> None:
     """Deletes what ``write_table`` has written so far; for long sessions, once results are stored."""
     _, path, files = _own_folder(spark)
