@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collision_lsh, fingerprints, language_id, merge_dropout, mixing, pii, secret_scan, sharding, simhash_dedup, url_filter
+from . import collision_lsh, decontamination, fingerprints, language_id, lexical_search, merge_dropout, mixing, pii, secret_scan, sharding, simhash_dedup, token_alignment, url_filter, words
 from .url_filter import DEFAULT, RULES
 
 
@@ -15,7 +15,7 @@ def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-documents, pages, embeddings = _table("documents"), _table("pages"), _table("embeddings")
+documents, pages, embeddings, benchmark = _table("documents"), _table("pages"), _table("embeddings"), _table("benchmark")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,18 @@ def op10_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_report(documents(spark, sf_dir))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment_report(documents(spark, sf_dir))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination_report(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -71,6 +83,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_sharding,
         op9_source_mix,
         op10_minhash_fingerprints,
+        op11_token_alignment,
+        op12_decontamination,
+        op13_lexical_search,
     )
 }
 
@@ -179,4 +194,34 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, n ORDER BY score
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 20
 """
 
-ORACLE: dict[str, str] = {"op4_nearest_neighbours": _NEAREST_SQL, "op2_secret_scan": _SECRET_SQL, "op3_url_filter": _URL_SQL, "op8_sharding": _SHARD_SQL, "op9_source_mix": _MIX_SQL}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = f"regexp_extract_all({_LOWER}, '{words.PATTERN}')"
+
+_LEAK_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS d, doc_id, {_TERMS} AS w FROM documents),
+items AS (SELECT item_id, {_TERMS} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, array_to_string(w[i:i + {decontamination.WINDOW - 1}], ' ') AS gram, least(len(w), {decontamination.WINDOW}) AS m
+  FROM items, range(1, greatest(len(w) - {decontamination.WINDOW - 2}, 2)) r(i) WHERE len(w) > 0),
+grams AS (SELECT d, i, m, array_to_string(w[i:i + m - 1], ' ') AS gram FROM docs, (SELECT DISTINCT m FROM windows), range(1, len(w) - m + 2) r(i)),
+hits AS (SELECT DISTINCT d, i, m, item_id FROM grams JOIN windows USING (gram, m)),
+hit AS (SELECT d, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT d, i, m FROM hits), range(i, i + m) r(p) GROUP BY d),
+named AS (SELECT d, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT d, CAST(item_id AS VARCHAR) AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY d)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (d) LEFT JOIN named USING (d)
+"""
+
+_SEARCH_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS d, doc_id, {_TERMS} AS w FROM documents),
+totals AS (SELECT count(*) FILTER (len(w) > 0) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM docs),
+counts AS (SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(w) AS term FROM docs) GROUP BY d, term),
+asked AS (SELECT DISTINCT b, item_id, term FROM (SELECT row_number() OVER () AS b, item_id, unnest({_TERMS}) AS term FROM benchmark)),
+weights AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * n + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS wt FROM counts, totals GROUP BY term, n),
+scored AS (
+  SELECT b, item_id, doc_id, d, CAST(sum(wt * (1000000000 * tf // (1000 * tf + 20 * (100 - 50 + 50 * len(w) * n // l)))) AS BIGINT) AS score
+  FROM asked JOIN counts USING (term) JOIN weights USING (term) JOIN docs USING (d), totals GROUP BY b, item_id, doc_id, d),
+placed AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY score DESC, doc_id NULLS FIRST, d) AS r FROM scored WHERE score > 0)
+SELECT item_id, CAST(r AS INTEGER) AS rank, doc_id, score FROM placed WHERE r <= {lexical_search.K}
+"""
+
+ORACLE: dict[str, str] = {"op12_decontamination": _LEAK_SQL, "op13_lexical_search": _SEARCH_SQL, "op4_nearest_neighbours": _NEAREST_SQL, "op2_secret_scan": _SECRET_SQL, "op3_url_filter": _URL_SQL, "op8_sharding": _SHARD_SQL, "op9_source_mix": _MIX_SQL}
