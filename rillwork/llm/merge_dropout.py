@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import small_batches, tidy
+from .scratch import T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
@@ -202,7 +203,8 @@ class Encoder:
         def offer(j: int, k: int) -> None:
             rank = ranks.get(symbol[j] << 32 | symbol[k])
             if rank is not None:
-                place = (j << 42 ^ k << 21 ^ after[k]) & _ALL
+                end = after[k]
+                place = (j << 42 ^ k << 21 ^ end) & _ALL if end >> 21 == 0 else _mix_one(_mix_one(_mix_one(j) + k) + end)
                 if not limit or _mix_one(_mix_one(key ^ place) + key) >= limit:
                     heapq.heappush(queue, (rank, j, k, after[k]))
 
@@ -315,11 +317,13 @@ def encode_column(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT,
 
     Candidates for merging are taken best first; each is skipped with chance ``dropout``, by a hash of the seed, the document's
     key, the word's place in it, and the candidate's bounds, so a run can be repeated, and every occurrence of a word is cut in
-    its own way. Rows of one key and text are cut alike, unless ``copies``: then each of the rows of one key that follow each other is cut in its own way. With dropout 0 the ids are the library's own, but for a literal U+2581, which is spelt
+    its own way. Rows of one key and text are cut alike, unless ``copies``: then the row's
+    number in the table (its partition, and its place there) is hashed too, so that every row is cut in its own way, however many follow
+    each other and wherever they lie; the table should be a stored one, of which a repeated task reads the same rows. With dropout 0 the ids are the library's own, but for a literal U+2581, which is spelt
     in bytes so that it isn't read back as a space.
 
     Null texts have null ids (and null ``round_trip``), empty ones none. Rows are independent. ``check=False`` skips
-    decoding (``round_trip`` is then null).
+    decoding (``round_trip`` is then null). Other columns are not read, whatever their names.
     """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
@@ -328,23 +332,18 @@ def encode_column(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value, dropout, seed)
-        last, copy = None, 0
         for batch in batches:
             first = 0
             sizes = np.cumsum([len(t.as_buffer()) if t.is_valid else 0 for t in batch.column(1)])
             while first < batch.num_rows:
                 done = int(sizes[first - 1]) if first else 0
-                last = max(first + 1, int(np.searchsorted(sizes, done + SLICE)))
-                part = batch.slice(first, min(last, batch.num_rows) - first)
+                upto = max(first + 1, int(np.searchsorted(sizes, done + SLICE)))
+                part = batch.slice(first, min(upto, batch.num_rows) - first)
                 first += part.num_rows
                 texts = part.column(1).to_pylist()
-                names = part.column(0).to_pylist()
-                documents = np.array([document_key(v) for v in names], np.uint64)
+                documents = np.array([document_key(v) for v in part.column(0).to_pylist()], np.uint64)
                 if copies:
-                    nth = np.zeros(len(names), np.uint64)
-                    for i, name in enumerate(names):
-                        last, copy = name, copy + 1 if name == last else 0
-                        nth[i] = copy
+                    nth = part.column(2).to_numpy(zero_copy_only=False).astype(np.uint64)
                     documents = np.where(nth > 0, _mix(documents + nth), documents)
                 ids, offsets = encoder.encode([t or "" for t in texts], documents)
                 valid = np.array([t is not None for t in texts])
@@ -354,7 +353,8 @@ def encode_column(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT,
                 count = pa.array(np.diff(offsets), mask=~valid)
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, count, pa.array(same, pa.bool_())], [key, "ids", "n_tokens", "round_trip"])
 
-    return docs.select(key, F.col(text)).mapInArrow(tidy(run), f"`{key}` {key_type}, ids array<int>, n_tokens bigint, round_trip boolean")
+    row = F.monotonically_increasing_id() if copies else F.lit(0).cast("long")
+    return docs.select(F.col(key), F.col(text), row.alias(f"{T}row")).mapInArrow(tidy(run), f"`{key}` {key_type}, ids array<int>, n_tokens bigint, round_trip boolean")
 
 
 def decode_column(encoded: DataFrame, model: str = MODEL, key: str = "doc_id", ids: str = "ids") -> DataFrame:

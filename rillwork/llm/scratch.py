@@ -6,12 +6,14 @@ than a re-read, and the reader knows each table's true size when it picks a join
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+import weakref
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,10 +25,20 @@ HEAVY = 64
 T = "__rw_"
 #: The same for ``running``, which those operators call.
 R = "__rw_run_"
-_kept: set[str] = set()
-#: The step that tables are written for, by its place in a chain of steps, and the folders of each.
-_step: list[int] = [0]
-_places: dict[int, list[str]] = {}
+
+
+class _Tables:
+    """What one application has written: each table's folder, with a weak reference to the JVM's list of its files.
+
+    Every plan that reads a table, lazily derived ones too, holds that list; once the JVM has collected it nothing can read the
+    table any more.
+    """
+
+    def __init__(self) -> None:
+        self.lock, self.held, self.marked = threading.Lock(), [], False
+
+
+_of: weakref.WeakKeyDictionary[SparkContext, _Tables] = weakref.WeakKeyDictionary()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -48,41 +60,42 @@ def _own_folder(spark: SparkSession) -> tuple[str, object, object]:
 
 
 def write_table(df: DataFrame, label: str) -> DataFrame:
-    """``df``, written to the shared folder and read back. The table goes when the application ends."""
+    """``df``, written to the shared folder and read back.
+
+    The table goes some time after the last plan that reads it has gone (``free_tables``), or when the application ends.
+    """
     spark = df.sparkSession
     folder, path, files = _own_folder(spark)
-    if spark.sparkContext.applicationId not in _kept:
+    own = _of.setdefault(spark.sparkContext, _Tables())
+    if not own.marked:
         files.mkdirs(path)
         files.deleteOnExit(path)
-        _kept.add(spark.sparkContext.applicationId)
+        own.marked = True
+    free_tables(spark)
     place = f"{folder}/{label}-{uuid.uuid4().hex}"
-    _places.setdefault(_step[0], []).append(place)
     df.write.parquet(place)
-    return spark.read.schema(df.schema).parquet(place)
-
-
-@contextmanager
-def step(spark: SparkSession, place: int) -> Iterator[None]:
-    """Tables written inside belong to the step at ``place`` (from 1) of a chain, each of which stores its result before the next begins.
-
-    So the tables of steps before it go first; those of the same step stay, as two results of it may be in use.
-    """
-    for earlier in [k for k in _places if 0 < k < place]:
-        for path in _places.pop(earlier):
-            found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
-    outer, _step[0] = _step[0], place
-    try:
-        yield
-    finally:
-        _step[0] = outer
-
-
-def drop_tables(spark: SparkSession) -> None:
-    """Deletes what ``write_table`` has written so far; for long sessions, once results are stored."""
-    _, path, files = _own_folder(spark)
-    files.delete(path, True)
-    _kept.discard(spark.sparkContext.applicationId)
+    out = spark.read.schema(df.schema).parquet(place)
+    index = out._jdf.queryExecution().analyzed().relation().location()
+    with own.lock:
+        own.held.append((place, spark.sparkContext._jvm.java.lang.ref.WeakReference(index)))
+    return out
+
+
+def free_tables(spark: SparkSession, collect: bool = False) -> int:
+    """Deletes the tables that no plan can read any more, as far as the JVM has collected them; ``collect`` asks it to. Their number."""
+    own = _of.get(spark.sparkContext)
+    if own is None:
+        return 0
+    if collect:
+        gc.collect()  # plans held by this process
+        spark.sparkContext._jvm.System.gc()
+    with own.lock:
+        gone = [t for t in own.held if t[1].get() is None]
+        own.held = [t for t in own.held if t not in gone]
+    for place, _ in gone:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return len(gone)
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: dict[str, str], n: str) -> DataFrame:

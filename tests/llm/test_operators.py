@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import ipaddress
+import os
 import random
 import re
 import time
@@ -694,6 +695,45 @@ def test_copies_are_cut_apart(spark):
     assert alike[0] == alike[1] != alike[2] and apart[0] != apart[1] and apart[0] == alike[0]
 
 
+def test_copies_are_cut_apart_wherever_they_lie(spark, tmp_path):
+    """Six copies of 200 KB cross slices, 1,300 small ones batches of 500 rows, and two files tasks."""
+    words = "internationalisation of misunderstandings "
+    for rows_ in ([(1, words * 4800)] * 6, [(2, words * 15)] * 1300, [(3, words * 40)] * 5):
+        place = f"file://{tmp_path}/{rows_[0][0]}"
+        spark.createDataFrame(rows_, "doc_id long, text string").repartition(2).write.parquet(place)
+        stored = spark.read.parquet(place)
+        got = [tuple(r["ids"]) for r in merge_dropout.encode_column(stored, copies=True).collect()]
+        assert len(set(got)) == len(rows_)
+        assert got == [tuple(r["ids"]) for r in merge_dropout.encode_column(stored, copies=True).collect()]
+        assert len({tuple(r["ids"]) for r in merge_dropout.encode_column(stored).collect()}) == 1
+
+
+def test_places_beyond_two_million_characters_draw_apart():
+    vocabulary = merge_dropout.Vocabulary.load()
+    encoder = merge_dropout.Encoder(vocabulary, 0.5)
+    ids, _ = encoder.words(np.array(["ab" * 1_200_000], dtype=object), np.array([7], np.uint64))
+    half = len(ids) // 8
+    assert ids[-half:].tolist() != ids[:half].tolist() and b"".join(vocabulary.spelling[i] for i in ids.tolist()) == b" " + b"ab" * 1_200_000
+
+
+def test_a_table_goes_with_the_last_plan_that_reads_it(spark):
+    from rillwork.llm import scratch
+
+    table = scratch.write_table(spark.range(10).toDF("n"), "kept")
+    place = table.inputFiles()[0]
+    derived = table.where("n > 3").groupBy().count()
+    del table
+    scratch.free_tables(spark, collect=True)
+    assert derived.first()[0] == 6
+    del derived
+    for _ in range(20):
+        scratch.free_tables(spark, collect=True)
+        time.sleep(0.2)
+        if not os.path.exists(place.removeprefix("file://")):
+            return
+    raise AssertionError("the table is still there")
+
+
 def test_encoding_columns(spark):
     df = frame(spark, [None, "", "Some words  here\n", "z" * 30000], extra=True)
     got = {r["doc_id"]: r for r in merge_dropout.encode_column(df).collect()}

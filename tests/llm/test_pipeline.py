@@ -21,6 +21,18 @@ def steps(spark, sf_dir):
     return tables
 
 
+def test_stages_may_be_chained_without_storing(spark, sf_dir, steps):
+    """Two chains at once, neither stored between stages; both see their tables to the end."""
+    from rillwork.llm.scratch import free_tables
+
+    source = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    chains = [source, source]
+    for _, stage in corpus_pipeline.STAGES:
+        chains = [stage(spark, c, sf_dir) for c in chains]
+        free_tables(spark, collect=True)
+    assert [c.count() for c in chains] == [steps[5].count()] * 2
+
+
 def test_all_but_the_last_keep_the_columns(steps):
     assert all(t.columns == steps[0].columns for t in steps[:-1])
 
