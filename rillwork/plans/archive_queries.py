@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import geotiff, grib, netcdf, tables
+from ..sources import geotiff, grib, netcdf, retrieval, tables
 from .registry import query, r, shared_root, table
 
 
@@ -74,3 +74,65 @@ def s13_grib_months(spark: SparkSession, d: str) -> DataFrame:
     grib.write_grib(_prices(spark, d), place, "era_prices")
     read = tables.of_own_month(grib.read_grib(spark, place, skip_damaged=True), prefix="era")
     return read.select(F.to_date("time").alias("day"), "y", "x", r("value", 2))
+
+
+@query(_PRICES)
+def s10_archive_retrieval(spark: SparkSession, d: str) -> DataFrame:
+    """Months that an archive holds, each retrieved once by ledgered tasks; a second run finds nothing to do."""
+    remote, place = _place(spark, "remote"), _place(spark, "retrieved")
+    netcdf.write_netcdf(_prices(spark, d), remote, "prices", "price")
+    span = table(spark, d, "lineitem").agg(F.min("l_shipdate").cast("date").cast("string"), F.max("l_shipdate").cast("date").cast("string")).first()
+    months = retrieval.archive_months(spark, *span, remote, "prices", ".nc")
+    for _ in range(2):
+        retrieval.retrieve(months, place, retrieval.fetch_file)
+    files = [r["path"] for r in retrieval.retrieved_files(spark, place).collect()]  # a row a month
+    return netcdf.read_netcdf(spark, files, "price").select(F.to_date("time").alias("day"), "y", "x", r("value", 2))
+
+
+def _service(spark: SparkSession, d: str) -> str:
+    """Readings of each kind of event in a folder of its own, as a landed copy of the service."""
+    place = _place(spark, "service")
+    e = table(spark, d, "events").select("event_type", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("dateTime"), F.to_date("ts").cast("string").alias("date"), "value", F.lit("Good").alias("quality"))
+    e.write.partitionBy("event_type").parquet(place)
+    return place
+
+
+_READ = "SELECT event_type AS measure, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS \"dateTime\", round(value, 6) AS value FROM events"
+
+
+def _measures(spark: SparkSession, d: str, service: str) -> DataFrame:
+    kinds = table(spark, d, "events").select("event_type").distinct()
+    return kinds.select(F.concat(F.lit(service + "/event_type="), "event_type").alias("measure_uri"))
+
+
+def _readings(df: DataFrame) -> DataFrame:
+    return df.select(F.element_at(F.split("measure", "="), -1).alias("measure"), "dateTime", r("value"))
+
+
+@query(_READ)
+def s06_s07_download(spark: SparkSession, d: str) -> DataFrame:
+    """All pages of every measure; a second download adds nothing."""
+    place, measures = _place(spark, "readings"), _measures(spark, d, _service(spark, d))
+    for _ in range(2):
+        out = tables.download(spark, measures, place, limit=700, fetch=tables.replay)
+    return _readings(out)
+
+
+@query(f"WITH span AS (SELECT CAST(min(ts) AS DATE) + 3 AS first, CAST(min(ts) AS DATE) + 20 AS last FROM events) {_READ}, span WHERE CAST(ts AS DATE) BETWEEN first AND last + 1")
+def s09_flow_readings(spark: SparkSession, d: str) -> DataFrame:
+    """Flows of a span of days, with the day after its last."""
+    first = table(spark, d, "events").agg(F.to_date(F.min("ts")).alias("d")).select(F.date_add("d", 3).cast("string"), F.date_add("d", 20).cast("string")).first()
+    out = tables.download(spark, _measures(spark, d, _service(spark, d)), _place(spark, "flows"), start=first[0], end=first[1], limit=700, flow=True, fetch=tables.replay)
+    return _readings(out)
+
+
+@query("SELECT s_suppkey AS station_id, CASE WHEN s_suppkey % 7 > 0 THEN s_name END AS station_name, CASE WHEN s_suppkey % 7 > 0 AND s_suppkey % 5 > 0 THEN 'm' || s_suppkey END AS measure_uri FROM supplier")
+def s03_s04_station_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as stations of a landed service, looked up by id; a missing station, or one whose measures fail, is null."""
+    place = _place(spark, "stations")
+    s = table(spark, d, "supplier")
+    station = F.to_json(F.struct(F.concat(F.lit(place + "/id="), "s_suppkey").alias("@id"), F.col("s_name").alias("label")))
+    answers = s.where("s_suppkey % 7 > 0").select(F.col("s_suppkey").alias("id"), station.alias("station"), F.when(F.col("s_suppkey") % 5 > 0, F.concat(F.lit("m"), "s_suppkey")).alias("measure"))
+    answers.write.partitionBy("id").parquet(place)
+    found = tables.look_up_stations(s.select(F.col("s_suppkey").alias("station_id")), place, fetch=tables.replay_station)
+    return tables.station_details(found).select("station_id", "station_name", "measure_uri")

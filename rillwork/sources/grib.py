@@ -7,7 +7,7 @@ what is written is edition 2.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, Filter, InputPartition
 
 from .files import PUSHDOWN, Ranges, ranges
-from .netcdf import CELLS, GridReader, MonthWriter, by_month, rows_of
+from .netcdf import CELLS, GridReader, MonthWriter, by_month, grid_options, rows_of
 
 SUFFIXES = (".grib", ".grb", ".grib2", ".grb2")
 #: Bits of a packed value that the sink writes.
@@ -264,11 +264,10 @@ def register(spark: SparkSession) -> None:
     spark.conf.set(PUSHDOWN, "true")
 
 
-def read_grib(spark: SparkSession, path: str, variable: str | None = None, skip_damaged: bool = False, cells: int = CELLS) -> DataFrame:
-    """``time, y, x, value, file``; filters on ``time``, ``y`` and ``x`` leave out messages before they are decoded."""
+def read_grib(spark: SparkSession, path: str | Sequence[str], variable: str | None = None, skip_damaged: bool = False, cells: int = CELLS) -> DataFrame:
+    """``time, y, x, value, file`` of a file, a folder or a list of files; filters on ``time``, ``y`` and ``x`` leave out messages before they are decoded."""
     register(spark)
-    options = {"path": path, "cells": str(cells), "pushdown": "true", **({"variable": variable} if variable else {}), **({"damaged": "skip"} if skip_damaged else {})}
-    return spark.read.format("grib").options(**options).load()
+    return spark.read.format("grib").options(**grid_options(path, variable, skip_damaged, cells)).load()
 
 
 def write_grib(df: DataFrame, path: str, prefix: str = "values", append: bool = False) -> None:

@@ -6,6 +6,7 @@ bounds are read. ``read_netcdf`` and ``write_netcdf`` register the format. Class
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 from collections.abc import Iterator, Sequence
@@ -195,6 +196,7 @@ class GridReader(DataSourceReader):
 
     def __init__(self, options: dict[str, str]):
         self.place, self.variable = options["path"], options.get("variable")
+        self.files = json.loads(options["files"]) if "files" in options else None
         self.cells, self.lenient = int(options.get("cells", CELLS)), options.get("damaged") == "skip"
         self.bounds = Bounds(("x", "y"), options)
         self.times = Bounds(("time",), options, datetime.fromisoformat)
@@ -209,7 +211,7 @@ class GridReader(DataSourceReader):
                 raise
 
         with ThreadPoolExecutor(THREADS) as pool:
-            return [r for found in pool.map(runs, listed(self.place, self.suffixes)) for r in found] or [InputPartition(None)]
+            return [r for found in pool.map(runs, listed(self.place, self.suffixes) if self.files is None else self.files) for r in found] or [InputPartition(None)]
 
     def runs(self, place: str) -> list[InputPartition]:
         raise NotImplementedError
@@ -363,11 +365,15 @@ def register(spark: SparkSession) -> None:
     spark.conf.set(PUSHDOWN, "true")
 
 
-def read_netcdf(spark: SparkSession, path: str, variable: str | None = None, skip_damaged: bool = False, cells: int = CELLS) -> DataFrame:
-    """``time, y, x, value, file``; filters on ``time`` leave out steps, those on ``y`` rows of the grid, before they are read."""
+def grid_options(path: str | Sequence[str], variable: str | None, skip_damaged: bool, cells: int) -> dict[str, str]:
+    where = {"path": path} if isinstance(path, str) else {"path": "", "files": json.dumps(list(path))}
+    return where | {"cells": str(cells), "pushdown": "true", **({"variable": variable} if variable else {}), **({"damaged": "skip"} if skip_damaged else {})}
+
+
+def read_netcdf(spark: SparkSession, path: str | Sequence[str], variable: str | None = None, skip_damaged: bool = False, cells: int = CELLS) -> DataFrame:
+    """``time, y, x, value, file`` of a file, a folder or a list of files; filters on ``time`` leave out steps, those on ``y`` rows of the grid, before they are read."""
     register(spark)
-    options = {"path": path, "cells": str(cells), "pushdown": "true", **({"variable": variable} if variable else {}), **({"damaged": "skip"} if skip_damaged else {})}
-    return spark.read.format("netcdf").options(**options).load()
+    return spark.read.format("netcdf").options(**grid_options(path, variable, skip_damaged, cells)).load()
 
 
 def by_month(df: DataFrame) -> DataFrame:

@@ -7,12 +7,18 @@ import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator, Sequence
+from datetime import date, timedelta
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.scalars import last_segment, normal_name
+from . import retrieval
+from .files import listed, store
 
 READINGS = "station_name string, date string, dateTime timestamp, value double, quality string, measure string"
 
@@ -192,8 +198,90 @@ class _StationReader(DataSourceReader):
                 yield partition.value, station.get("notation"), json.dumps(station), json.dumps(measures if isinstance(measures, list) else [measures])
 
 
-def download(spark: SparkSession, measures: DataFrame, place: str, source: str = "paged_readings", uri: str = "measure_uri", **options: str) -> DataFrame:
-    """All readings of the measures in ``uri``, written to ``place`` with a folder a measure, and read back."""
-    uris = [r[0] for r in measures.select(uri).where(F.col(uri).isNotNull()).distinct().collect()]  # an address a station
-    spark.read.format(source).options(uris=",".join(sorted(uris)), **options).load().write.mode("append").partitionBy("measure").parquet(place)
-    return spark.read.parquet(place)
+READING = "dateTime string, date string, value double, quality string"
+
+
+def pages(request: dict, fetch: Callable[[str], list[dict]] = http_page) -> Iterator[list[dict]]:
+    """All readings of ``request``: its ``uri`` from ``start`` to ``end``, ``limit`` at a time, until a page is short."""
+    query = {k: request[o] for k, o in (("mineq-date", "start"), ("max-date", "end")) if request.get(o)}
+    limit, offset = int(request.get("limit") or 50000), 0
+    while True:
+        items = fetch(f"{request['uri']}/readings?{urllib.parse.urlencode(query | {'_limit': limit, '_offset': offset})}")
+        yield [{"dateTime": x.get("dateTime"), "date": x.get("date"), "value": None if x.get("value") is None else float(x["value"]), "quality": x.get("quality")} for x in items]
+        if len(items) < limit:
+            return
+        offset += limit
+
+
+def replay(url: str) -> list[dict]:
+    """A page as the service would give it, from a landed copy: ``<folder of Parquet>/readings?...`` with ``dateTime, date, value, quality``."""
+    place, _, asked = url.partition("/readings?")
+    query = dict(urllib.parse.parse_qsl(asked))
+    parts = []
+    for name in listed(place, (".parquet",)):
+        files, path = store(name)
+        parts.append(pq.read_table(path, filesystem=files, columns=["dateTime", "date", "value", "quality"], partitioning=None))
+    rows = pa.concat_tables(parts).sort_by("dateTime").to_pylist() if parts else []
+    rows = [x for x in rows if query.get("mineq-date", "") <= x["date"] and ("max-date" not in query or x["date"] <= query["max-date"])]
+    first = int(query.get("_offset", 0))
+    return rows[first : first + int(query["_limit"])]
+
+
+def replay_station(url: str) -> list[dict]:
+    """What the service would answer for a station's id, or for its measures, from a landed copy: ``<folder>/id=<id>`` with ``station`` (JSON) and ``measure``."""
+    place, _, asked = url.partition("?")
+    folder = f"{place}/id={dict(urllib.parse.parse_qsl(asked))['wiskiID']}" if asked else place.removesuffix("/measures")
+    out = []
+    for name in listed(folder, (".parquet",)):
+        files, path = store(name)
+        out += pq.read_table(path, filesystem=files, columns=["station", "measure"], partitioning=None).to_pylist()
+    if asked:
+        return [json.loads(x["station"]) for x in out]
+    if any(x["measure"] is None for x in out):
+        raise OSError("no measures")
+    return [{"@id": x["measure"]} for x in out]
+
+
+def download(spark: SparkSession, measures: DataFrame, place: str, uri: str = "measure_uri", start: str | None = None, end: str | None = None, limit: int = 50000, flow: bool = False, attempts: int = 1, fetch: Callable[[str], list[dict]] = http_page) -> DataFrame:
+    """``measure`` and all readings of the measures in ``uri`` that have arrived at ``place``.
+
+    Each measure is a task of its own (``retrieval``): a rerun asks only for those that failed, found nothing or are new, and never doubles
+    a reading. Addresses that don't begin with ``http`` or name a store are no measures. ``flow`` takes the day after ``end``
+    in as well, as the service's flows end before it.
+    """
+    last = (date.fromisoformat(end) + timedelta(days=1)).isoformat() if end and flow else end
+    asked = measures.select(F.col(uri).alias("task")).where(F.col("task").rlike("^(https?|file|s3|gs|hdfs):"))
+    asked = asked.select("task", F.col("task").alias("uri"), F.lit(start).alias("start"), F.lit(last).alias("end"), F.lit(limit).alias("limit"))
+    retrieval.retrieve(asked, place, lambda request: pages(request, fetch), READING, attempts)
+    return retrieval.retrieved(spark, place, READING).withColumnRenamed("task", "measure")
+
+
+def look_up_stations(stations: DataFrame, base: str, key: str = "station_id", fetch: Callable[[str], list[dict]] = http_page) -> DataFrame:
+    """``stations`` with ``metadata`` and ``measures``: JSON of the station that the service has for the id in ``key``, and of its measures.
+
+    The first of several is taken. Null where the service has none or the request fails, which never ends the job; measures are asked for under the
+    station's own address, and only where there is one. Columns of these names are replaced. ``station_details`` reads both.
+    """
+    kept = [c for c in stations.columns if c not in ("metadata", "measures")]
+    rows = stations.select(*kept)
+    schema = StructType([*rows.schema.fields, StructField("metadata", StringType()), StructField("measures", StringType())])
+
+    def first(url: str) -> list[dict] | None:
+        try:
+            return fetch(url)
+        except (urllib.error.URLError, ValueError, OSError, AttributeError):
+            return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, measured = [], []
+            for name in batch.column(kept.index(key)).to_pylist():
+                items = first(f"{base}?{urllib.parse.urlencode({'wiskiID': name})}") if name is not None else None
+                station = items[0] if items else None
+                address = station.get("@id") if isinstance(station, dict) else None
+                measures = first(f"{address}/measures") if address else None
+                found.append(None if station is None else json.dumps(station))
+                measured.append(None if measures is None else json.dumps(measures))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(measured, pa.string())], [*kept, "metadata", "measures"])
+
+    return rows.mapInArrow(run, schema)

@@ -252,25 +252,17 @@ def test_stations_are_found_and_their_readings_downloaded(spark, tmp_path):
         def name(cls):
             return "fake_stations"
 
-    class Pages(tables.PagedReadings):
-        @staticmethod
-        def fetch(url):
-            if "/m2/" in url:
-                raise OSError("gone")
-            return [{"dateTime": "2024-01-01T00:00:00", "date": "2024-01-01", "value": 1, "quality": "Good"}]
-
-        @classmethod
-        def name(cls):
-            return "fake_pages"
+    def page(url):
+        if "/m2/" in url:
+            raise OSError("gone")
+        return [{"dateTime": "2024-01-01T00:00:00", "date": "2024-01-01", "value": 1, "quality": "Good"}]
 
     spark.dataSource.register(Stations)
-    spark.dataSource.register(Pages)
     found = tables.station_details(spark.read.format("fake_stations").options(base="http://x", places="1.5:-2, 3:4", dist="5", parameter="level").load())
     assert {(r["station"], r["station_name"], r["measure_uri"]) for r in found.collect()} == {("s1", "S1", "http://x/m1"), ("s2", "S2", "http://x/m2")}
-    kept = tables.download(spark, found, str(tmp_path / "kept"), "fake_pages", incomplete="keep")
-    assert [(r["measure"], r["value"]) for r in kept.collect()] == [("http://x/m1", 1.0)]
-    with pytest.raises(Exception, match="gone"):
-        tables.download(spark, found, str(tmp_path / "failed"), "fake_pages")
+    for _ in range(2):
+        kept = tables.download(spark, found, str(tmp_path / "kept"), fetch=page)
+        assert [(r["measure"], r["value"]) for r in kept.collect()] == [("http://x/m1", 1.0)]
 
 
 def test_memory_holds_the_whole_weight(spark):
