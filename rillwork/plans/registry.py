@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,6 +44,14 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df``, written to the cluster's shared folder and read back. In a loop this costs less than ``saved``, which carries what Spark knows
+    of a plan's columns from round to round."""
+    place = f"{shared_root(df.sparkSession)}/stored/{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as station readings."""
     e = table(spark, sf_dir, "events")

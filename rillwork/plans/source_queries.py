@@ -86,10 +86,14 @@ def s19_d02_readings(spark: SparkSession, d: str) -> DataFrame:
     return tables.read_readings(spark, place).select("station", "ts", "value", "quality")
 
 
-@query("SELECT * FROM (VALUES ('raw', '/data/raw'), ('deep', '/data/raw/x'), ('kept', '{other}')) t(name, value)")
+@query("SELECT n_name AS name, '/data/' || r_name || '/' || n_nationkey AS value FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, '/data/' || r_name FROM region UNION ALL SELECT 'kept', '{other}'")
 def s22_x06_settings(spark: SparkSession, d: str) -> DataFrame:
-    tree = config.settings({"root": "/data", "raw": "{root}/raw", "nested": {"deep": "{root}/raw/x", "kept": "{other}"}})
-    return spark.createDataFrame([("raw", tree["raw"]), *tree["nested"].items()], "name string, value string")
+    """A settings tree made of regions, whose folders nations' texts name."""
+    regions = {row["r_name"]: row["r_regionkey"] for row in table(spark, d, "region").collect()}
+    names = {k: n for n, k in regions.items()}
+    nations = {row["n_name"]: "{" + names[row["n_regionkey"]] + "}/" + str(row["n_nationkey"]) for row in table(spark, d, "nation").collect()}
+    tree = config.settings({"root": "/data", **{n: "/data/" + n for n in regions}, "nested": {"nations": nations, "kept": "{other}"}})
+    return spark.createDataFrame([*((n, tree[n]) for n in regions), *tree["nested"]["nations"].items(), ("kept", tree["nested"]["kept"])], "name string, value string")
 
 
 @query("SELECT * FROM (VALUES ('numeric', 'p_size,p_retailprice'), ('category', 'p_brand,p_type'), ('key', 'p_partkey,p_name')) t(kind, columns)")

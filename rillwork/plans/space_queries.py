@@ -7,53 +7,65 @@ from pyspark.sql import functions as F
 
 from ..functions import projection
 from ..functions import scalars as S
-from ..operators import baselines, graphs, selection, spatial
-from .registry import SERIES, STATIONS, query, r, series, stations, table
+from ..operators import baselines, graphs, polygons, selection, spatial
+from .registry import SERIES, STATIONS, query, r, series, stations, stored, table
 
-_RING = [(500.0, 500.0), (9500.0, 1500.0), (8500.0, 9000.0), (3000.0, 7500.0)]
-_BOUNDS = (0.0, 0.0, 10000.0, 10000.0)
+#: Corners of an area, as shares of the box around all stations.
+_RING = [(0.05, 0.05), (0.95, 0.15), (0.85, 0.9), (0.3, 0.75)]
 
 
 def _crossings(x: str, y: str) -> str:
+    corner = lambda fx, fy: (f"(x0 + {fx!r}::DOUBLE * w)", f"(y0 + {fy!r}::DOUBLE * h)")
     edges = zip(_RING, [*_RING[1:], _RING[0]])
-    return " + ".join(f"({y} >= {min(b, e)} AND {y} < {max(b, e)} AND {x} < {a} + ({y} - {b}) * ({(c - a) / (e - b)!r}::DOUBLE))::INT" for (a, b), (c, e) in edges if b != e)
+    sides = ((*corner(*p), *corner(*q)) for p, q in edges)
+    return " + ".join(f"({y} >= least({b}, {e}) AND {y} < greatest({b}, {e}) AND {x} < {a} + ({y} - {b}) * (({c} - {a}) / ({e} - {b})))::INT" for a, b, c, e in sides)
 
 
-_MESH = f"""cells AS (SELECT ix, iy, (ix + 0.5::DOUBLE) * 1000 AS easting, (iy + 0.5::DOUBLE) * 1000 AS northing FROM range(10) a(ix), range(10) b(iy)),
-  mesh AS (SELECT row_number() OVER (ORDER BY ix, iy) - 1 AS node_id, * FROM cells WHERE ({_crossings('easting', 'northing')}) % 2 = 1)"""
+_MESH = f"""{STATIONS}, bounds AS (SELECT x0, y0, x1 - x0 AS w, y1 - y0 AS h, x1, y1 FROM (SELECT floor(min(easting) / 1000) * 1000.0::DOUBLE AS x0, floor(min(northing) / 1000) * 1000.0::DOUBLE AS y0,
+    (floor(max(easting) / 1000) + 1) * 1000.0::DOUBLE AS x1, (floor(max(northing) / 1000) + 1) * 1000.0::DOUBLE AS y1 FROM stations)),
+  cells AS (SELECT ix, iy, (ix + 0.5::DOUBLE) * 1000 AS easting, (iy + 0.5::DOUBLE) * 1000 AS northing FROM (SELECT unnest(range((x0 // 1000)::BIGINT, (x1 // 1000)::BIGINT)) AS ix FROM bounds), (SELECT unnest(range((y0 // 1000)::BIGINT, (y1 // 1000)::BIGINT)) AS iy FROM bounds)),
+  mesh AS (SELECT row_number() OVER (ORDER BY ix, iy) - 1 AS node_id, ix, iy, easting, northing FROM cells, bounds WHERE ({_crossings('easting', 'northing')}) % 2 = 1)"""
 # heights and slopes of nodes, made up from their places
 _NODES = "nodes AS (SELECT node_id, easting, northing, 100 + easting / 97.0::DOUBLE + northing * northing / 1e6::DOUBLE AS elevation, sin(easting / 3000) AS slope_dx, cos(northing / 2000) AS slope_dy FROM mesh)"
 
 
-def _mesh(spark: SparkSession) -> DataFrame:
-    return spatial.mesh(spark, _BOUNDS, 1000.0, lambda x, y: spatial.in_polygon(x, y, _RING))
+def _bounds(spark: SparkSession, d: str) -> tuple[float, float, float, float]:
+    """Whole kilometres around all stations."""
+    side = lambda f, c, more: (F.floor(f(c) / 1000) + more) * 1000.0
+    return tuple(stations(spark, d).agg(side(F.min, "easting", 0), side(F.min, "northing", 0), side(F.max, "easting", 1), side(F.max, "northing", 1)).first())
 
 
-def _nodes(spark: SparkSession) -> DataFrame:
+def _mesh(spark: SparkSession, d: str) -> DataFrame:
+    x0, y0, x1, y1 = bounds = _bounds(spark, d)
+    ring = [(x0 + fx * (x1 - x0), y0 + fy * (y1 - y0)) for fx, fy in _RING]
+    return spatial.mesh(spark, bounds, 1000.0, lambda x, y: spatial.in_polygon(x, y, ring))
+
+
+def _nodes(spark: SparkSession, d: str) -> DataFrame:
     e, n = F.col("easting"), F.col("northing")
-    return _mesh(spark).withColumns({"elevation": 100 + e / 97.0 + n * n / 1e6, "slope_dx": F.sin(e / 3000), "slope_dy": F.cos(n / 2000)})
+    return _mesh(spark, d).withColumns({"elevation": 100 + e / 97.0 + n * n / 1e6, "slope_dx": F.sin(e / 3000), "slope_dy": F.cos(n / 2000)})
 
 
 @query(f"WITH {_MESH} SELECT node_id, ix, iy, easting, northing FROM mesh")
 def g05_g03_mesh(spark: SparkSession, d: str) -> DataFrame:
-    return _mesh(spark)
+    return _mesh(spark, d)
 
 
-@query(f"WITH {_MESH}, {STATIONS} SELECT s.station, m.node_id, m.easting, m.northing FROM stations s JOIN mesh m ON floor(s.easting / 1000) = m.ix AND floor(s.northing / 1000) = m.iy")
+@query(f"WITH {_MESH} SELECT s.station, m.node_id, m.easting, m.northing FROM stations s JOIN mesh m ON floor(s.easting / 1000) = m.ix AND floor(s.northing / 1000) = m.iy")
 def g13_j10_snap(spark: SparkSession, d: str) -> DataFrame:
-    return spatial.snap(stations(spark, d).select("station", "easting", "northing"), _mesh(spark)).select("station", "node_id", "easting", "northing")
+    return spatial.snap(stations(spark, d).select("station", "easting", "northing"), _mesh(spark, d)).select("station", "node_id", "easting", "northing")
 
 
-@query(f"WITH {_MESH}, {STATIONS} SELECT m.node_id, count(s.station) AS n FROM mesh m LEFT JOIN stations s ON s.easting >= m.easting - 500 AND s.easting < m.easting + 500 AND s.northing >= m.northing - 500 AND s.northing < m.northing + 500 GROUP BY ALL")
+@query(f"WITH {_MESH} SELECT m.node_id, count(s.station) AS n FROM mesh m LEFT JOIN stations s ON s.easting >= m.easting - 500 AND s.easting < m.easting + 500 AND s.northing >= m.northing - 500 AND s.northing < m.northing + 500 GROUP BY ALL")
 def j11_mesh_contains(spark: SparkSession, d: str) -> DataFrame:
     """Stations in each mesh cell, by the cell that their place names."""
     at = stations(spark, d).select("station", spatial.cell(F.col("easting"), 1000.0).alias("ix"), spatial.cell(F.col("northing"), 1000.0).alias("iy"))
-    return _mesh(spark).join(at, ["ix", "iy"], "left").groupBy("node_id").agg(F.count("station").alias("n"))
+    return _mesh(spark, d).join(at, ["ix", "iy"], "left").groupBy("node_id").agg(F.count("station").alias("n"))
 
 
 @query(f"WITH {_MESH} SELECT a.node_id AS src, b.node_id AS dst FROM mesh a JOIN mesh b ON abs(a.ix - b.ix) <= 1 AND abs(a.iy - b.iy) <= 1 AND a.node_id <> b.node_id")
 def j12_touching(spark: SparkSession, d: str) -> DataFrame:
-    return spatial.touching(_mesh(spark))
+    return spatial.touching(_mesh(spark, d))
 
 
 @query(f"WITH {STATIONS}, p AS (SELECT a.node_id AS src, b.node_id AS dst, sqrt(pow(b.easting - a.easting, 2) + pow(b.northing - a.northing, 2)) AS distance FROM stations a, stations b) SELECT src, dst, round(distance, 6) AS distance FROM p WHERE distance > 0 AND distance <= 2500")
@@ -66,23 +78,31 @@ def j24_nearest_three(spark: SparkSession, d: str) -> DataFrame:
     return spatial.nearest_points(stations(spark, d), 3, itself=True).select("src", "dst", r("distance"), F.col("rank").cast("long").alias("rank"))
 
 
-_LINES = [(0.0, 0.0, 4000.0, 3000.0), (4000.0, 3000.0, 9000.0, 3500.0), (9000.0, 3500.0, 9000.0, 9900.0)]
+# a river from each fifth station to the next
+_SEG = "seg AS (SELECT * FROM (SELECT easting AS x1, northing AS y1, lead(easting) OVER w AS x2, lead(northing) OVER w AS y2 FROM stations WHERE node_id % 5 = 0 WINDOW w AS (ORDER BY node_id)) WHERE x2 IS NOT NULL)"
 
 
-def _segments(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_LINES, "x1 double, y1 double, x2 double, y2 double")
+def _segments(spark: SparkSession, d: str) -> DataFrame:
+    at = stations(spark, d).where("node_id % 5 = 0").select("node_id", "easting", "northing")
+    following = at.select((F.col("node_id") - 5).alias("node_id"), F.col("easting").alias("x2"), F.col("northing").alias("y2"))
+    return at.withColumnsRenamed({"easting": "x1", "northing": "y1"}).join(following, "node_id").select("x1", "y1", "x2", "y2")
 
 
-@query(f"""WITH {_MESH}, seg(x1, y1, x2, y2) AS (VALUES {', '.join(str(s) for s in _LINES)}),
+@query(f"""WITH {_MESH}, {_SEG},
   t AS (SELECT node_id, easting AS px, northing AS py, x1::DOUBLE AS x1, y1::DOUBLE AS y1, x2 - x1 AS dx, y2 - y1 AS dy, greatest(0, least(1, ((easting - x1) * (x2 - x1) + (northing - y1) * (y2 - y1))::DOUBLE / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) AS t FROM mesh, seg)
 SELECT node_id, floor(min(sqrt(pow(px - (x1 + t * dx), 2) + pow(py - (y1 + t * dy), 2)))) AS distance FROM t GROUP BY node_id""")
 def g12_j15_nearest_line(spark: SparkSession, d: str) -> DataFrame:
-    return spatial.nearest_line(_mesh(spark), _segments(spark), 20000.0)
+    return spatial.nearest_line(_mesh(spark, d), _segments(spark, d), 20000.0)
 
 
-@query(f"SELECT * FROM (VALUES (2000.0::DOUBLE, 1500.0::DOUBLE, 4000.0::DOUBLE, 3000.0::DOUBLE), (4000.0, 3000.0, 6000.0, 3200.0)) t(x1, y1, x2, y2)")
+@query(f"""WITH {_MESH}, {_SEG}, box AS (SELECT x0 + w / 8 AS l, y0 AS b, x0 + w * 5 / 8 AS r, y0 + h * 3 / 4 AS t FROM bounds),
+  s AS (SELECT *, x2 - x1 AS dx, y2 - y1 AS dy FROM seg, box),
+  cut AS (SELECT *, greatest(0.0::DOUBLE, CASE WHEN dx > 0 THEN (l - x1) / dx WHEN dx < 0 THEN (r - x1) / dx END, CASE WHEN dy > 0 THEN (b - y1) / dy WHEN dy < 0 THEN (t - y1) / dy END) AS enter,
+    least(1.0::DOUBLE, CASE WHEN dx > 0 THEN (r - x1) / dx WHEN dx < 0 THEN (l - x1) / dx END, CASE WHEN dy > 0 THEN (t - y1) / dy WHEN dy < 0 THEN (b - y1) / dy END) AS leave FROM s WHERE (dx <> 0 OR x1 BETWEEN l AND r) AND (dy <> 0 OR y1 BETWEEN b AND t))
+SELECT round(x1 + enter * dx, 6) AS x1, round(y1 + enter * dy, 6) AS y1, round(x1 + leave * dx, 6) AS x2, round(y1 + leave * dy, 6) AS y2 FROM cut WHERE enter <= leave""")
 def j14_clip_lines(spark: SparkSession, d: str) -> DataFrame:
-    out = spatial.clip_segments(_segments(spark), (2000.0, 1000.0, 6000.0, 5000.0))
+    x0, y0, x1, y1 = _bounds(spark, d)
+    out = spatial.clip_segments(_segments(spark, d), (x0 + (x1 - x0) / 8, y0, x0 + (x1 - x0) * 5 / 8, y0 + (y1 - y0) * 3 / 4))
     return out.select(r("x1"), r("y1"), r("x2"), r("y2"))
 
 
@@ -167,32 +187,32 @@ _ATTRS = """attrs AS (SELECT src, dst, sqrt(pow(d.easting - s.easting, 2) + pow(
 _EDGES = f"{_MESH}, {_NODES}, {_TOUCH}, near AS (SELECT a.node_id AS src, b.node_id AS dst FROM mesh a, mesh b WHERE a.node_id % 9 = 0 AND b.node_id % 9 = 0 AND a.node_id <> b.node_id AND sqrt(pow(a.easting - b.easting, 2) + pow(a.northing - b.northing, 2)) <= 4000), edges AS (SELECT * FROM touch UNION SELECT * FROM near)"
 
 
-def _edges(spark: SparkSession) -> DataFrame:
-    m = _mesh(spark)
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    m = _mesh(spark, d)
     return graphs.edge_set(m, m.where("node_id % 9 = 0"), 4000.0)
 
 
 @query(f"WITH {_EDGES} SELECT src, dst FROM edges")
 def g14_u03_edge_set(spark: SparkSession, d: str) -> DataFrame:
-    return _edges(spark)
+    return _edges(spark, d)
 
 
 @query(f"WITH {_EDGES}, {_ATTRS} SELECT src, dst, round(distance, 6) AS distance, round(elev_diff, 6) AS elev_diff, round(slope_dx, 6) AS slope_dx, round(slope_dy, 6) AS slope_dy, round(dir_score, 6) AS dir_score FROM attrs")
 def g15_j26_edge_attributes(spark: SparkSession, d: str) -> DataFrame:
-    return graphs.edge_attributes(_edges(spark), _nodes(spark)).select("src", "dst", *(r(c) for c in graphs.ATTRIBUTES))
+    return graphs.edge_attributes(_edges(spark, d), _nodes(spark, d)).select("src", "dst", *(r(c) for c in graphs.ATTRIBUTES))
 
 
-@query(f"WITH {_EDGES}, {_ATTRS}, s AS (SELECT avg(distance) AS m1, stddev_pop(distance) AS s1, avg(elev_diff) AS m2, stddev_pop(elev_diff) AS s2 FROM attrs) SELECT src, dst, round(((distance - m1) / s1)::DOUBLE, 3) AS distance, round(((elev_diff - m2) / s2)::DOUBLE, 3) AS elev_diff FROM attrs, s")
+@query(f"WITH {_EDGES}, {_ATTRS}, s AS (SELECT avg(distance) AS m1, stddev_pop(distance) AS s1, avg(elev_diff) AS m2, stddev_pop(elev_diff) AS s2 FROM attrs) SELECT src, dst, round(((distance - m1) / CASE WHEN s1 = 0 THEN 1 ELSE s1 END)::DOUBLE, 3) AS distance, round(((elev_diff - m2) / CASE WHEN s2 = 0 THEN 1 ELSE s2 END)::DOUBLE, 3) AS elev_diff FROM attrs, s")
 def g16_a19_standardised_edges(spark: SparkSession, d: str) -> DataFrame:
-    attrs = graphs.edge_attributes(_edges(spark), _nodes(spark))
+    attrs = graphs.edge_attributes(_edges(spark, d), _nodes(spark, d))
     out = graphs.standardised(attrs, graphs.scaler(attrs, ["distance", "elev_diff"]), ["distance", "elev_diff"])
     return out.select("src", "dst", *(F.round(F.col(c).cast("double"), 3).alias(c) for c in ("distance", "elev_diff")))
 
 
 @query(f"WITH {_EDGES}, {_ATTRS}, w AS (SELECT dst, exp(dir_score) AS w, elevation AS v FROM attrs JOIN nodes ON src = node_id) SELECT dst, round(sum(w * v) / sum(w), 6) AS out FROM w GROUP BY dst")
 def n01_attention(spark: SparkSession, d: str) -> DataFrame:
-    nodes = _nodes(spark)
-    attrs = graphs.edge_attributes(_edges(spark), nodes).join(nodes.select(F.col("node_id").alias("src"), "elevation"), "src")
+    nodes = _nodes(spark, d)
+    attrs = graphs.edge_attributes(_edges(spark, d), nodes).join(nodes.select(F.col("node_id").alias("src"), "elevation"), "src")
     return graphs.attention(attrs, "dir_score", "elevation").select("dst", r("out"))
 
 
@@ -330,3 +350,34 @@ def g04_bounding_box(spark: SparkSession, d: str) -> DataFrame:
     e = stations(spark, d).agg(F.min("easting"), F.min("northing"), F.max("easting"), F.max("northing")).first()
     box = projection.bounding_box(((e[0] + 300000, e[1] + 500000), (e[2] + 300000, e[3] + 500000)))
     return spark.createDataFrame([tuple(round(x, 7) for x in box)], "north double, west double, south double, east double")
+
+
+# parts as square cells, 50 a row, and their union by class
+_PARTS = "parts AS (SELECT p_partkey, p_partkey % 50 AS i, p_partkey // 50 AS j, p_size % 3 AS kind FROM part)"
+
+
+def _parts(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part")
+    return p.select("p_partkey", F.pmod("p_partkey", F.lit(50)).alias("i"), F.floor(F.col("p_partkey") / 50).alias("j"), F.pmod("p_size", F.lit(3)).alias("kind"))
+
+
+def _dissolved(spark: SparkSession, d: str) -> DataFrame:
+    corner = lambda a, b: F.struct(((F.col("i") + a) * 25.0).alias("x"), ((F.col("j") + b) * 25.0).alias("y"))
+    squares = _parts(spark, d).select("kind", F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1)).alias("ring"))
+    return polygons.dissolve(squares, ["kind"], stored, 200.0, node=False)
+
+
+@query(f"""WITH {_PARTS}, sides AS (SELECT p.kind, p.p_partkey, count(q.p_partkey) AS n FROM parts p LEFT JOIN parts q ON q.kind = p.kind AND abs(q.i - p.i) + abs(q.j - p.j) = 1 GROUP BY ALL)
+SELECT kind, count(*) * 625.0::DOUBLE AS area, CAST(sum(4 - n) AS BIGINT) * 25.0::DOUBLE AS length FROM sides GROUP BY kind""")
+def a30_dissolve(spark: SparkSession, d: str) -> DataFrame:
+    """Area and length of the outline of each class's union."""
+    whole = _dissolved(spark, d)
+    length = polygons.ring_length(F.col("ring")) + polygons.total(F.col("holes"), polygons.ring_length)
+    return whole.groupBy("kind").agg(F.sum("area").alias("area"), F.sum(length).alias("length"))
+
+
+@query(f"WITH {_PARTS} SELECT p_partkey, kind FROM parts")
+def a30_dissolved_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each cell's centre lies in the union of its own class, and in no other."""
+    centres = _parts(spark, d).select("p_partkey", ((F.col("i") + 0.5) * 25).alias("easting"), ((F.col("j") + 0.5) * 25).alias("northing"))
+    return polygons.containing_polygons(centres, _dissolved(spark, d), 200.0).select("p_partkey", "kind")

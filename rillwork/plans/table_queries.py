@@ -319,9 +319,11 @@ def a32_arg_extremes(spark: SparkSession, d: str) -> DataFrame:
     return readings(spark, d).groupBy("station").agg(F.max_by("event_id", F.struct("value", -e)).alias("top"), F.min_by("event_id", F.struct("value", e)).alias("low"))
 
 
-@query("""WITH m AS (SELECT CAST(unnest(generate_series(DATE '2014-01-01', DATE '2016-12-31', INTERVAL 1 MONTH)) AS DATE) AS m) SELECT 'https://x.org/rain_' || strftime(m, '%Y%m%d') || '-' || strftime(last_day(m), '%Y%m%d') || '.nc' AS file FROM m""")
+@query("""WITH span AS (SELECT date_trunc('month', min(o_orderdate)) AS first, max(o_orderdate) AS last FROM orders), m AS (SELECT CAST(unnest(generate_series(first, last, INTERVAL 1 MONTH)) AS DATE) AS m FROM span) SELECT 'https://x.org/rain_' || strftime(m, '%Y%m%d') || '-' || strftime(last_day(m), '%Y%m%d') || '.nc' AS file FROM m""")
 def s11_month_files(spark: SparkSession, d: str) -> DataFrame:
-    return sources.month_files(spark, "2014-01-01", "2016-12-31", "https://x.org/rain_")
+    """Files of all months that have orders."""
+    first, last = table(spark, d, "orders").agg(F.min("o_orderdate").cast("date").cast("string"), F.max("o_orderdate").cast("date").cast("string")).first()
+    return sources.month_files(spark, first, last, "https://x.org/rain_")
 
 
 @query("""WITH m AS (SELECT l_suppkey AS station, l_linenumber AS seq, CASE WHEN l_quantity < 5 THEN '/flow-mean-' ELSE '/level-' END || l_orderkey AS uri, l_orderkey FROM lineitem)

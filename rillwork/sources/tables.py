@@ -42,14 +42,26 @@ def read_readings(spark: SparkSession, path: str) -> DataFrame:
     return df.select(normal_name(F.col("station_name")).alias("station"), F.col("dateTime").alias("ts"), value.alias("value"), "quality", "measure")
 
 
-def read_geojson(spark: SparkSession, path: str, properties: Sequence[str]) -> DataFrame:
-    """``properties`` and ``ring`` (the outer one, as x and y) of each polygon."""
+def _features(properties: Sequence[str]) -> str:
     fields = ", ".join(f"`{p}`: string" for p in properties)
-    schema = f"features array<struct<properties: struct<{fields}>, geometry: struct<type: string, coordinates: array<array<array<double>>>>>>"
-    rows = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("features").alias("f")).where("f.geometry.type = 'Polygon'")
-    ring = F.transform(F.col("f.geometry.coordinates")[0], lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    return f"features array<struct<properties: struct<{fields}>, geometry: struct<type: string, coordinates: string>>>"
+
+
+def _polygons(rows: DataFrame, properties: Sequence[str], *kept: str) -> DataFrame:
+    """One row a polygon of the features ``f``: parts of a multipart one are rows of their own, with all rings."""
+    kind, text = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
+    deep = "array<array<array<array<double>>>>"
+    parts = F.when(kind == "Polygon", F.array(F.from_json(text, "array<array<array<double>>>"))).when(kind == "MultiPolygon", F.from_json(text, deep))
     # the last point repeats the first
-    return rows.select(*(F.col(f"f.properties.{p}").alias(p) for p in properties), F.slice(ring, 1, F.size(ring) - 1).alias("ring"))
+    ring = lambda r: F.transform(F.slice(r, 1, F.greatest(F.size(r) - 1, F.lit(0))), lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    rows = rows.select(*kept, *(F.col(f"f.properties.{p}").alias(p) for p in properties), F.posexplode(parts).alias("part", "_rings"))
+    return rows.select(*kept, *properties, ring(F.col("_rings")[0]).alias("ring"), F.transform(F.slice("_rings", 2, F.greatest(F.size("_rings") - 1, F.lit(0))), ring).alias("holes"), "part")
+
+
+def read_geojson(spark: SparkSession, path: str, properties: Sequence[str]) -> DataFrame:
+    """``properties, ring`` (the outer one, as x and y)``, holes, part`` of each polygon; each part of a multipart one is a row. Points and lines have no rows."""
+    rows = spark.read.schema(_features(properties)).json(path, multiLine=True).select(F.explode("features").alias("f"))
+    return _polygons(rows, properties)
 
 
 def read_vectors(spark: SparkSession, folder: str, subfolders: str, suffix: str, properties: Sequence[str]) -> DataFrame:
@@ -57,13 +69,10 @@ def read_vectors(spark: SparkSession, folder: str, subfolders: str, suffix: str,
 
     A file that isn't GeoJSON has no features and so no rows; the others are read all the same.
     """
-    fields = ", ".join(f"`{p}`: string" for p in properties)
-    schema = f"features array<struct<properties: struct<{fields}>, geometry: struct<type: string, coordinates: array<array<array<double>>>>>>"
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").load(folder)
     found = found.where(F.element_at(F.split("path", "/"), -2).rlike(f"^(?:{subfolders})$"))
-    rows = found.select(F.col("path").alias("file"), F.explode(F.from_json(F.decode("content", "UTF-8"), schema)["features"]).alias("f")).where("f.geometry.type = 'Polygon'")
-    ring = F.transform(F.col("f.geometry.coordinates")[0], lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
-    return rows.select(last_segment(F.col("file")).alias("file"), *(F.col(f"f.properties.{p}").alias(p) for p in properties), F.slice(ring, 1, F.size(ring) - 1).alias("ring"))
+    rows = found.select(last_segment(F.col("path")).alias("file"), F.explode(F.from_json(F.decode("content", "UTF-8"), _features(properties))["features"]).alias("f"))
+    return _polygons(rows, properties, "file")
 
 
 def read_ascii_grid(spark: SparkSession, path: str) -> DataFrame:
