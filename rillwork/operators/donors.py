@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import correlation, decay_score, haversine, planar
+from ..functions.scalars import decay_score, haversine, planar
 from .gaps import gap_runs, imputable_holes, neighbours, runs
 from .metrics import errors
 
@@ -25,12 +27,80 @@ def station_distances(stations: DataFrame, threshold_m: float = 50000.0) -> Data
     return pairs.select(F.col("station_a").alias("a"), F.col("station_b").alias("b"), F.bround(F.when(F.col("wide"), far).otherwise(near), 2).alias("distance_m"))
 
 
+#: Stations and times of a block of ``pair_correlations``.
+STATIONS, TIMES = 64, 2048
+
+
+def _moments(a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+    """For each pair of rows: common entries, and over them the sums of a, b, a², b² and ab. NaN is missing."""
+    ma, mb = (~np.isnan(v) for v in (a, b))
+    a, b, ma, mb = np.where(ma, a, 0.0), np.where(mb, b, 0.0), ma.astype(np.float64), mb.astype(np.float64)
+    return [ma @ mb.T, a @ mb.T, ma @ b.T, (a * a) @ mb.T, ma @ (b * b).T, a @ b.T]
+
+
 def pair_correlations(df: DataFrame, least: int = 365, key: str = "station", time: str = "day", value: str = "value") -> DataFrame:
-    """``a, b, n, r`` of each pair with common times: Pearson's r, null below ``least`` of them, negative ones 0."""
-    known = df.where(F.col(value).isNotNull())
-    a, b = (known.select(F.col(key).alias(s), F.col(time).alias("t"), F.col(value).alias(f"v{s}")) for s in "ab")
-    pairs = a.join(b, "t").where(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), correlation("va", "vb").alias("r"))
-    return pairs.withColumn("r", F.when(F.col("n") >= least, F.when(F.col("r").isNotNull(), F.greatest("r", F.lit(0.0)))))
+    """``a, b, n, r`` of each pair with common times: Pearson's r, null below ``least`` of them or where a side doesn't vary, negative ones 0.
+
+    Values, less their station's mean, are packed into blocks of about ``STATIONS`` stations by ``TIMES`` times, with gaps marked; each block
+    meets those of the same times, and six matrix products give the moments of all their pairs at once, which are summed over
+    blocks of times. So what is shuffled grows with blocks, not with pairs times days. A station's times should differ; of repeats the mean counts.
+    Null stations, times and values are left out.
+    """
+    known = df.where(F.col(value).isNotNull() & F.col(key).isNotNull() & F.col(time).isNotNull())
+    kind = df.schema[time].dataType.simpleString()
+    stamp = F.unix_date(time).cast("long") if kind == "date" else F.unix_micros(F.col(time).cast("timestamp")) if kind.startswith("timestamp") else F.col(time).cast("long") if kind in ("tinyint", "smallint", "int", "bigint") else F.xxhash64(time)
+    sizes = known.agg(F.countDistinct(key).alias("s"), F.countDistinct(time).alias("t")).first()
+    groups, spans = max(1, -(-sizes["s"] // STATIONS)), max(1, -(-sizes["t"] // TIMES))
+    means = known.groupBy(F.col(key).alias("s")).agg(F.avg(value).alias("m"))
+    rows = known.select(F.col(key).alias("s"), stamp.alias("t"), F.col(value).cast("double").alias("v")).join(means, "s").select("s", "t", (F.col("v") - F.col("m")).alias("v"))
+    rows = rows.withColumns({"g": F.pmod(F.xxhash64("s"), F.lit(groups)).cast("int"), "u": F.pmod(F.xxhash64("t"), F.lit(spans)).cast("int")})
+    key_type = df.schema[key].dataType.simpleString()
+
+    def pack(table: pa.Table) -> pa.Table:
+        t, i = np.unique(table.column("t").to_numpy(), return_inverse=True)
+        coded = table.column("s").combine_chunks().dictionary_encode()
+        coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+        j, names = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+        total, count = np.zeros((len(names), len(t))), np.zeros((len(names), len(t)))
+        np.add.at(total, (j, i), table.column("v").to_numpy())
+        np.add.at(count, (j, i), 1)
+        with np.errstate(invalid="ignore"):
+            cells = total / np.where(count == 0, np.nan, count)
+        one = lambda c: table.column(c)[0].as_py()
+        return pa.table({"g": pa.array([one("g")], pa.int32()), "u": pa.array([one("u")], pa.int32()), "names": pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names), "t": pa.array([t.tobytes()]), "cells": pa.array([cells.tobytes()])})
+
+    blocks = rows.groupBy("g", "u").applyInArrow(pack, f"g int, u int, names array<{key_type}>, t binary, cells binary")
+    other = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    pairs = blocks.withColumn("o", other).select(F.least("g", "o").alias("p"), F.greatest("g", "o").alias("q"), "u", "g", "names", "t", "cells")
+
+    def multiply(table: pa.Table) -> pa.Table:
+        held = {}
+        for x in table.to_pylist():
+            times = np.frombuffer(x["t"], np.int64)
+            held[x["g"]] = x["names"], times, np.frombuffer(x["cells"]).reshape(len(x["names"]), len(times))
+        p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
+        out = {c: [] for c in ("a", "b", "n", "sa", "sb", "saa", "sbb", "sab")}
+        if p in held and q in held:
+            (names_p, t_p, v_p), (names_q, t_q, v_q) = held[p], held[q]
+            _, i, j = np.intersect1d(t_p, t_q, assume_unique=True, return_indices=True)
+            n, sa, sb, saa, sbb, sab = _moments(v_p[:, i], v_q[:, j])
+            for r, c in zip(*np.nonzero(n)):
+                a, b = names_p[r], names_q[c]
+                if p == q and a >= b:
+                    continue
+                turn = a > b
+                for name, v in zip(out, (b if turn else a, a if turn else b, int(n[r, c]), *((sb, sa) if turn else (sa, sb)), *((sbb, saa) if turn else (saa, sbb)), sab)):
+                    out[name].append(v if not isinstance(v, np.ndarray) else float(v[r, c]))
+        names = table.schema.field("names").type.value_type
+        kinds = {"a": names, "b": names, "n": pa.int64()}
+        return pa.table({c: pa.array(v, kinds.get(c, pa.float64())) for c, v in out.items()})
+
+    parts = pairs.groupBy("p", "q", "u").applyInArrow(multiply, f"a {key_type}, b {key_type}, n bigint, sa double, sb double, saa double, sbb double, sab double")
+    whole = parts.groupBy("a", "b").agg(*(F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")))
+    spread = lambda s, ss: F.col(ss) - F.col(s) * F.col(s) / F.col("n")
+    varied = lambda s, ss: F.when(spread(s, ss) > 1e-12 * F.col(ss), F.sqrt(spread(s, ss)))
+    r = F.try_divide(F.col("sab") - F.col("sa") * F.col("sb") / F.col("n"), varied("sa", "saa") * varied("sb", "sbb"))
+    return whole.select("a", "b", "n", F.when(F.col("n") >= least, F.when(r.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), r)))).alias("r"))
 
 
 def donor_scores(distances: DataFrame, correlations: DataFrame, k: float = 0.05, threshold: float = 0.3) -> DataFrame:

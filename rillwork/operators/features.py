@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,16 +81,43 @@ def rainfall_block(daily: DataFrame, lam: float, frequency: str = "daily", value
     return trim(out, start, end, time) if start and end else out
 
 
-def running_memory(df: DataFrame, value: str, keep: float = 0.9, by: Sequence[str] = ("station",), time: str = "day", lost: float = 1e-12) -> DataFrame:
-    """Adds ``memory``: ``keep * memory + (1 - keep) * value`` from 0 on.
+#: Rows of a block of ``running_memory``, at most.
+MEMORY_ROWS = 1 << 16
 
-    Folded over as many of the last rows as hold all but ``lost`` of the weight (263 for 0.9, 2,750 for 0.99), so a window of fixed
-    size stands for the whole past.
+
+def running_memory(df: DataFrame, value: str, keep: float = 0.9, by: Sequence[str] = ("station",), time: str = "day", cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Adds ``memory``: ``keep * memory + (1 - keep) * value`` from 0 on; rows without a value leave it as it is.
+
+    A row maps memory affinely, and such maps compose, so a series is cut into blocks of rows: within a block weights of powers of
+    ``keep`` turn the recurrence into a running sum, a block's map is its power of ``keep`` and its last value, and the maps of the blocks
+    before, composed in order, give what a block begins with. A row holds a few numbers. With ``cut``, which stores the rows, a
+    series of any length is dealt to tasks by time; without, a series is in one task. Either way one task sees a series' blocks, a row each.
     """
-    rows = max(1, math.ceil(math.log(lost) / math.log(keep))) if 0 < keep < 1 else 1
-    w = Window.partitionBy(*by).orderBy(time).rowsBetween(-(rows - 1), 0)
-    past = F.collect_list(value).over(w)
-    return df.withColumn("memory", F.aggregate(past, F.lit(0.0), lambda m, x: keep * m + (1 - keep) * x))
+    if not 0 < keep < 1:
+        return df.withColumn("memory", F.when(F.lit(keep <= 0), F.coalesce(value, F.lit(0.0))).otherwise(F.lit(0.0)))
+    size = max(1, min(MEMORY_ROWS, int(460 / -math.log(keep))))  # keep ** -size stays below 1e200
+    rows = df.withColumn("_part", F.lit(0)) if cut is None else cut(df.repartitionByRange(*by, time).withColumn("_part", F.spark_partition_id()))
+    count = F.count(value).over(Window.partitionBy(*by, "_part").orderBy(time)) - 1  # values up to here
+    block, pos = F.greatest(F.floor(F.col("_n") / size), F.lit(0)), F.greatest(F.col("_n"), F.lit(-1))
+    rows = rows.withColumn("_n", count).withColumns({"_block": F.shiftleft(F.col("_part").cast("long"), 32) + block, "_pos": pos - block * size})
+    within = Window.partitionBy(*by, "_block").orderBy(time)
+    weighed = F.sum(F.coalesce(F.col(value) * F.pow(F.lit(1 / keep), F.col("_pos")), F.lit(0.0))).over(within)
+    rows = rows.withColumn("_own", (1 - keep) * weighed * F.pow(F.lit(keep), F.greatest("_pos", F.lit(0))))
+    maps = rows.groupBy(*by, "_block").agg(F.max_by("_own", "_pos").alias("_end"), (F.max("_pos") + 1).alias("_rows"))
+
+    def compose(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_block")
+        start, m = [], 0.0
+        for end, n in zip(table.column("_end").to_pylist(), table.column("_rows").to_pylist()):
+            start.append(m)
+            m = m * keep**n + end
+        return table.select([*by, "_block"]).append_column("_start", pa.array(start))
+
+    kinds = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in by]
+    begins = maps.groupBy(*by).applyInArrow(compose, ", ".join([*kinds, "_block bigint", "_start double"]))
+    begins = begins.select(*(F.col(k).alias(f"_k_{k}") for k in by), F.col("_block").alias("_b"), "_start")
+    same = functools.reduce(lambda p, q: p & q, [*(F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in by), F.col("_block") == F.col("_b")])
+    return rows.join(begins, same).withColumn("memory", F.col("_own") + F.col("_start") * F.pow(F.lit(keep), F.col("_pos") + 1)).select(*df.columns, "memory")
 
 
 def differences(df: DataFrame, value: str, by: Sequence[str] = ("station",), time: str = "day") -> DataFrame:

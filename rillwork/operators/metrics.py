@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import correlation
 
+
 def errors(df: DataFrame, truth: str, estimate: str, by: Sequence[str] = ()) -> DataFrame:
     """``n, mae, mse, rmse, bias, nse, r, alpha, beta, kge`` over rows with both, for each group.
 
@@ -67,18 +70,54 @@ def block_means(df: DataFrame, size: int, columns: Sequence[str], by: Sequence[s
     return blocks.groupBy(*by, "block").agg(F.count(F.lit(1)).alias("_n"), *(F.avg(c).alias(c) for c in columns)).where(F.col("_n") == size).drop("_n")
 
 
+#: Rows of a chunk of ``best_lag``, at least; a chunk is also at least twice the longest lag.
+CHUNK = 4096
+
+
+def lag_sums(a: np.ndarray, b: np.ndarray, most: int) -> list[np.ndarray]:
+    """For each lag from ``-most`` to ``most``, over the places where ``a[i]`` and ``b[i + most + lag]`` are both there: their number, and the sums of
+    a, b, a², b² and ab. ``b`` reaches ``most`` further than ``a`` on both sides; NaN is missing. Six correlations by Fourier transforms."""
+    n = 1 << (len(a) + len(b)).bit_length()
+    ma, mb = (~np.isnan(v) for v in (a, b))
+    a, b = np.where(ma, a, 0.0), np.where(mb, b, 0.0)
+    left = [np.conj(np.fft.rfft(v, n)) for v in (ma.astype(float), a, a * a)]
+    right = [np.fft.rfft(v, n) for v in (mb.astype(float), b, b * b)]
+    sums = [np.fft.irfft(left[i] * right[j], n)[: 2 * most + 1] for i, j in ((0, 0), (1, 0), (0, 1), (2, 0), (0, 2), (1, 1))]
+    return [np.rint(sums[0]), *sums[1:]]
+
+
 def best_lag(df: DataFrame, a: str, b: str, by: Sequence[str], time: str, most: int = 300, least: int = 3) -> DataFrame:
     """``lag, r, n`` of the shift of ``b`` against ``a``, in rows, with the largest correlation (least lag of ties).
 
-    Each row meets the ``2 * most + 1`` shifted rows by an equi-join on the shifted place.
+    Series are cut into chunks that overlap by ``most`` rows either way, so a row goes to two chunks at most; a chunk's sums
+    for all lags come from Fourier transforms of values less the series' mean, and are added up over chunks. Correlations are compared to 9 places.
     """
-    w = Window.partitionBy(*by).orderBy(time)
-    rows = df.withColumn("_i", F.row_number().over(w))
-    left = rows.select(*by, "_i", F.col(a).alias("_a")).withColumn("lag", F.explode(F.sequence(F.lit(-most), F.lit(most)))).withColumn("_j", F.col("_i") + F.col("lag"))
-    right = rows.select(*by, F.col("_i").alias("_j"), F.col(b).alias("_b"))
-    scored = left.join(right, [*by, "_j"]).where(F.col("_a").isNotNull() & F.col("_b").isNotNull()).groupBy(*by, "lag").agg(correlation("_a", "_b").alias("r"), F.count(F.lit(1)).alias("n"))
-    scored = scored.where((F.col("n") >= least) & F.col("r").isNotNull())
-    best = F.max_by(F.struct("lag", "r", "n"), F.struct(F.bround("r", 12), -F.col("lag")))
+    size = max(CHUNK, 2 * most)
+    whole = Window.partitionBy(*by)
+    rows = df.select(*by, F.row_number().over(whole.orderBy(time)).alias("_i"), *((F.col(c).cast("double") - F.avg(c).over(whole)).alias(f"_{s}") for c, s in ((a, "a"), (b, "b"))))
+    rows = rows.withColumn("_i", F.col("_i") - 1)
+    chunk = F.floor(F.col("_i") / size)
+    near = F.array_compact(F.array(chunk, F.when(F.col("_i") % size < most, chunk - 1), F.when(F.col("_i") % size >= size - most, chunk + 1)))
+    dealt = rows.withColumn("_c", F.explode(near))
+
+    def sums(table: pa.Table) -> pa.Table:
+        first = table.column("_c")[0].as_py() * size
+        at = table.column("_i").to_numpy() - first + most
+        wide_a, wide_b = np.full(size + 2 * most, np.nan), np.full(size + 2 * most, np.nan)
+        wide_a[at], wide_b[at] = (table.column(c).to_numpy(zero_copy_only=False) for c in ("_a", "_b"))
+        found = lag_sums(wide_a[most : most + size], wide_b, most)
+        keys = {k: pa.array([table.column(k)[0].as_py()] * (2 * most + 1), table.schema.field(k).type) for k in by}
+        return pa.table(keys | {"lag": pa.array(np.arange(-most, most + 1), pa.int32())} | {c: pa.array(v) for c, v in zip(("n", "sa", "sb", "saa", "sbb", "sab"), found)})
+
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in by)
+    moments = ("n", "sa", "sb", "saa", "sbb", "sab")
+    parts = dealt.groupBy(*by, "_c").applyInArrow(sums, ", ".join(filter(None, [kinds, "lag int", *(f"{c} double" for c in moments)])))
+    scored = parts.groupBy(*by, "lag").agg(*(F.sum(c).alias(c) for c in moments)).where(F.col("n") >= least)
+    spread = lambda s, ss: F.col(ss) - F.col(s) * F.col(s) / F.col("n")
+    varied = lambda s, ss: F.when(spread(s, ss) > 1e-9 * F.col(ss), F.sqrt(spread(s, ss)))
+    r = F.try_divide(F.col("sab") - F.col("sa") * F.col("sb") / F.col("n"), varied("sa", "saa") * varied("sb", "sbb"))
+    scored = scored.select(*by, "lag", r.alias("r"), F.col("n").cast("long").alias("n")).where(F.col("r").isNotNull())
+    best = F.max_by(F.struct("lag", "r", "n"), F.struct(F.bround("r", 9), -F.col("lag")))
     return scored.groupBy(*by).agg(best.alias("_x")).select(*by, "_x.lag", "_x.r", "_x.n")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -56,15 +57,58 @@ def within_radius(points: DataFrame, radius: float, key: str = "node_id", x: str
     return asked.join(at, ["_ix", "_iy"]).withColumn("distance", distance).where((F.col("distance") > 0) & (F.col("distance") <= radius)).select("src", "dst", "distance")
 
 
+#: Points of a cell at the finest level of a pyramid, about, and its most levels.
+PER_CELL, LEVELS = 4, 20
+
+
+def _around(level: Column, x: Column, y: Column, box: tuple[float, float, float]) -> Column:
+    """The nine cells of a level around a place, as structs of ``l, ix, iy``."""
+    x0, y0, span = box
+    at = lambda c, c0: F.floor((c - c0) / span * F.pow(F.lit(2.0), level)).cast("long")
+    return F.array(*(F.struct(level.alias("l"), (at(x, x0) + i).alias("ix"), (at(y, y0) + j).alias("iy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+
+
 def nearest_points(points: DataFrame, k: int, key: str = "node_id", x: str = "easting", y: str = "northing", itself: bool = False, targets: DataFrame | None = None) -> DataFrame:
-    """``src, dst, distance, rank`` of the ``k`` nearest targets (ties by id); meant for tables of stations, which a task can hold."""
-    other = (points if targets is None else targets).select(F.col(key).alias("dst"), F.col(x).alias("_x2"), F.col(y).alias("_y2"))
-    pairs = points.select(F.col(key).alias("src"), F.col(x).alias("_x1"), F.col(y).alias("_y1")).crossJoin(other)
-    if not itself:
-        pairs = pairs.where(F.col("src") != F.col("dst"))
+    """``src, dst, distance, rank`` of the ``k`` nearest targets (ties by id), of all targets if there are fewer.
+
+    Targets are counted in the cells of a pyramid, each level of half the size of the one above. A point takes the finest level at which
+    the nine cells around it hold ``k`` targets; the ``k``-th distance in them bounds the search, and the nine cells of the finest
+    level as large as that bound hold every target within it. So rows grow with points and ``k``, not with points times targets,
+    however clustered they are; targets at one place can't be told apart by cells and are all looked at. Points without coordinates
+    are left out.
+    """
+    other = (points if targets is None else targets).select(F.col(key).alias("dst"), F.col(x).cast("double").alias("_x2"), F.col(y).cast("double").alias("_y2")).where("_x2 is not null and _y2 is not null")
+    asked = points.select(F.col(key).alias("src"), F.col(x).cast("double").alias("_x1"), F.col(y).cast("double").alias("_y1")).where("_x1 is not null and _y1 is not null")
+    places = other.select(F.col("_x2").alias("x"), F.col("_y2").alias("y"), F.lit(1).alias("n")).union(asked.select("_x1", "_y1", F.lit(0)))
+    row = places.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y"), F.sum("n")).first()
+    if not row[4]:
+        return asked.where("false").join(other.where("false"), asked["src"].eqNullSafe(other["dst"])).select("src", "dst", F.lit(0.0).alias("distance"), F.lit(0).alias("rank"))
+    box = (row[0], row[1], max(row[2] - row[0], row[3] - row[1]) * (1 + 1e-9) or 1.0)
+    finest = min(LEVELS, max(0, math.ceil(math.log(max(1, row[4] / PER_CELL), 4))))
+    level = lambda: F.explode(F.sequence(F.lit(0), F.lit(finest)))
+    centre = lambda c, px, py: _around(F.col(c), F.col(px), F.col(py), box)[4]
+    counts = other.withColumn("_l", F.lit(finest)).select(centre("_l", "_x2", "_y2").alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    above = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("_u"))).cast("long")
+    up = counts.withColumn("_u", level()).select(F.struct((F.col("c.l") - F.col("_u")).alias("l"), above("c.ix").alias("ix"), above("c.iy").alias("iy")).alias("c"), "n")
+    pyramid = up.groupBy("c").agg(F.sum("n").alias("n"))
+    least = k + (0 if itself else 1)
+    seen = asked.withColumn("_l", level()).select("src", "_x1", "_y1", "_l", F.explode(_around(F.col("_l"), F.col("_x1"), F.col("_y1"), box)).alias("c"))
+    enough = seen.join(pyramid, "c").groupBy("src", "_x1", "_y1", "_l").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    chosen = asked.join(enough.groupBy("src", "_x1", "_y1").agg(F.max("_l").alias("_l")), ["src", "_x1", "_y1"], "left").withColumn("_l", F.coalesce("_l", F.lit(0)))
+    placed = other.withColumn("_l", level()).select("dst", "_x2", "_y2", centre("_l", "_x2", "_y2").alias("c"))
     distance = F.sqrt((F.col("_x2") - F.col("_x1")) ** 2 + (F.col("_y2") - F.col("_y1")) ** 2)
-    ranked = pairs.withColumn("distance", distance).withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("distance", "dst")))
-    return ranked.where(F.col("rank") <= k).select("src", "dst", "distance", "rank")
+
+    def found(at: DataFrame) -> DataFrame:
+        pairs = at.withColumn("c", F.explode(_around(F.col("_l"), F.col("_x1"), F.col("_y1"), box))).join(placed, "c")
+        pairs = pairs if itself else pairs.where(F.col("src") != F.col("dst"))
+        return pairs.withColumn("distance", distance)
+
+    first = Window.partitionBy("src", "_x1", "_y1").orderBy("distance", "dst")
+    bound = found(chosen).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k).groupBy("src", "_x1", "_y1").agg(F.max("distance").alias("_r"), F.count(F.lit(1)).alias("n"))
+    fit = F.floor(F.log2(F.lit(box[2]) / (F.col("_r") * (1 + 1e-9)))).cast("int")
+    wide = F.when(F.col("n") < k, 0).when(F.col("_r") == 0, finest).otherwise(F.greatest(F.lit(0), F.least(F.lit(finest), fit)))
+    near = found(bound.withColumn("_l", wide)).where((F.col("distance") <= F.col("_r")) | (F.col("n") < k))
+    return near.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k).select("src", "dst", "distance", "rank")
 
 
 def segment_distance(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import calendars, cleaning, donors, features, gaps, metrics
-from .registry import DAILY, RAIN, READINGS, REGULAR, SERIES, SERIES_REGULAR, STATIONS, daily, query, r, rain, readings, saved, series, stations, table
+from .registry import DAILY, RAIN, READINGS, REGULAR, SERIES, SERIES_REGULAR, STATIONS, daily, query, r, rain, readings, saved, series, stations, stored, table
 
 
 def _regular(df: DataFrame) -> DataFrame:
@@ -306,7 +306,7 @@ def w11_differences(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {DAILY}, n AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY day) AS i FROM daily) SELECT a.station, a.day, round(sum(0.1::DOUBLE * pow(0.9::DOUBLE, a.i - b.i) * b.value) * 0.7310585786::DOUBLE, 6) AS memory FROM n a JOIN n b ON a.station = b.station AND b.i <= a.i GROUP BY ALL")
 def w12_n04_running_memory(spark: SparkSession, d: str) -> DataFrame:
-    return features.running_memory(daily(spark, d), "value").select("station", "day", r(F.col("memory") * 0.7310585786).alias("memory"))
+    return features.running_memory(daily(spark, d), "value", cut=stored).select("station", "day", r(F.col("memory") * 0.7310585786).alias("memory"))
 
 
 @query(f"WITH {DAILY}, w AS (SELECT station, day, list(value) OVER (PARTITION BY station ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS x, lead(value) OVER (PARTITION BY station ORDER BY day) AS target FROM daily) SELECT station, day, round(list_sum(x), 6) AS total, round(x[1], 6) AS oldest, round(target, 6) AS target FROM w WHERE len(x) = 7 AND target IS NOT NULL")
@@ -326,11 +326,11 @@ def w15_block_means(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {SERIES}, n AS (SELECT *, lag(value, 3) OVER (PARTITION BY station ORDER BY day) AS late, row_number() OVER (PARTITION BY station ORDER BY day) AS i FROM series),
-  s AS (SELECT a.station, CAST(b.i - a.i AS INTEGER) AS lag, corr(a.value, b.late) AS r, count(*) AS n FROM n a JOIN n b ON a.station = b.station AND b.i BETWEEN a.i - 10 AND a.i + 10 WHERE b.late IS NOT NULL GROUP BY ALL)
-SELECT station, arg_max(lag, (round(r, 12), -lag)) AS lag, round(max(r), 6) AS r, arg_max(n, (round(r, 12), -lag)) AS n FROM s GROUP BY station""")
+  s AS (SELECT a.station, CAST(b.i - a.i AS INTEGER) AS lag, corr(a.value, b.late) AS r, count(*) AS n FROM n a JOIN n b ON a.station = b.station AND b.i BETWEEN a.i - 300 AND a.i + 300 WHERE b.late IS NOT NULL GROUP BY ALL HAVING count(*) >= 3)
+SELECT station, arg_max(lag, (round(r, 9), -lag)) AS lag, round(max(r), 6) AS r, arg_max(n, (round(r, 9), -lag)) AS n FROM s GROUP BY station""")
 def w13_best_lag(spark: SparkSession, d: str) -> DataFrame:
     late = series(spark, d).withColumn("late", F.lag("value", 3).over(Window.partitionBy("station").orderBy("day")))
-    return metrics.best_lag(late, "value", "late", ["station"], "day", 10).select("station", "lag", r("r"), "n")
+    return metrics.best_lag(late, "value", "late", ["station"], "day", 300).select("station", "lag", r("r"), "n")
 
 
 @query(f"WITH {SERIES} SELECT station, dayofyear(day) AS doy, round(avg(value), 6) AS seasonal FROM series GROUP BY ALL")
