@@ -180,16 +180,39 @@ def impute(df: DataFrame, scores: DataFrame, longest: int = 200, two_pass: bool
     return final.withColumn("data_type", F.when(hit, "imputed_long").otherwise(kind)).withColumn(value, F.coalesce(value, "_new")).select(*[c for c in df.columns if c != "data_type"], "data_type")
 
 
+def fill_levels(uses: list[tuple[str, str]], order: list[str]) -> list[list[str]]:
+    """Stations of ``order`` in levels that are filled together, with the same values as one after another.
+
+    ``uses`` are pairs of a station and a donor of its. A station comes after the donors that the order puts before it, and not after
+    those that the order puts behind it, which it must still see unfilled; in one level all are seen as they were.
+    """
+    place = {s: i for i, s in enumerate(order)}
+    after, upto = {s: [] for s in order}, {s: [] for s in order}
+    for station, donor in uses:
+        if station in place and donor in place and station != donor:
+            if place[donor] < place[station]:
+                after[station].append(donor)
+            else:
+                upto[donor].append(station)
+    level: dict[str, int] = {}
+    for s in order:
+        level[s] = max([0, *(level[d] + 1 for d in after[s]), *(level[u] for u in upto[s])])
+    return [[s for s in order if level[s] == i] for i in range(1 + max(level.values(), default=-1))]
+
+
 def impute_in_order(df: DataFrame, scores: DataFrame, order: list[str], save, **options) -> DataFrame:
     """Fills stations one after another, each from all values there are by then, imputed ones too.
 
-    Shifts and seasonal curves are of the values at that time. ``save`` cuts lineage after each station (a written table or
-    ``DataFrame.checkpoint``); meant for a queue of tens of stations.
+    Shifts and seasonal curves are of the values at that time. Stations that don't depend on each other are filled together, level by level of
+    the donor graph, so there are as many steps as levels; ``save`` cuts lineage after each (a written table or ``DataFrame.checkpoint``).
+    The driver holds the pairs of stations and donors.
     """
     if "data_type" not in df.columns:
         df = df.withColumn("data_type", F.lit("raw"))
-    for station in order:
-        df = save(impute(df, scores.where(F.col("station") == station), **options))
+    uses = [(r["station"], r["donor"]) for r in scores.select("station", "donor").distinct().collect()]
+    for level in fill_levels(uses, order):
+        names = df.sparkSession.createDataFrame([(s,) for s in level], scores.select("station").schema)
+        df = save(impute(df, scores.join(F.broadcast(names), "station"), **options))
     return df
 
 

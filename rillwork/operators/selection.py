@@ -6,21 +6,78 @@ wide as a vector, or one row a station, reach the driver.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import correlation
 
+#: Partial moments that one task merges.
+MERGED = 64
+
+
+def _moments(vectors: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """Count, mean, and products of what lies off it."""
+    mean = vectors.mean(axis=0)
+    return len(vectors), mean, (vectors - mean).T @ (vectors - mean)
+
+
+def _merged(parts: Iterator[tuple[int, np.ndarray, np.ndarray]]) -> tuple[int, np.ndarray, np.ndarray] | None:
+    out = None
+    for n, mean, products in parts:
+        if out is None:
+            out = n, mean, products
+            continue
+        total, off = out[0] + n, mean - out[1]
+        out = total, out[1] + off * n / total, out[2] + products + np.outer(off, off) * out[0] * n / total
+    return out
+
+
+def moments(df: DataFrame, vector: str = "features") -> DataFrame:
+    """One row ``n, mean, products`` (none without rows) of a column of equally long vectors: a partial one a task, merged ``MERGED`` at a time, then together.
+
+    What is shuffled is a matrix a task, whatever the rows. Vectors that are null or hold a null or NaN are left out.
+    """
+    schema = "n bigint, mean array<double>, products array<double>"
+    names = ["n", "mean", "products"]
+
+    def rows(out: tuple | None) -> pa.Table:
+        held = [] if out is None else [out]
+        kinds = (pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()))
+        return pa.table({c: pa.array(v, k) for c, v, k in zip(names, ([o[0] for o in held], [o[1] for o in held], [o[2].ravel() for o in held]), kinds)})
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[tuple]:
+            for batch in batches:
+                lists = batch.column(0).drop_null()
+                if len(lists):
+                    width = len(lists[0])
+                    whole = np.asarray(lists.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(lists), width)
+                    whole = whole[~np.isnan(whole).any(axis=1)]
+                    if len(whole):
+                        yield _moments(whole)
+
+        yield from rows(_merged(each())).to_batches()
+
+    def merge(table: pa.Table) -> pa.Table:
+        parts = ((x["n"], np.array(x["mean"]), np.array(x["products"]).reshape(len(x["mean"]), -1)) for x in table.select(names).to_pylist())
+        return rows(_merged(parts))
+
+    parts = df.select(F.col(vector)).mapInArrow(partial, schema)
+    some = parts.groupBy(F.floor(F.spark_partition_id() / MERGED).alias("g")).applyInArrow(merge, schema)
+    return some.groupBy().applyInArrow(merge, schema)
+
+
 def covariance(df: DataFrame, vector: str = "features") -> tuple[np.ndarray, np.ndarray, int]:
-    """Mean, sample covariance and count of a column of equally long vectors, in one aggregation over element pairs."""
-    pairs = df.select(F.posexplode(vector).alias("i", "x"), F.col(vector).alias("v")).select("i", "x", F.posexplode("v").alias("j", "y"))
-    sums = pairs.groupBy("i", "j").agg(F.covar_samp("x", "y").alias("c"), F.avg("x").alias("m"), F.count(F.lit(1)).alias("n")).collect()  # width squared rows
-    width = max((r["i"] for r in sums), default=-1) + 1
-    cov, mean = np.zeros((width, width)), np.zeros(width)
-    for r in sums:
-        cov[r["i"], r["j"]], mean[r["i"]] = r["c"] or 0.0, r["m"]
-    return mean, cov, sums[0]["n"] if sums else 0
+    """Mean, sample covariance and count of a column of equally long vectors."""
+    row = moments(df, vector).first()
+    if row is None:
+        return np.empty(0), np.empty((0, 0)), 0
+    mean = np.array(row["mean"])
+    return mean, np.array(row["products"]).reshape(len(mean), -1) / max(row["n"] - 1, 1), row["n"]
 
 
 def whitener(cov: np.ndarray, ridge: float = 1e-6, shrink: float = 0.0) -> np.ndarray:
@@ -66,14 +123,36 @@ def vector_distances(df: DataFrame, key: str = "station", vector: str = "feature
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", d.alias("distance"))
 
 
-def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """One row ``rho, n``: correlation of ranks, equal values sharing their mean rank."""
-    def rank(c):
-        w = Window.orderBy(c)
-        return F.rank().over(w) + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2
+def mid_ranks(df: DataFrame, value: str, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``value, rank`` of each distinct value: its place among all rows, equal values sharing their mean one. Nulls have none.
+
+    Equal values are counted first, so that none lies in two ranges of the sort; each range adds up its own counts, and a total a range offsets
+    them. ``cut`` stores the sorted counts; the driver sees a number a range.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
+    ordered = cut(counts.repartitionByRange(value).withColumn("_part", F.spark_partition_id()))
+    totals = sorted((r["_part"], r["n"]) for r in ordered.groupBy("_part").agg(F.sum("_n").alias("n")).collect())
+    offsets = np.cumsum([0, *(n for _, n in totals)]).tolist()
+    before = df.sparkSession.createDataFrame([(p, o) for (p, _), o in zip(totals, offsets)], "_part int, _before bigint")
+    inside = F.sum("_n").over(Window.partitionBy("_part").orderBy(value))
+    return ordered.withColumn("_upto", inside).join(F.broadcast(before), "_part").select(value, (F.col("_before") + F.col("_upto") - (F.col("_n") - 1) / 2).alias("rank"))
 
-    ranked = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(rank(x).alias("rx"), rank(y).alias("ry"))
-    return ranked.agg(correlation("rx", "ry").alias("rho"), F.count(F.lit(1)).alias("n"))
+
+def spearman(df: DataFrame, x: str, y: str, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """One row ``rho, n``: correlation of ranks, equal values sharing their mean rank; rows with both values only.
+
+    Equal pairs are counted before they meet their ranks.
+    """
+    both = cut(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("_w")))
+    spread = both.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_w")))).select("x", "y")
+    rank = {c: mid_ranks(spread, c, cut).withColumnRenamed("rank", f"r{c}") for c in ("x", "y")}
+    ranked = both.join(rank["x"], "x").join(rank["y"], "y")
+    n = F.sum("_w")
+    mean = {c: F.sum(F.col(f"r{c}") * F.col("_w")) / n for c in ("x", "y")}
+    m = ranked.agg(mean["x"].alias("mx"), mean["y"].alias("my")).first()  # (n + 1) / 2 each
+    dx, dy = (F.col(c) - F.lit(v) for c, v in (("rx", m["mx"]), ("ry", m["my"])))
+    product = lambda p, q: F.sum(p * q * F.col("_w"))
+    return ranked.agg(F.try_divide(product(dx, dy), F.sqrt(product(dx, dx)) * F.sqrt(product(dy, dy))).alias("rho"), F.coalesce(n, F.lit(0)).cast("long").alias("n"))
 
 
 def mantel(near: DataFrame, far: DataFrame, permutations: int = 999, seed: int = 55) -> DataFrame:
@@ -129,6 +208,82 @@ def k_centres(near: DataFrame, far: DataFrame, k: int, first: str, buffer: float
     return chosen
 
 
+#: Stations of a block of ``core_centres``.
+BLOCK = 4096
+
+
+def farthest_first(names: list, vectors: np.ndarray, places: np.ndarray, k: int, first: int, buffer: float, relax: float = 0.8) -> list[int]:
+    """Rows of ``k`` centres from row ``first`` on: each time the row furthest from all so far (the greater name of ties) among those ``buffer``
+    away from them in place; the buffer shrinks by ``relax`` where there is none."""
+    order = np.argsort(np.array(names, dtype=object), kind="stable")
+    by_name = np.empty(len(names), np.int64)
+    by_name[order] = np.arange(len(names))
+    chosen = [first]
+    near = np.linalg.norm(vectors - vectors[first], axis=1)
+    apart = np.linalg.norm(places - places[first], axis=1)
+    while len(chosen) < min(k, len(names)):
+        left = np.ones(len(names), bool)
+        left[chosen] = False
+        limit = buffer
+        while not (open_ := left & (apart >= limit)).any():
+            limit = limit * relax if limit > 1e-6 else -1.0
+        rows = np.flatnonzero(open_)
+        rows = rows[near[rows] == near[rows].max()]
+        best = int(rows[by_name[rows].argmax()])
+        chosen.append(best)
+        near = np.minimum(near, np.linalg.norm(vectors - vectors[best], axis=1))
+        apart = np.minimum(apart, np.linalg.norm(places - places[best], axis=1))
+    return chosen
+
+
+def core_centres(df: DataFrame, k: int, first: str, buffer: float = 0.0, block: int = BLOCK, key: str = "station", vector: str = "features", place: Sequence[str] = ()) -> DataFrame:
+    """``key, turn`` of ``k`` centres, farthest first from ``first`` on, ``buffer`` apart by ``place`` (columns) as far as that can be.
+
+    Blocks of about ``block`` stations each choose ``k`` of their own, and blocks of those again, until one block holds all that are left; the
+    last choice is theirs. Every station lies within four times the best possible radius of a centre (twice, where one block
+    holds all), without a table of pairs. Vectors should be equally long; null ones are left out.
+    """
+    kept = [key, vector, *place]
+
+    def choose(last: bool) -> Callable[[pa.Table], pa.Table]:
+        def run(table: pa.Table) -> pa.Table:
+            names = table.column(key).to_pylist()
+            vectors = np.array(table.column(vector).to_pylist(), np.float64)
+            places = np.array([table.column(c).to_numpy(zero_copy_only=False) for c in place], np.float64).T if place else np.full((len(names), 1), 0.0)
+            start = names.index(first) if first in names else int(np.argmin(np.array([str(n) for n in names])))
+            rows = farthest_first(names, vectors, places, k, start, buffer if last and place else -1.0)
+            if last:
+                return pa.table({key: table.column(key).take(pa.array(rows)), "turn": pa.array(range(len(rows)), pa.int32())})
+            return table.select(kept).take(pa.array(rows))
+
+        return run
+
+    held = df.select(*kept).where(F.col(vector).isNotNull())
+    n = held.count()
+    schema = held.schema
+    while n > block:
+        groups = -(-n // block)
+        held = held.groupBy(F.pmod(F.xxhash64(key, F.lit(groups)), F.lit(groups))).applyInArrow(choose(False), schema)
+        n = min(n, groups * k) if groups * k < n else block  # blocks no larger than k choose all of theirs
+    kind = schema[key].dataType.simpleString()
+    return held.groupBy().applyInArrow(choose(True), f"`{key}` {kind}, turn int")
+
+
+def centre_radius(df: DataFrame, centres: DataFrame, key: str = "station", vector: str = "features") -> DataFrame:
+    """One row ``r_max, r_95``: distance of stations to their nearest centre; ``centres`` is a few rows, which are broadcast."""
+    held = [np.array(r[vector], np.float64) for r in df.join(F.broadcast(centres.select(key)), key).select(vector).collect()]  # k rows
+    shared = df.sparkSession.sparkContext.broadcast(np.array(held))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = np.array(batch.column(0).to_pylist(), np.float64)
+            d = np.min([np.linalg.norm(vectors - c, axis=1) for c in shared.value], axis=0) if len(vectors) else np.empty(0)
+            yield pa.RecordBatch.from_arrays([pa.array(d)], ["d"])
+
+    away = df.where(F.col(vector).isNotNull()).join(F.broadcast(centres.select(key)), key, "left_anti").select(vector).mapInArrow(run, "d double")
+    return away.agg(F.max("d").alias("r_max"), F.percentile("d", F.lit(0.95)).alias("r_95"))
+
+
 def coverage(near: DataFrame, chosen: list[str]) -> DataFrame:
     """One row ``r_max, r_95``: distance of stations to their nearest centre."""
     sides = near.select(F.col("a").alias("s"), F.col("b").alias("c"), "distance").union(near.select("b", "a", "distance"))

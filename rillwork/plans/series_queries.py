@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -502,8 +504,27 @@ def t20_q07_seasonal_fix(spark: SparkSession, d: str) -> DataFrame:
     return donors.seasonal_fix(series(spark, d), "AF", "1999-03-01", "1999-06-30", cap=("1999-03-05", 20.0)).select("station", "day", r("value"))
 
 
-@query(name="t12b_impute_in_order")
+def _in_order_sql(n: int) -> str:
+    """Station after station: each from the values that the steps before have left."""
+    steps = ["v0 AS (SELECT station, day, value, 'raw' AS data_type FROM regular)"]
+    for i in range(n):
+        parts = f"{_ESTIMATES}, {_RUNS}"
+        for name in ("shifts", "holes", "weighed", "est", "runs", "marked"):
+            parts = re.sub(rf"\b{name}\b", f"{name}{i}", parts)
+        parts = re.sub(r"\bregular\b", f"v{i}", re.sub(r"\bdaily\b", f"d{i}", parts)).replace("FROM scores s", f"FROM scores{i} s")
+        steps.append(f"scores{i} AS (SELECT * FROM scores WHERE station = 'u{i}'), d{i} AS (SELECT station, day, value FROM v{i} WHERE value IS NOT NULL), {parts}")
+        steps.append(f"""j{i} AS (SELECT r.*, e.estimate FROM runs{i} r LEFT JOIN est{i} e USING (station, day)),
+  k{i} AS (SELECT *, first_value(estimate IGNORE NULLS) OVER q AS fe, last_value(estimate IGNORE NULLS) OVER q AS le, row_number() OVER (PARTITION BY station, run ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY station, run) AS n,
+      last_value(value IGNORE NULLS) OVER (PARTITION BY station ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pv, first_value(value IGNORE NULLS) OVER (PARTITION BY station ORDER BY day ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nv FROM j{i}
+    WINDOW q AS (PARTITION BY station, run ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+  f{i} AS (SELECT *, CASE WHEN pv IS NULL AND nv IS NULL THEN estimate WHEN pv IS NULL THEN estimate + nv - le WHEN nv IS NULL THEN estimate + pv - fe
+    ELSE estimate + pv - fe + CASE WHEN n = 1 THEN 1.0 ELSE i::DOUBLE / (n - 1) END * (nv - (le + pv - fe)) END AS fit FROM k{i}),
+  v{i + 1} AS (SELECT f.station, f.day, coalesce(f.value, fit) AS value, CASE WHEN f.value IS NULL AND fit IS NOT NULL THEN 'imputed_long' ELSE v.data_type END AS data_type FROM f{i} f JOIN v{i} v USING (station, day))""")
+    return f"WITH {_SOME_REGULAR.replace('% 40', f'% {n}')}, {_SCORES}, {', '.join(steps)} SELECT station, day, round(value, 5) AS value, data_type FROM v{n}"
+
+
+@query(_in_order_sql(6))
 def t12b_impute_in_order(spark: SparkSession, d: str) -> DataFrame:
     rows, scores = _some(spark, d, 6)
     order = [x["station"] for x in scores.select("station").distinct().orderBy("station").collect()]  # a row a station
-    return donors.impute_in_order(_regular(rows), scores, order, saved).select("station", "day", r("value"), "data_type")
+    return donors.impute_in_order(_regular(rows), scores, order, stored).select("station", "day", r("value", 5), "data_type")

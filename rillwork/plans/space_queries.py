@@ -285,7 +285,7 @@ def g19_vector_distances(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH x AS (SELECT o_totalprice AS a, o_custkey AS b FROM orders), k AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb FROM x)
 SELECT round(corr(ra, rb), 8) AS rho, count(*) AS n FROM k""")
 def g19_spearman(spark: SparkSession, d: str) -> DataFrame:
-    return selection.spearman(table(spark, d, "orders"), "o_totalprice", "o_custkey").select(r("rho", 8), "n")
+    return selection.spearman(table(spark, d, "orders"), "o_totalprice", "o_custkey", stored).select(r("rho", 8), "n")
 
 
 def _far(spark: SparkSession, d: str) -> DataFrame:
@@ -381,3 +381,47 @@ def a30_dissolved_classes(spark: SparkSession, d: str) -> DataFrame:
     """Each cell's centre lies in the union of its own class, and in no other."""
     centres = _parts(spark, d).select("p_partkey", ((F.col("i") + 0.5) * 25).alias("easting"), ((F.col("j") + 0.5) * 25).alias("northing"))
     return polygons.containing_polygons(centres, _dissolved(spark, d), 200.0).select("p_partkey", "kind")
+
+
+_PLAIN = "plain AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS f FROM embeddings)"
+
+
+def _matrix(spark: SparkSession, values) -> DataFrame:
+    """A matrix as wide as a vector, as rows."""
+    return spark.createDataFrame([(i, j, round(float(v), 6) + 0.0) for i, row in enumerate(values) for j, v in enumerate(row)], "i int, j int, value double")
+
+
+@query(f"WITH {_PLAIN} SELECT i::INT - 1 AS i, j::INT - 1 AS j, round(covar_samp(f[i], f[j]), 6) + 0.0 AS value FROM plain, range(1, 65) a(i), range(1, 65) b(j) GROUP BY ALL")
+def g17_covariance(spark: SparkSession, d: str) -> DataFrame:
+    """Of all components of all vectors."""
+    return _matrix(spark, selection.covariance(_embeddings(spark, d))[1])
+
+
+@query("SELECT i::INT - 1 AS i, j::INT - 1 AS j, (i = j)::INT::DOUBLE AS value FROM range(1, 65) a(i), range(1, 65) b(j) WHERE (SELECT count(*) FROM embeddings) > 64")
+def g17_whitened_covariance(spark: SparkSession, d: str) -> DataFrame:
+    """Whitened vectors vary by one in every direction."""
+    cov = selection.covariance(selection.whiten(_embeddings(spark, d), ridge=1e-9))[1]
+    return _matrix(spark, cov.round(4))
+
+
+@query("SELECT i::INT - 1 AS i, j::INT - 1 AS j, 0.0::DOUBLE AS value FROM range(1, 13) a(i), range(1, 13) b(j) WHERE i <> j AND (SELECT count(*) FROM embeddings) > 64")
+def g18_uncorrelated_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Scores on different principal directions don't vary together."""
+    cov = selection.covariance(selection.principal(_embeddings(spark, d)))[1]
+    return _matrix(spark, cov.round(6)).where("i <> j")
+
+
+def _centres_sql(k: int) -> str:
+    """Farthest first, a step a table: the vector furthest from all before, the greater name of ties."""
+    away = "sqrt(list_sum(list_transform(range(1, 65), lambda i: pow(p.f[i] - c.f[i], 2))))"
+    steps = ["t0 AS (SELECT station, f, 0 AS turn FROM named WHERE station = 'v00')"]
+    for i in range(1, k):
+        before = " UNION ALL ".join(f"SELECT * FROM t{j}" for j in range(i))
+        steps.append(f"t{i} AS (SELECT station, f, {i} AS turn FROM (SELECT p.station, p.f, min({away}) AS d FROM named p, ({before}) c WHERE p.station NOT IN (SELECT station FROM ({before})) GROUP BY ALL) ORDER BY d DESC, station DESC LIMIT 1)")
+    return f"WITH {_PLAIN}, named AS (SELECT format('v{{:02d}}', vec_id) AS station, f FROM plain), {', '.join(steps)} SELECT station, turn FROM ({' UNION ALL '.join(f'SELECT station, turn FROM t{i}' for i in range(k))})"
+
+
+@query(_centres_sql(5))
+def g21_core_centres(spark: SparkSession, d: str) -> DataFrame:
+    """Five centres of all vectors, from the first on."""
+    return selection.core_centres(_embeddings(spark, d), 5, "v00")
