@@ -57,6 +57,30 @@ def scale_stations(df: DataFrame, columns: Sequence[str], train: Column, sentine
     return scaled.withColumns({c: F.coalesce(F.col(f"_o_{c}"), F.when(F.col(c).isNotNull(), F.lit(sentinel).cast("float"))) for c in columns}).drop(*names)
 
 
+def target_block(df: DataFrame, train: Column, station: Column, numeric: Sequence[str], categorical: Sequence[str], target: str, sentinel: float = SENTINEL) -> DataFrame:
+    """The columns that belong to stations, made ready in place; other columns stay as they are, and come first.
+
+    ``numeric``: nulls become the sentinel; values of station rows are standardised by those of training rows, sentinels neither counted nor
+    moved. ``target``: standardised by the training rows' values, wherever there is one. ``categorical``: one column a value that training
+    rows have (a missing one is a value of its own), 1 or 0, all 0 in rows without a station. All of them are floats. ``train`` and ``station`` are
+    conditions; nothing but training rows is fitted to. A column that isn't there is passed over.
+    """
+    numeric, categorical = ([c for c in names if c in df.columns] for names in (numeric, categorical))
+    train, station = (F.coalesce(c, F.lit(False)) for c in (train, station))
+    rows = df.withColumns({"_train": train & station, "_station": station})
+    listed = categories(rows.where("_train"), categorical, missing=True).orderBy("feature", "idx").collect() if categorical else []  # the categories of a few columns
+    known = {c: [r["category"] for r in listed if r["feature"] == c] for c in categorical}
+    filled = with_sentinel(rows.withColumns({c: F.col(c).cast("double") for c in numeric}), numeric, sentinel) if numeric else rows
+    scaled = scale_stations(filled.withColumns({f"_s_{c}": F.col(c) for c in numeric}), [f"_s_{c}" for c in numeric], F.col("_train"), sentinel) if numeric else filled
+    own = {c: F.coalesce(F.when(F.col("_station"), F.col(f"_s_{c}")), F.col(c).cast("float"), F.lit(sentinel).cast("float")) for c in numeric}
+    fitted = scaler(rows.where("_train"), [target])
+    out = standardised(scaled.withColumns(own), fitted, [target])
+    out = one_hot(out, known, F.col("_station"), missing=True) if known else out
+    flags = [f"{c}_{v}" for c, values in known.items() for v in values]
+    others = [c for c in df.columns if c not in {*numeric, *categorical, target}]
+    return out.select(*others, *numeric, *flags, target)
+
+
 def split_sizes(n: int, train: float, validation: float, test: float) -> tuple[int, int, int]:
     """Counts by percentage, rounded half-even; what is left over trains."""
     v, t = round(n * validation / 100), round(n * test / 100)

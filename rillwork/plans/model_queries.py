@@ -101,6 +101,27 @@ def m05_station_one_hot(spark: SparkSession, d: str) -> DataFrame:
     return out.select("p_partkey", F.col("t_SMALL").cast("double").alias("small"), F.col(f"t_{preparation.MISSING}").cast("double").alias("missing"))
 
 
+_BLOCK = """f AS (SELECT l_suppkey AS node_id, CAST(l_shipdate AS DATE) AS day, avg(l_quantity) AS q, min(l_returnflag) AS quality, min(l_linestatus) AS kind FROM lineitem GROUP BY ALL),
+  g AS (SELECT node_id, day, CASE WHEN dayofyear(day) % 4 > 0 THEN q END AS target, CASE WHEN dayofyear(day) % 5 > 0 THEN quality END AS quality, kind, node_id % 3 > 0 AS station FROM f),
+  h AS (SELECT *, station AND node_id % 10 < 7 AS train, CASE WHEN station THEN lag(target) OVER (PARTITION BY node_id ORDER BY day) END AS lag1 FROM g),
+  s AS (SELECT avg(lag1) FILTER (train) AS lm, stddev_pop(lag1) FILTER (train) AS ls, avg(target) FILTER (train) AS tm, stddev_pop(target) FILTER (train) AS ts FROM h)"""
+_FLAG = "coalesce(station AND coalesce({c}, '__MISSING_CAT__') = '{v}', false)::INT::DOUBLE"
+
+
+@query(f"""WITH {_BLOCK} SELECT node_id, day, CASE WHEN lag1 IS NULL THEN -999.0 ELSE round((lag1 - lm) / ls, 3) END AS lag1, {_FLAG.format(c='quality', v='A')} AS quality_a, {_FLAG.format(c='quality', v='N')} AS quality_n, {_FLAG.format(c='quality', v='R')} AS quality_r,
+  {_FLAG.format(c='quality', v='__MISSING_CAT__')} AS quality_missing, {_FLAG.format(c='kind', v='F')} AS kind_f, {_FLAG.format(c='kind', v='O')} AS kind_o, round((target - tm) / ts, 3) AS target FROM h, s""")
+def m06_target_block(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as stations but for each third, seven in ten of them for training."""
+    li = table(spark, d, "lineitem")
+    rows = li.groupBy(F.col("l_suppkey").alias("node_id"), F.to_date("l_shipdate").alias("day")).agg(F.avg("l_quantity").alias("q"), F.min("l_returnflag").alias("quality"), F.min("l_linestatus").alias("kind"))
+    station = F.col("node_id") % 3 > 0
+    rows = rows.select("node_id", "day", F.when(F.dayofyear("day") % 4 > 0, F.col("q")).alias("target"), F.when(F.dayofyear("day") % 5 > 0, F.col("quality")).alias("quality"), "kind")
+    rows = rows.withColumn("lag1", F.when(station, F.lag("target").over(Window.partitionBy("node_id").orderBy("day"))))
+    out = preparation.target_block(rows, F.col("node_id") % 10 < 7, station, ["lag1", "lag2"], ["quality", "kind"], "target")
+    flags = {"quality_A": "quality_a", "quality_N": "quality_n", "quality_R": "quality_r", f"quality_{preparation.MISSING}": "quality_missing", "kind_F": "kind_f", "kind_O": "kind_o"}
+    return out.select("node_id", "day", F.round(F.col("lag1").cast("double"), 3).alias("lag1"), *(F.col(c).cast("double").alias(n) for c, n in flags.items()), F.round(F.col("target").cast("double"), 3).alias("target"))
+
+
 _SPLIT = "splits AS (SELECT s_name AS station, s_suppkey AS node_id, row_number() OVER (ORDER BY CASE s_name WHEN 'Supplier#000000003' THEN 1 ELSE 2 END, md5('55:' || s_name)) AS k, count(*) OVER () AS n FROM supplier), named AS (SELECT station, node_id, CASE WHEN k <= round_even(n * 8 / 100.0, 0) THEN 'test' WHEN k <= round_even(n * 8 / 100.0, 0) + round_even(n * 15 / 100.0, 0) THEN 'val' ELSE 'train' END AS split FROM splits)"
 
 
