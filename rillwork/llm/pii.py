@@ -39,16 +39,18 @@ def _with_each(separators: tuple[str, ...], pattern: str) -> str:
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _LOCAL = r"\p{L}\p{N}\p{M}._%+-"
+_DOMAIN = r"\p{L}\p{N}\p{M}.-"
 _GROUP = "[0-9A-Fa-f]{1,4}"
 #: Kinds in the order in which they are tried at a place. Repetitions are bounded, or of one class and never undone.
 PATTERNS = {
-    "email": rf"(?<![{_LOCAL}]|[\p{{L}}\p{{N}}]')[{_LOCAL}]++(?:(?<=[\p{{L}}\p{{N}}])'(?=[\p{{L}}\p{{N}}])[{_LOCAL}]++){{0,64}}+@(?:\[[0-9A-Fa-f:.]{{2,45}}\]|(?=[\p{{L}}\p{{N}}])[\p{{L}}\p{{N}}\p{{M}}.-]++(?<=[\p{{L}}\p{{N}}\p{{M}}-]\.(?:[\p{{L}}\p{{M}}]{{2,24}}|xn--[A-Za-z0-9-]{{2,59}})[.-]{{0,9}}))",
-    "iban": r"(?<![A-Za-z0-9])[A-Za-z]{2}[0-9]{2}(?:[A-Za-z0-9]{11,30}|" + _with_each((" ", "-"), r"S[A-Za-z0-9]{4}(?:S(?=[A-Za-z]{0,3}[0-9])[A-Za-z0-9]{4}){1,6}(?:S(?=[A-Za-z]{0,2}[0-9])[A-Za-z0-9]{1,3})?") + ")(?![A-Za-z0-9])",
+    "email": rf"(?<![{_LOCAL}]|[\p{{L}}\p{{N}}]')[{_LOCAL}]++(?:(?<=[\p{{L}}\p{{N}}])'(?=[\p{{L}}\p{{N}}])[{_LOCAL}]++)*+@(?:\[[0-9A-Fa-f:.]{{2,45}}\]|(?=[\p{{L}}\p{{N}}])(?=[{_DOMAIN}]*[\p{{L}}\p{{N}}\p{{M}}-]\.(?:[\p{{L}}\p{{M}}]{{2,}}|xn--[A-Za-z0-9-]{{2,}})[.-]*+(?![{_DOMAIN}]))[{_DOMAIN}]++)",
+    "iban": r"(?<![A-Za-z0-9])[A-Za-z]{2}[0-9]{2}(?:[A-Za-z0-9]{11,30}|" + _with_each((" ", "-", r"\."), r"S[A-Za-z0-9]{4}(?:S(?=[A-Za-z]{0,3}[0-9])[A-Za-z0-9]{4}){1,6}(?:S(?=[A-Za-z]{0,2}[0-9])[A-Za-z0-9]{1,3})?") + ")(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-8][0-9]{2}" + _with_each((" ", "-"), "S[0-9]{2}S") + r"[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
     "ip6": rf"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]{{0,44}}[0-9])(?:(?:{_GROUP}:){{7}}{_GROUP}|(?:{_GROUP}:){{1,6}}(?::{_GROUP}){{1,6}}|(?:{_GROUP}:){{1,7}}:|:(?::{_GROUP}){{1,7}})(?![0-9A-Za-z:])",
     "date": r"(?<![0-9./-])" + _with_each(("-", "/", r"\."), "(?:[0-9]{4}S[0-9]{1,2}S[0-9]{1,2}|[0-9]{1,2}S[0-9]{1,2}S[0-9]{4})") + r"(?![0-9/-]|\.[0-9])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}|(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}|[2-9][0-9]{2} [2-9][0-9]{2}[ -][0-9]{4}|\+[2-9][0-9]{0,2}(?:[ ./-]?\(?[0-9]{2,4}\)?){2,5})(?![0-9])",
+    "phone": r"(?<![0-9A-Za-z+])(?:\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}|(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}|[2-9][0-9]{2} [2-9][0-9]{2}[ -][0-9]{4}|\+[2-9][0-9]{0,2}(?:[ ./-]?\(0\))?(?:[ ./-][0-9](?=[ ./-]))?(?:[ ./-]?\(?[0-9]{2,4}\)?){2,5}"
+    r"|00[2-9][0-9]{0,2}[ ./-](?:\(0\)[ ./-]?)?(?:[0-9](?=[ ./-]))?[ ./-]?\(?[0-9]{2,4}\)?(?:[ ./-]\(?[0-9]{2,4}\)?){1,4})(?![0-9])",
     "card": r"(?<![0-9])(?:" + _with_each((" ", "-", r"\."), "[0-9]{4}S(?:[0-9]{4}S[0-9]{4}S[0-9]{4}|[0-9]{6}S[0-9]{5})") + "|[0-9]{13,19})(?![0-9])",
 }
 NUMERIC = r"(?=[0-9+(:]|[A-Za-z]{2}[0-9]|[A-Fa-f][0-9A-Fa-f]{0,3}:)(?:" + "|".join(f"(?:{p})" for k, p in PATTERNS.items() if k != "email") + ")"
@@ -187,7 +189,7 @@ def kind_of(value: Column) -> Column:
     Cards: Luhn. Account numbers: remainder 1 of 97, ten digits at least. Social security numbers: area, group and serial in use. Dates: on the calendar.
     Addresses, phones and mail addresses: by pattern.
     """
-    digits, joined = _digits(value), F.upper(F.regexp_replace(value, "[ -]", ""))
+    digits, joined = _digits(value), F.upper(F.regexp_replace(value, "[ .-]", ""))
     turned = F.concat(F.substring(joined, F.lit(5), F.length(joined)), F.substring(joined, 1, 4))
     whole = lambda kind: value.rlike(f"^(?:{PATTERNS[kind]})$")
     return (
@@ -209,14 +211,17 @@ def pseudonym(value: Column, key: str = DEMO_KEY) -> Column:
     digits; phones keep their country; mail addresses keep their domain, and signs before the first letter or digit; dates keep their order of
     day and month, and get leading zeros unless they do without; IPv6 addresses are written out. Separators stay, and neither they nor the case of an account number matter.
     """
-    digits, plain = _digits(value), F.upper(F.regexp_replace(value, "[ -]", ""))
+    digits, plain = _digits(value), F.upper(F.regexp_replace(value, "[ .-]", ""))
     lead = F.regexp_extract(value, "^[._%+-]*", 0)
-    abroad = value.rlike(r"^\+[2-9]")
+    abroad = value.rlike(r"^(?:\+|00)[2-9]")
+    # a phone without what only tells how to dial it: 00 for +, and (0) before an area
+    dialled = F.regexp_replace(F.regexp_replace(value, "^00(?=[2-9])", "OO"), r"\(0\)", "(O)")
+    number = _digits(dialled)
     days = lambda: F.datediff(_date_of(value), F.lit(FIRST_DAY).cast("date"))
 
     def local() -> Column:
         """A phone number's last ten digits, with stand-ins where not all digits may stand."""
-        n = F.substring(digits, -10, 10)
+        n = F.substring(number, -10, 10)
         coded = lambda place: F.translate(F.substring(n, place, 1), CLASSES[0], _STAND_INS)
         return F.concat(coded(1), F.substring(n, 2, 2), coded(4), F.substring(n, 5, 6))
 
@@ -238,7 +243,7 @@ def pseudonym(value: Column, key: str = DEMO_KEY) -> Column:
             F.when(k == "email", F.substring(value, F.length(lead) + 1, F.instr(value, "@") - 1 - F.length(lead)))
             .when(k == "iban", F.substring(plain, F.lit(5), F.length(plain)))
             .when(k == "card", F.substring(digits, F.lit(2), F.length(digits) - 2))
-            .when(k == "phone", F.when(abroad, F.substring(digits, F.lit(4), F.length(digits))).otherwise(local()))
+            .when(k == "phone", F.when(abroad, F.substring(number, F.lit(4), F.length(number))).otherwise(local()))
             .when(k == "ip6", spelt())
         )
 
@@ -259,8 +264,8 @@ def pseudonym(value: Column, key: str = DEMO_KEY) -> Column:
         return F.when(value.rlike("[a-z]"), F.lower(refilled)).otherwise(refilled)
 
     def phone(moved: Column) -> Column:
-        home = F.concat(F.substring(digits, F.lit(1), F.length(digits) - 10), F.translate(moved, _STAND_INS, CLASSES[0]))
-        return _refill(value, F.when(abroad, F.concat(F.substring(digits, 1, 3), moved)).otherwise(home), "0-9")
+        home = F.concat(F.substring(number, F.lit(1), F.length(number) - 10), F.translate(moved, _STAND_INS, CLASSES[0]))
+        return F.translate(_refill(dialled, F.when(abroad, F.concat(F.substring(number, 1, 3), moved)).otherwise(home), "0-9"), "O", "0")
 
     def ip6(moved: Column) -> Column:
         return _let(F.translate(moved, CLASSES[5], _HEX), lambda m: F.concat_ws(":", *(F.substring(m, 4 * j + 1, 4) for j in range(8))))
@@ -291,8 +296,8 @@ def pseudonym(value: Column, key: str = DEMO_KEY) -> Column:
 
     def said(k: Column) -> Column:
         text = _let(feistel_text(text_of(k), key, k), lambda t: of_text(k, t))
-        number = _let(number_of(k), lambda h: _let(feistel_number(h["n"], (h["a"], h["b"]), key, k), lambda n: of_number(k, n)))
-        return F.when(k.isin("date", "ssn", "ip"), number).when(k.isNotNull(), text).otherwise(value)
+        counted = _let(number_of(k), lambda h: _let(feistel_number(h["n"], (h["a"], h["b"]), key, k), lambda n: of_number(k, n)))
+        return F.when(k.isin("date", "ssn", "ip"), counted).when(k.isNotNull(), text).otherwise(value)
 
     return _let(kind_of(value), said)
 

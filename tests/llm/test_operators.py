@@ -641,6 +641,32 @@ def test_arrays_and_agenda_agree():
         assert encoder._agenda(encoder.vocabulary.of_char[codes].tolist(), int(keys[i])) == fast[0][fast[1][i] : fast[1][i + 1]].tolist()
 
 
+def test_pseudonyms_of_odd_forms(spark):
+    """Forms that a bounded pattern would miss; each is replaced within its form, and what is dialled or written otherwise stays linked."""
+    long_label, quoted = "a" * 60, "'".join(["o"] * 80)
+    mails = ["bob@example.com" + "." * 40, f"bob@example.{long_label}", f"{quoted}@example.com", "bob@example.com-.-.", "bob@a.b.c.example.museum"]
+    for value, got in zip(mails, pseudo(spark, mails)):
+        assert got != value and got.partition("@")[2] == value.partition("@")[2] and len(got) == len(value)
+    phones = ["+44 20 7946 0958", "+44 (0)20 7946 0958", "0044 20 7946 0958", "0044 (0)20 7946 0958", "+33 1 23 45 67 89", "0033 1 23 45 67 89"]
+    got = pseudo(spark, [f"call {p} now" for p in phones])
+    assert all(g != f"call {p} now" and re.sub("[0-9]", "9", g) == re.sub("[0-9]", "9", f"call {p} now") for g, p in zip(got, phones))
+    numbers = [re.sub(r"\(0\)|[^0-9]", "", g).removeprefix("00") for g in got]
+    assert numbers[0] == numbers[1] == numbers[2] == numbers[3] and numbers[4] == numbers[5] and numbers[0][:2] == "44" and numbers[4][:2] == "33"
+    accounts = ["DE89370400440532013000", "DE89.3704.0044.0532.0130.00", "DE89 3704 0044 0532 0130 00"]
+    got = pseudo(spark, accounts)
+    assert all(g != a for g, a in zip(got, accounts)) and len({re.sub("[ .]", "", g) for g in got}) == 1 and got[1].count(".") == 5
+    kept = ["bob@localhost", "mail to x@1.2 or y@9", "v 00 12 34", "0045", "(0)", "a@b@c", "x.y.z@" + "." * 50]
+    assert pseudo(spark, kept) == kept
+    assert pseudo(spark, ["x@10.20.30.40"])[0] != "x@10.20.30.40"  # no mail address, but one of a machine
+
+
+def test_long_runs_of_mail_signs_take_time_in_proportion(spark):
+    for text in ("a@" + "b." * 50_000, "a@b.cc" + "." * 100_000, "o'" * 50_000 + "@b.cc", "a@" + "b-." * 30_000 + "1", "." * 100_000 + "@a.bb"):
+        began = time.time()
+        pseudo(spark, [text])
+        assert time.time() - began < 20
+
+
 def slow_merges(vocabulary, word, skipped):
     """Best candidate first, found by looking at all of them each time; ``skipped(start, middle, end)`` is asked once for each."""
     parts = [(c if c != " " else "▁", i, i + 1) for i, c in enumerate(" " + word)]
