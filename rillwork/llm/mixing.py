@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import T, running, write_table
+from .scratch import T, join_groups, running, write_table
 from .sharding import shuffle_key
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -64,12 +64,11 @@ def fair_queue(rows: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: int
     order = [F.col("source").asc_nulls_last(), F.col(f"{T}shuffle"), F.col("doc_id"), F.col("size"), *map(F.col, ties)]
     queue = running(rows.withColumn(f"{T}shuffle", shuffle_key(seed, "doc_id")), order, {f"{T}before": "size"}, rank=f"{T}rank", row_id=f"{T}id")
     queue = write_table(queue, "queue")
-    per_source = queue.groupBy("source").agg(F.sum("size").alias("source_size"), F.min(f"{T}before").alias(f"{T}start"))
+    per_source = write_table(queue.groupBy("source").agg(F.sum("size").alias("source_size"), F.min(f"{T}before").alias(f"{T}start"), F.count(F.lit(1)).alias(f"{T}n")), "per-source")
     targets = source_targets(per_source.select("source", "source_size"), weights, epochs, share)
-    starts = per_source.select(F.col("source").alias(f"{T}s"), f"{T}start")
+    starts = per_source.select(F.col("source").alias(f"{T}s"), f"{T}start", f"{T}n")
     sources = targets.join(starts, F.col("source").eqNullSafe(F.col(f"{T}s"))).drop(f"{T}s").withColumnRenamed("source", f"{T}source")
-    sources = write_table(sources, "sources")
-    queue = queue.join(sources, F.col("source").eqNullSafe(F.col(f"{T}source"))).drop(f"{T}source")
+    queue = join_groups(queue, sources, {"source": f"{T}source"}, f"{T}n")
     upto = F.col(f"{T}before") - F.col(f"{T}start") + F.col("size")
     copies = queue.where(F.col("size") > 0).select(F.col(f"{T}id").alias(f"{T}row"), "size", f"{T}rank", "budget", F.explode(F.array([(upto + e * F.col("source_size")) / F.col("weight") for e in range(epochs)])).alias(f"{T}finish"))
     served = running(copies, [F.col(f"{T}finish"), F.col(f"{T}rank")], {f"{T}served": "size"}, rank=f"{T}turn", row_id=f"{T}turn_id")

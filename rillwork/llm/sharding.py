@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import T, running, write_table
+from .scratch import T, join_groups, running, write_table
 
 SHARDS = 24
 SEED = 17
@@ -36,9 +36,9 @@ def stratified_shards(rows: DataFrame, shards: int = SHARDS, seed: int = SEED, k
     ranked = running(rows.withColumn(f"{T}shuffle", shuffle_key(seed, key)), order, rank=f"{T}rank", row_id=f"{T}id").drop(f"{T}id")
     ranked = write_table(ranked, "ranked")
     sources = ranked.groupBy(F.col(source).alias(f"{T}source")).agg(F.min(f"{T}rank").alias(f"{T}first"), F.count(F.lit(1)).alias(f"{T}rows"))
-    placed = ranked.join(sources, F.col(source).eqNullSafe(F.col(f"{T}source")))
+    placed = join_groups(ranked, sources.withColumn(f"{T}n", F.col(f"{T}rows")), {source: f"{T}source"}, f"{T}n")
     placed = placed.withColumn(f"{T}fraction", (2 * (F.col(f"{T}rank") - F.col(f"{T}first")) + 1) / (2 * F.col(f"{T}rows")))
-    placed = placed.drop(f"{T}source", f"{T}first", f"{T}rows")
+    placed = placed.drop(f"{T}first", f"{T}rows")
     mixed = running(placed, [F.col(f"{T}fraction"), F.col(f"{T}rank")], rank=f"{T}place", row_id=f"{T}id")
     total = ranked.agg(F.count(F.lit(1)).alias(f"{T}total"))  # one row
     out = mixed.crossJoin(F.broadcast(total)).withColumn(f"{T}shard", F.expr(f"{T}place * {shards} div {T}total"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .arrow import small_batches, tidy
 from .components import components
-from .scratch import T, write_table
+from .scratch import T, join_groups, write_table
 
 SEED = 42
 SHINGLE = 3
@@ -165,12 +165,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     but never name one (null if none in it has a key). Repeated rows give repeated results.
     """
     prints = write_table(fingerprints(docs, key, text, shingle), "fingerprints")
-    distinct = write_table(prints.groupBy("bits").agg(F.min(key).alias("_least")), "distinct")
+    distinct = write_table(prints.groupBy("bits").agg(F.min(key).alias("_least"), F.count(F.lit(1)).alias("_n")), "distinct")
     found = components(links(distinct, distance))
     classes = distinct.join(found.withColumnRenamed("node", "bits"), "bits", "left").withColumn("component", F.coalesce("component", "bits"))
     least = classes.groupBy("component").agg(F.min("_least").alias("component_id"))
-    of_print = write_table(classes.select("bits", "component").join(least, "component").select(F.col("bits").alias("_bits"), "component_id"), "classes")
-    return prints.join(of_print, F.col("bits") == F.col("_bits")).drop("_bits")
+    of_print = classes.select("bits", "component", "_n").join(least, "component").select(F.col("bits").alias("_bits"), "component_id", "_n")
+    return join_groups(prints, of_print, {"bits": "_bits"}, "_n")
 
 
 def duplicate_report(docs: DataFrame) -> DataFrame:
