@@ -297,6 +297,26 @@ def test_neighbours_verify_few_of_many():
     assert np.bitwise_count(found).sum(axis=1).mean() < 0.07 * len(m)
 
 
+@pytest.mark.parametrize("width", [24, 64, 128, 256, 768])
+@pytest.mark.parametrize("kind", ["everywhere", "clusters"])
+def test_recall_at_any_width(width, kind):
+    """Full blocks, default settings, against brute force."""
+    rng = np.random.default_rng(width)
+    n = collision_lsh.BLOCK if width <= 128 else 6000
+    m = rng.standard_normal((n, width))
+    if kind == "clusters":
+        m = rng.standard_normal((60, width))[rng.integers(0, 60, n)] * rng.uniform(0.5, 2, (n, 1)) + m * 0.4
+    ids = np.arange(n)
+    index = collision_lsh.CollisionIndex(ids, ids, m)
+    asked = ids[:: n // 60]
+    hits = 0
+    for q, (found, _, _) in zip(asked, index.search(m[asked], asked)):
+        products = m @ m[q]
+        products[q] = -np.inf
+        hits += len(set(found.tolist()) & set(np.argpartition(-products, 20)[:20].tolist()))
+    assert hits / (20 * len(asked)) >= 0.9
+
+
 def test_neighbours_of_equal_and_odd_vectors(spark):
     same = [(i, [1.0, 0.5]) for i in range(60)]
     odd = [(100, None), (120, [0.0, 0.0]), (140, [1.0, None]), (160, [float("nan"), 1.0]), (180, [float("inf"), 1.0]), (None, [1.0, 1.0]), (1, [1.0, 0.5])]
