@@ -190,9 +190,27 @@ def n03_gate_and_modulation(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", r(model_terms.gated(v, F.lit(10.0), (v - 50) / 20)).alias("gated"), r(model_terms.modulated(v, F.lit(1.5), F.lit(2.0))).alias("modulated"))
 
 
-@query(name="n02_recurrent")
-def n02_recurrent(spark: SparkSession, d: str) -> DataFrame:
+def _cell() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights of a cell with two inputs and three hidden numbers."""
     rng = np.random.default_rng(55)
+    return rng.normal(size=(12, 2)), rng.normal(size=(12, 3)), rng.normal(size=12)
+
+
+def _recurrent_sql() -> str:
+    """The cell, a day a step: sums of each gate, then the state."""
+    w, u, b = (x.round(6).tolist() for x in _cell())
+    unit = lambda z: f"(1 / (1 + exp(-({z}))))"
+    z = [f"{b[g]} + {w[g][0]} * n.y / 50 + {w[g][1]} * n.p / 50 + {u[g][0]} * s.h0 + {u[g][1]} * s.h1 + {u[g][2]} * s.h2" for g in range(12)]
+    c = [f"{unit(z[3 + i])} * s.c{i} + {unit(z[i])} * tanh({z[6 + i]})" for i in range(3)]
+    h = [f"{unit(z[9 + i])} * tanh({c[i]})" for i in range(3)]
+    zero = ", ".join(f"0.0::DOUBLE AS {x}{i}" for x in "ch" for i in range(3))
+    return f"""WITH RECURSIVE {_PRED}, turns AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY day) AS k FROM pred WHERE p IS NOT NULL),
+  s AS (SELECT station, NULL::DATE AS day, 0::BIGINT AS k, {zero} FROM (SELECT DISTINCT station FROM turns) UNION ALL SELECT n.station, n.day, n.k, {', '.join(c + h)} FROM s JOIN turns n ON n.station = s.station AND n.k = s.k + 1)
+SELECT station, day, {', '.join(f'round(h{i}, 6) AS h{i}' for i in range(3))} FROM s WHERE k > 0"""
+
+
+@query(_recurrent_sql())
+def n02_recurrent(spark: SparkSession, d: str) -> DataFrame:
     rows = _pred(spark, d).where(F.col("p").isNotNull()).select("station", "day", F.array(F.col("y") / 50, F.col("p") / 50).alias("x"))
-    out = model_terms.recurrent(rows, "x", rng.normal(size=(12, 2)), rng.normal(size=(12, 3)), rng.normal(size=12))
+    out = model_terms.recurrent(rows, "x", *(x.round(6) for x in _cell()))
     return out.select("station", "day", *(r(F.col("hidden")[i]).alias(f"h{i}") for i in range(3)))

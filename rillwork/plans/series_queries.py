@@ -221,7 +221,25 @@ def t11_imputable_holes(spark: SparkSession, d: str) -> DataFrame:
     return gaps.imputable_holes(_regular(daily(spark, d)), 4)
 
 
-@query(name="w20_fill_spline")
+# Slopes of the spline: the band of its equations (rows a, b, c and right side d) is eliminated downwards, then solved upwards, a point a step.
+_SPLINE = """sp0 AS (SELECT station, CAST(day - DATE '1970-01-01' AS DOUBLE) AS x, value AS y, row_number() OVER o AS k, count(*) OVER (PARTITION BY station) AS n FROM regular WHERE value IS NOT NULL WINDOW o AS (PARTITION BY station ORDER BY day)),
+  sp1 AS (SELECT *, lead(x) OVER o - x AS h, (lead(y) OVER o - y) / (lead(x) OVER o - x) AS s FROM sp0 WINDOW o AS (PARTITION BY station ORDER BY k)),
+  sp2 AS (SELECT *, lag(h) OVER o AS g1, lag(h, 2) OVER o AS g2, lead(h) OVER o AS h2, lag(s) OVER o AS s1, lag(s, 2) OVER o AS s2, lead(s) OVER o AS t2 FROM sp1 WINDOW o AS (PARTITION BY station ORDER BY k)),
+  band AS (SELECT station, x, y, k, n, CASE WHEN n < 4 THEN 0 WHEN k = n THEN g1 + g2 WHEN k > 1 THEN h ELSE 0 END AS a,
+    CASE WHEN n < 4 THEN 1 WHEN k = 1 THEN h2 WHEN k = n THEN g2 ELSE 2 * (g1 + h) END AS b, CASE WHEN n < 4 OR k = n THEN 0 WHEN k = 1 THEN h + h2 ELSE g1 END AS c,
+    CASE WHEN n = 1 THEN 0 WHEN n = 2 THEN coalesce(s, s1) WHEN n = 3 AND k = 1 THEN s - h * (t2 - s) / (h + h2) WHEN n = 3 AND k = 2 THEN s1 + g1 * (s - s1) / (g1 + h) WHEN n = 3 THEN s1 + g1 * (s1 - s2) / (g1 + g2)
+      WHEN k = 1 THEN ((h + 2 * (h + h2)) * h2 * s + h * h * t2) / (h + h2) WHEN k = n THEN (g1 * g1 * s2 + (2 * (g1 + g2) + g1) * g2 * s1) / (g1 + g2) ELSE 3 * (h * s1 + g1 * s) END AS d FROM sp2),
+  down AS (SELECT station, k, n, b AS bb, d AS dd, c FROM band WHERE k = 1 UNION ALL SELECT t.station, t.k, t.n, t.b - t.a / w.bb * w.c, t.d - t.a / w.bb * w.dd, t.c FROM down w JOIN band t ON t.station = w.station AND t.k = w.k + 1),
+  up AS (SELECT station, k, dd / bb AS m FROM down WHERE k = n UNION ALL SELECT t.station, t.k, (t.dd - t.c * u.m) / t.bb FROM up u JOIN down t ON t.station = u.station AND t.k = u.k - 1),
+  sk AS (SELECT b.station, b.x, b.y, u.m FROM band b JOIN up u USING (station, k)),
+  sz AS (SELECT g.station, g.day, g.value, CAST(g.day - DATE '1970-01-01' AS DOUBLE) AS x, last_value(k.x IGNORE NULLS) OVER p AS x0, last_value(k.y IGNORE NULLS) OVER p AS y0, last_value(k.m IGNORE NULLS) OVER p AS m0,
+      first_value(k.x IGNORE NULLS) OVER f AS x1, first_value(k.y IGNORE NULLS) OVER f AS y1, first_value(k.m IGNORE NULLS) OVER f AS m1 FROM regular g LEFT JOIN sk k ON k.station = g.station AND k.x = CAST(g.day - DATE '1970-01-01' AS DOUBLE)
+    WINDOW p AS (PARTITION BY g.station ORDER BY g.day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY g.station ORDER BY g.day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+  st AS (SELECT *, (x - x0) / nullif(x1 - x0, 0) AS s FROM sz),
+  spline AS (SELECT station, day, value, coalesce(value, (2*s*s*s - 3*s*s + 1) * y0 + (s*s*s - 2*s*s + s) * (x1 - x0) * m0 + (3*s*s - 2*s*s*s) * y1 + (s*s*s - s*s) * (x1 - x0) * m1) AS filled FROM st)"""
+
+
+@query(f"WITH RECURSIVE {REGULAR}, {_SPLINE} SELECT station, day, round(filled, 6) AS filled FROM spline")
 def w20_fill_spline(spark: SparkSession, d: str) -> DataFrame:
     return gaps.fill_spline(_regular(daily(spark, d)).select("station", "day", "value")).select("station", "day", r("filled"))
 
@@ -470,7 +488,18 @@ def t19_validate_linear(spark: SparkSession, d: str) -> DataFrame:
     return donors.validate(base, chosen, fill).select("station", "n", r("mae"), r("rmse"))
 
 
-@query(name="t22_t23_ablation")
+_HIDDEN = " UNION ALL ".join(
+    f"""SELECT {n} AS gap_days, b.station, b.day, CASE WHEN b.day BETWEEN g.start AND g.start + {n - 1} THEN b.value END AS truth, CASE WHEN b.day BETWEEN g.start AND g.start + {n - 1} THEN NULL ELSE b.value END AS value
+  FROM base b JOIN (SELECT station, arg_min(day, md5('55:' || station || ':{n}:' || day)) AS start FROM (SELECT station, day, count(value) OVER (PARTITION BY station ORDER BY day ROWS BETWEEN 3 PRECEDING AND {n + 2} FOLLOWING) AS c FROM base) WHERE c = {n + 6} GROUP BY station) g USING (station)"""
+    for n in (7, 14)
+)
+
+
+@query(f"""WITH RECURSIVE {SERIES_REGULAR.replace('regular AS', 'base AS')}, hid AS ({_HIDDEN}), regular AS (SELECT gap_days || ':' || station AS station, day, value FROM hid), {_PCHIP}, {_SPLINE},
+  line AS (SELECT station, day, y0 + s * (y1 - y0) AS filled FROM t),
+  errs AS (SELECT h.gap_days, h.station, avg(abs(l.filled - h.truth)) AS linear, avg(abs(p.filled - h.truth)) AS pchip, avg(abs(s.filled - h.truth)) AS spline FROM hid h JOIN line l ON l.station = h.gap_days || ':' || h.station AND l.day = h.day
+    JOIN pchip p ON p.station = l.station AND p.day = l.day JOIN spline s ON s.station = l.station AND s.day = l.day WHERE h.truth IS NOT NULL GROUP BY ALL)
+SELECT gap_days, round_even(avg(linear), 3) AS linear, round_even(avg(pchip), 3) AS pchip, round_even(avg(spline), 3) AS spline FROM errs GROUP BY gap_days""")
 def t22_t23_ablation(spark: SparkSession, d: str) -> DataFrame:
     """Mean absolute error by gap length and method, one column a method."""
     base = _regular(series(spark, d))

@@ -309,14 +309,59 @@ def a32_prototype(spark: SparkSession, d: str) -> DataFrame:
     return selection.prototypes(_vectors(spark, d)).select("station", r("total"))
 
 
-@query(name="g17_whiten")
-def g17_whiten(spark: SparkSession, d: str) -> DataFrame:
-    return selection.whiten(_embeddings(spark, d))
+# Matrices are lists of rows; all of them are symmetric, so that rows times rows is their product.
+_COV = """plain AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS f FROM embeddings), centre AS (SELECT list(m ORDER BY i) AS m FROM (SELECT i, avg(f[i]) AS m FROM plain, range(1, 65) a(i) GROUP BY i)),
+  cells AS (SELECT i, j, covar_samp(f[i], f[j]) AS v FROM plain, range(1, 65) a(i), range(1, 65) b(j) GROUP BY ALL), cov AS (SELECT list(w ORDER BY i) AS a FROM (SELECT i, list(v ORDER BY j) AS w FROM cells GROUP BY i)),
+  spread AS (SELECT sum(v) FILTER (i = j) AS trace FROM cells), unit AS (SELECT list(w ORDER BY i) AS one FROM (SELECT i, list((i = j)::INT::DOUBLE ORDER BY j) AS w FROM range(1, 65) a(i), range(1, 65) b(j) GROUP BY i)),
+  off AS (SELECT vec_id, list_transform(range(1, 65), lambda i: f[i] - m[i]) AS x FROM plain, centre)"""
+
+
+def _times(a: str, b: str) -> str:
+    return f"list_transform({a}, lambda p: list_transform({b}, lambda q: list_dot_product(p, q)))"
+
+
+def _whiten_sql() -> str:
+    """The inverse square root of the covariance by Newton's iteration: y and z go to the root and its inverse, until their product is one."""
+    half = "list_transform(range(1, 65), lambda i: list_transform(range(1, 65), lambda j: 0.5 * ((i = j)::INT * 3 - t[i][j])))"
+    return f"""WITH RECURSIVE {_COV}, ridged AS (SELECT list_transform(range(1, 65), lambda i: list_transform(range(1, 65), lambda j: (a[i][j] + (i = j)::INT * 1e-6) / trace)) AS y FROM cov, spread),
+  turns AS (SELECT 0 AS k, 1.0::DOUBLE AS off_one, y, one AS z FROM ridged, unit UNION ALL
+    SELECT k + 1, list_max(list_transform(range(1, 65), lambda i: list_max(list_transform(range(1, 65), lambda j: abs((i = j)::INT - t[i][j]))))), {_times('y', 'h')}, {_times('h', 'z')} FROM (SELECT *, {half} AS h FROM (SELECT k, y, z, {_times('z', 'y')} AS t FROM turns WHERE k < 60 AND off_one > 1e-6))),
+  root AS (SELECT arg_max(z, k) AS z FROM turns)
+SELECT 'v' || format('{{:02d}}', vec_id) AS station, i::INT - 1 AS i, round(list_dot_product(z[i], x) / sqrt(trace), 6) + 0.0 AS value FROM off, root, spread, range(1, 65) a(i)"""
+
 
+def _spread(df: DataFrame) -> DataFrame:
+    """A row a component."""
+    return df.select("station", F.posexplode("features").alias("i", "value")).select("station", "i", (F.round("value", 6) + 0.0).alias("value"))
 
-@query(name="g18_principal")
+
+@query(_whiten_sql())
+def g17_whiten(spark: SparkSession, d: str) -> DataFrame:
+    """Every component of every whitened vector."""
+    return _spread(selection.whiten(_embeddings(spark, d)))
+
+
+def _principal_sql(most: int = 12, squarings: int = 26) -> str:
+    """Direction by direction: squared again and again, the covariance leaves its first direction alone, which is then taken out of it."""
+    step = squarings + 1
+    best = "list_position(d, list_max(d))"
+    found = f"list_transform(b[{best}], lambda x: x / sqrt(list_dot_product(b[{best}], b[{best}])))"
+    signed = "list_transform(v, lambda x: x * sign(v[list_position(list_transform(v, lambda e: abs(e)), list_max(list_transform(v, lambda e: abs(e))))]))"
+    return f"""WITH RECURSIVE {_COV},
+  turns AS (SELECT 0 AS k, a, a AS b, []::DOUBLE[][] AS kept, []::DOUBLE[] AS sizes FROM cov UNION ALL
+    SELECT k + 1, CASE WHEN v IS NULL THEN a ELSE less END, CASE WHEN v IS NULL THEN list_transform(bb, lambda p: list_transform(p, lambda x: x / scale)) ELSE less END, CASE WHEN v IS NULL THEN kept ELSE list_append(kept, {signed}) END, CASE WHEN v IS NULL THEN sizes ELSE list_append(sizes, lam) END
+    FROM (SELECT *, list_sum(list_transform(range(1, 65), lambda i: bb[i][i])) AS scale, CASE WHEN v IS NOT NULL THEN list_transform(range(1, 65), lambda i: list_transform(range(1, 65), lambda j: a[i][j] - lam * v[i] * v[j])) END AS less
+      FROM (SELECT *, CASE WHEN v IS NULL THEN {_times('b', 'b')} END AS bb, CASE WHEN v IS NOT NULL THEN list_dot_product(v, list_transform(a, lambda p: list_dot_product(p, v))) END AS lam
+        FROM (SELECT *, CASE WHEN k % {step} = {squarings} THEN {found} END AS v FROM (SELECT *, list_transform(range(1, 65), lambda i: b[i][i]) AS d FROM turns WHERE k < {most * step}))))),
+  last AS (SELECT kept, sizes FROM turns WHERE k = {most * step}),
+  enough AS (SELECT greatest(3, coalesce(min(n) FILTER (list_sum(sizes[1:n]) >= 0.95 * trace), {most})) AS n FROM last, spread, range(1, {most + 1}) t(n))
+SELECT 'v' || format('{{:02d}}', vec_id) AS station, i::INT - 1 AS i, round(list_dot_product(kept[i], x), 6) + 0.0 AS value FROM off, last, enough, range(1, {most + 1}) a(i) WHERE i <= enough.n"""
+
+
+@query(_principal_sql())
 def g18_principal(spark: SparkSession, d: str) -> DataFrame:
-    return selection.principal(_embeddings(spark, d))
+    """Every score of every vector."""
+    return _spread(selection.principal(_embeddings(spark, d)))
 
 
 @query(f"""WITH {_VEC}, {STATIONS}, {_FAR}, y AS (SELECT a, b, km FROM far UNION ALL SELECT b, a, km FROM far), names AS (SELECT station, row_number() OVER (ORDER BY station) AS k FROM v),
@@ -329,7 +374,22 @@ def g19_mantel(spark: SparkSession, d: str) -> DataFrame:
     return out.select(r("r", 8), r("p"))
 
 
-@query(name="g21_k_centres")
+def _k_centres_sql(k: int, buffer: float = 5.0, relax: float = 0.8) -> str:
+    """A centre a step, among those that lie apart by the widest buffer that leaves any."""
+    steps = ["t0 AS (SELECT 'v0' AS station, 0 AS turn)"]
+    for i in range(1, k):
+        before = " UNION ALL ".join(f"SELECT * FROM t{j}" for j in range(i))
+        steps.append(f"""c{i} AS (SELECT e.a AS station, min(e.distance) AS env, min(e.km) AS km FROM both_ways e JOIN ({before}) t ON t.station = e.b WHERE e.a NOT IN (SELECT station FROM ({before})) GROUP BY e.a),
+  t{i} AS (SELECT station, {i} AS turn FROM c{i} WHERE km >= coalesce((SELECT max(w) FROM widths WHERE w <= (SELECT max(km) FROM c{i})), 0) ORDER BY env DESC, station DESC LIMIT 1)""")
+    widths = ", ".join(str(buffer * relax**j) for j in range(70))
+    return f"""WITH {_VEC}, {STATIONS}, {_FAR}, widths AS (SELECT unnest([{widths}]::DOUBLE[]) AS w),
+  both_ways AS (SELECT a, b, distance, km FROM dist JOIN far USING (a, b) UNION ALL SELECT b, a, distance, km FROM dist JOIN far USING (a, b)), {', '.join(steps)},
+  chosen AS ({' UNION ALL '.join(f'SELECT * FROM t{i}' for i in range(k))}),
+  away AS (SELECT a, min(distance) AS d FROM (SELECT a, b, distance FROM dist UNION ALL SELECT b, a, distance FROM dist) WHERE b IN (SELECT station FROM chosen) AND a NOT IN (SELECT station FROM chosen) GROUP BY a)
+SELECT (SELECT string_agg(station, ',' ORDER BY turn) FROM chosen) AS centres, round(max(d), 6) AS r_max, round(quantile_cont(d, 0.95), 6) AS r_95 FROM away"""
+
+
+@query(_k_centres_sql(5))
 def g21_k_centres(spark: SparkSession, d: str) -> DataFrame:
     near, far = selection.vector_distances(_vectors(spark, d)), _far(spark, d)
     chosen = selection.k_centres(near, far, 5, "v0")
@@ -337,14 +397,89 @@ def g21_k_centres(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.lit(",".join(chosen)).alias("centres"), r("r_max"), r("r_95"))
 
 
-@query(name="g01_g02_projection")
+def _arc_sql(lat: str) -> str:
+    """Meridional arc from the true origin."""
+    a, b = projection.AIRY
+    n, o = (a - b) / (a + b), float(projection.LAT0)
+    return f"""{b * projection.SCALE} * ({1 + n + 1.25 * n**2 + 1.25 * n**3} * ({lat} - {o}) - {3 * n + 3 * n**2 + 2.625 * n**3} * sin({lat} - {o}) * cos({lat} + {o})
+      + {1.875 * (n**2 + n**3)} * sin(2 * ({lat} - {o})) * cos(2 * ({lat} + {o})) - {35 / 24 * n**3} * sin(3 * ({lat} - {o})) * cos(3 * ({lat} + {o})))"""
+
+
+def _steps(start: str, name: str, *columns: tuple[str, str]) -> str:
+    """A table a step, each with one column more (or one replaced)."""
+    out, last = [], start
+    for i, (column, value) in enumerate(columns):
+        others = f"* EXCLUDE ({column})" if column in {c for c, _ in columns[:i]} else "*"
+        out.append(f"{name}{i} AS MATERIALIZED (SELECT {others}, {value} AS {column} FROM {last})")
+        last = f"{name}{i}"
+    return ", ".join([*out, f"{name} AS (SELECT * FROM {last})"])
+
+
+def _shift_sql(source: tuple[float, float], target: tuple[float, float], sign: int) -> list[tuple[str, str]]:
+    """``lat, lon`` in radians of one ellipsoid to the other's, by way of Cartesian coordinates."""
+    tx, ty, tz, ppm, rx, ry, rz = (sign * v for v in projection.SHIFT)
+    rx, ry, rz = (v / 3600 * 3.141592653589793 / 180 for v in (rx, ry, rz))
+    e1, e2 = (1 - b * b / (a * a) for a, b in (source, target))
+    k = 1 + ppm / 1e6
+    nu = lambda a, e: f"({a} / sqrt(1 - {e} * pow(sin(lat), 2)))"
+    turn = [("lat", f"atan2(zz + {e2} * {nu(target[0], e2)} * sin(lat), pp)")]
+    return [
+        ("x", f"{nu(source[0], e1)} * cos(lat) * cos(lon)"),
+        ("y", f"{nu(source[0], e1)} * cos(lat) * sin(lon)"),
+        ("z", f"{1 - e1} * {nu(source[0], e1)} * sin(lat)"),
+        ("xx", f"{tx} + {k} * x - {rz} * y + {ry} * z"),
+        ("yy", f"{ty} + {rz} * x + {k} * y - {rx} * z"),
+        ("zz", f"{tz} - {ry} * x + {rx} * y + {k} * z"),
+        ("pp", "sqrt(xx * xx + yy * yy)"),
+        ("lon", "atan2(yy, xx)"),
+        ("lat", f"atan2(zz, pp * {1 - e2})"),
+        *(turn * 8),
+    ]
+
+
+def _radii_sql() -> list[tuple[str, str]]:
+    a, b = projection.AIRY
+    e = 1 - b * b / (a * a)
+    root = f"(1 - {e} * pow(sin(lat), 2))"
+    return [("nu", f"{a * projection.SCALE} / sqrt{root}"), ("rho", f"{a * projection.SCALE * (1 - e)} / pow({root}, 1.5)"), ("eta", "nu / rho - 1"), ("t", "tan(lat)")]
+
+
+def _degrees_sql(start: str, name: str) -> str:
+    """``easting, northing`` of ``start`` to ``lat, lon`` in radians."""
+    p, f = projection, projection.AIRY[0] * projection.SCALE
+    back = [
+        ("lat", f"{float(p.LAT0)} + (northing - {p.NORTH0}) / {f}"),
+        *([("lat", f"lat + (northing - {p.NORTH0} - {_arc_sql('lat')}) / {f}")] * 8),
+        *_radii_sql(),
+        ("dx", f"easting - {p.EAST0}"),
+        ("lon", f"{float(p.LON0)} + (dx / nu - pow(dx, 3) / (6 * pow(nu, 3)) * (nu / rho + 2 * t * t) + pow(dx, 5) / (120 * pow(nu, 5)) * (5 + 28 * pow(t, 2) + 24 * pow(t, 4)) - pow(dx, 7) / (5040 * pow(nu, 7)) * (61 + 662 * pow(t, 2) + 1320 * pow(t, 4) + 720 * pow(t, 6))) / cos(lat)"),
+        ("lat", "lat - t / (2 * rho * nu) * pow(dx, 2) + t / (24 * rho * pow(nu, 3)) * (5 + 3 * t * t + eta - 9 * t * t * eta) * pow(dx, 4) - t / (720 * rho * pow(nu, 5)) * (61 + 90 * t * t + 45 * pow(t, 4)) * pow(dx, 6)"),
+    ]
+    return _steps(start, name, *back, *_shift_sql(p.AIRY, p.WGS84, -1))
+
+
+def _grid_sql(start: str, name: str) -> str:
+    """``lat, lon`` in radians of ``start`` to ``easting, northing``."""
+    p = projection
+    forth = [
+        ("dl", f"lon - {float(p.LON0)}"),
+        ("easting", f"{p.EAST0} + nu * cos(lat) * dl + nu / 6 * pow(cos(lat), 3) * (nu / rho - t * t) * pow(dl, 3) + nu / 120 * pow(cos(lat), 5) * (5 - 18 * t * t + pow(t, 4) + 14 * eta - 58 * t * t * eta) * pow(dl, 5)"),
+        ("northing", f"{_arc_sql('lat')} + {p.NORTH0} + nu / 2 * sin(lat) * cos(lat) * pow(dl, 2) + nu / 24 * sin(lat) * pow(cos(lat), 3) * (5 - t * t + 9 * eta) * pow(dl, 4) + nu / 720 * sin(lat) * pow(cos(lat), 5) * (61 - 58 * t * t + pow(t, 4)) * pow(dl, 6)"),
+    ]
+    # the ellipsoid's own columns, where ``start`` has them as columns
+    return _steps(start, name, ("lat", "lat0"), ("lon", "lon0"), *_shift_sql(p.WGS84, p.AIRY, 1), *_radii_sql(), *forth)
+
+
+@query(f"""WITH {STATIONS}, places AS (SELECT station, easting + 300000 AS easting, northing + 500000 AS northing FROM stations), {_degrees_sql('places', 'there')}, known AS (SELECT station, lat AS lat0, lon AS lon0 FROM there), {_grid_sql('known', 'back')}
+SELECT station, round(degrees(lat0), 7) AS lat, round(degrees(lon0), 7) AS lon, round(easting, 0) AS easting, round(northing, 0) AS northing FROM back""")
 def g01_g02_projection(spark: SparkSession, d: str) -> DataFrame:
     """Stations on the grid, to degrees and back."""
     places = stations(spark, d).select("station", (F.col("easting") + 300000).alias("easting"), (F.col("northing") + 500000).alias("northing"))
     return projection.with_grid(projection.with_lat_lon(places).select("station", "lat", "lon")).select("station", r("lat", 7), r("lon", 7), r("easting", 0), r("northing", 0))
 
 
-@query(name="g04_bounding_box")
+@query(f"""WITH {STATIONS}, corners AS (SELECT min(easting) + 300000 AS easting, min(northing) + 500000 AS northing FROM stations UNION ALL SELECT max(easting) + 300000, max(northing) + 500000 FROM stations), {_degrees_sql('corners', 'there')}
+SELECT round(degrees(max(lat)), 7) AS north, round(degrees(min(lon)), 7) AS west, round(degrees(min(lat)), 7) AS south, round(degrees(max(lon)), 7) AS east FROM there""")
 def g04_bounding_box(spark: SparkSession, d: str) -> DataFrame:
     """The box around all stations, in degrees."""
     e = stations(spark, d).agg(F.min("easting"), F.min("northing"), F.max("easting"), F.max("northing")).first()

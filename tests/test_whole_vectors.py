@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rillwork.plans.space_queries import g17_whiten, g18_principal
 
@@ -13,8 +14,14 @@ def vectors(spark, sf_dir):
     return {r["vec_id"]: np.array(r["embedding"], float) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()}
 
 
+def gathered(df) -> dict[int, np.ndarray]:
+    """Vectors of a query that gives a row a component."""
+    rows = df.groupBy("station").agg(F.sort_array(F.collect_list(F.struct("i", "value"))).alias("v")).collect()
+    return {int(r["station"][1:]): np.array([x["value"] for x in r["v"]]) for r in rows}
+
+
 def test_whiten_covers_all_vectors(spark, sf_dir, vectors):
-    got = {int(r["station"][1:]): np.array(r["features"]) for r in g17_whiten(spark, sf_dir).collect()}
+    got = gathered(g17_whiten(spark, sf_dir))
     assert got.keys() == vectors.keys()
     x = np.array([vectors[k] for k in sorted(vectors)])
     values, turned = np.linalg.eigh(np.cov(x.T) + 1e-6 * np.eye(x.shape[1]))
@@ -23,7 +30,7 @@ def test_whiten_covers_all_vectors(spark, sf_dir, vectors):
 
 
 def test_principal_covers_all_vectors(spark, sf_dir, vectors):
-    got = {int(r["station"][1:]): np.array(r["features"]) for r in g18_principal(spark, sf_dir).collect()}
+    got = gathered(g18_principal(spark, sf_dir))
     assert got.keys() == vectors.keys()
     x = np.array([vectors[k] for k in sorted(vectors)])
     scores = np.array([got[k] for k in sorted(got)])
