@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
+
+from .order import Cut, numbered
 
 RULE_SCHEMA = "seq int, station string, op string, start timestamp, end timestamp, amount double"
 
@@ -73,21 +78,61 @@ def segment_end_flags(df: DataFrame, window: int = 30, least: int = 10, threshol
     return out.withColumn("segment_end", off & gap).drop("_median")
 
 
-def hampel(df: DataFrame, window: int = 250, sigmas: float = 10.0, key: str = "station", time: str = "ts", value: str = "value") -> DataFrame:
+#: Rows of a block of ``hampel``, besides half a window on each side.
+HAMPEL_ROWS = 1 << 14
+#: Values of windows that are sorted together.
+HAMPEL_VALUES = 1 << 20
+
+
+def _middle(ordered: np.ndarray) -> np.ndarray:
+    """Medians of rows whose numbers are ascending, NaN last and left out; NaN for none."""
+    n = np.count_nonzero(~np.isnan(ordered), axis=1)[:, None]
+    low, high = (np.take_along_axis(ordered, np.maximum(k, 0), axis=1)[:, 0] for k in ((n - 1) // 2, n // 2))
+    return np.where(n[:, 0] > 0, (low + high) / 2, np.nan)
+
+
+def window_medians(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Median and median absolute deviation of each full window of ``width`` values, NaN left out."""
+    windows = np.lib.stride_tricks.sliding_window_view(values, width)
+    medians, deviations = np.empty(len(windows)), np.empty(len(windows))
+    step = max(1, HAMPEL_VALUES // width)
+    for k in range(0, len(windows), step):
+        held = np.sort(windows[k : k + step], axis=1)
+        medians[k : k + step] = _middle(held)
+        deviations[k : k + step] = _middle(np.sort(np.abs(held - medians[k : k + step, None]), axis=1))
+    return medians, deviations
+
+
+def hampel(df: DataFrame, window: int = 250, sigmas: float = 10.0, key: str = "station", time: str = "ts", value: str = "value", cut: Cut | None = None) -> DataFrame:
     """Adds ``hampel`` (flag) and ``hampel_value``: outliers replaced by the median of the rows around.
 
     Half a window lies on each side; rows nearer than that to either end are never outliers. The spread is 1.4826 times the median
-    absolute deviation. Nulls count in the window but not in the medians.
+    absolute deviation. Nulls and NaN count in the window but not in the medians.
+
+    A series is cut into blocks of ``HAMPEL_ROWS``, each with the rows of half a window around it, so a task's memory doesn't
+    depend on a series' length, and no row carries its window. With ``cut``, which stores rows, a series is numbered by all tasks.
     """
     half = window // 2
-    w = Window.partitionBy(key).orderBy(time)
-    around = w.rowsBetween(-half, half)
-    middle = lambda a: F.when(F.size(a) > 0, (F.get(a, F.floor((F.size(a) - 1) / 2).cast("int")) + F.get(a, F.floor(F.size(a) / 2).cast("int"))) / 2)
-    out = df.withColumns({"_near": F.sort_array(F.collect_list(value).over(around)), "_full": F.count(F.lit(1)).over(around) == 2 * half + 1})
-    out = out.withColumn("_median", middle(F.col("_near")))
-    out = out.withColumn("_spread", 1.4826 * middle(F.sort_array(F.transform("_near", lambda x: F.abs(x - F.col("_median"))))))
-    flag = F.coalesce(F.col("_full") & (F.abs(F.col(value) - F.col("_median")) > sigmas * F.col("_spread")), F.lit(False))
-    return out.withColumn("hampel", flag).withColumn("hampel_value", F.when(flag, F.col("_median")).otherwise(F.col(value))).drop("_near", "_full", "_median", "_spread")
+    rows = numbered(df, time, [key], "_i", cut)
+    block = lambda i: F.floor(i / HAMPEL_ROWS)
+    rows = rows.withColumn("_block", F.explode(F.sequence(F.greatest(block(F.col("_i") - half), F.lit(0)), block(F.col("_i") + half))))
+
+    def flag(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_i")
+        v = np.asarray(table.column(value).cast(pa.float64()).to_numpy(zero_copy_only=False), np.float64)
+        i = table.column("_i").to_numpy()
+        out, median = np.zeros(len(v), bool), np.full(len(v), np.nan)
+        if len(v) > 2 * half:
+            middle = slice(half, len(v) - half)
+            median[middle], spread = window_medians(v, 2 * half + 1)
+            with np.errstate(invalid="ignore"):
+                out[middle] = np.abs(v[middle] - median[middle]) > sigmas * (1.4826 * spread)
+        own = pa.array(i // HAMPEL_ROWS == table.column("_block").to_numpy())
+        shown = pa.array(np.where(out, median, v), from_pandas=True)
+        return table.drop_columns(["_i", "_block"]).append_column("hampel", pa.array(out)).append_column("hampel_value", shown).filter(own)
+
+    schema = StructType([*df.schema.fields, StructField("hampel", BooleanType()), StructField("hampel_value", DoubleType())])
+    return rows.groupBy(key, "_block").applyInArrow(flag, schema)
 
 
 def fuse_outliers(df: DataFrame, value: str = "value", quality: str = "quality", good: str = "Good") -> DataFrame:
@@ -98,9 +143,9 @@ def fuse_outliers(df: DataFrame, value: str = "value", quality: str = "quality",
     return df.withColumn(value, fused)
 
 
-def clean(df: DataFrame, rules: DataFrame | None = None, window: int = 250, sigmas: float = 10.0, key: str = "station", time: str = "ts", value: str = "value", quality: str = "quality") -> DataFrame:
+def clean(df: DataFrame, rules: DataFrame | None = None, window: int = 250, sigmas: float = 10.0, key: str = "station", time: str = "ts", value: str = "value", quality: str = "quality", cut: Cut | None = None) -> DataFrame:
     """Corrections by rule, the quartile gate, then the two outlier tests on the gated series, fused."""
     out = apply_rules(df, rules, key, time, value, quality) if rules is not None else df
     out = quartile_gate(out, key=key, value=value)
-    out = hampel(segment_end_flags(out, key=key, time=time, value=value), window, sigmas, key, time, value)
+    out = hampel(segment_end_flags(out, key=key, time=time, value=value), window, sigmas, key, time, value, cut)
     return fuse_outliers(out, value, quality).drop("hampel", "hampel_value", "segment_end")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import box_cox, season, season_of_month
 from .calendars import bin_of
+from .order import Cut, numbered
 
 
 def lags(df: DataFrame, value: str, upto: int = 7, by: Sequence[str] = ("station",), time: str = "day", prefix: str | None = None) -> DataFrame:
@@ -141,10 +142,10 @@ def ramp(df: DataFrame, by: Sequence[str], time: str) -> DataFrame:
     return df.withColumn("ramp", F.when(n == 1, 1.0).otherwise(i / (n - 1)))
 
 
-def streamflow_block(readings: DataFrame, days: int, start: str, positional: bool = False, time: str = "day", value: str = "flow", threshold: float = 0.01) -> DataFrame:
+def streamflow_block(readings: DataFrame, days: int, start: str, positional: bool = False, time: str = "day", value: str = "flow", threshold: float = 0.01, cut: Cut | None = None) -> DataFrame:
     """``day, flow`` in m3 a day from m3/s: by date, or, if ``positional``, the n-th reading on the calendar's n-th day.
 
-    Missing days are filled along the line if they are fewer than ``threshold`` of all.
+    Missing days are filled along the line if they are fewer than ``threshold`` of all. The calendar, ``days`` rows, is filled by one task.
     """
     from .gaps import fill_linear
 
@@ -152,7 +153,7 @@ def streamflow_block(readings: DataFrame, days: int, start: str, positional: boo
     spark = readings.sparkSession
     frame = spark.range(days).select(F.date_add(F.lit(start).cast("date"), F.col("id").cast("int")).alias(time), (F.col("id") + 1).alias("_i"))
     if positional:
-        placed = daily.withColumn("_i", F.row_number().over(Window.orderBy(time))).select("_i", value)
+        placed = numbered(daily, time, (), "_n", cut).select((F.col("_n") + 1).alias("_i"), value)
         joined = frame.join(placed, "_i", "left").drop("_i")
     else:
         joined = frame.drop("_i").join(daily.groupBy(time).agg(F.avg(value).alias(value)), time, "left")

@@ -134,7 +134,7 @@ def t04_w05_segment_ends(spark: SparkSession, d: str) -> DataFrame:
   f AS (SELECT station, day, value, med, coalesce(whole AND abs(value - med) > 2.0 * 1.4826 * mad, false) AS hampel FROM win JOIN mad USING (station, i))
 SELECT station, day, hampel, round(CASE WHEN hampel THEN med ELSE value END, 6) AS hampel_value FROM f""")
 def t05_hampel(spark: SparkSession, d: str) -> DataFrame:
-    return cleaning.hampel(_regular(daily(spark, d)), 10, 2.0, time="day").select("station", "day", "hampel", r("hampel_value"))
+    return cleaning.hampel(_regular(daily(spark, d)), 10, 2.0, time="day", cut=stored).select("station", "day", "hampel", r("hampel_value"))
 
 
 @query(f"""WITH {READINGS}, o AS (SELECT *, value > 150 AS hampel, 99.5 AS hampel_value, event_id % 3 = 0 AS segment_end FROM readings)

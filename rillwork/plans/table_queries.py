@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import assembly, calendars, metrics, preparation
+from ..operators import assembly, calendars, metrics, order, preparation
 from ..sources import tables as sources
-from .registry import DAILY, RAIN, READINGS, STATIONS, daily, query, r, rain, readings, saved, stations, table
+from .registry import DAILY, RAIN, READINGS, STATIONS, daily, query, r, rain, readings, stations, stored, table
 
 
 @query("SELECT n_nationkey, replace(lower(trim(n_name)), ' ', '_') AS name, upper(n_name) AS loud, 'Station ' || upper(n_name[1]) || lower(n_name[2:]) AS title FROM nation")
@@ -208,8 +208,7 @@ def u05_anti_difference(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {RAIN}, b AS (SELECT day, row_number() OVER (ORDER BY day) AS i FROM rain), a AS (SELECT rainfall, row_number() OVER (ORDER BY day) AS i FROM rain) SELECT day, rainfall FROM b JOIN a USING (i)")
 def j22_positional(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.orderBy("day")
-    rows = rain(spark, d).withColumn("i", F.row_number().over(w))
+    rows = order.numbered(rain(spark, d), "day", cut=stored)
     return rows.select("i", "day").join(rows.select("i", "rainfall"), "i").select("day", "rainfall")
 
 
@@ -363,11 +362,8 @@ def p11_drainage(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {DAILY} SELECT station, day, round(value, 6) AS value, row_number() OVER (ORDER BY station, day) AS place FROM daily")
 def q01_sorted(spark: SparkSession, d: str) -> DataFrame:
     """All rows by station and time, in range partitions; places from each partition's start."""
-    rows = saved(daily(spark, d).orderBy("station", "day")).withColumn("_at", F.monotonically_increasing_id())
-    parts = rows.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    starts = parts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))  # a row a partition
-    placed = rows.withColumn("_part", F.shiftright("_at", 33)).join(F.broadcast(starts), "_part")
-    return placed.select("station", "day", r("value"), (F.col("_start") + F.col("_at") - F.shiftleft("_part", 33) + 1).alias("place"))
+    placed = order.numbered(daily(spark, d).withColumn("at", F.struct("station", "day")), "at", name="place", cut=stored)
+    return placed.select("station", "day", r("value"), (F.col("place") + 1).alias("place"))
 
 
 @query("SELECT p_partkey, p_size, (p_brand = 'Brand#11')::INT::DOUBLE AS brand_11, (p_brand = 'Brand#22')::INT::DOUBLE AS brand_22, (p_type = 'SMALL')::INT::DOUBLE AS small FROM part")

@@ -63,13 +63,28 @@ def memories(rows: DataFrame, keep: float = 0.9) -> DataFrame:
 
 
 def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """All that is there now, through the stream, as a table. Append mode goes to Parquet in the shared folder, the others to
-    an in-memory table, for results as small as their state."""
+    """All that is there now, through the stream, as a table of Parquet files in the shared folder.
+
+    In modes other than append each batch writes a folder of its number, which a batch that is tried again overwrites: every
+    batch's rows are there once. Of complete mode the last batch's rows are the result.
+    """
     spark = stream.sparkSession
     place = f"{shared_root(spark)}/streams/{uuid.uuid4().hex}"
+    writer = stream.writeStream.option("checkpointLocation", f"{place}/state").outputMode(mode).trigger(availableNow=True)
     if mode == "append":
-        stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start(f"{place}/rows").awaitTermination()
+        writer.format("parquet").start(f"{place}/rows").awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{place}/rows")
-    name = f"stream_{uuid.uuid4().hex}"
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{place}/rows" if mode == "complete" else f"{place}/rows/batch={batch}")
+
+    writer.foreachBatch(keep).start().awaitTermination()
+    if _unwritten(spark, f"{place}/rows"):
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.option("recursiveFileLookup", True).schema(stream.schema).parquet(f"{place}/rows")
+
+
+def _unwritten(spark: SparkSession, place: str) -> bool:
+    """No batch has been written there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    return not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
