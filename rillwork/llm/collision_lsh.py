@@ -32,6 +32,8 @@ RECALL = 0.94
 SAMPLE = 64
 #: Vectors of a block, about.
 BLOCK = 16384
+#: Blocks that a task searches one after another, at most: queries and their best lists move once for all of them.
+BLOCKS = 8
 #: Queries whose collisions are counted together.
 TOGETHER = 16
 SEED = 11
@@ -80,6 +82,11 @@ def reaching(planes: list[np.ndarray], least: np.ndarray) -> np.ndarray:
     return above | equal
 
 
+def ranked(ids: np.ndarray, rows: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """Order by score, greatest first and those that aren't numbers last, then id, then row."""
+    return np.lexsort((rows, ids, -np.where(np.isnan(scores), -np.inf, scores)))
+
+
 class CollisionIndex:
     """A sorted array of projections for each direction, over a block of vectors of one length.
 
@@ -200,7 +207,7 @@ class CollisionIndex:
                 ids, rows, scores = self.ids[at], self.rows[at], np.repeat(exact, size)
                 other = rows != own[begin + i]
                 ids, rows, scores = ids[other], rows[other], scores[other]
-                rank = np.lexsort((rows, ids, -np.where(np.isnan(scores), -np.inf, scores)))[:k]
+                rank = ranked(ids, rows, scores)[:k]
                 yield ids[rank], rows[rank], scores[rank]
 
 
@@ -217,12 +224,13 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.where(F.forall("vector", fine) & F.exists("vector", lambda x: x != 0))
 
 
-def nearest(vectors: DataFrame, k: int = K, every: int = 20, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK, seed: int = SEED) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = K, every: int = 20, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK, seed: int = SEED, blocks: int | None = None) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row whose key is divisible by ``every``, the ``k`` other rows of largest product.
 
-    Rows are dealt by a hash into blocks of about ``block`` vectors of one length. A block's task builds its index once and
-    reads the queries after it, as they stream in; only queries move to more than one task, and a task's memory depends on
-    ``block`` alone. A query's ``k`` best of each block are then ranked. Scores are summed in double precision over the original
+    Rows are dealt by a hash into blocks of about ``block`` vectors of one length. A task builds the indexes of up to ``blocks`` blocks (as many
+    as leave each core two tasks, ``BLOCKS`` at most) and reads the queries after them, as they stream in; only queries move to more than one
+    task, and a task's memory depends on ``block`` and ``BLOCKS`` alone. A query's ``k`` best of a task's blocks, then those of all tasks, are
+    ranked; the rows found don't depend on ``blocks``. Scores are summed in double precision over the original
     components, in order; one that overflows both ways is not a number and comes last. Ties go to the smaller key.
 
     Vectors are compared with those of their own length. Rows of equal key are rows of their own: each is searched for, and found by the
@@ -233,36 +241,44 @@ def nearest(vectors: DataFrame, k: int = K, every: int = 20, key: str = "vec_id"
     rows = write_table(usable(vectors, key, vector).withColumn("row", F.monotonically_increasing_id()), "vectors")
     rows = rows.withColumn("length", F.size("vector"))
     sizes = rows.groupBy("length").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    tasks = 2 * vectors.sparkSession.sparkContext.defaultParallelism
+    together = F.lit(blocks) if blocks else F.least(F.lit(BLOCKS), F.greatest(F.lit(1), F.floor(F.col("blocks") / tasks)))
+    sizes = sizes.withColumn("together", together.cast("int")).withColumn("groups", F.ceil(F.col("blocks") / F.col("together")).cast("int"))
     rows = rows.join(F.broadcast(sizes), "length")  # a row for each length of vectors
-    data = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "vec_id", "row"), F.col("blocks")).cast("int")).withColumn("asked", F.lit(False))
-    asked = rows.where(F.col("vec_id") % every == 0).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asked", F.lit(True))
-    columns = ["length", "block", "asked", "vec_id", "row", "vector"]
+    data = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "vec_id", "row"), F.col("blocks")).cast("int")).withColumn("group", F.floor(F.col("block") / F.col("together")).cast("int")).withColumn("asked", F.lit(False))
+    asked = rows.where(F.col("vec_id") % every == 0).withColumn("block", F.lit(0)).withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).withColumn("asked", F.lit(True))
+    columns = ["length", "group", "asked", "block", "vec_id", "row", "vector"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted: of each length and block first the vectors, then the queries."""
-        last, index, held = None, None, []
+        """Rows come sorted: of each length and group first the vectors, block by block, then the queries."""
+        last, indexes, held, of_block = None, [], [], None
         for batch in batches:
-            keys = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(3)])
+            keys = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(4)])
             cuts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1), True]) if len(keys) else np.zeros(1, np.int64)
             out: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
             for a, b in zip(cuts, cuts[1:]):
                 part = batch.slice(a, b - a)
-                ids, numbers = part.column(3).to_numpy(), part.column(4).to_numpy()
-                matrix = part.column(5).flatten().to_numpy().reshape(len(ids), -1)
+                ids, numbers = part.column(4).to_numpy(), part.column(5).to_numpy()
+                matrix = part.column(6).flatten().to_numpy().reshape(len(ids), -1)
                 if (group := tuple(keys[a, :2])) != last:
-                    last, index, held = group, None, []
+                    last, indexes, held = group, [], []
+                if held and (keys[a, 2] or keys[a, 3] != of_block):
+                    indexes.append(CollisionIndex(*map(np.concatenate, zip(*held)), seed=seed))
+                    held = []
                 if not keys[a, 2]:
                     held.append((ids, numbers, matrix))
+                    of_block = keys[a, 3]
+                    continue
+                if not indexes:  # no vector fell into these blocks
                     continue
-                if index is None and held:
-                    index, held = CollisionIndex(*map(np.concatenate, zip(*held)), seed=seed), []
-                if index is not None:
-                    for own, number, (found, found_rows, scores) in zip(ids, numbers, index.search(matrix, numbers, k)):
-                        out.append((np.full(len(found), own), np.full(len(found), number), found, found_rows, scores))
+                for own, number, *found in zip(ids, numbers, *(index.search(matrix, numbers, k) for index in indexes)):
+                    best = found[0] if len(found) == 1 else tuple(map(np.concatenate, zip(*found)))
+                    best = tuple(x[ranked(*best)[:k]] for x in best)
+                    out.append((np.full(len(best[0]), own), np.full(len(best[0]), number), *best))
             names = ["query_id", "query_row", "vec_id", "row", "score"]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names)
 
-    dealt = data.select(columns).union(asked.select(columns)).repartition("length", "block").sortWithinPartitions("length", "block", "asked", "vec_id")
+    dealt = data.select(columns).union(asked.select(columns)).repartition("length", "group").sortWithinPartitions("length", "group", "asked", "block", "vec_id")
     met = dealt.mapInArrow(tidy(run), "query_id bigint, query_row bigint, vec_id bigint, row bigint, score double")
     order = Window.partitionBy("query_id", "query_row").orderBy(F.when(F.isnan("score"), float("-inf")).otherwise(F.col("score")).desc(), "vec_id", "row")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -317,6 +317,14 @@ def test_recall_at_any_width(width, kind):
     assert hits / (20 * len(asked)) >= 0.9
 
 
+def test_neighbours_do_not_depend_on_blocks_of_a_task(spark):
+    rng = np.random.default_rng(8)
+    rows_ = [(i, rng.normal(size=6 + i % 2).round(1).tolist(), i) for i in range(240)] + [(5, [1.0] * 6, 0), (40, None, 0)]
+    df = spark.createDataFrame(rows_, "vec_id long, embedding array<double>, `group` int")
+    got = [sorted(map(tuple, collision_lsh.nearest(df, block=12, blocks=n).collect())) for n in (None, 1, 3, 50)]
+    assert got[0] == got[1] == got[2] == got[3] and len(got[0]) == 12 * 20
+
+
 def test_neighbours_of_equal_and_odd_vectors(spark):
     same = [(i, [1.0, 0.5]) for i in range(60)]
     odd = [(100, None), (120, [0.0, 0.0]), (140, [1.0, None]), (160, [float("nan"), 1.0]), (180, [float("inf"), 1.0]), (None, [1.0, 1.0]), (1, [1.0, 0.5])]
