@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graphs import scaler, standardised
+from .order import Cut, numbered
 
 SENTINEL = -999.0
 MISSING = "__MISSING_CAT__"
@@ -89,19 +90,19 @@ def split_sizes(n: int, train: float, validation: float, test: float) -> tuple[i
     return n - v - t, v, t
 
 
-def split_stations(stations: DataFrame, shares: tuple[float, float, float], seed: int, shortlist: Sequence[str] = (), key: str = "station") -> DataFrame:
+def split_stations(stations: DataFrame, shares: tuple[float, float, float], seed: int, shortlist: Sequence[str] = (), key: str = "station", cut: Cut | None = None) -> DataFrame:
     """``station, split``: the shortlist first, then by a seeded hash, fill test and validation; the rest trains.
 
-    For station tables (thousands of rows): the order is ranked in one window.
+    With ``cut``, which stores rows, all tasks rank the stations; without, one does (thousands of rows).
     """
     names = stations.select(key).distinct()
     n = names.count()
     _, v, t = split_sizes(n, *shares)
     draw = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
     prefer = F.array_position(F.array(*map(F.lit, shortlist)), F.col(key).cast("string")) if shortlist else F.lit(0)
-    order = Window.orderBy(F.when(prefer > 0, prefer).otherwise(len(shortlist) + 1), draw)
-    rank = F.row_number().over(order)
-    return names.withColumn("_r", rank).select(key, F.when(F.col("_r") <= t, "test").when(F.col("_r") <= t + v, "val").otherwise("train").alias("split"))
+    order = F.struct(F.when(prefer > 0, prefer).otherwise(len(shortlist) + 1).alias("first"), draw.alias("draw"))
+    ranked = numbered(names.withColumn("_order", order), "_order", name="_r", cut=cut).withColumn("_r", F.col("_r") + 1)
+    return ranked.select(key, F.when(F.col("_r") <= t, "test").when(F.col("_r") <= t + v, "val").otherwise("train").alias("split"))
 
 
 def split_faults(splits: DataFrame, stations: DataFrame, key: str = "station") -> DataFrame:
@@ -129,7 +130,7 @@ def snapshots(df: DataFrame, columns: Sequence[str], time: str = "day", node: st
     return df.groupBy(time).agg(F.sort_array(F.collect_list(F.struct(node, *columns))).alias("nodes"))
 
 
-def node_means(df: DataFrame, value: str, mean: str, node: str = "node_id", time: str = "day") -> DataFrame:
-    """``node_id, idx, mean``: the first non-null ``mean`` of each node that has a ``value``, numbered by node."""
+def node_means(df: DataFrame, value: str, mean: str, node: str = "node_id", time: str = "day", cut: Cut | None = None) -> DataFrame:
+    """``node_id, idx, mean``: the first non-null ``mean`` of each node that has a ``value``, numbered by node (``cut`` as for ``numbered``)."""
     rows = df.where(F.col(value).isNotNull()).groupBy(node).agg(F.min_by(mean, F.when(F.col(mean).isNotNull(), F.col(time))).alias(mean))
-    return rows.withColumn("idx", (F.row_number().over(Window.orderBy(node)) - 1).cast("long"))
+    return numbered(rows, node, name="idx", cut=cut)

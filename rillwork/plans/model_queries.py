@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import graphs, metrics, model_terms, preparation
-from .registry import SERIES, query, r, series, table
+from .registry import SERIES, query, r, series, stored, table
 
 _PRED = SERIES + ", pred AS (SELECT station, day, value AS y, lag(value) OVER (PARTITION BY station ORDER BY day) AS p FROM series)"
 
@@ -126,7 +126,7 @@ _SPLIT = "splits AS (SELECT s_name AS station, s_suppkey AS node_id, row_number(
 
 
 def _splits(spark: SparkSession, d: str) -> DataFrame:
-    return preparation.split_stations(table(spark, d, "supplier").withColumnRenamed("s_name", "station"), (77, 15, 8), 55, ["Supplier#000000003"])
+    return preparation.split_stations(table(spark, d, "supplier").withColumnRenamed("s_name", "station"), (77, 15, 8), 55, ["Supplier#000000003"], cut=stored)
 
 
 @query(f"WITH {_SPLIT} SELECT station, split FROM named")
@@ -155,7 +155,7 @@ def m08_m09_d13_snapshot_masks(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH f AS (SELECT l_suppkey AS node_id, round(arg_min(l_tax, (l_shipdate, l_orderkey, l_linenumber)), 6) AS mean FROM lineitem WHERE l_quantity > 45 GROUP BY ALL) SELECT node_id, mean, row_number() OVER (ORDER BY node_id) - 1 AS idx FROM f")
 def m10_node_means(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("node_id"), F.struct("l_shipdate", "l_orderkey", "l_linenumber").alias("day"), F.when(F.col("l_quantity") > 45, F.col("l_quantity")).alias("value"), F.col("l_tax").alias("mean"))
-    return preparation.node_means(rows, "value", "mean").select("node_id", r("mean"), "idx")
+    return preparation.node_means(rows, "value", "mean", cut=stored).select("node_id", r("mean"), "idx")
 
 
 @query("WITH f AS (SELECT CAST(l_shipdate AS DATE) AS day, l_suppkey, round(avg(l_quantity), 6) AS q FROM lineitem GROUP BY ALL) SELECT day, count(*) AS n, min(l_suppkey) AS first, max(l_suppkey) AS last FROM f GROUP BY day")
