@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import geotiff, grib, netcdf, retrieval, tables
@@ -89,11 +89,19 @@ def s10_archive_retrieval(spark: SparkSession, d: str) -> DataFrame:
     return netcdf.read_netcdf(spark, files, "price").select(F.to_date("time").alias("day"), "y", "x", r("value", 2))
 
 
+#: Consecutive events that one station of the service holds.
+_HELD = 50_000
+
+
+def _station() -> Column:
+    return F.floor(F.col("event_id") / _HELD).alias("station")
+
+
 def _service(spark: SparkSession, d: str) -> str:
-    """Readings of each kind of event in a folder of its own, as a landed copy of the service."""
+    """Readings of each station and kind of event in a folder of their own, as a landed copy of the service; more events are more measures."""
     place = _place(spark, "service")
-    e = table(spark, d, "events").select("event_type", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("dateTime"), F.to_date("ts").cast("string").alias("date"), "value", F.lit("Good").alias("quality"))
-    e.write.partitionBy("event_type").parquet(place)
+    e = table(spark, d, "events").select(_station(), "event_type", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("dateTime"), F.to_date("ts").cast("string").alias("date"), "value", F.lit("Good").alias("quality"))
+    e.repartition("station").write.partitionBy("station", "event_type").parquet(place)
     return place
 
 
@@ -101,8 +109,8 @@ _READ = "SELECT event_type AS measure, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS \
 
 
 def _measures(spark: SparkSession, d: str, service: str) -> DataFrame:
-    kinds = table(spark, d, "events").select("event_type").distinct()
-    return kinds.select(F.concat(F.lit(service + "/event_type="), "event_type").alias("measure_uri"))
+    kinds = table(spark, d, "events").select(_station(), "event_type").distinct()
+    return kinds.select(F.concat(F.lit(service + "/station="), "station", F.lit("/event_type="), "event_type").alias("measure_uri"))
 
 
 def _readings(df: DataFrame) -> DataFrame:

@@ -8,8 +8,10 @@ import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator, Sequence
 from datetime import date, timedelta
+from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -222,18 +224,29 @@ def pages(request: dict, fetch: Callable[[str], list[dict]] = http_page) -> Iter
         offset += limit
 
 
+@lru_cache(maxsize=2)
+def _landed(names: tuple[str, ...]) -> pa.Table:
+    """Readings of a landed copy in order of time; pages of one measure are cut from the same table."""
+    parts = []
+    for name in names:
+        files, path = store(name)
+        parts.append(pq.read_table(path, filesystem=files, columns=["dateTime", "date", "value", "quality"], partitioning=None))
+    return pa.concat_tables(parts).sort_by("dateTime")
+
+
 def replay(url: str) -> list[dict]:
     """A page as the service would give it, from a landed copy: ``<folder of Parquet>/readings?...`` with ``dateTime, date, value, quality``."""
     place, _, asked = url.partition("/readings?")
     query = dict(urllib.parse.parse_qsl(asked))
-    parts = []
-    for name in listed(place, (".parquet",)):
-        files, path = store(name)
-        parts.append(pq.read_table(path, filesystem=files, columns=["dateTime", "date", "value", "quality"], partitioning=None))
-    rows = pa.concat_tables(parts).sort_by("dateTime").to_pylist() if parts else []
-    rows = [x for x in rows if query.get("mineq-date", "") <= x["date"] and ("max-date" not in query or x["date"] <= query["max-date"])]
-    first = int(query.get("_offset", 0))
-    return rows[first : first + int(query["_limit"])]
+    names = tuple(listed(place, (".parquet",)))
+    if not names:
+        return []
+    rows = _landed(names)
+    if "mineq-date" in query:
+        rows = rows.filter(pc.greater_equal(rows["date"], query["mineq-date"]))
+    if "max-date" in query:
+        rows = rows.filter(pc.less_equal(rows["date"], query["max-date"]))
+    return rows.slice(int(query.get("_offset", 0)), int(query["_limit"])).to_pylist()
 
 
 def replay_station(url: str) -> list[dict]:
@@ -255,11 +268,11 @@ def download(spark: SparkSession, measures: DataFrame, place: str, uri: str = "m
     """``measure`` and all readings of the measures in ``uri`` that have arrived at ``place``.
 
     Each measure is a task of its own (``retrieval``): a rerun asks only for those that failed, found nothing or are new, and never doubles
-    a reading. Addresses that don't begin with ``http`` or name a store are no measures. ``flow`` takes the day after ``end``
+    a reading. Addresses that aren't URIs (of a service or a store) or paths from the root are no measures. ``flow`` takes the day after ``end``
     in as well, as the service's flows end before it.
     """
     last = (date.fromisoformat(end) + timedelta(days=1)).isoformat() if end and flow else end
-    asked = measures.select(F.col(uri).alias("task")).where(F.col("task").rlike("^(https?|file|s3|gs|hdfs):"))
+    asked = measures.select(F.col(uri).alias("task")).where(F.col("task").rlike("^([A-Za-z][A-Za-z0-9+.-]*:)?/"))
     asked = asked.select("task", F.col("task").alias("uri"), F.lit(start).alias("start"), F.lit(last).alias("end"), F.lit(limit).alias("limit"))
     retrieval.retrieve(asked, place, lambda request: pages(request, fetch), READING, attempts)
     return retrieval.retrieved(spark, place, READING).withColumnRenamed("task", "measure")

@@ -173,3 +173,20 @@ def test_flows_take_in_the_day_after(spark, tmp_path):
     asked = (tmp_path / "asked").read_text().split()
     assert [a.partition("?")[2] for a in asked] == [f"mineq-date=2020-02-01&max-date=2020-02-29&_limit=2&_offset={o}" for o in (0, 2, 4)]
     assert got.agg(F.count("measure")).first()[0] == 5
+
+
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_downloads_from_a_folder_named_by_its_path_or_uri(spark, tmp_path, scheme):
+    service = f"{scheme}{tmp_path}/service"
+    rows = spark.range(9).selectExpr("concat('d', 8 - id) as dateTime", "concat('2020-01-0', 1 + id div 3) as date", "double(id) as value", "'Good' as quality", "id % 2 as kind")
+    rows.write.partitionBy("kind").parquet(service)
+    measures = spark.createDataFrame([(f"{service}/kind={k}",) for k in (0, 1)] + [("not an address",)], "measure_uri string")
+    got = tables.download(spark, measures, f"{scheme}{tmp_path}/kept", start="2020-01-02", limit=2, fetch=tables.replay)
+    assert sorted((r["measure"][-1], r["dateTime"], r["value"]) for r in got.collect()) == sorted((str(i % 2), f"d{8 - i}", float(i)) for i in range(3, 9))
+
+
+def test_a_shared_folder_named_by_its_path_gives_all_readings(spark, sf_dir, tmp_path, monkeypatch):
+    from rillwork.plans import archive_queries
+
+    monkeypatch.setattr(archive_queries, "shared_root", lambda _: str(tmp_path))
+    assert archive_queries.s06_s07_download(spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/events.parquet").count()
