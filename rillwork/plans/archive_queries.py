@@ -141,6 +141,8 @@ def s03_s04_station_lookup(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier")
     station = F.to_json(F.struct(F.concat(F.lit(place + "/id="), "s_suppkey").alias("@id"), F.col("s_name").alias("label")))
     answers = s.where("s_suppkey % 7 > 0").select(F.col("s_suppkey").alias("id"), station.alias("station"), F.when(F.col("s_suppkey") % 5 > 0, F.concat(F.lit("m"), "s_suppkey")).alias("measure"))
-    answers.write.partitionBy("id").parquet(place)
-    found = tables.look_up_stations(s.select(F.col("s_suppkey").alias("station_id")), place, fetch=tables.replay_station)
+    answers = answers.withColumn("ids", F.floor(F.col("id") / tables.IDS))
+    answers.repartition("ids").write.partitionBy("ids").parquet(place)
+    asked = s.select(F.col("s_suppkey").alias("station_id")).repartitionByRange("station_id").sortWithinPartitions("station_id")
+    found = tables.look_up_stations(asked, place, fetch=tables.replay_station)
     return tables.station_details(found).select("station_id", "station_name", "measure_uri")

@@ -249,14 +249,30 @@ def replay(url: str) -> list[dict]:
     return rows.slice(int(query.get("_offset", 0)), int(query["_limit"])).to_pylist()
 
 
-def replay_station(url: str) -> list[dict]:
-    """What the service would answer for a station's id, or for its measures, from a landed copy: ``<folder>/id=<id>`` with ``station`` (JSON) and ``measure``."""
-    place, _, asked = url.partition("?")
-    folder = f"{place}/id={dict(urllib.parse.parse_qsl(asked))['wiskiID']}" if asked else place.removesuffix("/measures")
-    out = []
+#: Ids that share a folder of a landed copy of stations.
+IDS = 1000
+
+
+@lru_cache(maxsize=8)
+def _answers(folder: str) -> dict[int, list[dict]]:
+    """What a landed copy holds of each id in one of its folders."""
+    out: dict[int, list[dict]] = {}
     for name in listed(folder, (".parquet",)):
         files, path = store(name)
-        out += pq.read_table(path, filesystem=files, columns=["station", "measure"], partitioning=None).to_pylist()
+        for x in pq.read_table(path, filesystem=files, columns=["id", "station", "measure"], partitioning=None).to_pylist():
+            out.setdefault(x["id"], []).append(x)
+    return out
+
+
+def replay_station(url: str) -> list[dict]:
+    """What the service would answer for a station's id, or for its measures, from a landed copy: ``<folder>/ids=<id // IDS>`` with ``id, station``
+    (JSON) and ``measure``. A station's own address is ``<folder>/id=<id>``. Folders read last are held, so ids should be asked for in order."""
+    place, _, asked = url.partition("?")
+    if asked:
+        named = dict(urllib.parse.parse_qsl(asked))["wiskiID"]
+    else:
+        place, _, named = place.removesuffix("/measures").rpartition("/id=")
+    out = _answers(f"{place}/ids={int(named) // IDS}").get(int(named), [])
     if asked:
         return [json.loads(x["station"]) for x in out]
     if any(x["measure"] is None for x in out):

@@ -190,3 +190,15 @@ def test_a_shared_folder_named_by_its_path_gives_all_readings(spark, sf_dir, tmp
 
     monkeypatch.setattr(archive_queries, "shared_root", lambda _: str(tmp_path))
     assert archive_queries.s06_s07_download(spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/events.parquet").count()
+
+
+def test_a_landed_copy_of_stations_keeps_many_ids_in_a_folder(spark, tmp_path):
+    place, n = f"file://{tmp_path}/stations", 2 * tables.IDS
+    rows = [(i, json.dumps({"@id": f"{place}/id={i}", "label": f"L{i}"}), f"m{i}" if i % 2 else None) for i in range(1, n, 7)]
+    held = spark.createDataFrame(rows, "id bigint, station string, measure string").withColumn("ids", F.floor(F.col("id") / tables.IDS))
+    held.repartition("ids").write.partitionBy("ids").parquet(place)
+    assert len([f for f in os.listdir(tmp_path / "stations") if f.startswith("ids=")]) == 2
+    asked = spark.range(2 * n).select(F.col("id").alias("station_id"))
+    got = tables.station_details(tables.look_up_stations(asked, place, fetch=tables.replay_station)).select("station_id", "station_name", "measure_uri")
+    known = {i: (f"L{i}", m) for i, _, m in rows}
+    assert {r[0]: (r[1], r[2]) for r in got.collect()} == {i: known.get(i, (None, None)) for i in range(2 * n)}
