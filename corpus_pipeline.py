@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillwork.llm import jaccard_dedup, language_id, merge_dropout, mixing, pii
+from rillwork.llm import jaccard_dedup, language_id, merge_dropout, mixing, pii, simhash_dedup
 from rillwork.llm.scratch import free_tables, write_table
 from rillwork.plans.deploy import ship
 
@@ -24,9 +24,14 @@ def _language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the least ``doc_id`` (``jaccard_dedup.drop_near_duplicates``)."""
+    """One document of each group of near-duplicates, that of the least ``doc_id``.
+
+    Texts are linked as ``op5`` links them, by near SimHash fingerprints from a byte-position index (``simhash_dedup``); similar sets of
+    word shingles (``jaccard_dedup``) add the links between texts whose fingerprints lie further apart.
+    """
     ship(spark)
-    return jaccard_dedup.drop_near_duplicates(docs)
+    texts = docs.where("doc_id is not null").select(jaccard_dedup.text_id("text").alias("id"), "text")
+    return jaccard_dedup.drop_near_duplicates(docs, links=simhash_dedup.key_links(texts, "id"))
 
 
 def _pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

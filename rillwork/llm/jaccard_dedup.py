@@ -76,7 +76,7 @@ def _of_texts(texts: DataFrame, each, name: str) -> DataFrame:
     return texts.mapInArrow(tidy(run), ", ".join([*(f"`{c}` bigint" for c in others), f"{name} array<bigint>"]))
 
 
-def _text_id(text: str) -> Column:
+def text_id(text: str) -> Column:
     """64 bits of the text; 0 for null, empty and blank ones, which are copies of each other."""
     return F.when(F.col(text).rlike(r"[^ \t\n\x0B\f\r]"), F.xxhash64(text)).otherwise(0)
 
@@ -140,14 +140,14 @@ def _edges(rows: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", part: int = PART) -> DataFrame:
-    """``id, component`` of the texts (by ``_text_id``) that a chain of links of similarity LEAST connects to another.
+    """``id, component`` of the texts (by ``text_id``) that a chain of links of similarity LEAST connects to another.
 
     Texts that share a band form candidate groups; a pair is linked only by its exact similarity. In the first
     round the texts of a group meet in parts of ``part``, each with the group's least text, so that a
     large group of true copies is connected in one pass over it. Groups of several parts that aren't one component then
     have each two of their parts meet: no pair that shares a band, or is joined by such pairs, stays uncompared.
     """
-    texts = docs.select(_text_id(text).alias("id"), F.col(text).alias("text")).where("id != 0")
+    texts = docs.select(text_id(text).alias("id"), F.col(text).alias("text")).where("id != 0")
     prints = write_table(_of_texts(texts, bands, "bands").dropDuplicates(["id"]), "bands")
     posted = prints.select("id", F.posexplode("bands").alias("band", "key"))
     stars = posted.groupBy("band", "key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
@@ -172,16 +172,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", part: int = PART) -> Da
     return components(linked.union(write_table(_edges(second), "links"))).withColumnRenamed("node", "id")
 
 
-def drop_near_duplicates(docs: DataFrame, part: int = PART) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, part: int = PART, links: DataFrame | None = None) -> DataFrame:
     """One row of each component, that with the least ``doc_id`` (of equal ones, with one and the same text).
 
+    ``links`` (``a, b``, by ``text_id``) are edges that another method has found; components are those of both methods' edges together.
     What goes is found by ``doc_id`` and text mark and anti-joined, so that texts move only where more than ``SOME`` go.
     Rows are dropped by their text's component, never by their ``doc_id`` alone. Rows without a ``doc_id`` can't be
     named as copies and stay.
     """
     own = [f"{T}{c}" for c in ("id", "component", "doc")]
     found = near_duplicates(docs.where("doc_id is not null").select("text"), part=part).toDF(*own[:2])
-    named = docs.where("doc_id is not null").withColumn(own[0], _text_id("text"))
+    if links is not None:
+        found = components(write_table(found.union(links), "both"), *own[:2]).toDF(*own[:2])
+    named = docs.where("doc_id is not null").withColumn(own[0], text_id("text"))
     classes = named.groupBy("doc_id", own[0]).agg(F.count(F.lit(1)).alias("n")).join(found, own[0], "left").withColumn(own[1], F.coalesce(own[1], own[0]))
     classes = write_table(classes, "classes")
     kept = classes.groupBy(own[1]).agg(F.min(F.struct("doc_id", own[0])).alias("least")).select(F.col("least.doc_id").alias(own[2]), F.col(f"least.{own[0]}").alias(f"{T}text"))

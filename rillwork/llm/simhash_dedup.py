@@ -173,6 +173,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     return join_groups(prints, of_print, {"bits": "_bits"}, "_n")
 
 
+def key_links(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``a, b``: edges between the keys of ``docs`` that connect whatever near fingerprints connect."""
+    found = near_duplicates(docs, key, text)
+    return found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("a"), F.col("component_id").alias("b")).distinct()
+
+
 def duplicate_report(docs: DataFrame) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every document."""
     found = near_duplicates(docs)

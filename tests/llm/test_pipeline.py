@@ -79,3 +79,18 @@ def test_run_over_odd_rows(spark, sf_dir, tmp_path, repeats):
     all_.write.parquet(f"{tmp_path}/documents.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert bool(got) == bool(repeats) and all(r["round_trip"] for r in got if r["ids"] is not None)
+
+
+def test_dedup_stage_links_near_fingerprints(spark, sf_dir):
+    """1 and 2 are linked by their fingerprints alone, 2 and 3 by their sets of shingles alone; 4 and 5 are copies, 6 is neither."""
+    from rillwork.llm import simhash_dedup
+
+    from .test_jaccard_dedup import slow_similarity
+
+    tail = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    phrase = "alpha beta gamma delta epsilon "
+    texts = [phrase * 300 + tail("p"), phrase * 300 + tail("q"), phrase * 3 + tail("q"), tail("r"), tail("r"), tail("s")]
+    bits = lambda a, b: (simhash_dedup.fingerprint(texts[a]) ^ simhash_dedup.fingerprint(texts[b])).bit_count()
+    assert bits(0, 1) <= 3 < min(bits(0, 2), bits(1, 2)) and slow_similarity(texts[1], texts[2]) >= 0.8 > slow_similarity(texts[0], texts[1])
+    docs = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, sf_dir).collect()) == [1, 4, 6]
