@@ -208,7 +208,7 @@ def k_centres(near: DataFrame, far: DataFrame, k: int, first: str, buffer: float
     return chosen
 
 
-#: Stations of a block of ``core_centres``.
+#: Stations whose distances ``core_centres`` takes at a time.
 BLOCK = 4096
 
 
@@ -236,37 +236,82 @@ def farthest_first(names: list, vectors: np.ndarray, places: np.ndarray, k: int,
     return chosen
 
 
-def core_centres(df: DataFrame, k: int, first: str, buffer: float = 0.0, block: int = BLOCK, key: str = "station", vector: str = "features", place: Sequence[str] = ()) -> DataFrame:
-    """``key, turn`` of ``k`` centres, farthest first from ``first`` on, ``buffer`` apart by ``place`` (columns) as far as that can be.
+def _away(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Distance of each row to its nearest centre, component by component, so that equal rows have equal ones in any batch."""
+    nearest = np.full(len(rows), np.inf)
+    for centre in centres:
+        total = np.zeros(len(rows))
+        for i, c in enumerate(centre):
+            part = (rows[:, i] - c) ** 2
+            total += np.where(np.isnan(part), 0.0, part)  # null components don't count
+        np.minimum(nearest, total, out=nearest)
+    return np.sqrt(nearest)
 
-    Blocks of about ``block`` stations each choose ``k`` of their own, and blocks of those again, until one block holds all that are left; the
-    last choice is theirs. Every station lies within four times the best possible radius of a centre (twice, where one block
-    holds all), without a table of pairs. Vectors should be equally long; null ones are left out.
+
+def core_centres(df: DataFrame, k: int, first: str, buffer: float = 0.0, block: int = BLOCK, key: str = "station", vector: str = "features", place: Sequence[str] = (), relax: float = 0.8) -> DataFrame:
+    """``key, turn`` of ``k`` centres, farthest first from ``first`` (where there is none, the least name) on, ``buffer`` apart by ``place`` (columns) as far as that can be.
+
+    Each turn is a pass over all stations, ``block`` of a task at a time, of which a task passes on its furthest one alone (the greater name of
+    ties). So the choice is that of ``farthest_first`` over all, whatever the number of tasks, and nothing is held but the centres; the buffer
+    shrinks by ``relax`` where none lies outside it, as far as the widest gap that a pass before has found. Names and vectors should be unique and
+    equally long; null vectors are left out.
     """
-    kept = [key, vector, *place]
-
-    def choose(last: bool) -> Callable[[pa.Table], pa.Table]:
-        def run(table: pa.Table) -> pa.Table:
-            names = table.column(key).to_pylist()
-            vectors = np.array(table.column(vector).to_pylist(), np.float64)
-            places = np.array([table.column(c).to_numpy(zero_copy_only=False) for c in place], np.float64).T if place else np.full((len(names), 1), 0.0)
-            start = names.index(first) if first in names else int(np.argmin(np.array([str(n) for n in names])))
-            rows = farthest_first(names, vectors, places, k, start, buffer if last and place else -1.0)
-            if last:
-                return pa.table({key: table.column(key).take(pa.array(rows)), "turn": pa.array(range(len(rows)), pa.int32())})
-            return table.select(kept).take(pa.array(rows))
-
-        return run
-
-    held = df.select(*kept).where(F.col(vector).isNotNull())
-    n = held.count()
-    schema = held.schema
-    while n > block:
-        groups = -(-n // block)
-        held = held.groupBy(F.pmod(F.xxhash64(key, F.lit(groups)), F.lit(groups))).applyInArrow(choose(False), schema)
-        n = min(n, groups * k) if groups * k < n else block  # blocks no larger than k choose all of theirs
-    kind = schema[key].dataType.simpleString()
-    return held.groupBy().applyInArrow(choose(True), f"`{key}` {kind}, turn int")
+    held = df.select(key, F.col(vector), *place).where(F.col(vector).isNotNull())
+    spark = df.sparkSession
+    kind = held.schema[key].dataType
+    apart = bool(place) and buffer > 0
+
+    def furthest(chosen: list, centres: np.ndarray, sites: np.ndarray, limit: float) -> tuple | None:
+        """The furthest row outside of the limit; with a limit of minus one, that of the widest gap in place."""
+        taken = set(chosen)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = None
+            for batch in batches:
+                for start in range(0, batch.num_rows, block):
+                    part = batch.slice(start, block)
+                    names = part.column(0).to_pylist()
+                    open_ = np.array([n not in taken for n in names], bool)
+                    gap = np.zeros(len(names))
+                    if apart:
+                        gap = _away(np.array([part.column(2 + c).to_numpy(zero_copy_only=False) for c in range(len(place))], np.float64).T, sites)
+                        open_ &= gap >= limit
+                    rows = np.flatnonzero(open_)
+                    if not len(rows):
+                        continue
+                    score = gap if limit < 0 and apart else _away(part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(names), -1), centres)
+                    top = score[rows].max()
+                    found = (float(top), max(names[r] for r in rows[score[rows] == top]))
+                    best = found if best is None else max(best, found)
+            if best is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([best[0]]), pa.array([best[1]], part.schema.field(0).type)], ["d", key])
+
+        found = held.mapInArrow(run, f"d double, `{key}` {kind.simpleString()}").orderBy(F.desc("d"), F.desc(key)).first()
+        return None if found is None else tuple(found)
+
+    def row_of(name) -> tuple | None:
+        return held.where(F.col(key) == F.lit(name)).first()
+
+    start = row_of(first)
+    if start is None:
+        least = held.agg(F.min_by(key, F.col(key).cast("string"))).first()[0]
+        start = None if least is None else row_of(least)
+    chosen, centres, sites = [], [], []
+    while start is not None:
+        chosen.append(start[key])
+        centres.append(start[vector])
+        sites.append([start[c] for c in place])
+        if len(chosen) >= k:
+            break
+        limit, asked = (buffer if apart else 0.0), (chosen, np.array(centres, np.float64), np.array(sites, np.float64))
+        found = furthest(*asked, limit)
+        if found is None and apart:
+            gap = furthest(*asked, -1.0)
+            while gap is not None and limit > gap[0]:
+                limit = limit * relax if limit > 1e-6 else 0.0
+            found = None if gap is None else furthest(*asked, limit)
+        start = None if found is None else row_of(found[1])
+    return spark.createDataFrame(list(zip(chosen, range(len(chosen)))), f"`{key}` {kind.simpleString()}, turn int")
 
 
 def centre_radius(df: DataFrame, centres: DataFrame, key: str = "station", vector: str = "features") -> DataFrame:

@@ -102,3 +102,15 @@ def test_levels_fill_as_one_after_another(spark):
     both = donors.impute_in_order(df, scores, order, lambda t: steps.append(1) or stored(t))
     said = lambda t: sorted((r["station"], r["day"], None if r["value"] is None else round(r["value"], 9), r["data_type"]) for r in t.collect())
     assert said(both) == said(one) and len(steps) == len(levels)
+
+
+def test_core_centres_are_those_of_one_block(spark):
+    """Farthest first over all stations, however few a task looks at; ties go to the greater name."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(500, 8)).round(1)
+    x[400:] = x[:100]
+    names = [f"s{i:03}" for i in range(500)]
+    df = spark.createDataFrame(list(zip(names, x.tolist())), VECTORS)
+    whole = selection.farthest_first(names, x, np.zeros((500, 1)), 12, 0, -1.0)
+    got = selection.core_centres(df.repartition(7), 12, "s000", block=16).orderBy("turn").collect()
+    assert [r["station"] for r in got] == [names[i] for i in whole] and any(i >= 400 for i in whole)
