@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -57,7 +56,7 @@ def within_radius(points: DataFrame, radius: float, key: str = "node_id", x: str
     return asked.join(at, ["_ix", "_iy"]).withColumn("distance", distance).where((F.col("distance") > 0) & (F.col("distance") <= radius)).select("src", "dst", "distance")
 
 
-#: Points of a cell at the finest level of a pyramid, about, and its most levels.
+#: Points that a point finds in its own cell at the finest level of a pyramid, about, and its most levels.
 PER_CELL, LEVELS = 4, 20
 
 
@@ -68,14 +67,32 @@ def _around(level: Column, x: Column, y: Column, box: tuple[float, float, float]
     return F.array(*(F.struct(level.alias("l"), (at(x, x0) + i).alias("ix"), (at(y, y0) + j).alias("iy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
 
 
+def _above(c: str, n: Column) -> Column:
+    """A cell's number ``n`` levels above; halving is exact."""
+    return F.floor(F.col(c) / F.pow(F.lit(2.0), n)).cast("long")
+
+
+def _pyramid(base: DataFrame, most: int) -> DataFrame:
+    """``l, ix, iy, n``: cells of levels 0 to ``most`` that hold any of ``base``, the counted cells of level ``LEVELS``."""
+    every = base.withColumn("l", F.explode(F.sequence(F.lit(0), F.lit(most))))
+    return every.select("l", _above("ix", LEVELS - F.col("l")).alias("ix"), _above("iy", LEVELS - F.col("l")).alias("iy"), "n").groupBy("l", "ix", "iy").agg(F.sum("n").alias("n"))
+
+
+def _finest(base: DataFrame) -> int:
+    """The first level at which a target's cell holds, on average, no more than twice ``PER_CELL`` beyond those that no level parts from it."""
+    square = F.sum(F.col("n").cast("double") * F.col("n"))
+    company = {r["l"]: r["n"] for r in _pyramid(base, LEVELS).groupBy("l").agg((square / F.sum("n")).alias("n")).collect()}
+    return min(level for level, n in company.items() if n <= company[LEVELS] + 2 * PER_CELL)
+
+
 def nearest_points(points: DataFrame, k: int, key: str = "node_id", x: str = "easting", y: str = "northing", itself: bool = False, targets: DataFrame | None = None) -> DataFrame:
     """``src, dst, distance, rank`` of the ``k`` nearest targets (ties by id), of all targets if there are fewer.
 
-    Targets are counted in the cells of a pyramid, each level of half the size of the one above. A point takes the finest level at which
+    Targets are counted in the cells of a pyramid, each level of half the size of the one above, down to the level at which a target shares its
+    cell with about ``PER_CELL`` others, however narrow or clustered the targets lie in their box. A point takes the finest level at which
     the nine cells around it hold ``k`` targets; the ``k``-th distance in them bounds the search, and the nine cells of the finest
-    level as large as that bound hold every target within it. So rows grow with points and ``k``, not with points times targets,
-    however clustered they are; targets at one place can't be told apart by cells and are all looked at. Points without coordinates
-    are left out.
+    level as large as that bound hold every target within it. So rows grow with points and ``k``, not with points times targets;
+    targets at one place can't be told apart by cells and are all looked at. Points without coordinates are left out.
     """
     other = (points if targets is None else targets).select(F.col(key).alias("dst"), F.col(x).cast("double").alias("_x2"), F.col(y).cast("double").alias("_y2")).where("_x2 is not null and _y2 is not null")
     asked = points.select(F.col(key).alias("src"), F.col(x).cast("double").alias("_x1"), F.col(y).cast("double").alias("_y1")).where("_x1 is not null and _y1 is not null")
@@ -84,17 +101,21 @@ def nearest_points(points: DataFrame, k: int, key: str = "node_id", x: str = "ea
     if not row[4]:
         return asked.where("false").join(other.where("false"), asked["src"].eqNullSafe(other["dst"])).select("src", "dst", F.lit(0.0).alias("distance"), F.lit(0).alias("rank"))
     box = (row[0], row[1], max(row[2] - row[0], row[3] - row[1]) * (1 + 1e-9) or 1.0)
-    finest = min(LEVELS, max(0, math.ceil(math.log(max(1, row[4] / PER_CELL), 4))))
+    at = lambda c, c0, l: F.floor((F.col(c) - c0) / box[2] * 2.0**l).cast("long")
+    base = other.select(at("_x2", box[0], LEVELS).alias("ix"), at("_y2", box[1], LEVELS).alias("iy")).groupBy("ix", "iy").agg(F.count(F.lit(1)).alias("n"))
+    finest = _finest(base)
     level = lambda: F.explode(F.sequence(F.lit(0), F.lit(finest)))
     centre = lambda c, px, py: _around(F.col(c), F.col(px), F.col(py), box)[4]
-    counts = other.withColumn("_l", F.lit(finest)).select(centre("_l", "_x2", "_y2").alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n"))
-    above = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("_u"))).cast("long")
-    up = counts.withColumn("_u", level()).select(F.struct((F.col("c.l") - F.col("_u")).alias("l"), above("c.ix").alias("ix"), above("c.iy").alias("iy")).alias("c"), "n")
-    pyramid = up.groupBy("c").agg(F.sum("n").alias("n"))
     least = k + (0 if itself else 1)
-    seen = asked.withColumn("_l", level()).select("src", "_x1", "_y1", "_l", F.explode(_around(F.col("_l"), F.col("_x1"), F.col("_y1"), box)).alias("c"))
-    enough = seen.join(pyramid, "c").groupBy("src", "_x1", "_y1", "_l").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    chosen = asked.join(enough.groupBy("src", "_x1", "_y1").agg(F.max("_l").alias("_l")), ["src", "_x1", "_y1"], "left").withColumn("_l", F.coalesce("_l", F.lit(0)))
+    # a cell and its neighbours, where they hold enough
+    aside = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    full = _pyramid(base, finest).withColumn("s", aside).select("l", (F.col("ix") + F.col("s.i")).alias("ix"), (F.col("iy") + F.col("s.j")).alias("iy"), "n")
+    full = full.groupBy("l", "ix", "iy").agg(F.sum("n").alias("n")).where(F.col("n") >= least).drop("n")
+    asked = asked.withColumns({"_ix": at("_x1", box[0], finest), "_iy": at("_y1", box[1], finest)})
+    cells = asked.select("_ix", "_iy").distinct().withColumn("l", level())
+    cells = cells.select("_ix", "_iy", "l", _above("_ix", finest - F.col("l")).alias("ix"), _above("_iy", finest - F.col("l")).alias("iy"))
+    enough = cells.join(full, ["l", "ix", "iy"]).groupBy("_ix", "_iy").agg(F.max("l").alias("_l"))
+    chosen = asked.join(enough, ["_ix", "_iy"], "left").select("src", "_x1", "_y1", F.coalesce("_l", F.lit(0)).alias("_l"))
     placed = other.withColumn("_l", level()).select("dst", "_x2", "_y2", centre("_l", "_x2", "_y2").alias("c"))
     distance = F.sqrt((F.col("_x2") - F.col("_x1")) ** 2 + (F.col("_y2") - F.col("_y1")) ** 2)
 

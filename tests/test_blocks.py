@@ -137,3 +137,20 @@ def test_memory_of_long_series(spark, monkeypatch, keep, cut):
     assert got.columns == ["station", "day", "value", "memory"]
     held = {(r["station"], r["day"]): r["memory"] for r in got.collect()}
     assert held.keys() == want.keys() and max(abs(held[k] - v) for k, v in want.items()) < 1e-9
+
+
+def test_nearest_points_of_a_strip_meet_few(spark):
+    """Points along a line, a cluster and many at one place: finer levels than an even square needs keep candidates few."""
+    rng = np.random.default_rng(8)
+    places = [(float(i % 3), float(i * 50)) for i in range(4000)] + [(float(x), float(y)) for x, y in rng.normal(size=(300, 2))] + [(1e5, 1e5)] * 30
+    df = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(places)], "node_id long, easting double, northing double")
+    got = spatial.nearest_points(df, 3, itself=True)
+    rows = got.collect()
+    p = np.array(places)
+    for i in (0, 1, 2000, 3999, 4100, 4310):
+        d = np.hypot(*(p - p[i]).T)
+        want = sorted(range(len(p)), key=lambda j: (d[j], j))[:3]
+        assert [r["dst"] for r in sorted((r for r in rows if r["src"] == i), key=lambda r: r["rank"])] == want
+    assert len(rows) == 3 * len(p)
+    held = spark.createDataFrame([(0, 256 * i, 1) for i in range(4000)] + [(9, 9, 30)], "ix long, iy long, n long")  # places of a strip, and many at one
+    assert 8 <= spatial._finest(held) <= 10
