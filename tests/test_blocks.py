@@ -154,3 +154,12 @@ def test_nearest_points_of_a_strip_meet_few(spark):
     assert len(rows) == 3 * len(p)
     held = spark.createDataFrame([(0, 256 * i, 1) for i in range(4000)] + [(9, 9, 30)], "ix long, iy long, n long")  # places of a strip, and many at one
     assert 8 <= spatial._finest(held) <= 10
+
+
+def test_station_pairs_are_dealt_to_tasks(spark, monkeypatch):
+    monkeypatch.setattr(donors, "PAIRS", 100, raising=False)
+    rows = [(f"s{i:02}", i * 3.0, i * 4.0, 54.0, -3.0) for i in range(40)]
+    stations = spark.createDataFrame(rows, "station string, easting double, northing double, lat double, lon double").coalesce(1)
+    got = donors.station_distances(stations)
+    assert got.rdd.getNumPartitions() == 16
+    assert sorted((r["a"], r["b"], r["distance_m"]) for r in got.collect()) == [(f"s{i:02}", f"s{j:02}", (j - i) * 5.0) for i in range(40) for j in range(i + 1, 40)]
