@@ -101,10 +101,15 @@ def season_of_month(d: Column) -> tuple[Column, Column]:
     return F.sin(angle), F.cos(angle)
 
 
+def spread(x: str | Column) -> Column:
+    """Population spread as an aggregate, 0 where all values are equal: merged from several tasks, ``stddev_pop`` may leave 1e-17 there."""
+    return F.when(F.max(x) - F.min(x) == 0, 0.0).otherwise(F.stddev_pop(x))
+
+
 def correlation(x: str | Column, y: str | Column) -> Column:
     """Pearson's r as an aggregate; null where either side doesn't vary (``corr`` would divide by zero)."""
     x, y = (F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col(a)) if isinstance(a, str) else a for a, b in ((x, y), (y, x)))
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    return F.try_divide(F.covar_pop(x, y), spread(x) * spread(y))
 
 
 def decay_score(correlation: Column, distance_m: Column, k: float = 0.05) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import spread
 from .spatial import touching, within_radius
 
 EPSILON = 1e-6
@@ -33,7 +34,7 @@ def edge_attributes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def scaler(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``feature, mean, scale``: population spread, 1 where that is 0; nulls don't count."""
-    row = F.array(*(F.struct(F.lit(c).alias("feature"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("scale")) for c in columns))
+    row = F.array(*(F.struct(F.lit(c).alias("feature"), F.avg(c).alias("mean"), spread(c).alias("scale")) for c in columns))
     out = df.agg(row.alias("r")).select(F.explode("r").alias("r")).select("r.*")
     return out.withColumn("scale", F.when(F.col("scale") == 0, 1.0).otherwise(F.col("scale")))
 

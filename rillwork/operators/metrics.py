@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import correlation
+from ..functions.scalars import correlation, spread
 
 
 def errors(df: DataFrame, truth: str, estimate: str, by: Sequence[str] = ()) -> DataFrame:
@@ -28,15 +28,15 @@ def errors(df: DataFrame, truth: str, estimate: str, by: Sequence[str] = ()) ->
         F.avg(e).alias("bias"),
         F.var_pop(y).alias("_var"),
         correlation(y, p).alias("r"),
-        F.stddev_pop(y).alias("_sy"),
-        F.stddev_pop(p).alias("_sp"),
+        spread(y).alias("_sy"),
+        spread(p).alias("_sp"),
         F.avg(y).alias("_my"),
         F.avg(p).alias("_mp"),
     )
     some = lambda c: F.when(F.col(c) != 0, F.col(c))
     agg = agg.withColumns({
         "rmse": F.sqrt("mse"),
-        "nse": 1 - F.col("mse") / some("_var"),
+        "nse": 1 - F.col("mse") / F.when(F.col("_sy") != 0, some("_var")),
         "r": F.when((F.col("_sy") > 0) & (F.col("_sp") > 0), F.col("r")),
         "alpha": F.col("_sp") / some("_sy"),
         "beta": F.col("_mp") / some("_my"),
