@@ -51,15 +51,18 @@ def final_labels(df: DataFrame, quality: str = "quality", data_type: str = "data
 def power_fit(df: DataFrame, value: str, low: float = -2.0, high: float = 2.0, step: float = 0.01, shift: float = 1.0) -> DataFrame:
     """One row ``lambda, log_likelihood``: the Box-Cox power, on a grid, of the greatest profile likelihood for ``value + shift``.
 
-    All grid points are summed in one pass over the rows; rows that are null or not positive after the shift don't count.
+    All grid points are summed in one pass over the rows; rows that are null or not positive after the shift don't count. Values are taken
+    over their geometric mean, which a pass before finds: the powers of great values less 1 would keep no digits for low lambdas.
     """
     x = F.col(value) + shift
-    rows = df.where(x > 0).select(x.alias("x"), F.log(x).alias("l"))
+    rows = df.where(x > 0).select(F.log(x).alias("l"))
+    centred = rows.crossJoin(F.broadcast(rows.agg(F.avg("l").alias("c")))).select("l", (F.col("l") - F.col("c")).alias("z"))
     grid = [round(low + step * i, 10) for i in range(round((high - low) / step) + 1)]
-    moments = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("l").alias("s"), F.array(*(F.var_pop(F.col("l") if p == 0 else (F.pow("x", F.lit(p)) - 1) / p) for p in grid)).alias("v"))
-    each = moments.select("n", "s", F.posexplode("v").alias("i", "var"))
-    likelihood = (F.round(F.lit(low) + F.lit(step) * F.col("i"), 10) - 1) * F.col("s") - F.col("n") / 2 * F.log("var")
-    scored = each.where("var > 0").select(F.round(F.lit(low) + F.lit(step) * F.col("i"), 10).alias("lambda"), likelihood.alias("log_likelihood"))
+    spreads = F.array(*(F.var_pop(F.col("z") if p == 0 else F.expm1(F.col("z") * p) / p) for p in grid))
+    moments = centred.agg(F.count(F.lit(1)).alias("n"), F.sum("l").alias("s"), F.sum("z").alias("z"), spreads.alias("v"), (F.max("l") > F.min("l")).alias("varied")).where("varied")
+    each = moments.select("n", "s", "z", F.posexplode("v").alias("i", "var")).withColumn("lambda", F.round(F.lit(low) + F.lit(step) * F.col("i"), 10))
+    likelihood = F.col("lambda") * F.col("z") - F.col("s") - F.col("n") / 2 * F.log("var")
+    scored = each.where("var > 0").select("lambda", likelihood.alias("log_likelihood"))
     return scored.orderBy(F.desc("log_likelihood"), "lambda").limit(1)
 
 
