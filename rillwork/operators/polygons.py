@@ -7,6 +7,7 @@ polygons of several parts are several rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,14 +43,28 @@ def in_polygon_of(x: Column, y: Column, ring: Column, holes: Column) -> Column:
     return in_ring(x, y, ring) & ~F.exists(F.coalesce(holes, F.array().cast(_RINGS)), lambda h: in_ring(x, y, h))
 
 
+def _box(ring: str) -> Column:
+    """Least and greatest x and y, as a struct ``x0, x1, y0, y1``."""
+    xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
+    return F.struct(F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
+
+
+def _boxed(shapes: DataFrame, bucket: float) -> DataFrame:
+    """Shapes with the ``_box`` of their ring, once for each bucket ``_bx, _by`` that it meets."""
+    span = lambda a, b: F.explode(F.sequence(cell(F.col(f"_box.{a}"), bucket), cell(F.col(f"_box.{b}"), bucket)))
+    return shapes.withColumn("_box", _box("ring")).withColumn("_bx", span("x0", "x1")).withColumn("_by", span("y0", "y1"))
+
+
+def _in_box(x: str, y: str) -> Column:
+    return F.col(x).between(F.col("_box.x0"), F.col("_box.x1")) & F.col(y).between(F.col("_box.y0"), F.col("_box.y1"))
+
+
 def containing_polygons(points: DataFrame, shapes: DataFrame, bucket: float, x: str = "easting", y: str = "northing") -> DataFrame:
-    """Left join of points with the polygons (``ring, holes``) that contain them: an equi-join on the buckets of a polygon's box, then the ray test."""
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    span = lambda c: F.explode(F.sequence(cell(F.array_min(c), bucket), cell(F.array_max(c), bucket)))
-    placed = shapes.withColumn("_bx", span(xs)).withColumn("_by", span(ys))
+    """Left join of points with the polygons (``ring, holes``) that contain them: an equi-join on the buckets of a polygon's box, then the box and the ray test."""
+    placed = _boxed(shapes, bucket)
     asked = points.withColumns({"_bx": cell(F.col(x), bucket), "_by": cell(F.col(y), bucket)})
-    inside = in_polygon_of(F.col(x), F.col(y), F.col("ring"), F.col("holes"))
-    return asked.join(placed, (asked["_bx"] == placed["_bx"]) & (asked["_by"] == placed["_by"]) & inside, "left").drop("_bx", "_by", "ring", "holes")
+    inside = _in_box(x, y) & in_polygon_of(F.col(x), F.col(y), F.col("ring"), F.col("holes"))
+    return asked.join(placed, (asked["_bx"] == placed["_bx"]) & (asked["_by"] == placed["_by"]) & inside, "left").drop("_bx", "_by", "_box", "ring", "holes")
 
 
 def _segments(shapes: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -80,34 +95,30 @@ def _noded(sides: DataFrame, by: Sequence[str], bucket: float) -> DataFrame:
 
 
 def _boundary(sides: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Sides that have the union on one side only: those that occur both ways cancel out."""
+    """Sides that have the union on one side only: those that occur both ways cancel out; repeats count once."""
     forward = (F.col("x1") < F.col("x2")) | ((F.col("x1") == F.col("x2")) & (F.col("y1") < F.col("y2")))
-    ordered = sides.select(*by, *(F.when(forward, F.col(a)).otherwise(F.col(b)).alias(a) for a, b in (("x1", "x2"), ("y1", "y2"), ("x2", "x1"), ("y2", "y1"))), F.when(forward, 1).otherwise(-1).alias("_s"))
-    net = ordered.groupBy(*by, "x1", "y1", "x2", "y2").agg(F.sum("_s").alias("_s")).where("_s <> 0")
-    return net.select(*by, *(F.when(F.col("_s") > 0, F.col(a)).otherwise(F.col(b)).alias(a) for a, b in (("x1", "x2"), ("y1", "y2"), ("x2", "x1"), ("y2", "y1"))))
+    ordered = sides.select(*by, *(F.when(forward, F.col(a)).otherwise(F.col(b)).alias(a) for a, b in (("x1", "x2"), ("y1", "y2"), ("x2", "x1"), ("y2", "y1"))), forward.alias("_f"))
+    net = ordered.groupBy(*by, "x1", "y1", "x2", "y2").agg(F.max("_f").alias("_f"), F.min("_f").alias("_l")).where("_f = _l")
+    return net.select(*by, *(F.when(F.col("_f"), F.col(a)).otherwise(F.col(b)).alias(a) for a, b in (("x1", "x2"), ("y1", "y2"), ("x2", "x1"), ("y2", "y1"))))
 
 
 def _rings(links: DataFrame, cut: Cut) -> DataFrame:
-    """``id, ring, place`` of ``id, next``, a permutation: each cycle's least id, and steps from there, both by pointer jumping.
+    """``id, ring, place`` of ``id, next``, a permutation: each cycle's least id, and steps from there, both by pointer jumping; none is gathered.
 
-    A round doubles how far each link sees, so rounds grow with the logarithm of the longest cycle; none is gathered.
+    Each link holds the least id of those it sees ahead and the steps to it; a round doubles how far it sees. Where both halves hold the same id,
+    it has come round: the link is done, and its cycle with this round or the next. So a cycle takes the rounds of its own length, not of the longest.
     """
-    seen = cut(links.select("id", F.col("next").alias("to"), F.col("id").alias("ring")))
+    seen = links.select("id", F.col("next").alias("to"), F.col("id").alias("ring"), F.lit(0).cast("long").alias("steps"), F.lit(False).alias("done"))
+    span, found = 1, []
     while True:
-        other = seen.select(F.col("id").alias("to"), F.col("to").alias("_to"), F.col("ring").alias("_ring"))
-        wider = cut(seen.join(other, "to").select("id", F.col("_to").alias("to"), F.least("ring", "_ring").alias("ring"), (F.col("_ring") < F.col("ring")).alias("moved")))
-        seen = wider.drop("moved")
-        if not wider.where("moved").limit(1).count():
-            break
-    rings = seen.select("id", "ring")
-    # steps to the least id, whose own way ends at once
-    ahead = links.join(rings, "id")
-    first = F.col("id") == F.col("ring")
-    ways = cut(ahead.select("id", F.when(~first & (F.col("next") != F.col("ring")), F.col("next")).alias("to"), F.when(first, 0).otherwise(1).cast("long").alias("steps")))
-    while ways.where("to is not null").limit(1).count():
-        other = ways.select(F.col("id").alias("to"), F.col("to").alias("_to"), F.col("steps").alias("_steps"))
-        ways = cut(ways.join(other, "to", "left").select("id", F.col("_to").alias("to"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps")))
-    return rings.join(ways.select("id", "steps"), "id").select("id", "ring", F.when(F.col("id") == F.col("ring"), F.lit(-(2**62))).otherwise(-F.col("steps")).alias("place"))
+        other = seen.select(F.col("id").alias("to"), F.col("to").alias("_to"), F.col("ring").alias("_ring"), F.col("steps").alias("_steps"), F.col("done").alias("_done"))
+        steps = F.when(F.col("ring") <= F.col("_ring"), F.col("steps")).otherwise(F.col("_steps") + span)
+        done = F.col("_done") | (F.col("ring") == F.col("_ring"))
+        seen = cut(seen.where("not done").join(other, "to").select("id", F.col("_to").alias("to"), F.least("ring", "_ring").alias("ring"), steps.alias("steps"), done.alias("done")))
+        found.append(seen.where("done").select("id", "ring", F.when(F.col("id") == F.col("ring"), F.lit(-(2**62))).otherwise(-F.col("steps")).alias("place")))
+        span *= 2
+        if not seen.where("not done").limit(1).count():
+            return reduce(DataFrame.union, found)
 
 
 def _straightened(ring: Column) -> Column:
@@ -133,22 +144,24 @@ def dissolve(shapes: DataFrame, by: Sequence[str], cut: Cut, bucket: float, node
     groups = shapes.select(*(F.to_json(F.struct(c)).alias(k) for c, k in zip(by, keys)), *by, "ring", *(["holes"] if "holes" in shapes.columns else []))  # null-safe keys
     names = groups.groupBy(*keys).agg(*(F.first(c).alias(c) for c in by))
     sides = _segments(groups.where(F.col("ring").isNotNull()), keys)
-    sides = cut(_noded(sides, keys, bucket)) if node else sides.distinct()
+    sides = cut(_noded(sides, keys, bucket)) if node else sides
     edges = cut(_boundary(sides, keys).withColumn("id", F.monotonically_increasing_id()))
     out = edges.select(*keys, F.col("x1").alias("x2"), F.col("y1").alias("y2"), F.col("id").alias("next"), (F.col("x2") - F.col("x1")).alias("_dx"), (F.col("y2") - F.col("y1")).alias("_dy"))
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     turn = F.atan2(dx * F.col("_dy") - dy * F.col("_dx"), dx * F.col("_dx") + dy * F.col("_dy"))
-    links = cut(edges.join(out, [*keys, "x2", "y2"]).groupBy("id").agg(F.max_by("next", turn).alias("next")))
+    links = cut(edges.join(out, [*keys, "x2", "y2"]).groupBy("id").agg(F.max_by("next", turn).alias("next"), (F.count(F.lit(1)) > 1).alias("fork")))
     placed = cut(edges.join(_rings(links, cut), "id"))
     # where a ring comes to a corner again, it is parted: the way in of one visit goes on as the visit before did
-    visits = placed.join(links.select(F.col("id").alias("_in"), F.col("next").alias("id")), "id")
+    visits = placed.select("id", "ring", "place", "x1", "y1").join(links.where("fork").select(F.col("id").alias("_in"), F.col("next").alias("id")), "id")
     corner = Window.partitionBy("ring", "x1", "y1")
     again = visits.withColumn("_n", F.count(F.lit(1)).over(corner)).where("_n > 1")
     before = F.coalesce(F.lag("id").over(corner.orderBy("place")), F.last("id").over(corner.orderBy("place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    again = cut(again.select(F.col("_in").alias("id"), before.alias("_next")))
-    if again.limit(1).count():
-        links = cut(links.join(again, "id", "left").select("id", F.coalesce("_next", "next").alias("next")))
-        placed = cut(edges.join(_rings(links, cut), "id"))
+    again = cut(again.select(F.col("_in").alias("id"), before.alias("_next"), "ring"))
+    if again.limit(1).count():  # only these rings are followed anew
+        touched = again.select("ring").distinct()
+        old = cut(placed.join(touched, "ring", "left_semi"))
+        parted = old.select("id").join(links, "id").join(again.drop("ring"), "id", "left").select("id", F.coalesce("_next", "next").alias("next"))
+        placed = placed.join(touched, "ring", "left_anti").unionByName(old.drop("ring", "place").join(_rings(cut(parted), cut), "id"))
     points = F.array_sort(F.collect_list(F.struct("place", F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")).alias("p"))))
     rings = placed.groupBy(*keys, "ring").agg(F.transform(points, lambda s: s["p"]).alias("points"))
     rings = cut(rings.select(*keys, F.col("ring").alias("part"), _straightened(F.col("points")).alias("ring")).withColumn("area", signed_area(F.col("ring"))))
@@ -156,11 +169,9 @@ def dissolve(shapes: DataFrame, by: Sequence[str], cut: Cut, bucket: float, node
     side = ring_edges(F.col("ring"))[0]
     near = lambda a, b, c, d, s: (side[a] + side[b]) / 2 + s * (side[c] - side[d]) * 1e-6  # noqa: E731  a point just to the left of a side: in the part around the hole
     holes = rings.where("area < 0").select(*keys, F.col("part").alias("_hole"), F.col("ring").alias("_ring"), near("x1", "x2", "y2", "y1", -1).alias("_px"), near("y1", "y2", "x2", "x1", 1).alias("_py"))
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    span = lambda c: F.explode(F.sequence(cell(F.array_min(c), bucket), cell(F.array_max(c), bucket)))
-    around = outer.withColumn("_bx", span(xs)).withColumn("_by", span(ys))
+    around = _boxed(outer, bucket)
     asked = holes.withColumns({"_bx": cell(F.col("_px"), bucket), "_by": cell(F.col("_py"), bucket)})
-    within = asked.join(around, [*keys, "_bx", "_by"]).where(in_ring(F.col("_px"), F.col("_py"), F.col("ring")))
+    within = asked.join(around, [*keys, "_bx", "_by"]).where(_in_box("_px", "_py") & in_ring(F.col("_px"), F.col("_py"), F.col("ring")))
     owner = within.groupBy("_hole").agg(F.min_by("part", "area").alias("part"), F.first("_ring").alias("_ring"))
     held = owner.groupBy("part").agg(F.collect_list("_ring").alias("holes"))
     whole = outer.join(held, "part", "left").withColumn("holes", F.coalesce("holes", F.array().cast(_RINGS)))

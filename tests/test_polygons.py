@@ -96,3 +96,24 @@ def test_all_parts_and_holes_of_geojson(spark, tmp_path):
         area = polygons.signed_area(F.col("ring")) - polygons.total(F.col("holes"), polygons.signed_area)
         got = sorted((r["name"], r["part"], r["n"], r["a"]) for r in df.select("name", "part", F.size("holes").alias("n"), area.alias("a")).collect())
         assert got == [("one", 0, 1, 80.0), ("two", 0, 0, 4.0), ("two", 1, 2, 79.0)]
+
+
+def test_short_rings_are_followed_no_longer_than_they_are(spark):
+    """Each round stores only links of rings that aren't done."""
+    draw, lengths, ids, after, stored_rows = random.Random(3), [4] * 200 + [1, 2, 3, 64, 65], list(range(0, 4000, 4)), {}, []
+    draw.shuffle(ids)
+    cycles = [[ids.pop() for _ in range(n)] for n in lengths]
+    for c in cycles:
+        after.update(zip(c, [*c[1:], c[0]]))
+
+    def cut(df):
+        out = stored(df)
+        stored_rows.append(out.count())
+        return out
+
+    got = polygons._rings(spark.createDataFrame(list(after.items()), "id long, next long"), cut).collect()
+    assert len(got) == len(after)
+    for c in cycles:
+        first = c.index(min(c))
+        assert [r["id"] for r in sorted((r for r in got if r["ring"] == min(c)), key=lambda r: r["place"])] == c[first:] + c[:first]
+    assert sum(stored_rows) < 5 * len(after)
