@@ -110,7 +110,8 @@ def links(prints: DataFrame, distance: int = DISTANCE, key_bytes: int = KEY_BYTE
     # the sizes of postings with company; the others have no pair
     sizes = posted.groupBy("which", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     sizes = sizes.select("which", "key", F.ceil(F.col("n") / part).cast("int").alias("parts"))
-    posted = posted.join(sizes, ["which", "key"])
+    # merged: Spark takes postings for no larger than the fingerprints before the explode, and would broadcast them
+    posted = posted.hint("merge").join(sizes, ["which", "key"])
     mine = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("bits"), F.col("parts"))).otherwise(0).cast("int")
     posted = posted.withColumn("mine", mine).withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     posted = posted.select("which", "key", F.least("mine", "theirs").alias("p"), F.greatest("mine", "theirs").alias("q"), "bits", "mine")
