@@ -151,7 +151,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", part: int = PART) -> Da
     prints = write_table(_of_texts(texts, bands, "bands").dropDuplicates(["id"]), "bands")
     posted = prints.select("id", F.posexplode("bands").alias("band", "key"))
     stars = posted.groupBy("band", "key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
-    candidates = write_table(components(posted.join(stars, ["band", "key"]).select("id", "least"), "id", "least"), "candidates")
+    # merged: Spark takes BANDS rows a text for no larger than the text's own, and would broadcast them
+    near = posted.hint("merge").join(stars, ["band", "key"]).select("id", "least")
+    candidates = write_table(components(near, "id", "least"), "candidates")
     sizes = candidates.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("parts"))
     wanted = texts.join(_few(candidates).withColumnRenamed("node", "id"), "id").dropDuplicates(["id"]).select("id", "component", "text")
     sets = write_table(_of_texts(wanted, lambda grams: grams.view(np.int64), "grams"), "sets")

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 BLOCK_BITS = 13
 #: A group of one ``HEAVY``-th of all rows or more is handled apart by ``join_groups``.
 HEAVY = 64
+#: Groups that ``join_groups`` lets Spark broadcast at most: they take several times the room of their file, by which Spark judges them.
+FEW = 100_000
 #: Begins the names of columns that operators add for themselves beside a table's own.
 T = "__rw_"
 #: The same for ``running``, which those operators call.
@@ -103,10 +105,10 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: dict[str, str], n: str
 
     ``keys`` maps columns of ``rows`` to those of ``groups``, which are dropped, as is ``n``. A group of at least a
     ``HEAVY``-th of all rows has its row broadcast (there are ``HEAVY`` such groups at most), and its rows are dealt evenly in the
-    shuffle that joins the others: no key's rows meet in one task, whatever their share.
+    shuffle that joins the others: no key's rows meet in one task, whatever their share. More than ``FEW`` groups are never broadcast.
     """
     groups = write_table(groups, "groups")
-    total = groups.agg(F.sum(n)).first()[0] or 0
+    total, many = groups.agg(F.coalesce(F.sum(n), F.lit(0)), F.count(F.lit(1)) > FEW).first()
     whole = lambda columns, salt: F.struct(*(c.alias(f"k{i}") for i, c in enumerate(columns)), salt.cast("long").alias("salt"))
     values = [c for c in groups.columns if c not in {n, *keys.values()}]
     packed = groups.select(whole(map(F.col, keys.values()), F.lit(0)).alias(f"{R}key"), F.struct(*values).alias(f"{R}value"), n)
@@ -115,7 +117,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: dict[str, str], n: str
     dealt = rows.join(F.broadcast(heavy), whole(map(F.col, keys), F.lit(0)) == F.col(f"{R}heavy_key"), "left")
     settled = F.col(f"{R}heavy").isNotNull()
     dealt = dealt.withColumn(f"{R}own", whole((F.when(~settled, F.col(k)) for k in keys), F.when(settled, 1 + F.monotonically_increasing_id()).otherwise(0)))
-    joined = dealt.join(light, F.col(f"{R}own") == F.col(f"{R}key"), "left")
+    joined = dealt.join(light.hint("merge") if many else light, F.col(f"{R}own") == F.col(f"{R}key"), "left")
     return joined.select(*rows.columns, *(F.coalesce(F.col(f"{R}heavy")[c], F.col(f"{R}value")[c]).alias(c) for c in values))
 
 
